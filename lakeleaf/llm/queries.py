@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeleaf.llm.bpe import bpe_digests
 from lakeleaf.llm.common import table
 from lakeleaf.llm.exact_dedup import exact_dedup
+from lakeleaf.llm import langid, toxicity
 from lakeleaf.llm.url_filter import Rule, url_filter
 
 RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
@@ -23,6 +24,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.language_id(docs, langid.train(docs))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_folds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -31,7 +41,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_exact_dedup, op7_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_language_id, op5_exact_dedup, op7_url_filter, op10_toxicity)}
 
 SQL = {
     "op5_exact_dedup": """
