@@ -27,8 +27,8 @@ class Settings:
     least_texts: int = 3
     least_ratio: float = 1.5
     smoothing: float = 1.0
-    ridge: float = 0.1
-    steps: int = 300
+    ridge: float = 0.03
+    steps: int = 600
 
 
 @dataclass
