@@ -44,11 +44,15 @@ ODD = regex.compile(rf"[{LATE_LETTERS}{LATE_NUMBERS}]")
 
 
 def words(text: str) -> list[str]:
-    return (EXACT if not text.isascii() and ODD.search(text) else PLAIN).findall(text)
+    try:
+        text.encode("latin-1")  # the quick test: the odd code points are far above
+        return PLAIN.findall(text)
+    except UnicodeEncodeError:
+        return (EXACT if ODD.search(text) else PLAIN).findall(text)
 
 
-#: Distinct words that a worker remembers before it starts anew, which bounds its memory.
-CACHE = 400_000
+#: Distinct words that a worker remembers before it keeps only the last block's, which bounds its memory.
+CACHE = 500_000
 #: Characters of text whose words are learnt at once.
 BLOCK = 8_000_000
 
@@ -139,8 +143,7 @@ class Codec:
         """Make ``known`` hold each word's ids (as text), their number, and the bytes they decode to."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE:
-            self.known = dict(self.marks)
-            new = [w for w in words if w not in self.marks]
+            self.known = self.marks | {w: self.known[w] for w in words if w in self.known}
         for word, ids in self.walk(new):
             self.known[word] = ",".join(map(str, ids)), len(ids), self.decode_bytes(ids)
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeleaf.llm.bpe import bpe_digests
 from lakeleaf.llm.common import table
 from lakeleaf.llm.exact_dedup import exact_dedup
 from lakeleaf.llm import langid, toxicity
+from lakeleaf.llm.html_text import extract
+from lakeleaf.llm.topk import top_k
 from lakeleaf.llm.url_filter import Rule, url_filter
 
 RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
@@ -33,6 +36,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_folds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,9 +52,16 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_language_id, op5_exact_dedup, op7_url_filter, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_top_k, op5_exact_dedup, op7_url_filter, op9_html_text, op10_toxicity)}
 
 SQL = {
+    "op4_top_k": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+                   where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+        r as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 5
+    """,
     "op5_exact_dedup": """
         with d as (select doc_id, length(coalesce(text, '')) as points, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) as text_sha256 from documents),
         r as (select *, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size, row_number() over w as place
