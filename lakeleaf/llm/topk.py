@@ -82,22 +82,23 @@ def _block(good: DataFrame, block: list[tuple[int, list[int]]], k: int, bound: i
     ids = np.array([i for i, _ in block])
     sent = spark.sparkContext.broadcast((ids, np.array([v for _, v in block]).astype(kind)))
     rows = good.select("vec_id", "v")
-    # Of each query: the interval low <= score < low + step x BINS in which its k-th best score lies, and how many
-    # of the k best are still to be found in it (those above the interval are counted off).
+    # Of each query: the interval low <= score < low + span in which its k-th best score lies, cut into bins of step,
+    # and how many of the k best are still to be found in it (those above the interval are counted off).
     low = np.full(len(ids), -bound, dtype=np.int64)
     need = np.full(len(ids), k, dtype=np.int64)
-    step = -(-(2 * bound + 1) // BINS)
+    span = 2 * bound + 1
+    step = -(-span // BINS)
     while True:
-        state = spark.sparkContext.broadcast((low, step))
+        state = spark.sparkContext.broadcast((low, step, span))
 
         def histogram(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
-            (own, queries), (lows, width_of) = sent.value, state.value
+            (own, queries), (lows, width_of, whole) = sent.value, state.value
             counts = np.zeros((len(own), BINS), dtype=np.int64)
             base = np.arange(len(own))[:, None] * BINS
             for found, scores in _scored(batches, queries, width, kind):
-                bins = (scores - lows[:, None]) // width_of
-                inside = (bins >= 0) & (bins < BINS) & (found[None, :] != own[:, None])
-                counts += np.bincount((base + np.clip(bins, 0, BINS - 1))[inside], minlength=counts.size).reshape(counts.shape)
+                place = scores - lows[:, None]
+                inside = (place >= 0) & (place < whole) & (found[None, :] != own[:, None])
+                counts += np.bincount((base + place // width_of)[inside], minlength=counts.size).reshape(counts.shape)
             # A bin under this task's own k best can't hold the k-th best of all.
             above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
             q, b = np.nonzero((counts > 0) & (above < k))
@@ -108,16 +109,16 @@ def _block(good: DataFrame, block: list[tuple[int, list[int]]], k: int, bound: i
         above = F.coalesce(F.sum("n").over(W.partitionBy("query").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         kept = found.withColumn("above", above).filter(F.col("above") < k).toPandas().sort_values(["query", "bin"], ascending=[True, False])
         total = kept.groupby("query")["n"].sum().reindex(range(len(ids)), fill_value=0).to_numpy()
-        hit = kept[(kept["above"].to_numpy() < need[kept["query"].to_numpy()]) & (kept["above"].to_numpy() + kept["n"].to_numpy() >= need[kept["query"].to_numpy()])]
+        wanted = need[kept["query"].to_numpy()]
+        hit = kept[(kept["above"].to_numpy() < wanted) & (kept["above"].to_numpy() + kept["n"].to_numpy() >= wanted)]
         q, b, over = hit["query"].to_numpy(), hit["bin"].to_numpy(), hit["above"].to_numpy()
         low[q] += b * step
         need[q] -= over
         few = np.flatnonzero(total < need)  # fewer candidates than k: all are taken
-        few = np.setdiff1d(few, q)
         low[few], need[few] = -bound - 1, 0
         if step == 1:
             break
-        step = -(-step // BINS)
+        span, step = step, -(-step // BINS)
     kth = spark.sparkContext.broadcast((low, need))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
