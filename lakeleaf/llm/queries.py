@@ -10,6 +10,7 @@ from lakeleaf.llm.common import table
 from lakeleaf.llm.exact_dedup import exact_dedup
 from lakeleaf.llm import langid, toxicity
 from lakeleaf.llm.html_text import extract
+from lakeleaf.llm.minhash import near_classes
 from lakeleaf.llm.topk import top_k
 from lakeleaf.llm.url_filter import Rule, url_filter
 
@@ -23,6 +24,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -52,7 +57,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_top_k, op5_exact_dedup, op7_url_filter, op9_html_text, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_language_id, op4_top_k, op5_exact_dedup, op7_url_filter, op9_html_text, op10_toxicity)}
 
 SQL = {
     "op4_top_k": """
