@@ -316,7 +316,7 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """The rows of ``docs`` that ``near_classes`` keeps, with all their columns."""
     classes = materialise(near_classes(docs, text, doc_id), "minhash-classes")
     gone = classes.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.hint("merge").join(gone, docs[doc_id].cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs[doc_id].cast("long") == F.col("gone_id"), "left_anti")
 
 
 def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeleaf.llm.bpe import bpe_digests
@@ -11,6 +11,7 @@ from lakeleaf.llm.exact_dedup import exact_dedup
 from lakeleaf.llm import langid, toxicity
 from lakeleaf.llm.html_text import extract
 from lakeleaf.llm.minhash import near_classes
+from lakeleaf.llm.mixing import Mixture, mix, word_count
 from lakeleaf.llm.topk import top_k
 from lakeleaf.llm.url_filter import Rule, url_filter
 
@@ -49,6 +50,24 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+#: Half of all words; thin leaves are repeated up to twice.
+MIXTURE = Mixture(
+    budget=(1, 2), epochs=2, seed=17, other=1,
+    weights={"domain": {"web": 4, "books": 3, "wiki": 2, "code": 1}, "language": {"en": 5, "de": 2, "fr": 2, "es": 1}},
+)
+
+
+def domain_of() -> Column:
+    """The tables name no domain: sources src0 to src4 stand for the web, 5 to 9 books, 10 to 14 wiki, 15 to 19 code."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "^src([0-9]{1,4})$", 1)
+    number = F.when(number != "", number.cast("int"))
+    return F.when(number < 5, "web").when(number < 10, "books").when(number < 15, "wiki").when(number < 20, "code").otherwise("other")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), MIXTURE, domain_of(), word_count(F.col("text")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,9 +76,42 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_language_id, op4_top_k, op5_exact_dedup, op7_url_filter, op9_html_text, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_language_id, op4_top_k, op5_exact_dedup, op6_mixing, op7_url_filter, op9_html_text, op10_toxicity)}
+
+def _level(parent: str, name: str, weight: str) -> str:
+    """SQL of one level of the budget tree (tables above and leaves): parent columns, name, budget."""
+    keys, by = (f"{parent}, {name}", f"partition by {parent}") if parent else (name, "")
+    join = f"join above using ({parent})" if parent else "cross join above"
+    return f"""
+        (with n as (select {keys}, sum(cap) as cap0, any_value({weight}) as weight from leaves group by {keys}),
+         c as (select n.*, above.budget, case when weight > 0 then cap0 else 0 end::hugeint as cap from n {join}),
+         o as (select *, coalesce(sum(cap) over (w rows between unbounded preceding and 1 preceding), 0) as before, sum(weight) over (w rows between current row and unbounded following) as upon,
+                      least(budget, sum(cap) over ({by})) as total from c window w as ({by} order by cap / greatest(weight, 1), {name})),
+         f as (select *, cap * upon <= (total - before) * weight as is_full from o),
+         t as (select *, sum(case when is_full then cap else 0 end) over ({by}) as taken, sum(case when is_full then 0 else weight end) over ({by}) as rest_weight from f)
+         select {keys}, case when is_full then cap else ((total - taken) * weight) // greatest(rest_weight, 1) end as budget from t)
+    """
+
+
+def mixing_sql(documents: str = "documents") -> str:
+    number = "try_cast(nullif(regexp_extract(coalesce(source, ''), '^src([0-9]{1,4})$', 1), '') as int)"
+    weights = {level: "case " + level + " " + " ".join(f"when '{k}' then {v}" for k, v in MIXTURE.weights.get(level, {"": 1}).items()) + f" else {MIXTURE.other} end" for level in ("domain", "language", "source")}
+    return f"""
+        with d as (select doc_id, case when {number} < 5 then 'web' when {number} < 10 then 'books' when {number} < 15 then 'wiki' when {number} < 20 then 'code' else 'other' end as domain,
+                          coalesce(lang, '') as language, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n_tokens from {documents}),
+        leaves as (select domain, language, source, sum(n_tokens)::hugeint as tokens, sum(n_tokens)::hugeint * {MIXTURE.epochs} as cap from d group by all),
+        b1 as (with above as (select (sum(tokens) * {MIXTURE.budget[0]}) // {MIXTURE.budget[1]} as budget from leaves) select * from {_level("", "domain", weights["domain"])}),
+        b2 as (with above as (select * from b1) select * from {_level("domain", "language", weights["language"])}),
+        b3 as (with above as (select * from b2) select * from {_level("domain, language", "source", weights["source"])}),
+        l as (select leaves.*, budget, case when tokens > 0 then budget // tokens else 0 end as whole from leaves join b3 using (domain, language, source)),
+        p as (select d.*, whole, budget - whole * tokens as rest, sum(n_tokens) over (partition by domain, language, source
+                     order by md5('{MIXTURE.seed}:' || (whole + 1)::varchar || ':' || coalesce(doc_id::varchar, '')), doc_id) as running from d join l using (domain, language, source))
+        select doc_id, domain, language, source, n_tokens, (whole + case when rest > 0 and running <= rest then 1 else 0 end)::int as copies from p
+    """
+
 
 SQL = {
+    "op6_mixing": mixing_sql(),
     "op4_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
                    where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
