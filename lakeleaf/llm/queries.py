@@ -10,6 +10,7 @@ from lakeleaf.llm.common import table
 from lakeleaf.llm.exact_dedup import exact_dedup
 from lakeleaf.llm import langid, toxicity
 from lakeleaf.llm.html_text import extract
+from lakeleaf.llm.line_dedup import line_digests
 from lakeleaf.llm.minhash import near_classes
 from lakeleaf.llm.mixing import Mixture, mix, word_count
 from lakeleaf.llm.topk import top_k
@@ -46,6 +47,10 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -76,7 +81,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_language_id, op4_top_k, op5_exact_dedup, op6_mixing, op7_url_filter, op9_html_text, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_language_id, op4_top_k, op5_exact_dedup, op6_mixing, op7_url_filter, op8_line_dedup, op9_html_text, op10_toxicity)}
 
 def _level(parent: str, name: str, weight: str) -> str:
     """SQL of one level of the budget tree (tables above and leaves): parent columns, name, budget."""

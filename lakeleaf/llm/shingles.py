@@ -39,19 +39,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def words(text: str) -> np.ndarray:
-    """The hash of each word of the lower-cased text, in order."""
-    cp = np.frombuffer(text.lower().encode("utf-32-le", errors="replace"), dtype=np.uint32)
-    if not len(cp):
-        return np.empty(0, dtype=np.uint64)
+def _words(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the start of each word among the code points ``cp``, in order."""
     inside = np.zeros(len(cp) + 2, dtype=np.int8)
     inside[1:-1] = word_signs()[cp]
-    edges = np.flatnonzero(np.diff(inside))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     up, down = powers(len(cp) + 1)
     total = np.zeros(len(cp) + 1, dtype=np.uint64)
     np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * up[: len(cp)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts])
+    return mixed((total[ends] - total[starts]) * down[starts]), starts
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-32-le", errors="replace"), dtype=np.uint32)
+
+
+def words(text: str) -> np.ndarray:
+    """The hash of each word of the lower-cased text, in order."""
+    return _words(_codes(text))[0]
+
+
+def word_starts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and the number of the line (from 0, ended by line feeds) that it stands in."""
+    cp = _codes(text)
+    found, starts = _words(cp)
+    return found, np.searchsorted(np.flatnonzero(cp == 10), starts)
 
 
 def shingles(text: str, size: int = WORDS) -> np.ndarray:
