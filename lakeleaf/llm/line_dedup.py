@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeleaf.llm.common import materialise
-from lakeleaf.llm.shingles import mixed, word_starts
+from lakeleaf.llm.shingles import mixed, word_starts, words
 
 SIMILARITY = 0.8
 #: Counters of word frequencies (4 bytes each in a task, sent in pieces), parts, and bits of the filter of digests.
@@ -52,7 +53,7 @@ class Lines:
 
     def __init__(self, text: str, ranks: np.ndarray | None):
         words, line = word_starts(text)
-        self.words = words
+        self.words, self.line = words, line
         if not len(words):
             self.number = np.empty(0, dtype=np.int64)
             return
@@ -98,7 +99,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for text in batch["text"]:
                 for _, piece in pieces(text):
-                    np.add.at(total, counter(word_starts(piece)[0]), 1)
+                    np.add.at(total, counter(words(piece)), 1)
         yield pd.DataFrame({"piece": np.arange(COUNTERS // PIECE), "counts": [x.tobytes() for x in total.reshape(-1, PIECE)]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +121,7 @@ def _records(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            firsts, records = [], []
+            firsts, records, owners, seen = [], [], [], 0
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 for line, piece in pieces(text):
                     own = Lines(piece, sent.value)
@@ -136,14 +137,17 @@ def _records(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                     record["word"], record["digest"], record["bits"] = own.short[taken], own.digest[place], own.bits[place]
                     record["size"], record["at"] = np.minimum(own.sizes[place], MOST), np.minimum(own.at[taken], MOST)
                     records.append(record)
+                    owners.append(place + seen)
+                    seen += len(first)
             if not firsts:
                 continue
             first = np.concatenate(firsts)
-            first = first[np.lexsort((first["line"], first["doc"], first["digest"]))]
+            order = np.lexsort((first["line"], first["doc"], first["digest"]))
+            first = first[order]
             new = np.r_[True, first["digest"][1:] != first["digest"][:-1]]
-            record = np.concatenate(records)
-            record = record[np.lexsort((record["word"], record["digest"]))]
-            record = record[np.r_[True, (record["digest"][1:] != record["digest"][:-1]) | (record["word"][1:] != record["word"][:-1])]]
+            kept = np.zeros(len(first), dtype=bool)
+            kept[order] = new
+            record = np.concatenate(records)[kept[np.concatenate(owners)]]
             for kind, rows, part in ((0, record, mixed(record["word"].astype(np.uint64))), (1, first[new], first[new]["digest"]), (2, first[~new], first[~new]["digest"])):
                 part = (part % np.uint64(PARTS)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -180,43 +184,66 @@ def candidates(record: np.ndarray) -> Iterator[np.ndarray]:
                 yield np.stack([record["digest"][a[near]], record["digest"][b[near]]], axis=1)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """docs: doc_id and text, neither null. The lines to remove: doc_id, line."""
-    spark = docs.sparkSession
-    ranks = frequencies(docs)
-    packed = materialise(_records(docs, ranks).repartition("kind", "part"), "lines-records")
-
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        record = np.concatenate([np.frombuffer(x, dtype=RECORD) for x in group["rows"]])
-        found = [x for x in candidates(record)]
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), dtype=np.uint64)
-        return pd.DataFrame(pairs.view(np.int64), columns=["a", "b"])
-
-    def first_of(group: pd.DataFrame) -> pd.DataFrame:
-        first = np.concatenate([np.frombuffer(x, dtype=FIRST) for x in group["rows"]])
-        first = first[np.lexsort((first["line"], first["doc"], first["digest"]))]
-        return pd.DataFrame({"digest": first["digest"].copy().view(np.int64), "doc_id": first["doc"], "line": first["line"], "is_first": np.r_[True, first["digest"][1:] != first["digest"][:-1]]})
-
-    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for x in batch["rows"]:
-                first = np.frombuffer(x, dtype=FIRST)
-                yield pd.DataFrame({"doc_id": first["doc"], "line": first["line"]})
-
-    pairs = materialise(packed.filter("kind = 0").groupBy("part").applyInPandas(pair, "a long, b long").distinct(), "lines-pairs")
-    firsts = materialise(packed.filter("kind = 1").groupBy("part").applyInPandas(first_of, "digest long, doc_id long, line int, is_first boolean"), "lines-firsts")
-    copies = packed.filter("kind = 2").select("rows").mapInPandas(unpacked, "doc_id long, line int").unionByName(firsts.filter("not is_first").select("doc_id", "line"))
-
-    # A filter of a fixed size says which digests' words are wanted; false hits only cost a row.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest"))
-    bit = F.pmod("digest", F.lit(FILTER_BITS))
-    cells = wanted.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(digest, {FILTER_BITS}) % 64 as int))")).alias("bits")).toPandas()
+def bitmap(places: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits, however many rows there are, with the bits at ``place`` set; gathered in Spark."""
+    bits = places.select(F.shiftright("place", 6).alias("cell"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit"))
+    cells = bits.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
     table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     table[cells["cell"].to_numpy(dtype=np.int64)] = cells["bits"].to_numpy(dtype=np.int64)
-    sent = spark.sparkContext.broadcast(table)
+    return table.view(np.uint64)
+
+
+def place_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("place")
+
+
+def maybe_in(table: np.ndarray, docs: DataFrame, key: str) -> Column:
+    """Whether the key's bit is set: always for keys of the filter, seldom for others."""
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf(T.BooleanType())
+    def test(place: pd.Series) -> pd.Series:
+        p = place.to_numpy(dtype=np.int64).astype(np.uint64)
+        return pd.Series(((sent.value[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool))
+
+    return test(place_of(key))
+
+
+def _found(packed: DataFrame) -> DataFrame:
+    """what 0: pair of digests (a, b); 1: first line (digest a, doc b); 2: line to remove as a copy (doc b)."""
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        kind = rows["kind"].iat[0]
+        if kind == 0:
+            found = list(candidates(np.concatenate([np.frombuffer(x, dtype=RECORD) for x in rows["rows"]])))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), dtype=np.uint64)
+            return pd.DataFrame({"what": 0, "a": pairs[:, 0].copy().view(np.int64), "b": pairs[:, 1].copy().view(np.int64), "line": 0})
+        first = np.concatenate([np.frombuffer(x, dtype=FIRST) for x in rows["rows"]])
+        what = np.full(len(first), 2)
+        if kind == 1:
+            first = first[np.lexsort((first["line"], first["doc"], first["digest"]))]
+            what[np.r_[True, first["digest"][1:] != first["digest"][:-1]]] = 1
+        return pd.DataFrame({"what": what, "a": first["digest"].copy().view(np.int64), "b": first["doc"], "line": first["line"]})
+
+    return packed.groupBy("kind", "part").applyInPandas(group, "what int, a long, b long, line int")
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """docs: doc_id and text, neither null. The lines to remove: doc_id, line."""
+    found = materialise(_found(_records(docs, frequencies(docs))), "lines-found")
+    pairs = materialise(found.filter("what = 0").select("a", "b").distinct(), "lines-pairs")
+    firsts = found.filter("what = 1").select(F.col("a").alias("digest"), F.struct(F.col("b").alias("doc_id"), "line").alias("first"))
+    copies = found.filter("what = 2").select(F.col("b").alias("doc_id"), "line")
+
+    # The words of the paired digests are read from the documents of their first lines. Filters of a fixed size say
+    # which documents and digests are wanted; false hits only cost a row.
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().hint("merge").join(firsts, "digest"), "lines-wanted")
+    digests = bitmap(wanted.select(F.pmod("digest", F.lit(FILTER_BITS)).alias("place")))
+    homes = docs.filter(maybe_in(bitmap(wanted.select(place_of("first.doc_id"))), docs, "doc_id"))
+    sent = docs.sparkSession.sparkContext.broadcast(digests)
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell = sent.value.view(np.uint64)
+        cell = sent.value
         for batch in batches:
             out: dict[int, bytes] = {}
             for text in batch["text"]:
@@ -224,17 +251,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
                     own = Lines(piece, None)
                     if not len(own.number):
                         continue
-                    b = (own.digest.view(np.int64) % FILTER_BITS).astype(np.uint64)
-                    hit = np.flatnonzero((cell[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1))
-                    if len(hit):
-                        words, line = word_starts(piece)
-                        for i in hit.tolist():
-                            if (d := int(own.digest[i].astype(np.int64))) not in out:
-                                a, z = np.searchsorted(line, [own.number[i], own.number[i] + 1])
-                                out[d] = np.unique(words[a:z]).tobytes()
+                    b = own.digest % np.uint64(FILTER_BITS)
+                    for i in np.flatnonzero((cell[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)).tolist():
+                        if (d := int(own.digest[i].astype(np.int64))) not in out:
+                            a, z = np.searchsorted(own.line, [own.number[i], own.number[i] + 1])
+                            out[d] = np.unique(own.words[a:z]).tobytes()
             yield pd.DataFrame({"digest": list(out), "words": list(out.values())}).astype({"digest": "int64", "words": "object"})
 
-    words = materialise(docs.select("text").mapInPandas(words_of, "digest long, words binary").groupBy("digest").agg(F.min("words").alias("words")).join(wanted.distinct(), "digest", "left_semi"), "lines-words")
+    words = homes.select("text").mapInPandas(words_of, "digest long, words binary").groupBy("digest").agg(F.min("words").alias("words"))
+    words = materialise(words.join(wanted, "digest").select("digest", "words", "first"), "lines-words")
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -243,13 +268,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * 5 >= (len(x) + len(y) - both) * 4)
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.loc[keep, ["doc_id", "line"]]
 
-    met = pairs.hint("merge").join(words.select(F.col("digest").alias("a"), F.col("words").alias("words_a")), "a").hint("merge").join(words.select(F.col("digest").alias("b"), F.col("words").alias("words_b")), "b")
-    links = met.select("a", "b", "words_a", "words_b").mapInPandas(alike, "a long, b long")
-    first = firsts.filter("is_first").select("digest", F.struct("doc_id", "line").alias("first"))
-    placed = links.hint("merge").join(first.select(F.col("digest").alias("a"), F.col("first").alias("first_a")), "a").hint("merge").join(first.select(F.col("digest").alias("b"), F.col("first").alias("first_b")), "b")
-    later = placed.select(F.greatest("first_a", "first_b").alias("later")).select("later.doc_id", "later.line")
+    side = lambda n: words.select(F.col("digest").alias(n), F.col("words").alias(f"words_{n}"), F.col("first").alias(f"first_{n}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("later", F.greatest("first_a", "first_b"))
+    later = met.select("later.doc_id", "later.line", "words_a", "words_b").mapInPandas(alike, "doc_id long, line int")
     return copies.unionByName(later).distinct()
 
 
@@ -266,15 +289,19 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     removed from any of them. Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    gone = materialise(removed_lines(rows.filter("doc_id is not null")), "lines-removed")
-    gone = gone.groupBy("doc_id").agg(F.collect_list("line").alias("gone"))
+    gone = materialise(removed_lines(rows.filter("doc_id is not null")), "lines-removed").groupBy("doc_id").agg(F.collect_list("line").alias("gone"))
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             left = [t if g is None else without(t, g.tolist()) for t, g in zip(batch["text"], batch["gone"])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_lines": [t.count("\n") + 1 for t in batch["text"]], "n_removed": [0 if g is None else len(g) for g in batch["gone"]], "text": left})
 
-    return rows.hint("merge").join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInPandas(clean, "doc_id long, n_lines long, n_removed long, text string")
+    # Texts that lose no line are passed on as they are; the filter spares them the shuffle.
+    loses = F.coalesce(maybe_in(bitmap(gone.select(place_of("doc_id"))), rows, "doc_id"), F.lit(False)) & F.col("doc_id").isNotNull()
+    marked = rows.withColumn("loses", loses)
+    same = marked.filter(~F.col("loses")).select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "text")
+    cleaned = marked.filter("loses").join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInPandas(clean, "doc_id long, n_lines long, n_removed long, text string")
+    return same.unionByName(cleaned)
 
 
 def line_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
