@@ -52,7 +52,9 @@ def words(text: str) -> list[str]:
 
 
 #: Distinct words that a worker remembers before it keeps only the last block's, which bounds its memory.
-CACHE = 500_000
+CACHE = 300_000
+#: Pairs of tokens that it remembers.
+PAIRS = 400_000
 #: Characters of text whose words are learnt at once.
 BLOCK = 8_000_000
 
@@ -81,11 +83,14 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self.longest = max(map(len, self.ids))
-        self.by_last: dict[bytes, bool] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.shift = max(self.bytes).bit_length()
+        self.pairs: dict[int, bool] = {}  # left id << shift | id: whether id can stand after left in an encoding
+        self.alone: dict[int, bool] = {}  # whether the bytes of a token are encoded as that one token
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.marks = {s: (str(i), 1, s.encode()) for s, i in self.special.items()}
-        self.known: dict[str, tuple[str, int, bytes]] = dict(self.marks)
+        # What is known of words: their ids as text, and what they decode to where that isn't the word itself.
+        self.marks = {s: str(i) for s, i in self.special.items()}
+        self.known: dict[str, str] = dict(self.marks)
+        self.other: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """Plain BPE of a short string: the best-ranked pair first, from left to right among equals."""
@@ -97,55 +102,58 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, left: bytes, token: bytes) -> bool:
-        """Whether ``token`` can stand after ``left`` in an encoding."""
-        if (out := self.pairs.get((left, token))) is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            out = self.pairs[left, token] = self.merged(left + token) == [left, token]
+    def follows(self, left: int, token: int) -> bool:
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        a, b = self.bytes[left], self.bytes[token]
+        out = self.pairs[left << self.shift | token] = self.merged(a + b) == [a, b]
         return out
 
-    def alone(self, token: bytes) -> bool:
-        """Whether a string equal to the token's bytes is encoded as that one token."""
-        if (out := self.by_last.get(token)) is None:
-            out = self.by_last[token] = self.merged(token) == [token]
+    def single(self, token: int) -> bool:
+        if (out := self.alone.get(token)) is None:
+            out = self.alone[token] = self.merged(self.bytes[token]) == [self.bytes[token]]
         return out
 
     def walk(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """Depth-first over the trie of ``words``; yields each word with its ids."""
-        ids, longest, pairs = self.ids, self.longest, self.pairs
-        path, last = b"", [b""]  # last[n]: the last token of the encoding of path[:n]
-        for data, word in sorted((w.encode("utf-8"), w) for w in words):
+        ids, longest, known, shift = self.ids.get, self.longest, self.pairs.get, self.shift
+        path, last, size = b"", [0], [0]  # last[n]: id of the last token of the encoding of path[:n]; size[n]: its bytes
+        for data, word in sorted([(w.encode("utf-8"), w) for w in words]):
             n, most = 0, min(len(path), len(data))
             while n < most and path[n] == data[n]:
                 n += 1
-            del last[n + 1 :]
+            del last[n + 1 :], size[n + 1 :]
             for end in range(n + 1, len(data) + 1):
-                for start in range(max(0, end - longest), end):
-                    if (token := data[start:end]) not in ids:
+                for start in range(end - longest if end > longest else 0, end):
+                    if (token := ids(data[start:end])) is None:
                         continue
                     if start == 0:
-                        if self.alone(token):
+                        if self.single(token):
                             break
                     else:
-                        ok = pairs.get((left := last[start], token))
-                        if self.follows(left, token) if ok is None else ok:
+                        left = last[start]
+                        ok = known(left << shift | token)
+                        if ok or ok is None and self.follows(left, token):
                             break
                 last.append(token)
+                size.append(end - start)
             path = data
             out, end = [], len(data)
             while end:
-                out.append(ids[last[end]])
-                end -= len(last[end])
+                out.append(last[end])
+                end -= size[end]
             yield word, out[::-1]
 
     def learn(self, words: set[str]) -> None:
-        """Make ``known`` hold each word's ids (as text), their number, and the bytes they decode to."""
+        """Make ``known`` hold each of the words."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE:
             self.known = self.marks | {w: self.known[w] for w in words if w in self.known}
+            self.other = {w: b for w, b in self.other.items() if w in words}
         for word, ids in self.walk(new):
-            self.known[word] = ",".join(map(str, ids)), len(ids), self.decode_bytes(ids)
+            self.known[word] = ",".join(map(str, ids))
+            if (back := self.decode_bytes(ids)) != word.encode("utf-8"):
+                self.other[word] = back
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """Unknown ids give nothing."""
@@ -179,11 +187,13 @@ class Codec:
                 at += 1
             found = [self.pieces(t) for t in block]
             self.learn(set().union(*found))
-            for words in found:
-                parts = list(map(self.known.__getitem__, words))
-                ids = ",".join([p[0] for p in parts])
-                text = b"".join([p[2] for p in parts]).decode("utf-8", errors="replace")
-                yield sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+            for parts in found:
+                ids = ",".join(map(self.known.__getitem__, parts))
+                if self.other and not self.other.keys().isdisjoint(parts):
+                    text = b"".join([self.other.get(w) or w.encode("utf-8") for w in parts]).decode("utf-8", errors="replace")
+                else:
+                    text = "".join(parts)  # every word decodes to itself
+                yield ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
 _codecs: dict[int, Codec] = {}
