@@ -124,7 +124,8 @@ def build_graph(sources: DataFrame, documents: DataFrame, sections: DataFrame) -
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` rows replace ``old`` ones with the same id; of several new rows with a seq the last counts."""
     if "seq" in new.columns:
-        new = one_per_id(new, [F.desc("seq")]).drop("seq")
+        new = one_per_id(new, [F.desc("seq")])
+        new = new if "seq" in old.columns else new.drop("seq")
     return old.select(*new.columns).join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
@@ -150,11 +151,12 @@ def link_targets(documents: DataFrame, sections: DataFrame) -> DataFrame:
     ``path#`` and to page anchors that no section has. sections: with anchors; documents: with page_anchors."""
     paths = documents.select(F.col("id").alias("document_id"), F.col("external_id").alias("path"), "page_anchors")
     rows = sections.select("document_id", F.col("id").alias("section_id"), "ordinal", "anchors").join(paths, "document_id")
-    own = rows.select(F.concat("path", F.lit("#"), F.explode("anchors")).alias("key"), "section_id", F.lit(1).alias("rank"), "ordinal")
+    own = rows.select("path", F.explode("anchors").alias("anchor"), "section_id", F.lit(1).alias("rank"), "ordinal")
     first = rows.groupBy("document_id", "path").agg(F.min_by("section_id", "ordinal").alias("section_id"), F.first("page_anchors").alias("page_anchors"))
-    whole = first.select(F.concat("path", F.lit("#"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("page_anchors", F.array().cast("array<string>"))))).alias("key"), "section_id", F.lit(0).alias("rank"), F.lit(0).alias("ordinal"))
+    anchors = F.concat(F.array(F.lit("")), F.coalesce("page_anchors", F.array().cast("array<string>")))
+    whole = first.select("path", F.explode(anchors).alias("anchor"), "section_id", F.lit(0).alias("rank"), F.lit(0).alias("ordinal"))
     # A section's own anchor beats the page's; of two sections with one anchor the later one counts.
-    return own.unionByName(whole).groupBy("key").agg(F.max_by("section_id", F.struct("rank", "ordinal", "section_id")).alias("section_id"))
+    return own.unionByName(whole).groupBy(F.concat("path", F.lit("#"), "anchor").alias("key")).agg(F.max_by("section_id", F.struct("rank", "ordinal", "section_id")).alias("section_id"))
 
 
 def resolve_links(links: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
