@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeleaf.functions import text as X
-from lakeleaf.functions.ids import canonical, stable_id
+from lakeleaf.functions.ids import canonical, stable_id, stable_id_of
 from lakeleaf.operators import context, feedback, graph, profiles, search
 from lakeleaf.plans import adapters as A
+from lakeleaf.plans import sync
+from lakeleaf.sources import folders, htmlpage, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -406,8 +409,6 @@ def related_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _star_id(kind: str, key: str) -> str:
-    from lakeleaf.functions.ids import stable_id_of
-
     return stable_id_of("node", kind, key)
 
 
@@ -425,3 +426,58 @@ def impact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = A.star_nodes(spark, sf_dir), A.star_edges(spark, sf_dir)
     rows = graph.impact(nodes, edges, _star_feedback(spark, edges), _star_id("region", "1"), "out", 3, None, 200)
     return rows.select("hops", F.array_join("path_nodes", ">").alias("path_nodes"), F.array_join("path_edges", ">").alias("path_edges"), "place")
+
+
+# Pages -------------------------------------------------------------------------------------------------------------------
+
+HREFS = r'<a\s[^>]*?href="([^"]*)"'
+
+
+@query("select page_id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+') || href as target, '' as fragment from (select page_id, url, unnest(list_distinct(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1))) as href from pages)")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each page within its host, resolved against its address."""
+    pages = A.read(spark, sf_dir, "pages").select("page_id", "url", "html")
+
+    def run(batches):
+        for batch in batches:
+            rows = [(i, target, fragment) for i, url, html in zip(batch["page_id"], batch["url"], batch["html"]) for target, fragment, _ in web.page_links(html, url, url, "/")]
+            yield pd.DataFrame(rows, columns=["page_id", "target", "fragment"])
+
+    return pages.mapInPandas(run, "page_id long, target string, fragment string")
+
+
+@query("select distinct 'page' || page_id as document_id, href, ltrim(href, '/') || '#' as target from (select page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)) as href from pages) where not contains(href, '://')")
+def page_broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that lead to no page, where pages are called page<id>.html."""
+    name = F.concat(F.lit("page"), F.col("page_id").cast("string"))
+    pages = A.read(spark, sf_dir, "pages").select(name.alias("id"), F.concat(name, F.lit(".html")).alias("external_id"), F.regexp_extract_all("html", F.lit(HREFS), 1).alias("hrefs"))
+    none = F.array().cast("array<string>")
+    docs = pages.select("id", "external_id", none.alias("page_anchors"))
+    link = F.transform("hrefs", lambda h: F.struct(h.alias("href"), F.lit("").alias("text")))
+    secs = pages.select(F.concat("id", F.lit("-0")).alias("id"), F.col("id").alias("document_id"), F.lit(0).alias("ordinal"), none.alias("anchors"), link.alias("links"))
+    _, broken = graph.resolve_links(sync.page_links(docs, secs), graph.link_targets(docs, secs))
+    return broken.select("document_id", "href", "target")
+
+
+@query()
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.read(spark, sf_dir, "pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "utf-8").alias("content"))
+    s = folders.parsed(rows, htmlpage.parse).select("path", F.explode("sections").alias("s"))
+    return s.select("path", "s.ordinal", "s.title", F.array_join("s.heading_path", " > ").alias("heading_path"), "s.content", "s.hash")
+
+
+@query("select doc_id, method, path from (select doc_id, unnest(regexp_extract_all('see GET /docs/' || doc_id || ' and POST /docs/' || source || '/new.', '\\b(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD|TRACE)\\s+(/[A-Za-z0-9_./{}:-]+)', 1)) as method, unnest(list_transform(regexp_extract_all('see GET /docs/' || doc_id || ' and POST /docs/' || source || '/new.', '\\b(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD|TRACE)\\s+(/[A-Za-z0-9_./{}:-]+)', 2), lambda p: rtrim(p, '.,;:'))) as path from documents)")
+def api_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in a sentence made from each row, since the texts hold none."""
+    d = A.read(spark, sf_dir, "documents")
+    said = F.concat(F.lit("see GET /docs/"), F.col("doc_id").cast("string"), F.lit(" and POST /docs/"), F.col("source"), F.lit("/new."))
+    rows = d.select(F.col("doc_id").alias("document_id"), F.col("doc_id").cast("string").alias("id"), said.alias("content"), F.lit("").alias("title"))
+    return graph.api_mentions(rows).select(F.col("document_id").alias("doc_id"), "method", "path")
+
+
+@query("select event_type as kind, count(*) as n from events where event_id > 100 group by 1")
+def incremental_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a listing of known ones (here: ids up to 100) lacks, as incremental sync finds them."""
+    e = A.read(spark, sf_dir, "events").select("event_id", "event_type")
+    known = e.filter("event_id <= 100").select("event_id")
+    return e.join(known, "event_id", "left_anti").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
