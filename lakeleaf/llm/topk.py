@@ -111,7 +111,7 @@ def _block(good: DataFrame, block: list[tuple[int, list[int]]], k: int, bound: i
         total = kept.groupby("query")["n"].sum().reindex(range(len(ids)), fill_value=0).to_numpy()
         wanted = need[kept["query"].to_numpy()]
         hit = kept[(kept["above"].to_numpy() < wanted) & (kept["above"].to_numpy() + kept["n"].to_numpy() >= wanted)]
-        q, b, over = hit["query"].to_numpy(), hit["bin"].to_numpy(), hit["above"].to_numpy()
+        q, b, over = hit["query"].to_numpy(), hit["bin"].to_numpy().astype(np.int64), hit["above"].to_numpy()
         low[q] += b * step
         need[q] -= over
         few = np.flatnonzero(total < need)  # fewer candidates than k: all are taken
