@@ -97,9 +97,11 @@ def skipped(term: Column) -> Column:
     return (F.length(term) == 0) | ((F.length(term) == 1) & ~term.rlike(r"\p{IsHan}"))
 
 
-def api_refs(text: Column) -> Column:
-    """``METHOD /path`` pairs, paths, status codes and error_code tokens among the profile tokens; each once."""
-    tokens = profile_tokens(text)
+def api_refs(tokens: Column) -> Column:
+    """``METHOD /path`` pairs, paths, status codes and error_code tokens among profile tokens; each once.
+
+    tokens: a column that holds them; the expression itself would be worked out again for every token.
+    """
     methods = [F.lit(m) for m in HTTP_METHODS]
 
     def at(t: Column, i: Column) -> Column:

@@ -21,6 +21,11 @@ def heading() -> Column:
     return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("heading_path", F.lit("")))
 
 
+def tokenised(sections: DataFrame) -> DataFrame:
+    """Adds tokens and han, the profile terms of the section's text."""
+    return sections.withColumn("tokens", X.profile_tokens(section_text())).withColumn("han", X.han_ngrams(F.lower(section_text()), 1, 4))
+
+
 def term_stats(documents: DataFrame, sections: DataFrame) -> DataFrame:
     """document_id, term, tf, sections, heading_hits, title_hits, score (not rounded).
 
@@ -33,7 +38,7 @@ def term_stats(documents: DataFrame, sections: DataFrame) -> DataFrame:
         return frame.select("document_id", F.explode(terms).alias("term"), tf.alias("tf"), section.alias("section_id"), head.alias("heading_hits"), title.alias("title_hits"))
 
     own, none = F.col("id"), F.lit(None).cast("string")
-    body = rows(sections, F.concat(X.profile_terms(section_text()), F.transform(X.api_refs(section_text()), F.lower)), F.lit(1), own, zero, zero)
+    body = rows(tokenised(sections), F.concat("tokens", "han", F.transform(X.api_refs(F.col("tokens")), F.lower)), F.lit(1), own, zero, zero)
     heads = rows(sections, X.profile_terms(heading()), zero, none, F.lit(1), zero)
     titles = documents.select(F.col("id").alias("document_id"), "title")
     title_terms = F.filter(F.array_distinct(X.profile_terms(F.coalesce("title", F.lit("")))), lambda t: ~X.skipped(t))
@@ -73,7 +78,7 @@ def keyphrases(terms: Column) -> Column:
 
 def api_reference_lists(sections: DataFrame) -> DataFrame:
     """document_id, api_refs: distinct, sorted, the first REFS."""
-    refs = sections.select("document_id", F.explode(X.api_refs(section_text())).alias("ref"))
+    refs = tokenised(sections).select("document_id", F.explode(X.api_refs(F.col("tokens"))).alias("ref"))
     return refs.groupBy("document_id").agg(F.slice(F.array_sort(F.collect_set("ref")), 1, REFS).alias("api_refs"))
 
 

@@ -180,8 +180,11 @@ def numbered(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
 
 def match_attempt(index: Index, sections: DataFrame, documents: DataFrame, phrases: list[list[str]], limit: int) -> DataFrame:
     """Canonical documents first, then by rank. documents: of ``live``."""
-    rows = index.match(phrases).join(section_rows(sections), "section_id").join(documents, "document_id")
-    return numbered(rows, [F.desc("canonical"), F.asc("rank"), F.asc("section_id")], limit).withColumn("term", F.lit(None).cast("string"))
+    of = sections.select(F.col("id").alias("section_id"), "document_id")
+    rows = index.match(phrases).join(of, "section_id").join(documents.select("document_id", "canonical"), "document_id").drop("document_id")
+    first = numbered(rows, [F.desc("canonical"), F.asc("rank"), F.asc("section_id")], limit).drop("canonical")
+    # Texts and profiles are joined to the few rows that are left.
+    return F.broadcast(first).join(section_rows(sections), "section_id").join(documents, "document_id").withColumn("term", F.lit(None).cast("string"))
 
 
 def substring_attempt(sections: DataFrame, documents: DataFrame, terms: list[str], limit: int, in_profile: bool = False) -> DataFrame:

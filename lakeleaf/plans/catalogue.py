@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +15,7 @@ from lakeleaf.functions.ids import canonical, stable_id, stable_id_of
 from lakeleaf.operators import context, feedback, graph, profiles, search
 from lakeleaf.plans import adapters as A
 from lakeleaf.plans import sync
+from lakeleaf.plans.session import shared_dir
 from lakeleaf.sources import folders, htmlpage, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,8 +168,16 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.groupBy("term").agg(F.count("*").alias("df"))
 
 
+_indexes: dict[tuple[str, str], search.Index] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return search.Index.build(A.document_sections(spark, sf_dir))
+    """The written index of the documents, built once for each application and folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        _indexes[key] = search.Index.build(A.document_sections(spark, sf_dir)).write(path, 8)
+    return _indexes[key]
 
 
 def _match(spark: SparkSession, sf_dir: str, phrases: list[str], limit: int) -> DataFrame:

@@ -28,3 +28,13 @@ def ship_package(spark: SparkSession) -> None:
     target = os.path.join(tempfile.mkdtemp(prefix="lakeleaf-code-"), f"{root.name}_code.zip")
     Path(target).write_bytes(packed.getvalue())
     sc.addPyFile(target)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors see; only where none is set a new one of our own."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakeleaf-"))
+        named = sc.getCheckpointDir()
+    return named.rstrip("/")
