@@ -22,7 +22,7 @@ class Settings:
     bits: int = 20
     #: Bounds of the training sample: rows of each class, and characters of all rows.
     rows_per_class: int = 3000
-    chars: int = 24_000_000
+    chars: int = 20_000_000
     #: An n-gram counts if so many sampled texts have it and its ratio is so far from 0.
     least_texts: int = 3
     least_ratio: float = 1.5
@@ -53,10 +53,15 @@ def fit(texts: list[str], toxic: list[int], settings: Settings = Settings()) ->
     weights = np.zeros(size, dtype=np.float32)
     if not 0 < y.sum() < len(y):
         return Model(weights, 7.0 if y.sum() else -7.0, settings)
-    rows = [np.unique(np.concatenate(h)).astype(np.int32) if (h := hashed(codes(t), settings.lengths, settings.bits)) else np.empty(0, np.int32) for t in texts]
-    counts = [np.full(size, settings.smoothing), np.full(size, settings.smoothing)]
-    for r, label in zip(rows, toxic):
-        counts[label][r] += 1
+
+    def present(text: str) -> np.ndarray:
+        found = hashed(codes(text), settings.lengths, settings.bits)
+        return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint32)
+
+    # Twice over the texts, so that the driver never holds all their n-grams.
+    counts = np.full((2, size), settings.smoothing, dtype=np.float32)
+    for text, label in zip(texts, toxic):
+        counts[label][present(text)] += 1
     enough = counts[0] + counts[1] >= settings.least_texts + 2 * settings.smoothing
     # Shares of texts, not of n-grams: an n-gram that is as common in either class has ratio 0 whatever their lengths.
     ratio = np.log(counts[1] / (y.sum() + settings.smoothing)) - np.log(counts[0] / (len(y) - y.sum() + settings.smoothing))
@@ -64,7 +69,7 @@ def fit(texts: list[str], toxic: list[int], settings: Settings = Settings()) ->
     chosen = np.flatnonzero(ratio)
     place = np.full(size, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    rows = [p[p >= 0] for p in (place[r] for r in rows)]
+    rows = [p[p >= 0] for p in (place[present(t)] for t in texts)]
     cols = np.concatenate(rows) if rows else np.empty(0, np.int32)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     scale = ratio[chosen]
