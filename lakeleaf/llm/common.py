@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner delete the shuffle files of plans that nothing refers to any more. It does so after the
+    driver's JVM has collected its garbage, by itself only every half hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,3 +56,9 @@ def id_fold(col: str | Column, n: int) -> Column:
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     col = F.col(col) if isinstance(col, str) else col
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once. For the short arrays of one text faster than ``np.unique``, which hashes first."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values

@@ -26,13 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeleaf.llm.common import SALTS, materialise, salt
+from lakeleaf.llm.common import SALTS, distinct, materialise, salt
 from lakeleaf.llm.components import components
 from lakeleaf.llm.shingles import mixed, shingles
 
 SIMILARITY, BANDS, ROWS = 0.8, 12, 4
 FLOOR, SLACK = 0.01, 0.0025
-STARS = 3
+STARS = 2
 #: Members of a bucket compared at once when the stars left it open.
 BLOCK = 128
 #: Share of equal samples below which a pair can't be SIMILARITY alike: four standard deviations under it.
@@ -134,7 +134,7 @@ def common_shingles(docs: DataFrame) -> Weights:
         held, size = [], 0
         for batch in batches:
             for text in batch["text"]:
-                held.append(np.unique(shingles(text)))
+                held.append(distinct(shingles(text)))
                 size += len(held[-1])
                 if size >= CHUNK:
                     yield len(held), np.concatenate(held)
