@@ -9,12 +9,17 @@ alike lines every one that has an earlier one (in the order of doc_id, then line
    a few binary rows; a task sends each digest once, however many copies it has seen.
 3. In a part, records of one word are paired under the length filter, the positional filter and a bitmap filter (the
    parity bitmaps of alike lines differ in few bits). Records of one digest show its first line.
-4. Pairs that are left are verified on the words themselves, which a third pass gives for just those digests.
+4. For each later line the nearest earlier candidates are verified on the words themselves, which another pass gives
+   for just those digests. A group of n near copies of a line thus gives some pairs for each, not all n x n / 2.
+5. Lines that none of their nearest candidates removed, but that had more, get all their candidates in a further
+   pass over the few words in question. So the result is that of comparing all lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeleaf.llm.common import materialise
+from lakeleaf.llm.common import distinct, materialise, release
 from lakeleaf.llm.shingles import mixed, word_starts, words
 
 SIMILARITY = 0.8
@@ -30,12 +35,15 @@ SIMILARITY = 0.8
 COUNTERS, PIECE = 1 << 20, 1 << 12
 PARTS = 1024
 FILTER_BITS = 1 << 26
-#: Candidate pairs looked at together in a part.
-SLICE = 1 << 20
+#: Candidate pairs looked at together in a part, and kept of each word and later line (the nearest) at first.
+SLICE, KEEP = 1 << 20, 8
 
-RECORD = np.dtype([("word", "<u4"), ("digest", "<u8"), ("bits", "<u8"), ("size", "<u2"), ("at", "<u2")])
+RECORD = np.dtype([("word", "<u4"), ("digest", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u2"), ("at", "<u2")])
 FIRST = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("line", "<i4")])
+PAIR = np.dtype([("earlier", "<u8"), ("later", "<u8"), ("apart", "<i4"), ("more", "?")])
 MOST = 65_535
+#: Characters whose words are found at once, and lines whose records are packed at once.
+CHARS, LINES = 150_000, 200_000
 
 
 def counter(words: np.ndarray) -> np.ndarray:
@@ -66,7 +74,7 @@ class Lines:
         # One sort by (line, rank, word): 20 + 12 + 32 bits. The word's bits are those that tell it from others.
         place = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.r_[starts, len(words)]))
         keys = (place << np.uint64(44)) | (ranks[counter(words)].astype(np.uint64) << np.uint64(32)) | (words & np.uint64(0xFFFFFFFF))
-        keys = np.unique(keys)
+        keys = distinct(keys)
         place = (keys >> np.uint64(44)).astype(np.int64)
         self.set_starts = np.searchsorted(place, np.arange(len(starts)))
         self.sizes = np.diff(np.r_[self.set_starts, len(keys)])
@@ -78,17 +86,45 @@ class Lines:
         self.short = short
 
 
-def pieces(text: str) -> Iterator[tuple[int, str]]:
-    """The text in pieces of whole lines with the number of the first line; all but giant texts are one piece."""
-    at, line = 0, 0
-    while len(text) - at > 8_000_000:
-        end = text.find("\n", at + 4_000_000)
-        if end < 0:
-            break
-        yield line, text[at:end]
-        line += text.count("\n", at, end + 1)
-        at = end + 1
-    yield line, text[at:]
+class Chunk(NamedTuple):
+    """Some texts joined by line feeds, or a part of a giant one. Of each text: id, the chunk's line that it starts at,
+    and its own number of that line."""
+
+    text: str
+    docs: np.ndarray
+    starts: np.ndarray
+    numbers: np.ndarray
+
+    def own(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and own line numbers of the chunk's lines."""
+        at = np.searchsorted(self.starts, line, side="right") - 1
+        return self.docs[at], line - self.starts[at] + self.numbers[at]
+
+
+def chunks(docs: Iterable[int], texts: Iterable[str]) -> Iterator[Chunk]:
+    """Whole lines, about CHARS at a time, so that arrays fit in the cache and none has 2**20 lines."""
+    held: list[tuple[int, int, str]] = []
+    size = 0
+
+    def joined() -> Chunk:
+        starts = np.cumsum([0, *[t.count("\n") + 1 for _, _, t in held[:-1]]])
+        return Chunk("\n".join([t for _, _, t in held]), np.array([d for d, _, _ in held], dtype=np.int64), starts, np.array([n for _, n, _ in held], dtype=np.int64))
+
+    for doc, text in zip(docs, texts):
+        at, line = 0, 0
+        while at <= len(text):
+            end = len(text)
+            if end - at > 1_000_000 and (cut := text.rfind("\n", at, at + 1_000_000)) >= 0:
+                end = cut
+            held.append((doc, line, text[at:end]))
+            size += end - at
+            line += held[-1][2].count("\n") + 1
+            at = end + 1
+            if size >= CHARS:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
@@ -97,9 +133,8 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS, dtype=np.uint32)
         for batch in batches:
-            for text in batch["text"]:
-                for _, piece in pieces(text):
-                    np.add.at(total, counter(words(piece)), 1)
+            for chunk in chunks(repeat(0), batch["text"]):
+                np.add.at(total, counter(words(chunk.text)), 1)
         yield pd.DataFrame({"piece": np.arange(COUNTERS // PIECE), "counts": [x.tobytes() for x in total.reshape(-1, PIECE)]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -115,56 +150,91 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return np.minimum(np.log2(total.ravel() + 1) * 64, 4095).astype(np.uint16)
 
 
-def _records(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """kind 0: prefix records, 1: first lines of digests, 2: removed lines (FIRST records), each of a part."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+def _records(docs: DataFrame, ranks: np.ndarray, some: np.ndarray | None = None) -> DataFrame:
+    """kind 0: prefix records (with ``some`` only of the words in that filter), 1: first lines of digests, 2: lines that
+    are copies (FIRST records), each of a part."""
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, some))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            firsts, records, owners, seen = [], [], [], 0
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                for line, piece in pieces(text):
-                    own = Lines(piece, sent.value)
-                    if not len(own.number):
-                        continue
+            (order, some), firsts, records, owners, seen = sent.value, [], [], [], 0
+            for chunk in chunks(batch["doc_id"], batch["text"]):
+                own = Lines(chunk.text, order)
+                if len(own.number):
                     first = np.empty(len(own.number), dtype=FIRST)
-                    first["digest"], first["doc"], first["line"] = own.digest, doc, own.number + line
+                    first["digest"] = own.digest
+                    first["doc"], first["line"] = chunk.own(own.number)
                     firsts.append(first)
                     prefix = own.sizes - least_overlap(own.sizes) + 1
                     taken = own.at < prefix[own.place]
+                    if some is not None:
+                        taken &= has(some, own.short.astype(np.int64) % FILTER_BITS)
                     place = own.place[taken]
                     record = np.empty(len(place), dtype=RECORD)
                     record["word"], record["digest"], record["bits"] = own.short[taken], own.digest[place], own.bits[place]
+                    record["doc"], record["line"] = first["doc"][place], first["line"][place]
                     record["size"], record["at"] = np.minimum(own.sizes[place], MOST), np.minimum(own.at[taken], MOST)
                     records.append(record)
                     owners.append(place + seen)
                     seen += len(first)
-            if not firsts:
-                continue
-            first = np.concatenate(firsts)
-            order = np.lexsort((first["line"], first["doc"], first["digest"]))
-            first = first[order]
-            new = np.r_[True, first["digest"][1:] != first["digest"][:-1]]
-            kept = np.zeros(len(first), dtype=bool)
-            kept[order] = new
-            record = np.concatenate(records)[kept[np.concatenate(owners)]]
-            for kind, rows, part in ((0, record, mixed(record["word"].astype(np.uint64))), (1, first[new], first[new]["digest"]), (2, first[~new], first[~new]["digest"])):
-                part = (part % np.uint64(PARTS)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                rows, part = rows[order], part[order]
-                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
-                ends = np.r_[cuts[1:], len(part)]
-                yield pd.DataFrame({"kind": kind, "part": part[cuts], "rows": [rows[a:b].tobytes() for a, b in zip(cuts, ends)]})
+                if seen >= LINES:
+                    yield from packed(firsts, records, owners)
+                    firsts, records, owners, seen = [], [], [], 0
+            if seen:
+                yield from packed(firsts, records, owners)
+
+    def packed(firsts: list[np.ndarray], records: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        """Rows by part; of each digest only the first line's records, the other lines are copies."""
+        first = np.concatenate(firsts)
+        order = np.lexsort((first["line"], first["doc"], first["digest"]))
+        first = first[order]
+        new = np.r_[True, first["digest"][1:] != first["digest"][:-1]]
+        kept = np.zeros(len(first), dtype=bool)
+        kept[order] = new
+        record = np.concatenate(records)[kept[np.concatenate(owners)]]
+        for kind, rows, part in ((0, record, mixed(record["word"].astype(np.uint64))), (1, first[new], first[new]["digest"]), (2, first[~new], first[~new]["digest"])):
+            yield by_part(rows, part).assign(kind=kind)[["kind", "part", "rows"]]
 
     return docs.mapInPandas(run, "kind int, part int, rows binary")
 
 
-def candidates(record: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of digests (two columns) of records with a word in common that no filter rules out."""
-    record = record[np.lexsort((record["digest"], record["size"], record["word"]))]
-    keep = np.r_[True, (record["word"][1:] != record["word"][:-1]) | (record["digest"][1:] != record["digest"][:-1])] if len(record) else np.empty(0, bool)
-    record = record[keep]
-    word, size, at, bits = record["word"], record["size"].astype(np.int64), record["at"].astype(np.int64), record["bits"]
+def by_part(rows: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
+    """part and rows: the records of each part as one binary value."""
+    part = (keys % np.uint64(PARTS)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rows, part = rows[order], part[order]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
+    ends = np.r_[cuts[1:], len(part)]
+    return pd.DataFrame({"part": part[cuts], "rows": [rows[a:b].tobytes() for a, b in zip(cuts, ends)]})
+
+
+def candidates(record: np.ndarray, keep: int | None = KEEP, laters: np.ndarray | None = None) -> np.ndarray:
+    """PAIR records of lines with a word in common that no filter rules out: for each word and later line the ``keep``
+    nearest earlier ones by their bitmaps (``more``: there were others), or all. ``laters``: only of these digests."""
+    record = record[np.lexsort((record["line"], record["doc"], record["digest"], record["size"], record["word"]))]
+    if len(record):  # of one word and digest the first line
+        record = record[np.r_[True, (record["word"][1:] != record["word"][:-1]) | (record["digest"][1:] != record["digest"][:-1])]]
+    word, size, at, bits, digest, doc, line = (np.ascontiguousarray(record[c]) for c in ("word", "size", "at", "bits", "digest", "doc", "line"))
+    size, at = size.astype(np.int64), at.astype(np.int64)
+    asked = None if laters is None else has(laters, (digest % np.uint64(FILTER_BITS)).astype(np.int64))
+    more = np.zeros(len(record), dtype=bool)
+    held: list[tuple[np.ndarray, ...]] = []
+    total = 0
+
+    def nearest() -> None:
+        """Cut what is held down to the nearest."""
+        nonlocal held, total
+        if held:
+            later, earlier, apart = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((earlier, apart, later))
+            later, earlier, apart = later[order], earlier[order], apart[order]
+            if keep is not None:
+                starts = np.flatnonzero(np.r_[True, later[1:] != later[:-1]])
+                place = np.arange(len(later)) - np.repeat(starts, np.diff(np.r_[starts, len(later)]))
+                more[later[place >= keep]] = True
+                later, earlier, apart = (x[place < keep] for x in (later, earlier, apart))
+            held, total = [(later, earlier, apart)], 0
+
     left, step = np.arange(len(record)), 0
     while len(left):
         step += 1
@@ -177,11 +247,26 @@ def candidates(record: np.ndarray) -> Iterator[np.ndarray]:
             b = a + step
             both = size[a] + size[b]
             need = -(-both * 4 // 9)  # overlap o with o / (both - o) >= 4/5
-            open_ = (1 + np.minimum(size[a] - at[a], size[b] - at[b]) - 1 >= need) | (size[b] == MOST)
+            open_ = (np.minimum(size[a] - at[a], size[b] - at[b]) >= need) | (size[b] == MOST)
             a, b, both, need = a[open_], b[open_], both[open_], need[open_]
-            near = (np.bitwise_count(bits[a] ^ bits[b]) <= both - 2 * need) | (size[b] == MOST)
-            if near.any():
-                yield np.stack([record["digest"][a[near]], record["digest"][b[near]]], axis=1)
+            apart = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
+            near = (apart <= both - 2 * need) | (size[b] == MOST)
+            a, b, apart = a[near], b[near], apart[near]
+            a_first = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
+            later, earlier = np.where(a_first, b, a), np.where(a_first, a, b)
+            if asked is not None:
+                later, earlier, apart = (x[asked[later]] for x in (later, earlier, apart))
+            if len(later):
+                held.append((later, earlier, apart))
+                total += len(later)
+            if total > 4 * SLICE:
+                nearest()
+    nearest()
+    out = np.empty(len(held[0][0]) if held else 0, dtype=PAIR)
+    if held:
+        later, earlier, apart = held[0]
+        out["later"], out["earlier"], out["apart"], out["more"] = digest[later], digest[earlier], apart, more[later]
+    return out
 
 
 def bitmap(places: DataFrame) -> np.ndarray:
@@ -197,82 +282,144 @@ def place_of(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("place")
 
 
+def has(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    p = place.astype(np.uint64)
+    return ((table[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def maybe_in(table: np.ndarray, docs: DataFrame, key: str) -> Column:
     """Whether the key's bit is set: always for keys of the filter, seldom for others."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf(T.BooleanType())
     def test(place: pd.Series) -> pd.Series:
-        p = place.to_numpy(dtype=np.int64).astype(np.uint64)
-        return pd.Series(((sent.value[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool))
+        return pd.Series(has(sent.value, place.to_numpy(dtype=np.int64)))
 
     return test(place_of(key))
 
 
-def _found(packed: DataFrame) -> DataFrame:
-    """what 0: pair of digests (a, b); 1: first line (digest a, doc b); 2: line to remove as a copy (doc b)."""
+def _found(packed: DataFrame, keep: int | None, laters: np.ndarray | None = None) -> DataFrame:
+    """what 0: pairs of digests, packed by part (digest); 1: first line (digest, doc_id, line); 2: a copy to remove."""
+    sent = packed.sparkSession.sparkContext.broadcast(laters)
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        kind = rows["kind"].iat[0]
-        if kind == 0:
-            found = list(candidates(np.concatenate([np.frombuffer(x, dtype=RECORD) for x in rows["rows"]])))
-            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), dtype=np.uint64)
-            return pd.DataFrame({"what": 0, "a": pairs[:, 0].copy().view(np.int64), "b": pairs[:, 1].copy().view(np.int64), "line": 0})
+        if rows["kind"].iat[0] == 0:
+            pairs = candidates(np.concatenate([np.frombuffer(x, dtype=RECORD) for x in rows["rows"]]), keep, sent.value)
+            return by_part(pairs, mixed(pairs["later"])).rename(columns={"part": "digest"}).assign(what=0, doc_id=0, line=0)[["what", "digest", "doc_id", "line", "rows"]]
         first = np.concatenate([np.frombuffer(x, dtype=FIRST) for x in rows["rows"]])
         what = np.full(len(first), 2)
-        if kind == 1:
+        if rows["kind"].iat[0] == 1:
             first = first[np.lexsort((first["line"], first["doc"], first["digest"]))]
             what[np.r_[True, first["digest"][1:] != first["digest"][:-1]]] = 1
-        return pd.DataFrame({"what": what, "a": first["digest"].copy().view(np.int64), "b": first["doc"], "line": first["line"]})
+        return pd.DataFrame({"what": what, "digest": first["digest"].copy().view(np.int64), "doc_id": first["doc"], "line": first["line"], "rows": None})
 
-    return packed.groupBy("kind", "part").applyInPandas(group, "what int, a long, b long, line int")
+    return packed.groupBy("kind", "part").applyInPandas(group, "what int, digest long, doc_id long, line int, rows binary")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """docs: doc_id and text, neither null. The lines to remove: doc_id, line."""
-    found = materialise(_found(_records(docs, frequencies(docs))), "lines-found")
-    pairs = materialise(found.filter("what = 0").select("a", "b").distinct(), "lines-pairs")
-    firsts = found.filter("what = 1").select(F.col("a").alias("digest"), F.struct(F.col("b").alias("doc_id"), "line").alias("first"))
-    copies = found.filter("what = 2").select(F.col("b").alias("doc_id"), "line")
-
-    # The words of the paired digests are read from the documents of their first lines. Filters of a fixed size say
-    # which documents and digests are wanted; false hits only cost a row.
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().hint("merge").join(firsts, "digest"), "lines-wanted")
-    digests = bitmap(wanted.select(F.pmod("digest", F.lit(FILTER_BITS)).alias("place")))
-    homes = docs.filter(maybe_in(bitmap(wanted.select(place_of("first.doc_id"))), docs, "doc_id"))
-    sent = docs.sparkSession.sparkContext.broadcast(digests)
-
-    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell = sent.value
+def _pairs(found: DataFrame) -> DataFrame:
+    """earlier, later, place, more: each candidate pair once (it may have come from several words); place 0 is a later
+    line's nearest; more: some word had further candidates for that line."""
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        pairs = np.concatenate([np.frombuffer(x, dtype=PAIR) for x in rows["rows"]])
+        pairs = pairs[np.lexsort((pairs["earlier"], pairs["apart"], pairs["later"]))]
+        pairs = pairs[np.r_[True, (pairs["later"][1:] != pairs["later"][:-1]) | (pairs["earlier"][1:] != pairs["earlier"][:-1])]]
+        starts = np.flatnonzero(np.r_[True, pairs["later"][1:] != pairs["later"][:-1]])
+        sizes = np.diff(np.r_[starts, len(pairs)])
+        more = np.logical_or.reduceat(pairs["more"], starts)
+        return pd.DataFrame({"earlier": pairs["earlier"].copy().view(np.int64), "later": pairs["later"].copy().view(np.int64), "place": np.arange(len(pairs)) - np.repeat(starts, sizes), "more": np.repeat(more, sizes)})
+
+    return found.filter("what = 0").select(F.col("digest").alias("part"), "rows").groupBy("part").applyInPandas(group, "earlier long, later long, place int, more boolean")
+
+
+def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """digest, words (sorted hashes) of the wanted digests (digest, first), from the documents of their first lines.
+
+    Filters of a fixed size say which documents and digests are wanted; false hits only cost a row.
+    """
+    filters = bitmap(wanted.select(place_of("first.doc_id"))), bitmap(wanted.select(F.pmod("digest", F.lit(FILTER_BITS)).alias("place")))
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        homes, cell = sent.value
         for batch in batches:
             out: dict[int, bytes] = {}
-            for text in batch["text"]:
-                for _, piece in pieces(text):
-                    own = Lines(piece, None)
-                    if not len(own.number):
-                        continue
-                    b = own.digest % np.uint64(FILTER_BITS)
-                    for i in np.flatnonzero((cell[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)).tolist():
-                        if (d := int(own.digest[i].astype(np.int64))) not in out:
-                            a, z = np.searchsorted(own.line, [own.number[i], own.number[i] + 1])
-                            out[d] = np.unique(own.words[a:z]).tobytes()
+            for chunk in chunks(repeat(0), batch["text"][has(homes, batch["place"].to_numpy())]):
+                own = Lines(chunk.text, None)
+                hit = np.flatnonzero(has(cell, (own.digest % np.uint64(FILTER_BITS)).astype(np.int64))) if len(own.number) else ()
+                for i in hit:
+                    if (d := int(own.digest[i].astype(np.int64))) not in out:
+                        a, z = np.searchsorted(own.line, [own.number[i], own.number[i] + 1])
+                        out[d] = distinct(own.words[a:z]).tobytes()
             yield pd.DataFrame({"digest": list(out), "words": list(out.values())}).astype({"digest": "int64", "words": "object"})
 
-    words = homes.select("text").mapInPandas(words_of, "digest long, words binary").groupBy("digest").agg(F.min("words").alias("words"))
-    words = materialise(words.join(wanted, "digest").select("digest", "words", "first"), "lines-words")
+    found = docs.select(place_of("doc_id"), "text").mapInPandas(run, "digest long, words binary").groupBy("digest").agg(F.min("words").alias("words"))
+    return found.join(wanted.select("digest"), "digest", "left_semi")
+
 
-    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _alike(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """later of the pairs (earlier, later) whose words are SIMILARITY alike, each once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["words_a"], batch["words_b"]):
+            for x, y in zip(batch["words_earlier"], batch["words_later"]):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * 5 >= (len(x) + len(y) - both) * 4)
-            yield batch.loc[keep, ["doc_id", "line"]]
+            yield batch.loc[keep, ["later"]]
+
+    met = pairs
+    for side in ("earlier", "later"):
+        met = met.join(words.select(F.col("digest").alias(side), F.col("words").alias(f"words_{side}")), side)
+    return met.select("later", "words_earlier", "words_later").mapInPandas(run, "later long").distinct()
+
 
-    side = lambda n: words.select(F.col("digest").alias(n), F.col("words").alias(f"words_{n}"), F.col("first").alias(f"first_{n}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("later", F.greatest("first_a", "first_b"))
-    later = met.select("later.doc_id", "later.line", "words_a", "words_b").mapInPandas(alike, "doc_id long, line int")
+def _prefix_words(words: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """place (in a filter) of each prefix word of some lines. words: digest, words."""
+    sent = words.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in batch["words"]:
+                w = np.frombuffer(x, dtype=np.uint64)
+                keys = distinct((sent.value[counter(w)].astype(np.uint64) << np.uint64(32)) | (w & np.uint64(0xFFFFFFFF)))
+                prefix = keys[: len(keys) - int(least_overlap(np.array(len(keys)))) + 1]
+                yield pd.DataFrame({"place": (prefix & np.uint64(0xFFFFFFFF)).astype(np.int64) % FILTER_BITS})
+
+    return words.select("words").mapInPandas(run, "place long")
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """docs: doc_id and text, neither null. The lines to remove: doc_id, line."""
+    spark, ranks = docs.sparkSession, frequencies(docs)
+    found = materialise(_found(_records(docs, ranks), KEEP), "lines-found")
+    release(spark)
+    firsts = found.filter("what = 1").select("digest", F.struct("doc_id", "line").alias("first"))
+    copies = found.filter("what = 2").select("doc_id", "line")
+
+    def paired(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The digests of the pairs with their first lines, and with their words."""
+        wanted = materialise(pairs.select(F.explode(F.array("earlier", "later")).alias("digest")).distinct().join(firsts, "digest"), "lines-wanted")
+        return wanted, materialise(_words(docs, wanted), "lines-words")
+
+    pairs = materialise(_pairs(found), "lines-pairs")
+    wanted, words = paired(pairs)
+    # One alike earlier line is enough: the nearest by its bitmap is tried first, the other kept ones where it fails.
+    done = materialise(_alike(pairs.filter("place = 0"), words), "lines-alike")
+    more = materialise(_alike(pairs.filter("place > 0").join(done, "later", "left_anti"), words), "lines-alike")
+    done = done.unionByName(more)
+    # Where all kept ones fail and there were others, all candidates of these lines are looked for.
+    open_ = materialise(pairs.filter("more").select(F.col("later").alias("digest")).distinct().join(done.withColumnRenamed("later", "digest"), "digest", "left_anti"), "lines-open")
+    later = done.withColumnRenamed("later", "digest").join(wanted, "digest").select("first.doc_id", "first.line")
+    if not open_.isEmpty():
+        some = bitmap(_prefix_words(words.join(open_, "digest", "left_semi"), ranks))
+        laters = bitmap(open_.select(F.pmod("digest", F.lit(FILTER_BITS)).alias("place")))
+        rest = materialise(_pairs(_found(_records(docs, ranks, some).filter("kind = 0"), None, laters)).join(open_.withColumnRenamed("digest", "later"), "later", "left_semi"), "lines-pairs")
+        all_wanted, all_words = paired(rest)
+        last = materialise(_alike(rest, all_words), "lines-alike")
+        later = later.unionByName(last.withColumnRenamed("later", "digest").join(all_wanted, "digest").select("first.doc_id", "first.line"))
+    release(spark)
     return copies.unionByName(later).distinct()
 
 

@@ -229,3 +229,19 @@ def test_split_of_texts_into_parts_changes_nothing(spark):
     a = {r["doc_id"]: r["class_id"] for r in near_classes(frame(spark, rows).repartition(1)).collect()}
     b = {r["doc_id"]: r["class_id"] for r in near_classes(frame(spark, rows).repartition(7, F.col("doc_id"))).collect()}
     assert a == b
+
+
+@pytest.mark.parametrize("keep", [1, 2])
+def test_lines_beyond_the_nearest_candidates(spark, monkeypatch, keep):
+    """Many variants of a line, of which few are kept as candidates: the further pass finds the rest."""
+    monkeypatch.setattr("lakeleaf.llm.line_dedup.KEEP", keep)
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(150):
+        own = [f"w{x}" for x in range(11)]
+        for at in rng.choice(11, int(rng.integers(1, 4)), replace=False):
+            own[at] = f"z{rng.integers(0, 12)}"
+        rows.append((i, " ".join(own)))
+    gone = brute_lines(rows)
+    got = {r["doc_id"]: r["n_removed"] for r in line_digests(frame(spark, rows)).collect()}
+    assert got == {i: len(gone[i]) for i, _ in rows}
