@@ -49,7 +49,7 @@ def now() -> datetime:
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/").removeprefix("sqlite://")
+        self.spark, self.root = spark, root.rstrip("/")
 
     # Versions ---------------------------------------------------------------------------------------------------
 
