@@ -38,7 +38,7 @@ FILTER_BITS = 1 << 26
 #: Candidate pairs looked at together in a part, and kept of each word and later line (the nearest) at first.
 SLICE, KEEP = 1 << 20, 8
 
-RECORD = np.dtype([("word", "<u4"), ("digest", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u2"), ("at", "<u2")])
+RECORD = np.dtype([("word", "<u4"), ("digest", "<u8"), ("bits", "<u8"), ("bits2", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u2"), ("at", "<u2")])
 FIRST = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("line", "<i4")])
 PAIR = np.dtype([("earlier", "<u8"), ("later", "<u8"), ("apart", "<i4"), ("more", "?")])
 MOST = 65_535
@@ -81,8 +81,10 @@ class Lines:
         self.keys, self.place = keys, place
         self.at = np.arange(len(keys)) - self.set_starts[place]
         short = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        bit = np.uint64(1) << (mixed(short.astype(np.uint64)) >> np.uint64(58))
-        self.bits = np.bitwise_xor.reduceat(bit, self.set_starts)
+        spread = mixed(short.astype(np.uint64))
+        # Two parity bitmaps by independent bits: two words of a pair's difference seldom cancel out in both.
+        self.bits = np.bitwise_xor.reduceat(np.uint64(1) << (spread >> np.uint64(58)), self.set_starts)
+        self.bits2 = np.bitwise_xor.reduceat(np.uint64(1) << (spread & np.uint64(63)), self.set_starts)
         self.short = short
 
 
@@ -171,7 +173,7 @@ def _records(docs: DataFrame, ranks: np.ndarray, some: np.ndarray | None = None)
                         taken &= has(some, own.short.astype(np.int64) % FILTER_BITS)
                     place = own.place[taken]
                     record = np.empty(len(place), dtype=RECORD)
-                    record["word"], record["digest"], record["bits"] = own.short[taken], own.digest[place], own.bits[place]
+                    record["word"], record["digest"], record["bits"], record["bits2"] = own.short[taken], own.digest[place], own.bits[place], own.bits2[place]
                     record["doc"], record["line"] = first["doc"][place], first["line"][place]
                     record["size"], record["at"] = np.minimum(own.sizes[place], MOST), np.minimum(own.at[taken], MOST)
                     records.append(record)
@@ -214,7 +216,7 @@ def candidates(record: np.ndarray, keep: int | None = KEEP, laters: np.ndarray |
     record = record[np.lexsort((record["line"], record["doc"], record["digest"], record["size"], record["word"]))]
     if len(record):  # of one word and digest the first line
         record = record[np.r_[True, (record["word"][1:] != record["word"][:-1]) | (record["digest"][1:] != record["digest"][:-1])]]
-    word, size, at, bits, digest, doc, line = (np.ascontiguousarray(record[c]) for c in ("word", "size", "at", "bits", "digest", "doc", "line"))
+    word, size, at, bits, bits2, digest, doc, line = (np.ascontiguousarray(record[c]) for c in ("word", "size", "at", "bits", "bits2", "digest", "doc", "line"))
     size, at = size.astype(np.int64), at.astype(np.int64)
     asked = None if laters is None else has(laters, (digest % np.uint64(FILTER_BITS)).astype(np.int64))
     more = np.zeros(len(record), dtype=bool)
@@ -249,7 +251,7 @@ def candidates(record: np.ndarray, keep: int | None = KEEP, laters: np.ndarray |
             need = -(-both * 4 // 9)  # overlap o with o / (both - o) >= 4/5
             open_ = (np.minimum(size[a] - at[a], size[b] - at[b]) >= need) | (size[b] == MOST)
             a, b, both, need = a[open_], b[open_], both[open_], need[open_]
-            apart = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
+            apart = np.maximum(np.bitwise_count(bits[a] ^ bits[b]), np.bitwise_count(bits2[a] ^ bits2[b])).astype(np.int64)
             near = (apart <= both - 2 * need) | (size[b] == MOST)
             a, b, apart = a[near], b[near], apart[near]
             a_first = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
