@@ -36,7 +36,8 @@ COUNTERS, PIECE = 1 << 20, 1 << 12
 PARTS = 1024
 FILTER_BITS = 1 << 26
 #: Candidate pairs looked at together in a part, and kept of each word and later line (the nearest) at first.
-SLICE, KEEP = 1 << 20, 8
+#: (DOUBTFUL times as many where even the nearest is not clearly alike).
+SLICE, KEEP, DOUBTFUL = 1 << 20, 8, 8
 
 RECORD = np.dtype([("word", "<u4"), ("digest", "<u8"), ("bits", "<u8"), ("bits2", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u2"), ("at", "<u2")])
 FIRST = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("line", "<i4")])
@@ -227,15 +228,18 @@ def candidates(record: np.ndarray, keep: int | None = KEEP, laters: np.ndarray |
         """Cut what is held down to the nearest."""
         nonlocal held, total
         if held:
-            later, earlier, apart = (np.concatenate(x) for x in zip(*held))
+            later, earlier, apart, able = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((earlier, apart, later))
-            later, earlier, apart = later[order], earlier[order], apart[order]
+            later, earlier, apart, able = later[order], earlier[order], apart[order], able[order]
             if keep is not None:
                 starts = np.flatnonzero(np.r_[True, later[1:] != later[:-1]])
-                place = np.arange(len(later)) - np.repeat(starts, np.diff(np.r_[starts, len(later)]))
-                more[later[place >= keep]] = True
-                later, earlier, apart = (x[place < keep] for x in (later, earlier, apart))
-            held, total = [(later, earlier, apart)], 0
+                sizes = np.diff(np.r_[starts, len(later)])
+                place = np.arange(len(later)) - np.repeat(starts, sizes)
+                # A line whose nearest candidate is doubtful may fail with all of them, so more are kept.
+                most = np.repeat(np.where(apart[starts] * 2 > able[starts], DOUBTFUL * keep, keep), sizes)
+                more[later[place >= most]] = True
+                later, earlier, apart, able = (x[place < most] for x in (later, earlier, apart, able))
+            held, total = [(later, earlier, apart, able)], 0
 
     left, step = np.arange(len(record)), 0
     while len(left):
@@ -252,21 +256,23 @@ def candidates(record: np.ndarray, keep: int | None = KEEP, laters: np.ndarray |
             open_ = (np.minimum(size[a] - at[a], size[b] - at[b]) >= need) | (size[b] == MOST)
             a, b, both, need = a[open_], b[open_], both[open_], need[open_]
             apart = np.maximum(np.bitwise_count(bits[a] ^ bits[b]), np.bitwise_count(bits2[a] ^ bits2[b])).astype(np.int64)
-            near = (apart <= both - 2 * need) | (size[b] == MOST)
-            a, b, apart = a[near], b[near], apart[near]
+            able = both - 2 * need  # words that may be in one of two alike lines only
+            near = (apart <= able) | (size[b] == MOST)
+            a, b, apart, able = a[near], b[near], apart[near], able[near]
             a_first = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
             later, earlier = np.where(a_first, b, a), np.where(a_first, a, b)
             if asked is not None:
-                later, earlier, apart = (x[asked[later]] for x in (later, earlier, apart))
+                wanted = asked[later]
+                later, earlier, apart, able = (x[wanted] for x in (later, earlier, apart, able))
             if len(later):
-                held.append((later, earlier, apart))
+                held.append((later, earlier, apart, able))
                 total += len(later)
             if total > 4 * SLICE:
                 nearest()
     nearest()
     out = np.empty(len(held[0][0]) if held else 0, dtype=PAIR)
     if held:
-        later, earlier, apart = held[0]
+        later, earlier, apart, _ = held[0]
         out["later"], out["earlier"], out["apart"], out["more"] = digest[later], digest[earlier], apart, more[later]
     return out
 
