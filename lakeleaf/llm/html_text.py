@@ -1,10 +1,13 @@
 """Operator 9, HTML extraction by site template removal.
 
-Pass 1 hashes the element subtrees of every page and counts, in Spark, on how many pages of its host each occurs.
-Pass 2 reads every page again with its host's recurring subtrees, deletes these, and gives the text of what is left
-of the article. What one page alone can tell (navigation, scripts, forms, boxes named as adverts or comments) goes
-too, so pages of hosts with few pages come out clean. Content of an article element is never template by its count:
-whole articles are copied between pages of a host, and they are what is asked for.
+Pass 1 hashes the element subtrees of every page and counts, in Spark, on how many unlike pages of its host each
+occurs. Pass 2 reads every page again with those of its own subtrees that recur, deletes these, and gives the text of
+what is left of the article. What one page alone can tell (navigation, scripts, forms, boxes named as adverts or
+comments) goes too, so pages of hosts with few pages come out clean.
+
+Within an article boxes are counted, not paragraphs, headings or tables: lines that recur there are the authors' own.
+Whole articles are copied between pages of a host, and they are what is asked for. So a box counts once for all copies
+of an article, and what holds most of an article's text is never deleted.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from lakeleaf.llm.common import materialise, salt
 from lakeleaf.llm.url_filter import url_parts
 
-#: A subtree is template if it occurs on so many pages of its host, and on this share of them.
+#: A subtree is template if it occurs beside so many unlike texts of its host, and on this share of its pages.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*>?""", re.S)
@@ -37,6 +40,9 @@ BESIDE = re.compile(
     re.I,
 )
 ARTICLE = frozenset(("article", "main"))
+#: Elements that carry an article's own matter; others are boxes, unless in an article they hold one of MATTER.
+MATTER = frozenset("blockquote code figure math pre table".split())
+PROSE = MATTER | frozenset("address caption col colgroup dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup hr li p tbody td tfoot th thead tr".split())
 
 
 class Element:
@@ -105,12 +111,16 @@ def walk(root: Element) -> Iterator[tuple[Element, bool]]:
         todo.extend((c, inside or e.article) for c in e.parts if not isinstance(c, str))
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def hashes(root: Element) -> dict[int, int]:
     """The 64-bit hash of every element's subtree (names, text with white space made one), by id of the element."""
     found: dict[int, int] = {}
     for e in reversed([e for e, _ in walk(root)]):
         text = " ".join("".join(c if isinstance(c, str) else f"\x00{found[id(c)]}\x00" for c in e.parts).split())
-        found[id(e)] = int.from_bytes(hashlib.blake2b(f"{e.tag}\x01{text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+        found[id(e)] = digest(f"{e.tag}\x01{text}")
     return found
 
 
@@ -123,25 +133,83 @@ def holds_article(root: Element) -> set[int]:
     return held
 
 
-def subtrees(page: str) -> set[int]:
-    """Hashes of the block subtrees outside articles that have any text or child; each once."""
-    root = parse(page)
-    known, held = hashes(root), holds_article(root)
-    return {known[id(e)] for e, inside in walk(root) if e is not root and not inside and e.parts and e.tag not in INLINE and id(e) not in held and e.tag not in ("html", "body")}
+def sizes(root: Element) -> tuple[dict[int, int], set[int]]:
+    """The signs of text, without white space and boxes beside the article, in every element, by id; ids of those with
+    an element of MATTER in them."""
+    size: dict[int, int] = {}
+    matter: set[int] = set()
+    for e in reversed([e for e, _ in walk(root)]):
+        size[id(e)] = 0 if e.beside else sum(len("".join(c.split())) if isinstance(c, str) else size[id(c)] for c in e.parts)
+        if e.tag in MATTER or any(not isinstance(c, str) and id(c) in matter for c in e.parts):
+            matter.add(id(e))
+    return size, matter
 
 
-def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    """The article's text without the subtrees in ``template``; blocks joined by one space."""
-    root = parse(page)
-    known = hashes(root) if template else {}
-    held = holds_article(root)
-    # Only what lies in an article is wanted, if there is one that isn't itself a box beside the main one.
+def has_article(root: Element) -> bool:
+    """Whether there is an article that isn't itself in a box beside the main one; only its text is wanted then."""
     wanted, todo = False, [root]
     while todo and not wanted:
         e = todo.pop()
         if not e.beside:
             wanted = e.article
             todo.extend(c for c in e.parts if not isinstance(c, str))
+    return wanted
+
+
+def candidates(root: Element, held: set[int]) -> Iterator[tuple[Element, Element | None, bool, bool]]:
+    """The elements that may be template, with their outermost article; whether each is a box that holds no more than
+    half of the text of the article, or of the page; whether it goes anyhow. Nothing that holds more of an article is
+    among them."""
+    size, matter = sizes(root)
+    wanted = has_article(root)
+    todo: list[tuple[Element, Element | None, bool]] = [(root, None, False)]
+    while todo:
+        e, article, gone = todo.pop()
+        gone = gone or e.beside or e.tag == "header" and article is None and not e.article
+        if e.parts and e.tag not in INLINE and e.tag not in ("", "html", "body") and id(e) not in held:
+            minor = e.tag not in PROSE and 2 * size[id(e)] <= size[id(article or root)]
+            if article is None or minor and size[id(e)] and id(e) not in matter:
+                yield e, article, minor, gone or wanted and article is None
+        inner = article or (e if e.article else None)
+        todo.extend((c, inner, gone) for c in e.parts if not isinstance(c, str))
+
+
+def core(article: Element, size: dict[int, int], known: dict[int, int]) -> int:
+    """The hash of the innermost element that holds most of an article's text."""
+    e: Element | None = article
+    while e is not None:
+        found, e = e, next((c for c in e.parts if not isinstance(c, str) and 2 * size[id(c)] > size[id(article)]), None)
+    return known[id(found)]
+
+
+def occurrences(page: str) -> tuple[int, dict[tuple[int, int], tuple[bool, bool]]]:
+    """The hash of the page's text; of each (subtree, text it stands beside) whether it is a box that is the lesser part,
+    and whether it goes anyhow.
+
+    In an article that text is the article's core, outside it is the page's.
+    """
+    root = parse(page)
+    known, held, (size, _) = hashes(root), holds_article(root), sizes(root)
+    whole = digest(shown(root, held))
+    cores: dict[int, int] = {}
+    found: dict[tuple[int, int], tuple[bool, bool]] = {}
+    for e, article, minor, gone in candidates(root, held):
+        if article is not None and id(article) not in cores:
+            cores[id(article)] = core(article, size, known)
+        key = known[id(e)], whole if article is None else cores[id(article)]
+        before = found.get(key, (False, True))
+        found[key] = before[0] or minor, before[1] and gone
+    return whole, found
+
+
+def subtrees(page: str) -> set[int]:
+    """Hashes of the subtrees that may be template; each once."""
+    return {subtree for subtree, _ in occurrences(page)[1]}
+
+
+def shown(root: Element, held: set[int], deleted: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article's text without the elements ``deleted`` (ids); blocks joined by one space."""
+    wanted = has_article(root)
     out: list[str] = []
     work: list[tuple[Element | str, bool]] = [(root, False)]
     while work:
@@ -151,7 +219,7 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
                 out.append(e)
             continue
         inside = inside or e.article
-        if e.beside or (e.tag == "header" and not inside) or not inside and id(e) not in held and known.get(id(e)) in template:
+        if e.beside or (e.tag == "header" and not inside) or id(e) in deleted:
             out.append(" " if e.tag not in INLINE else "")
             continue
         edge = "" if e.tag in INLINE else " "
@@ -162,27 +230,52 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     return " ".join("".join(out).split())
 
 
+def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
+    """The article's text without the subtrees in ``template``."""
+    root = parse(page)
+    held = holds_article(root)
+    if not template:
+        return shown(root, held)
+    known = hashes(root)
+    return shown(root, held, {id(e) for e, _, _, _ in candidates(root, held) if known[id(e)] in template})
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars (code points); one row per input row.
 
     A null html counts as empty and gives the empty text. A null url is on the empty host, like one without ``://``.
-    Repeated rows count as pages of their host and are repeated in the result; other columns are ignored; an empty
-    table gives an empty result.
+    Repeated rows, and pages with the same text, count once and are repeated in the result; other columns are ignored;
+    an empty table gives an empty result.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(text), F.lit("")).alias("html"))
-    rows = rows.withColumn("host", F.coalesce(url_parts(F.col("url"))[0], F.lit(""))).withColumn("salt", salt("page_id", "url"))
+    # Copies of a page are dealt over salts, so that no task gets all of them.
+    rows = rows.withColumn("host", F.coalesce(url_parts(F.col("url"))[0], F.lit(""))).withColumn("page", F.xxhash64("host", "html", salt("page_id", "url")))
 
     def list_subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(host, h) for host, page in zip(batch["host"], batch["html"]) for h in subtrees(page)]
-            yield pd.DataFrame(found, columns=["host", "subtree"]).astype({"host": "object", "subtree": "int64"})
+            found: list[tuple] = []
+            for host, page, text in zip(batch["host"], batch["page"], batch["html"]):
+                whole, own = occurrences(text)
+                found.append((host, page, 0, whole, -1, True))  # the page itself
+                found += [(host, page, subtree, beside, int(minor), gone) for (subtree, beside), (minor, gone) in own.items()]
+            out = pd.DataFrame(found, columns=["host", "page", "subtree", "beside", "minor", "gone"])
+            yield out.astype({"host": "object", "page": "int64", "subtree": "int64", "beside": "int64", "minor": "int32", "gone": "bool"})
 
-    seen = rows.select("host", "html").mapInPandas(list_subtrees, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("pages"))
-    hosts = rows.groupBy("host").agg(F.count("*").alias("all_pages"), F.collect_set("salt").alias("salts"))
-    # At most (subtrees of a mean page) / LEAST_SHARE recur on a host, however many pages it has.
-    recurring = seen.filter(F.col("pages") >= LEAST_PAGES).join(hosts, "host").filter(F.col("pages") >= F.col("all_pages") * LEAST_SHARE)
-    template = recurring.groupBy("host").agg(F.collect_list("subtree").alias("template"), F.first("salts").alias("salts"))
-    template = materialise(template.select("host", F.explode("salts").alias("salt"), "template"), "html-templates")
+    seen = materialise(rows.select("host", "page", "html").mapInPandas(list_subtrees, "host string, page long, subtree long, beside long, minor int, gone boolean"), "html-subtrees")
+    seen = seen.withColumn("salt", salt("beside"))
+    hosts = seen.filter("minor < 0").select("host", "beside").distinct().groupBy("host").agg(F.count("*").alias("all_pages"))
+    # Only what doesn't go anyhow is looked for; it counts wherever it occurs.
+    asked = materialise(seen.filter("not gone"), "html-asked")
+    each = seen.filter("minor >= 0").join(asked.select("host", "subtree").distinct(), ["host", "subtree"], "left_semi").groupBy("host", "subtree", "salt", "beside").agg(F.max("minor").alias("minor"))
+    each = each.groupBy("host", "subtree", "salt").agg(F.count("*").alias("pages"), F.sum("minor").alias("minor"))
+    sums = each.groupBy("host", "subtree").agg(F.sum("pages").alias("pages"), F.sum("minor").alias("minor")).filter(F.col("pages") >= LEAST_PAGES)
+    # A host's number of pages goes to the salts that its subtrees have, so that a host with many isn't one task's.
+    rest = sums.withColumn("part", salt("subtree"))
+    shares = rest.join(rest.select("host", "part").distinct().join(hosts, "host"), ["host", "part"]).filter(F.col("pages") >= F.col("all_pages") * LEAST_SHARE)
+    recurring = each.select("host", "subtree", "salt").join(shares.select("host", "subtree"), ["host", "subtree"])
+    # Every page gets its own recurring subtrees only, however many its host has.
+    template = asked.join(recurring, ["host", "subtree", "salt"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("template"))
+    template = materialise(template, "html-templates")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -195,6 +288,6 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", text:
                 texts.append(main_text(page, sets[key]))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    met = rows.join(template.hint("merge"), ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    met = rows.join(template.hint("merge"), ["host", "page"], "left").select("page_id", "url", "html", "template")
     kind = rows.schema["page_id"].dataType.simpleString()
     return met.mapInPandas(read, f"page_id {kind}, url string, text string, n_chars long")

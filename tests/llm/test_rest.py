@@ -139,6 +139,19 @@ def test_templates_are_found_by_count(spark):
     assert extract(df.limit(0)).count() == 0 and all(r["n_chars"] == len(r["text"]) for r in extract(df).collect())
 
 
+def test_templates_in_articles(spark):
+    box, line = "<div><p>Join our list</p></div>", "<p>All rights are with the author</p>"
+    story = [f"<p>Story {i} has a text of its own, longer than the box beside it is</p><p>and a second part {i}</p>" for i in range(12)]
+    rows = [(i, f"http://h.example/{i}", f"<body><{tag}><h1>Daily</h1>{story[i]}{box}{line}</{tag}>") for i, tag in enumerate(["article", "main"] * 6)]
+    copied = "<article><div><p>First part of it</p></div><div><p>The middle part</p></div><div><p>The last part</p></div></article>"
+    rows += [(100 + i, f"http://h.example/copy/{i}", f"<title>{i}</title>{copied}") for i in range(8)]
+    rows += [(200 + i, f"http://h.example/code/{i}", f"<article>{story[i]}<div><pre>run it</pre></div></article>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = [main_text(s) for s in story]
+    assert all(got[i] == f"Daily {own[i]} All rights are with the author" for i in range(12))
+    assert all(got[100 + i] == "First part of it The middle part The last part" and got[200 + i] == f"{own[i]} run it" for i in range(8))
+
+
 def test_subtree_hashes_are_stable():
     a, b = (html_text.subtrees(f"<div>  A <p>b</p></div>{x}") for x in ("", "<nav><ul><li>q</ul></nav>"))
     assert a < b and html_text.subtrees("<article><p>x</p></article>") == set()
