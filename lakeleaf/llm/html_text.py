@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from lakeleaf.llm.common import materialise, salt
 from lakeleaf.llm.url_filter import url_parts
 
-#: A subtree is template if it occurs beside so many unlike texts of its host, and on this share of its pages.
+#: A box is template if it occurs beside so many unlike texts of its host. A paragraph, or what is most of its page,
+#: must also occur on this share of the host's pages: it may be a line that authors repeat, or a copied story.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*>?""", re.S)
@@ -269,10 +270,11 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", text:
     each = seen.filter("minor >= 0").join(asked.select("host", "subtree").distinct(), ["host", "subtree"], "left_semi").groupBy("host", "subtree", "salt", "beside").agg(F.max("minor").alias("minor"))
     each = each.groupBy("host", "subtree", "salt").agg(F.count("*").alias("pages"), F.sum("minor").alias("minor"))
     sums = each.groupBy("host", "subtree").agg(F.sum("pages").alias("pages"), F.sum("minor").alias("minor")).filter(F.col("pages") >= LEAST_PAGES)
+    often = sums.filter(F.col("minor") >= LEAST_PAGES).select("host", "subtree")
     # A host's number of pages goes to the salts that its subtrees have, so that a host with many isn't one task's.
-    rest = sums.withColumn("part", salt("subtree"))
+    rest = sums.filter(F.col("minor") < LEAST_PAGES).withColumn("part", salt("subtree"))
     shares = rest.join(rest.select("host", "part").distinct().join(hosts, "host"), ["host", "part"]).filter(F.col("pages") >= F.col("all_pages") * LEAST_SHARE)
-    recurring = each.select("host", "subtree", "salt").join(shares.select("host", "subtree"), ["host", "subtree"])
+    recurring = each.select("host", "subtree", "salt").join(often.unionByName(shares.select("host", "subtree")), ["host", "subtree"])
     # Every page gets its own recurring subtrees only, however many its host has.
     template = asked.join(recurring, ["host", "subtree", "salt"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("template"))
     template = materialise(template, "html-templates")

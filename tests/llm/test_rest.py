@@ -152,6 +152,17 @@ def test_templates_in_articles(spark):
     assert all(got[100 + i] == "First part of it The middle part The last part" and got[200 + i] == f"{own[i]} run it" for i in range(8))
 
 
+def test_templates_of_a_section(spark):
+    text = [f"<div><p>Page {i} tells of matter {i * i} at some length, as pages do</p></div>" for i in range(100)]
+    notice, line = "<div><p>Aviso legal</p></div>", "<p>So it goes</p>"
+    rows = [(i, f"http://h.example/{i}", f"<body>{notice if i < 6 else ''}{text[i]}{line if i < 9 else ''}") for i in range(100)]
+    rows += [(200 + i, f"http://h.example/copy/{i}", f"<body><div>The same long story on some pages</div><p>{i}</p>") for i in range(6)]
+    rows += [(300, "http://h.example/r", "<body><div><div>A page that is</div><div>in the table often</div></div>")] * 30
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == main_text(text[i]) + (" So it goes" if i < 9 else "") for i in range(100))
+    assert all(got[200 + i] == f"The same long story on some pages {i}" for i in range(6)) and got[300] == "A page that is in the table often"
+
+
 def test_subtree_hashes_are_stable():
     a, b = (html_text.subtrees(f"<div>  A <p>b</p></div>{x}") for x in ("", "<nav><ul><li>q</ul></nav>"))
     assert a < b and html_text.subtrees("<article><p>x</p></article>") == set()
