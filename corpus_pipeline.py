@@ -20,7 +20,8 @@ from lakeleaf.llm.queries import MIXTURE, domain_of, vocabulary
 from lakeleaf.llm.toxicity import toxicity, train
 
 #: After deduplication no document is to be repeated: thin leaves give all they have, and siblings make up for it.
-MIX_ONCE = replace(MIXTURE, epochs=1)
+#: A leaf's last document may cross its budget, as otherwise one long document early in the order empties the leaf.
+MIX_ONCE = replace(MIXTURE, epochs=1, crossing=True)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

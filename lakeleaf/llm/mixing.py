@@ -27,13 +27,15 @@ LEVELS = ("domain", "language", "source")
 @dataclass(frozen=True)
 class Mixture:
     """weights: for each level the whole-number weight of each child name; others weigh ``other``. budget: tokens, or
-    a share of all tokens as (numerator, denominator). epochs: how often a document is taken at most."""
+    a share of all tokens as (numerator, denominator). epochs: how often a document is taken at most. crossing: a leaf's
+    prefix includes the document that crosses its budget, so that no leaf gives less than its budget."""
 
     budget: int | tuple[int, int]
     weights: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
     other: int = 1
     epochs: int = 1
     seed: int = 0
+    crossing: bool = False
 
 
 def word_count(text: Column) -> Column:
@@ -124,7 +126,7 @@ def plan(rows: DataFrame, mixture: Mixture) -> DataFrame:
     sums = materialise(sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(by_leaf), F.lit(0))).drop("in_bucket"), "mixing-buckets")
     near = asked.hint("merge").join(sums, [*LEVELS, "bucket"]).filter("before <= rest")
     inside = W.partitionBy(*LEVELS, "bucket").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    prefix = near.withColumn("total", F.col("before") + F.sum("n_tokens").over(inside)).filter("total <= rest")
+    prefix = near.withColumn("total", F.col("before") + F.sum("n_tokens").over(inside)).filter("total - n_tokens < rest" if mixture.crossing else "total <= rest")
     last = prefix.groupBy(*LEVELS).agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("last"))
     return materialise(leaves.join(last, list(LEVELS), "left").select(*LEVELS, "tokens", "docs", "budget", "whole", "last"), "mixing-plan")
 
@@ -143,7 +145,7 @@ def mix(docs: DataFrame, mixture: Mixture, domain: Column, tokens: Column, doc_i
     """doc_id, domain, language, source, n_tokens, copies; one row per input row.
 
     copies is how often the mixture takes the document (0: not). A leaf's prefix ends before the document that would
-    exceed its budget. Documents without tokens cost nothing: they are taken if their place is within the prefix.
+    exceed its budget, or with ``crossing`` after it. Documents without tokens cost nothing: they are taken if their place is within the prefix.
     Null names are the empty name, a null text has no tokens, a null doc_id counts as the empty text in the order.
     Other columns are ignored; an empty table gives an empty result.
     """

@@ -1,5 +1,6 @@
 """Operators 4, 6, 7 and 9, and the pipeline."""
 
+import hashlib
 import math
 
 import duckdb
@@ -114,6 +115,20 @@ def test_epochs_and_edges(spark):
     assert a == {(r["doc_id"], r["copies"]) for r in got}
 
 
+def test_a_long_document_does_not_empty_its_leaf(spark):
+    rows = [(i, "w " * 10, "en", "s") for i in range(20)] + [(100, "w " * 150, "en", "s")]
+    for seed in range(6):
+        plan = Mixture(budget=120, seed=seed, crossing=True)
+        got = mix(frame(spark, rows), plan, F.lit("d"), word_count(F.col("text"))).collect()
+        order = sorted(got, key=lambda r: (hashlib.md5(f"{seed}:1:{r['doc_id']}".encode()).hexdigest(), r["doc_id"]))
+        want, total = [], 0
+        for r in order:
+            want.append(int(total < 120))
+            total += r["n_tokens"]
+        assert [r["copies"] for r in order] == want and sum(r["copies"] * r["n_tokens"] for r in got) >= 120
+    assert corpus_pipeline.MIX_ONCE.crossing and not queries.MIXTURE.crossing
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><script>var t="</p>";</script></head><body>%s
 <article><h1>Head</h1><p><b>One &lt;two&gt;<br><p>Thr<b>ee</b>&nbsp;&#233;</p><ul><li>x<li>y</ul><section class="comments"><p>nice</p></section><form>f</form></article>
 <div id="cookie-notice">We use</div><footer>&copy; 2020</footer>"""
