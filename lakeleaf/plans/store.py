@@ -30,6 +30,7 @@ SCHEMAS = {
     "profiles": "document_id string, desc string, retrieval_profile_json string, generated_from_hash string",
     "nodes": "id string, kind string, name string, canonical_name string, metadata map<string,string>, confidence double",
     "edges": "id string, src_id string, dst_id string, kind string, confidence double, provenance string, evidence_section_id string, metadata_json string",
+    "broken_links": "source_id string, document_id string, section_id string, href string, target string",
     "jobs": "id string, seq long, kind string, status string, source_id string, payload_json string, attempts int, last_error string, created_at timestamp, updated_at timestamp",
     "feedback": "id string, seq long, target_kind string, target_id string, feedback_kind string, payload_json string, actor string, created_at timestamp",
 }
@@ -140,7 +141,8 @@ class Store:
         """With its documents, sections, profiles, and nodes and edges that are its own."""
         self._row("sources", source_id)
         gone = self.table("documents").filter(F.col("source_id") == source_id).select(F.col("id").alias("document_id"))
-        self.commit({"sources": self.table("sources").filter(F.col("id") != source_id)} | self.without_documents(gone, source_id))
+        links = self.table("broken_links").filter(F.col("source_id") != source_id)
+        self.commit({"sources": self.table("sources").filter(F.col("id") != source_id), "broken_links": links} | self.without_documents(gone, source_id))
 
     def without_documents(self, gone: DataFrame, source_id: str = "") -> dict[str, DataFrame]:
         """The tables without some documents (document_id) and all that hangs on them; with ``source_id`` also without
@@ -178,6 +180,10 @@ class Store:
             raise NotFound(f"job {job_id!r} not found")
         self.commit({"jobs": self.table("jobs").filter(F.col("id") != job_id)})
 
+    def broken_links(self, source_id: str) -> DataFrame:
+        """All links that the source's last sync could not resolve, sorted."""
+        return self.table("broken_links").filter(F.col("source_id") == source_id).drop("source_id").orderBy("document_id", "section_id", "href", "target")
+
     # Documents, profiles, graph -----------------------------------------------------------------------------------
 
     def status(self) -> dict[str, int]:

@@ -17,6 +17,10 @@ from lakeleaf.plans.store import LINKED_KINDS, Store, attached
 from lakeleaf.sources import folders, paths, web
 
 
+#: Broken links in a job's payload; all are in the store's table ``broken_links``.
+LINKS_PAGE = 1000
+
+
 def load(store: Store, source: dict[str, Any], transport: web.Transport = web.http_get, connect: Callable = folders.connect_sftp) -> tuple[DataFrame, str]:
     """The source's parsed documents, and the prefix of their addresses."""
     spark, kind, dsn, config = store.spark, source["kind"], source["dsn"], source["config_json"]
@@ -91,18 +95,19 @@ def _sync(store: Store, source: dict[str, Any], transport: web.Transport, connec
         all_secs = left["sections"].join(mine, "document_id", "left_anti").select(*secs.columns).unionByName(secs)
         sources = store.table("sources").filter(F.col("id") == source["id"])
         nodes, edges = graph.build_graph(sources, docs, secs)
-        broken: list[dict[str, Any]] = []
+        broken = store.table("broken_links").filter(F.col("source_id") != source["id"])
         if source["kind"] in LINKED_KINDS:
             found, missing = graph.resolve_links(page_links(docs, secs), graph.link_targets(docs, secs))
             edges = graph.one_per_id(edges.unionByName(found.select(*edges.columns)))
-            broken = [r.asDict() for r in missing.limit(1000).collect()]
+            broken = broken.unionByName(missing.select(F.lit(source["id"]).alias("source_id"), "*"))
         all_nodes = graph.upsert(left["nodes"], nodes.select(*graph.NODE))
         all_edges = attached(graph.upsert(left["edges"], edges.select(*graph.EDGE)), all_nodes, all_secs)
         others = left["profiles"].join(mine, "document_id", "left_anti")
         own = left["profiles"].join(mine, "document_id", "left_semi")
         fresh = profiles.refresh_profiles(own, docs, secs)
-        store.commit({"documents": all_docs, "sections": all_secs, "nodes": all_nodes, "edges": all_edges, "profiles": others.unionByName(fresh.select(*others.columns))})
-        return {"documents": docs.count(), "broken_links": broken}
+        store.commit({"documents": all_docs, "sections": all_secs, "nodes": all_nodes, "edges": all_edges, "profiles": others.unionByName(fresh.select(*others.columns)), "broken_links": broken})
+        links = store.broken_links(source["id"])
+        return {"documents": docs.count(), "broken_link_count": links.count(), "broken_links": [r.asDict() for r in links.limit(LINKS_PAGE).collect()]}
     finally:
         docs.unpersist()
         secs.unpersist()

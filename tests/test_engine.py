@@ -215,6 +215,19 @@ def graph_node(store, name):
     return store.table("nodes").filter(F.col("name") == name).first()["id"]
 
 
+def test_all_broken_links_are_kept(spark, tmp_path):
+    docs = tmp_path / "many"
+    docs.mkdir()
+    (docs / "index.html").write_text("<h1>Links</h1><p>" + "".join(f'<a href="gone{i}.html">g{i}</a> ' for i in range(1100)) + "</p>")
+    store = Store(spark, str(tmp_path / "store"))
+    src = store.put_source({"kind": "html", "name": "n", "dsn": str(docs)})["id"]
+    found = payload(sync_source(store, src))
+    assert found["broken_link_count"] == 1100 and len(found["broken_links"]) == 1000
+    assert {r["href"] for r in store.broken_links(src).collect()} == {f"gone{i}.html" for i in range(1100)}
+    store.delete_source(src)
+    assert store.table("broken_links").count() == 0
+
+
 def test_failed_sync_leaves_tables(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     src = store.put_source({"kind": "local", "name": "x", "dsn": "https://x/"})["id"]
