@@ -31,17 +31,21 @@ from lakeleaf.llm.common import distinct, materialise, release
 from lakeleaf.llm.shingles import mixed, word_starts, words
 
 SIMILARITY = 0.8
-#: Counters of word frequencies (4 bytes each in a task, sent in pieces), parts, and bits of the filter of digests.
+#: Counters of word frequencies (8 bytes each in a task, sent in pieces), and bits of the filter of digests. What they
+#: can't tell apart costs time only: the order of words is the same for all lines, and filters let too much through.
 COUNTERS, PIECE = 1 << 20, 1 << 12
-PARTS = 1024
 FILTER_BITS = 1 << 26
+#: Parts grow with the corpus: about so many of its words to a part, which holds a fifth of them as records.
+WORDS_IN_PART, LEAST_PARTS, MOST_PARTS = 1 << 17, 64, 1 << 20
 #: Candidate pairs looked at together in a part, and kept of each word and later line (the nearest) at first.
 #: (DOUBTFUL times as many where even the nearest is not clearly alike).
 SLICE, KEEP, DOUBTFUL = 1 << 20, 8, 8
 
 RECORD = np.dtype([("word", "<u4"), ("digest", "<u8"), ("bits", "<u8"), ("bits2", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u2"), ("at", "<u2")])
-FIRST = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("line", "<i4")])
-PAIR = np.dtype([("earlier", "<u8"), ("later", "<u8"), ("apart", "<i4"), ("more", "?")])
+#: Copies agree in 128 bits, ``digest`` and ``check``.
+FIRST = np.dtype([("digest", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("line", "<i4")])
+#: Digests of two lines, and where each stands first.
+PAIR = np.dtype([("earlier", "<u8"), ("later", "<u8"), ("apart", "<i4"), ("more", "?"), ("home", "<i8"), ("doc", "<i8"), ("line", "<i4")])
 MOST = 65_535
 #: Characters whose words are found at once, and lines whose records are packed at once.
 CHARS, LINES = 150_000, 200_000
@@ -72,6 +76,7 @@ class Lines:
         self.digest = mixed(np.add.reduceat(twisted, starts))
         if ranks is None:
             return
+        self.check = np.add.reduceat(mixed((words ^ (words >> np.uint64(23))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(3)), starts)
         # One sort by (line, rank, word): 20 + 12 + 32 bits. The word's bits are those that tell it from others.
         place = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.r_[starts, len(words)]))
         keys = (place << np.uint64(44)) | (ranks[counter(words)].astype(np.uint64) << np.uint64(32)) | (words & np.uint64(0xFFFFFFFF))
@@ -130,30 +135,38 @@ def chunks(docs: Iterable[int], texts: Iterable[str]) -> Iterator[Chunk]:
         yield joined()
 
 
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """A rank (0 to 4095, rising with the frequency on a logarithmic scale) for each of COUNTERS counters of words."""
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """A rank (0 to 4095, rising with the frequency on a logarithmic scale) for each of COUNTERS counters of words, and
+    the number of parts for so many words."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(COUNTERS, dtype=np.uint32)
+        total, held, size = np.zeros(COUNTERS, dtype=np.int64), [], 0
         for batch in batches:
             for chunk in chunks(repeat(0), batch["text"]):
-                np.add.at(total, counter(words(chunk.text)), 1)
+                held.append(counter(words(chunk.text)))
+                size += len(held[-1])
+                if size >= COUNTERS:
+                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
         yield pd.DataFrame({"piece": np.arange(COUNTERS // PIECE), "counts": [x.tobytes() for x in total.reshape(-1, PIECE)]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(PIECE, dtype=np.int64)
         for x in group["counts"]:
-            total += np.frombuffer(x, dtype=np.uint32)
+            total += np.frombuffer(x, dtype=np.int64)
         return pd.DataFrame({"piece": group["piece"].iloc[:1], "counts": [total.tobytes()]})
 
     found = docs.select("text").mapInPandas(count, "piece int, counts binary").groupBy("piece").applyInPandas(add, "piece int, counts binary").toPandas()
     total = np.zeros((COUNTERS // PIECE, PIECE), dtype=np.int64)
     for piece, x in zip(found["piece"], found["counts"]):
         total[piece] = np.frombuffer(x, dtype=np.int64)
-    return np.minimum(np.log2(total.ravel() + 1) * 64, 4095).astype(np.uint16)
+    parts = 1 << (int(total.sum()) // WORDS_IN_PART).bit_length()
+    return np.minimum(np.log2(total.ravel() + 1) * 64, 4095).astype(np.uint16), min(max(parts, LEAST_PARTS), MOST_PARTS)
 
 
-def _records(docs: DataFrame, ranks: np.ndarray, some: np.ndarray | None = None) -> DataFrame:
+def _records(docs: DataFrame, ranks: np.ndarray, parts: int, some: np.ndarray | None = None) -> DataFrame:
     """kind 0: prefix records (with ``some`` only of the words in that filter), 1: first lines of digests, 2: lines that
     are copies (FIRST records), each of a part."""
     sent = docs.sparkSession.sparkContext.broadcast((ranks, some))
@@ -165,7 +178,7 @@ def _records(docs: DataFrame, ranks: np.ndarray, some: np.ndarray | None = None)
                 own = Lines(chunk.text, order)
                 if len(own.number):
                     first = np.empty(len(own.number), dtype=FIRST)
-                    first["digest"] = own.digest
+                    first["digest"], first["check"] = own.digest, own.check
                     first["doc"], first["line"] = chunk.own(own.number)
                     firsts.append(first)
                     prefix = own.sizes - least_overlap(own.sizes) + 1
@@ -189,21 +202,30 @@ def _records(docs: DataFrame, ranks: np.ndarray, some: np.ndarray | None = None)
     def packed(firsts: list[np.ndarray], records: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         """Rows by part; of each digest only the first line's records, the other lines are copies."""
         first = np.concatenate(firsts)
-        order = np.lexsort((first["line"], first["doc"], first["digest"]))
+        order = in_order(first)
         first = first[order]
-        new = np.r_[True, first["digest"][1:] != first["digest"][:-1]]
+        new = starts_of(first)
         kept = np.zeros(len(first), dtype=bool)
         kept[order] = new
         record = np.concatenate(records)[kept[np.concatenate(owners)]]
         for kind, rows, part in ((0, record, mixed(record["word"].astype(np.uint64))), (1, first[new], first[new]["digest"]), (2, first[~new], first[~new]["digest"])):
-            yield by_part(rows, part).assign(kind=kind)[["kind", "part", "rows"]]
+            yield by_part(rows, part, parts).assign(kind=kind)[["kind", "part", "rows"]]
 
     return docs.mapInPandas(run, "kind int, part int, rows binary")
 
 
-def by_part(rows: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
+def in_order(first: np.ndarray) -> np.ndarray:
+    return np.lexsort((first["line"], first["doc"], first["check"], first["digest"]))
+
+
+def starts_of(first: np.ndarray) -> np.ndarray:
+    """Of FIRST records in order: whether each is the first of its copies."""
+    return np.r_[True, (first["digest"][1:] != first["digest"][:-1]) | (first["check"][1:] != first["check"][:-1])]
+
+
+def by_part(rows: np.ndarray, keys: np.ndarray, parts: int) -> pd.DataFrame:
     """part and rows: the records of each part as one binary value."""
-    part = (keys % np.uint64(PARTS)).astype(np.int64)
+    part = (keys % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     rows, part = rows[order], part[order]
     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
@@ -274,6 +296,8 @@ def candidates(record: np.ndarray, keep: int | None = KEEP, laters: np.ndarray |
     if held:
         later, earlier, apart, _ = held[0]
         out["later"], out["earlier"], out["apart"], out["more"] = digest[later], digest[earlier], apart, more[later]
+        # All tasks with a line send it by the same words, so here its first place is known.
+        out["home"], out["doc"], out["line"] = doc[earlier], doc[later], line[later]
     return out
 
 
@@ -306,27 +330,27 @@ def maybe_in(table: np.ndarray, docs: DataFrame, key: str) -> Column:
     return test(place_of(key))
 
 
-def _found(packed: DataFrame, keep: int | None, laters: np.ndarray | None = None) -> DataFrame:
-    """what 0: pairs of digests, packed by part (digest); 1: first line (digest, doc_id, line); 2: a copy to remove."""
+def _found(packed: DataFrame, parts: int, keep: int | None, laters: np.ndarray | None = None) -> DataFrame:
+    """what 0: pairs of digests, packed by part; 1: a copy to remove (doc_id, line)."""
     sent = packed.sparkSession.sparkContext.broadcast(laters)
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["kind"].iat[0] == 0:
             pairs = candidates(np.concatenate([np.frombuffer(x, dtype=RECORD) for x in rows["rows"]]), keep, sent.value)
-            return by_part(pairs, mixed(pairs["later"])).rename(columns={"part": "digest"}).assign(what=0, doc_id=0, line=0)[["what", "digest", "doc_id", "line", "rows"]]
+            return by_part(pairs, mixed(pairs["later"]), parts).assign(what=0, doc_id=0, line=0)[["what", "part", "doc_id", "line", "rows"]]
         first = np.concatenate([np.frombuffer(x, dtype=FIRST) for x in rows["rows"]])
-        what = np.full(len(first), 2)
         if rows["kind"].iat[0] == 1:
-            first = first[np.lexsort((first["line"], first["doc"], first["digest"]))]
-            what[np.r_[True, first["digest"][1:] != first["digest"][:-1]]] = 1
-        return pd.DataFrame({"what": what, "digest": first["digest"].copy().view(np.int64), "doc_id": first["doc"], "line": first["line"], "rows": None})
+            first = first[in_order(first)]
+            first = first[~starts_of(first)]
+        return pd.DataFrame({"what": 1, "part": 0, "doc_id": first["doc"], "line": first["line"], "rows": None})
 
-    return packed.groupBy("kind", "part").applyInPandas(group, "what int, digest long, doc_id long, line int, rows binary")
+    return packed.groupBy("kind", "part").applyInPandas(group, "what int, part int, doc_id long, line int, rows binary")
 
 
 def _pairs(found: DataFrame) -> DataFrame:
-    """earlier, later, place, more: each candidate pair once (it may have come from several words); place 0 is a later
-    line's nearest; more: some word had further candidates for that line."""
+    """earlier, later, place, more, home (the earlier line's doc_id), doc_id and line (the later one's): each candidate
+    pair once (it may have come from several words); place 0 is a later line's nearest; more: some word had further
+    candidates for that line."""
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         pairs = np.concatenate([np.frombuffer(x, dtype=PAIR) for x in rows["rows"]])
@@ -335,17 +359,18 @@ def _pairs(found: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.r_[True, pairs["later"][1:] != pairs["later"][:-1]])
         sizes = np.diff(np.r_[starts, len(pairs)])
         more = np.logical_or.reduceat(pairs["more"], starts)
-        return pd.DataFrame({"earlier": pairs["earlier"].copy().view(np.int64), "later": pairs["later"].copy().view(np.int64), "place": np.arange(len(pairs)) - np.repeat(starts, sizes), "more": np.repeat(more, sizes)})
+        long = {to: np.ascontiguousarray(pairs[c]).view(np.int64) for to, c in (("earlier", "earlier"), ("later", "later"), ("home", "home"), ("doc_id", "doc"))}
+        return pd.DataFrame(long | {"line": pairs["line"], "place": np.arange(len(pairs)) - np.repeat(starts, sizes), "more": np.repeat(more, sizes)})
 
-    return found.filter("what = 0").select(F.col("digest").alias("part"), "rows").groupBy("part").applyInPandas(group, "earlier long, later long, place int, more boolean")
+    return found.filter("what = 0").select("part", "rows").groupBy("part").applyInPandas(group, "earlier long, later long, home long, doc_id long, line int, place int, more boolean")
 
 
 def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """digest, words (sorted hashes) of the wanted digests (digest, first), from the documents of their first lines.
+    """digest, words (sorted hashes) of the wanted digests (digest, home), from the documents of their first lines.
 
     Filters of a fixed size say which documents and digests are wanted; false hits only cost a row.
     """
-    filters = bitmap(wanted.select(place_of("first.doc_id"))), bitmap(wanted.select(F.pmod("digest", F.lit(FILTER_BITS)).alias("place")))
+    filters = bitmap(wanted.select(place_of("home"))), bitmap(wanted.select(F.pmod("digest", F.lit(FILTER_BITS)).alias("place")))
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -366,7 +391,7 @@ def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """later of the pairs (earlier, later) whose words are SIMILARITY alike, each once."""
+    """later, doc_id and line of the pairs whose words are SIMILARITY alike, each once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -375,12 +400,12 @@ def _alike(pairs: DataFrame, words: DataFrame) -> DataFrame:
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * 5 >= (len(x) + len(y) - both) * 4)
-            yield batch.loc[keep, ["later"]]
+            yield batch.loc[keep, ["later", "doc_id", "line"]]
 
     met = pairs
     for side in ("earlier", "later"):
         met = met.join(words.select(F.col("digest").alias(side), F.col("words").alias(f"words_{side}")), side)
-    return met.select("later", "words_earlier", "words_later").mapInPandas(run, "later long").distinct()
+    return met.select("later", "doc_id", "line", "words_earlier", "words_later").mapInPandas(run, "later long, doc_id long, line int").distinct()
 
 
 def _prefix_words(words: DataFrame, ranks: np.ndarray) -> DataFrame:
@@ -400,35 +425,32 @@ def _prefix_words(words: DataFrame, ranks: np.ndarray) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """docs: doc_id and text, neither null. The lines to remove: doc_id, line."""
-    spark, ranks = docs.sparkSession, frequencies(docs)
-    found = materialise(_found(_records(docs, ranks), KEEP), "lines-found")
+    spark = docs.sparkSession
+    ranks, parts = frequencies(docs)
+    found = materialise(_found(_records(docs, ranks, parts), parts, KEEP), "lines-found")
     release(spark)
-    firsts = found.filter("what = 1").select("digest", F.struct("doc_id", "line").alias("first"))
-    copies = found.filter("what = 2").select("doc_id", "line")
+    copies = found.filter("what = 1").select("doc_id", "line")
 
-    def paired(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The digests of the pairs with their first lines, and with their words."""
-        wanted = materialise(pairs.select(F.explode(F.array("earlier", "later")).alias("digest")).distinct().join(firsts, "digest"), "lines-wanted")
-        return wanted, materialise(_words(docs, wanted), "lines-words")
+    def words_of(pairs: DataFrame) -> DataFrame:
+        sides = F.array(F.struct(F.col("earlier").alias("digest"), "home"), F.struct(F.col("later").alias("digest"), F.col("doc_id").alias("home")))
+        wanted = materialise(pairs.select(F.explode(sides).alias("side")).select("side.*").distinct(), "lines-wanted")
+        return materialise(_words(docs, wanted), "lines-words")
 
     pairs = materialise(_pairs(found), "lines-pairs")
-    wanted, words = paired(pairs)
+    words = words_of(pairs)
     # One alike earlier line is enough: the nearest by its bitmap is tried first, the other kept ones where it fails.
     done = materialise(_alike(pairs.filter("place = 0"), words), "lines-alike")
     more = materialise(_alike(pairs.filter("place > 0").join(done, "later", "left_anti"), words), "lines-alike")
-    done = done.unionByName(more)
+    later = done.unionByName(more)
     # Where all kept ones fail and there were others, all candidates of these lines are looked for.
-    open_ = materialise(pairs.filter("more").select(F.col("later").alias("digest")).distinct().join(done.withColumnRenamed("later", "digest"), "digest", "left_anti"), "lines-open")
-    later = done.withColumnRenamed("later", "digest").join(wanted, "digest").select("first.doc_id", "first.line")
+    open_ = materialise(pairs.filter("place = 0 and more").select("later").join(later, "later", "left_anti"), "lines-open")
     if not open_.isEmpty():
-        some = bitmap(_prefix_words(words.join(open_, "digest", "left_semi"), ranks))
-        laters = bitmap(open_.select(F.pmod("digest", F.lit(FILTER_BITS)).alias("place")))
-        rest = materialise(_pairs(_found(_records(docs, ranks, some).filter("kind = 0"), None, laters)).join(open_.withColumnRenamed("digest", "later"), "later", "left_semi"), "lines-pairs")
-        all_wanted, all_words = paired(rest)
-        last = materialise(_alike(rest, all_words), "lines-alike")
-        later = later.unionByName(last.withColumnRenamed("later", "digest").join(all_wanted, "digest").select("first.doc_id", "first.line"))
+        some = bitmap(_prefix_words(words.join(open_.withColumnRenamed("later", "digest"), "digest", "left_semi"), ranks))
+        laters = bitmap(open_.select(F.pmod("later", F.lit(FILTER_BITS)).alias("place")))
+        rest = materialise(_pairs(_found(_records(docs, ranks, parts, some).filter("kind = 0"), parts, None, laters)).join(open_, "later", "left_semi"), "lines-pairs")
+        later = later.unionByName(materialise(_alike(rest, words_of(rest)), "lines-alike"))
     release(spark)
-    return copies.unionByName(later).distinct()
+    return copies.unionByName(later.select("doc_id", "line")).distinct()
 
 
 def without(text: str, lines: list[int]) -> str:

@@ -15,9 +15,10 @@ STEPS = np.array([0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x
 
 
 @lru_cache(maxsize=1)
-def word_signs() -> np.ndarray:
-    """For every code point whether it belongs to words: letters, digits and other numerals."""
-    return np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+def folded() -> np.ndarray:
+    """For every code point that belongs to words (letters, digits and other numerals) its lower case, else 0."""
+    lower = (chr(c).lower() for c in range(sys.maxunicode + 1))
+    return np.fromiter((ord(x) if len(x) == 1 and x.isalnum() else 0 for x in lower), dtype=np.uint32, count=sys.maxunicode + 1)
 
 
 _powers: dict[str, np.ndarray] = {}
@@ -41,18 +42,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _words(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash and the start of each word among the code points ``cp``, in order."""
-    inside = np.zeros(len(cp) + 2, dtype=np.int8)
-    inside[1:-1] = word_signs()[cp]
+    signs = folded()[cp]
+    inside = np.zeros(len(cp) + 2, dtype=bool)
+    np.not_equal(signs, 0, out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     up, down = powers(len(cp) + 1)
     total = np.zeros(len(cp) + 1, dtype=np.uint64)
-    np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * up[: len(cp)], out=total[1:])
+    np.cumsum(np.multiply(signs, up[: len(cp)], dtype=np.uint64), out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts]), starts
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", errors="replace"), dtype=np.uint32)
+    if "\u0130" in text or "\u03a3" in text:  # their lower case is two signs, or depends on the place
+        text = text.lower()
+    return np.frombuffer(text.encode("utf-32-le", errors="replace"), dtype=np.uint32)
 
 
 def words(text: str) -> np.ndarray:
