@@ -11,8 +11,9 @@ alike lines every one that has an earlier one (in the order of doc_id, then line
    parity bitmaps of alike lines differ in few bits). Records of one digest show its first line.
 4. For each later line the nearest earlier candidates are verified on the words themselves, which another pass gives
    for just those digests. A group of n near copies of a line thus gives some pairs for each, not all n x n / 2.
-5. Lines that none of their nearest candidates removed, but that had more, get all their candidates in a further
-   pass over the few words in question. So the result is that of comparing all lines.
+5. Lines that none of their nearest candidates removed, but that had more, get all their candidates in the end, from
+   the records of the words that some line had more candidates by, which step 3 has set aside. So the result is that
+   of comparing all lines.
 """
 
 from __future__ import annotations
@@ -34,11 +35,13 @@ SIMILARITY = 0.8
 #: Counters of word frequencies (8 bytes each in a task, sent in pieces), and bits of the filter of digests. What they
 #: can't tell apart costs time only: the order of words is the same for all lines, and filters let too much through.
 COUNTERS, PIECE = 1 << 20, 1 << 12
+#: The rank of a count of 1.
+ONCE = np.uint64(64)
 FILTER_BITS = 1 << 26
 #: Parts grow with the corpus: about so many of its words to a part, which holds a fifth of them as records.
 WORDS_IN_PART, LEAST_PARTS, MOST_PARTS = 1 << 17, 64, 1 << 20
 #: Candidate pairs looked at together in a part, and kept of each word and later line (the nearest) at first.
-#: (DOUBTFUL times as many where even the nearest is not clearly alike).
+#: (DOUBTFUL times as many where even the nearest is not clearly alike, or where there are no more than that).
 SLICE, KEEP, DOUBTFUL = 1 << 20, 8, 8
 
 RECORD = np.dtype([("word", "<u4"), ("digest", "<u8"), ("bits", "<u8"), ("bits2", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u2"), ("at", "<u2")])
@@ -166,14 +169,13 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.minimum(np.log2(total.ravel() + 1) * 64, 4095).astype(np.uint16), min(max(parts, LEAST_PARTS), MOST_PARTS)
 
 
-def _records(docs: DataFrame, ranks: np.ndarray, parts: int, some: np.ndarray | None = None) -> DataFrame:
-    """kind 0: prefix records (with ``some`` only of the words in that filter), 1: first lines of digests, 2: lines that
-    are copies (FIRST records), each of a part."""
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, some))
+def _records(docs: DataFrame, ranks: np.ndarray, parts: int) -> DataFrame:
+    """kind 0: prefix records, 1: first lines of digests, 2: lines that are copies (FIRST records), each of a part."""
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            (order, some), firsts, records, owners, seen = sent.value, [], [], [], 0
+            order, firsts, records, owners, seen = sent.value, [], [], [], 0
             for chunk in chunks(batch["doc_id"], batch["text"]):
                 own = Lines(chunk.text, order)
                 if len(own.number):
@@ -182,9 +184,8 @@ def _records(docs: DataFrame, ranks: np.ndarray, parts: int, some: np.ndarray |
                     first["doc"], first["line"] = chunk.own(own.number)
                     firsts.append(first)
                     prefix = own.sizes - least_overlap(own.sizes) + 1
-                    taken = own.at < prefix[own.place]
-                    if some is not None:
-                        taken &= has(some, own.short.astype(np.int64) % FILTER_BITS)
+                    # No other line has a word that all texts have once.
+                    taken = (own.at < prefix[own.place]) & ((own.keys >> np.uint64(32)) & np.uint64(4095) > ONCE)
                     place = own.place[taken]
                     record = np.empty(len(place), dtype=RECORD)
                     record["word"], record["digest"], record["bits"], record["bits2"] = own.short[taken], own.digest[place], own.bits[place], own.bits2[place]
@@ -233,9 +234,10 @@ def by_part(rows: np.ndarray, keys: np.ndarray, parts: int) -> pd.DataFrame:
     return pd.DataFrame({"part": part[cuts], "rows": [rows[a:b].tobytes() for a, b in zip(cuts, ends)]})
 
 
-def candidates(record: np.ndarray, keep: int | None = KEEP, laters: np.ndarray | None = None) -> np.ndarray:
+def candidates(record: np.ndarray, keep: int | None = KEEP, laters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """PAIR records of lines with a word in common that no filter rules out: for each word and later line the ``keep``
-    nearest earlier ones by their bitmaps (``more``: there were others), or all. ``laters``: only of these digests."""
+    nearest earlier ones by their bitmaps (``more``: there were others), or all. ``laters``: only of these digests.
+    And the records of the words by which some line had others."""
     record = record[np.lexsort((record["line"], record["doc"], record["digest"], record["size"], record["word"]))]
     if len(record):  # of one word and digest the first line
         record = record[np.r_[True, (record["word"][1:] != record["word"][:-1]) | (record["digest"][1:] != record["digest"][:-1])]]
@@ -257,8 +259,8 @@ def candidates(record: np.ndarray, keep: int | None = KEEP, laters: np.ndarray |
                 starts = np.flatnonzero(np.r_[True, later[1:] != later[:-1]])
                 sizes = np.diff(np.r_[starts, len(later)])
                 place = np.arange(len(later)) - np.repeat(starts, sizes)
-                # A line whose nearest candidate is doubtful may fail with all of them, so more are kept.
-                most = np.repeat(np.where(apart[starts] * 2 > able[starts], DOUBTFUL * keep, keep), sizes)
+                # A line whose nearest candidate is doubtful may fail with all of them, so more are kept; so are a few more.
+                most = np.repeat(np.where((apart[starts] * 2 > able[starts]) | (sizes <= DOUBTFUL * keep), DOUBTFUL * keep, keep), sizes)
                 more[later[place >= most]] = True
                 later, earlier, apart, able = (x[place < most] for x in (later, earlier, apart, able))
             held, total = [(later, earlier, apart, able)], 0
@@ -298,7 +300,7 @@ def candidates(record: np.ndarray, keep: int | None = KEEP, laters: np.ndarray |
         out["later"], out["earlier"], out["apart"], out["more"] = digest[later], digest[earlier], apart, more[later]
         # All tasks with a line send it by the same words, so here its first place is known.
         out["home"], out["doc"], out["line"] = doc[earlier], doc[later], line[later]
-    return out
+    return out, record[np.isin(word, np.unique(word[more]))]
 
 
 def bitmap(places: DataFrame) -> np.ndarray:
@@ -330,14 +332,16 @@ def maybe_in(table: np.ndarray, docs: DataFrame, key: str) -> Column:
     return test(place_of(key))
 
 
-def _found(packed: DataFrame, parts: int, keep: int | None, laters: np.ndarray | None = None) -> DataFrame:
-    """what 0: pairs of digests, packed by part; 1: a copy to remove (doc_id, line)."""
-    sent = packed.sparkSession.sparkContext.broadcast(laters)
+def _found(packed: DataFrame, parts: int, keep: int) -> DataFrame:
+    """what 0: pairs of digests, packed by part; 1: a copy to remove (doc_id, line); 2: records for ``_rest``."""
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["kind"].iat[0] == 0:
-            pairs = candidates(np.concatenate([np.frombuffer(x, dtype=RECORD) for x in rows["rows"]]), keep, sent.value)
-            return by_part(pairs, mixed(pairs["later"]), parts).assign(what=0, doc_id=0, line=0)[["what", "part", "doc_id", "line", "rows"]]
+            pairs, hot = candidates(np.concatenate([np.frombuffer(x, dtype=RECORD) for x in rows["rows"]]), keep)
+            out = by_part(pairs, mixed(pairs["later"]), parts).assign(what=0)
+            if len(hot):
+                out.loc[len(out)] = {"part": 0, "rows": hot.tobytes(), "what": 2}
+            return out.assign(doc_id=0, line=0)[["what", "part", "doc_id", "line", "rows"]]
         first = np.concatenate([np.frombuffer(x, dtype=FIRST) for x in rows["rows"]])
         if rows["kind"].iat[0] == 1:
             first = first[in_order(first)]
@@ -347,6 +351,21 @@ def _found(packed: DataFrame, parts: int, keep: int | None, laters: np.ndarray |
     return packed.groupBy("kind", "part").applyInPandas(group, "what int, part int, doc_id long, line int, rows binary")
 
 
+def _rest(found: DataFrame, parts: int, some: np.ndarray, laters: np.ndarray) -> DataFrame:
+    """All candidate pairs of the digests in ``laters`` by the words in ``some``: what, part, rows as in ``_found``."""
+    sent = found.sparkSession.sparkContext.broadcast((some, laters))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rows in batch["rows"]:  # a word has all its records in one row
+                record = np.frombuffer(rows, dtype=RECORD)
+                record = record[has(sent.value[0], record["word"].astype(np.int64) % FILTER_BITS)]
+                pairs, _ = candidates(record, None, sent.value[1])
+                yield by_part(pairs, mixed(pairs["later"]), parts).assign(what=0)[["what", "part", "rows"]]
+
+    return found.filter("what = 2").select("rows").mapInPandas(run, "what int, part int, rows binary")
+
+
 def _pairs(found: DataFrame) -> DataFrame:
     """earlier, later, place, more, home (the earlier line's doc_id), doc_id and line (the later one's): each candidate
     pair once (it may have come from several words); place 0 is a later line's nearest; more: some word had further
@@ -370,23 +389,23 @@ def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Filters of a fixed size say which documents and digests are wanted; false hits only cost a row.
     """
-    filters = bitmap(wanted.select(place_of("home"))), bitmap(wanted.select(F.pmod("digest", F.lit(FILTER_BITS)).alias("place")))
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    homes = bitmap(wanted.select(place_of("home")))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.pmod("digest", F.lit(FILTER_BITS)).alias("place"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        homes, cell = sent.value
         for batch in batches:
             out: dict[int, bytes] = {}
-            for chunk in chunks(repeat(0), batch["text"][has(homes, batch["place"].to_numpy())]):
+            for chunk in chunks(repeat(0), batch["text"]):
                 own = Lines(chunk.text, None)
-                hit = np.flatnonzero(has(cell, (own.digest % np.uint64(FILTER_BITS)).astype(np.int64))) if len(own.number) else ()
+                hit = np.flatnonzero(has(sent.value, (own.digest % np.uint64(FILTER_BITS)).astype(np.int64))) if len(own.number) else ()
                 for i in hit:
                     if (d := int(own.digest[i].astype(np.int64))) not in out:
                         a, z = np.searchsorted(own.line, [own.number[i], own.number[i] + 1])
                         out[d] = distinct(own.words[a:z]).tobytes()
             yield pd.DataFrame({"digest": list(out), "words": list(out.values())}).astype({"digest": "int64", "words": "object"})
 
-    found = docs.select(place_of("doc_id"), "text").mapInPandas(run, "digest long, words binary").groupBy("digest").agg(F.min("words").alias("words"))
+    near = docs.filter(maybe_in(homes, docs, "doc_id")).select("text")
+    found = near.mapInPandas(run, "digest long, words binary").groupBy("digest").agg(F.min("words").alias("words"))
     return found.join(wanted.select("digest"), "digest", "left_semi")
 
 
@@ -440,14 +459,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     words = words_of(pairs)
     # One alike earlier line is enough: the nearest by its bitmap is tried first, the other kept ones where it fails.
     done = materialise(_alike(pairs.filter("place = 0"), words), "lines-alike")
-    more = materialise(_alike(pairs.filter("place > 0").join(done, "later", "left_anti"), words), "lines-alike")
+    others = materialise(pairs.filter("place > 0").join(done, "later", "left_anti"), "lines-pairs")
+    asked = bitmap(others.select(F.explode(F.array("earlier", "later")).alias("digest")).select(place_of("digest")))
+    more = materialise(_alike(others, words.filter(maybe_in(asked, words, "digest"))), "lines-alike")
     later = done.unionByName(more)
     # Where all kept ones fail and there were others, all candidates of these lines are looked for.
     open_ = materialise(pairs.filter("place = 0 and more").select("later").join(later, "later", "left_anti"), "lines-open")
     if not open_.isEmpty():
         some = bitmap(_prefix_words(words.join(open_.withColumnRenamed("later", "digest"), "digest", "left_semi"), ranks))
         laters = bitmap(open_.select(F.pmod("later", F.lit(FILTER_BITS)).alias("place")))
-        rest = materialise(_pairs(_found(_records(docs, ranks, parts, some).filter("kind = 0"), parts, None, laters)).join(open_, "later", "left_semi"), "lines-pairs")
+        rest = materialise(_pairs(_rest(found, parts, some, laters)).join(open_, "later", "left_semi"), "lines-pairs")
         later = later.unionByName(materialise(_alike(rest, words_of(rest)), "lines-alike"))
     release(spark)
     return copies.unionByName(later.select("doc_id", "line")).distinct()
