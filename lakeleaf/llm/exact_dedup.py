@@ -51,6 +51,10 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def close(self) -> None:
+        """Take the table's name out of the catalogue. Its files stay, and frames made from it can still be read."""
+        self.spark.sql(f"drop table if exists {self.name}")
+
     def append(self, new: DataFrame) -> None:
         (
             new.select("digest", "keep_id", "batch")
@@ -59,12 +63,13 @@ class DigestIndex:
             .option("path", self.path).saveAsTable(self.name)
         )
 
-    def add(self, groups: DataFrame) -> DataFrame:
+    def add(self, groups: DataFrame, batch: str | None = None) -> DataFrame:
         """Append the groups whose digest the index lacks; return digest, keep_id and new for each group.
 
-        ``groups`` (one row per digest: digest, first_id) must be a written table, since it is read twice.
+        ``groups`` (one row per digest: digest, first_id) must be a written table, since it is read twice. A batch that
+        is added again under its name, after a failure or by mistake, gives the same answer and changes nothing.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         fresh = groups.hint("merge").join(self.table(), "digest", "left_anti")
         self.append(fresh.select("digest", F.col("first_id").alias("keep_id"), F.lit(batch).alias("batch")))
         return groups.hint("merge").join(self.table(), "digest").withColumn("new", F.col("batch") == batch)
@@ -80,31 +85,40 @@ def digest_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     return keys, materialise(groups.select("digest", F.col("best.doc_id").alias("first_id"), (-F.col("best.less")).alias("points"), "group_size", "salts"), "digest-groups")
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def _added(spark: SparkSession, groups: DataFrame, index: DigestIndex | None, batch: str | None) -> DataFrame:
+    if index is not None:
+        return index.add(groups, batch)
+    index = DigestIndex(spark, buckets=buckets_for(groups.count()))
+    found = index.add(groups, batch)
+    index.close()
+    return found
+
+
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id", batch: str | None = None) -> DataFrame:
     """Dedupe ``docs`` against ``index`` (a new one by default) and within itself; append what is new to it.
 
     Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256. Equal texts are those with the
     same digest. A text that the index had before is not kept, and its keep_id is the index's; else the row with
     the most code points, then the smallest doc_id (null last) stays. group_size counts the rows of this batch.
     Null and empty texts are equal to each other. Of fully repeated rows one stays. An empty table gives an empty
-    result. Other columns are ignored.
+    result. Other columns are ignored. Very long texts are hashed whole. ``batch`` names the rows, so that a run can be
+    repeated against the same index.
     """
     keys, groups = digest_groups(docs, text, doc_id)
-    index = index or DigestIndex(docs.sparkSession, buckets=buckets_for(groups.count()))
-    found = index.add(groups).select("digest", "keep_id", "new", "first_id", F.col("points").alias("most"), "group_size", F.explode("salts").alias("salt"))
+    found = _added(docs.sparkSession, groups, index, batch).select("digest", "keep_id", "new", "first_id", F.col("points").alias("most"), "group_size", F.explode("salts").alias("salt"))
     each = keys.hint("merge").join(found, ["digest", "salt"]).select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     kept = F.col("new") & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("points") == F.col("most")) & (F.col("copy") == 1)
     return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id", batch: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, whatever their names and types.
 
-    Rows that share both doc_id and digest are told apart by nothing else, so one of them is taken by its columns.
+    Rows that share both doc_id and digest are told apart by nothing else, so one of them is taken by its columns (the
+    least as JSON). Of null and empty texts one stays; an empty table gives an empty result.
     """
     keys, groups = digest_groups(docs, text, doc_id)
-    index = index or DigestIndex(docs.sparkSession, buckets=buckets_for(groups.count()))
-    stays = index.add(groups).filter("new").select("digest", F.col("first_id").alias("stay_id"), F.col("points").alias("most"))
+    stays = _added(docs.sparkSession, groups, index, batch).filter("new").select("digest", F.col("first_id").alias("stay_id"), F.col("points").alias("most"))
     repeated = keys.groupBy("digest", "doc_id", "points").agg(F.sum("copies").alias("n")).filter("n > 1")
     mine = F.struct(digest(F.col(text)).alias("digest"), F.col(doc_id).cast("long").alias("id"), F.coalesce(F.length(text), F.lit(0)).alias("points"))
     wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), mine.alias("key"))
@@ -112,5 +126,5 @@ def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, text: s
     # The join is on digest and doc_id together: a hot digest is spread over its doc_ids.
     joined = wide.hint("merge").join(stays, same, "left_semi")
     if not repeated.isEmpty():
-        joined = joined.groupBy("key").agg(F.min("row").alias("row"))
+        joined = joined.groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return joined.select("row.*")

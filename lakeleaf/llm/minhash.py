@@ -1,10 +1,11 @@
 """Operator 1, near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted
 Jaccard similarity.
 
-1. Document frequencies. A shingle's weight is tf x idf, idf = ln(1 + N / max(df, FLOOR x N)). Only shingles in at
-   least FLOOR of all documents differ from the largest idf, and at most (mean shingles of a document) / FLOOR exist,
-   so their table is bounded however large the corpus is. A lossy count over all documents finds the candidates, a
-   second pass counts these exactly.
+1. Exact document frequencies of all shingles. Documents are dealt to chunks of about CHUNK characters by a hash; a chunk
+   sends each of its shingles once, with the number of its documents that have it, to the shingle's part. There the
+   numbers are added up, and each chunk gets back those of its own shingles. A shingle that many documents have is
+   thus one record for each chunk, and nothing that grows with the corpus is broadcast.
+   A shingle's weight is tf x idf with idf = 1 + ln(N / df) / ln N, from 1 (in every document) to 2 (in one).
 2. Every text gets BANDS x ROWS consistent weighted samples, a key for each band, and a digest of its shingles.
    Texts with the same digest are one node; copies, however many, never meet each other.
 3. In every bucket (band, key) each member is paired with its sub-leader (the smallest node of the same salt) and
@@ -20,25 +21,26 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeleaf.llm.common import SALTS, distinct, materialise, salt
+from lakeleaf.llm.common import SALTS, distinct, materialise, release, salt
 from lakeleaf.llm.components import components
 from lakeleaf.llm.shingles import mixed, shingles
 
 SIMILARITY, BANDS, ROWS = 0.8, 12, 4
-FLOOR, SLACK = 0.01, 0.0025
 STARS = 2
 #: Members of a bucket compared at once when the stars left it open.
 BLOCK = 128
 #: Share of equal samples below which a pair can't be SIMILARITY alike: four standard deviations under it.
 AGREE = SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS))
-#: Shingles counted at once in a task.
-CHUNK = 2_000_000
+#: Characters of a chunk, of which a task holds one, and shingles of a part (about one to 7 characters).
+CHUNK, PART = 8_000_000, 4_000_000
+LEAST_CHUNKS, MOST_PARTS = 64, 1 << 22
 SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 SCRAMBLE = np.uint64(0xFF51AFD7ED558CCD)
 MIX_A = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -62,21 +64,10 @@ def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(text), return_counts=True)
 
 
-class Weights:
-    """tf x idf, from the table of common shingles (sorted hashes and document frequencies) and N."""
-
-    def __init__(self, common: np.ndarray, df: np.ndarray, n: int):
-        floor = FLOOR * n
-        self.common, self.rest = common, math.log(1 + n / max(floor, 1.0)) if n else 1.0
-        self.idf = np.log(1 + n / np.maximum(df, max(floor, 1.0)))
-
-    def of(self, index: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        idf = np.full(len(index), self.rest)
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, index), len(self.common) - 1)
-            hit = self.common[at] == index
-            idf[hit] = self.idf[at[hit]]
-        return tf * idf
+def weights(tf: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+    """tf x idf, for ``n`` documents. The plain ln(1 + N / df) would let a few edited words outweigh all that the texts
+    of a large group of near copies share; here the rarest shingle weighs twice the commonest."""
+    return tf * (2 - np.log(df) / math.log(n)) if n > 1 else tf.astype(np.float64)
 
 
 def samples(index: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -127,92 +118,110 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / whole if whole else 0.0
 
 
-def common_shingles(docs: DataFrame) -> Weights:
-    """docs: text, not null. Counts every document."""
+class Layout(NamedTuple):
+    """Numbers of documents, of chunks, and of bits of a shingle that name its part."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray]]:
-        held, size = [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                held.append(distinct(shingles(text)))
-                size += len(held[-1])
-                if size >= CHUNK:
-                    yield len(held), np.concatenate(held)
-                    held, size = [], 0
-        if held:
-            yield len(held), np.concatenate(held)
-
-    def lossy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for n, found in each(batches):
-            index, count = np.unique(found, return_counts=True)
-            enough = count >= math.ceil(SLACK * n)  # so at most SLACK x N is missed of any shingle
-            yield pd.DataFrame({"shingle": index[enough].view(np.int64), "n": count[enough]})
-
-    n = docs.count()
-    counted = docs.mapInPandas(lossy, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    maybe = np.sort(counted.filter(F.col("n") >= (FLOOR - SLACK) * n).select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
-    if not len(maybe):
-        return Weights(maybe, np.empty(0), n)
-    sent = docs.sparkSession.sparkContext.broadcast(maybe)
-
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = sent.value
-        total = np.zeros(len(wanted), dtype=np.int64)
-        for _, found in each(batches):
-            at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-            total += np.bincount(at[wanted[at] == found], minlength=len(wanted))
-        yield pd.DataFrame({"place": np.flatnonzero(total), "n": total[total > 0]})
-
-    df = docs.mapInPandas(exact, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).filter(F.col("n") >= FLOOR * n).orderBy("place").toPandas()
-    return Weights(maybe[df["place"].to_numpy()], df["n"].to_numpy(), n)
-
-
-def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """docs: doc_id, text, neither null. doc_id, digest (of the shingles with their counts), keys, codes.
-
-    A text without words has null keys and codes, and a digest of its own.
+    docs: int
+    chunks: int
+    bits: int
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Layout:
+        found = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+        parts = min(-(-found["chars"] // (7 * PART)), MOST_PARTS)
+        return cls(found["n"], max(LEAST_CHUNKS, -(-found["chars"] // CHUNK)), max(0, parts - 1).bit_length())
+
+    def part(self, index: np.ndarray) -> np.ndarray:
+        return (index >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(index), dtype=np.int64)
+
+
+def united(indexes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of some texts, sorted, and how many texts have each. indexes: distinct in each text."""
+    every = np.sort(np.concatenate(indexes)) if indexes else np.empty(0, np.uint64)
+    starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.empty(0, np.int64)
+    return every[starts], np.diff(np.r_[starts, len(every)])
+
+
+def frequencies(docs: DataFrame, layout: Layout) -> DataFrame:
+    """docs: chunk, text. chunk, part, dfs: the document frequencies (u4) of a chunk's shingles in that part, in order."""
+
+    def send(group: pd.DataFrame) -> pd.DataFrame:
+        index, count = united([distinct(shingles(t)) for t in group["text"]])
+        part = layout.part(index)
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
+        ends = np.r_[cuts[1:], len(part)]
+        count = count.astype(np.uint32)
+        return pd.DataFrame({"chunk": group["chunk"].iat[0], "part": part[cuts], "index": [index[a:z].tobytes() for a, z in zip(cuts, ends)], "counts": [count[a:z].tobytes() for a, z in zip(cuts, ends)]})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        index = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in group["index"]])
+        counts = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group["counts"]])
+        order = np.argsort(index)
+        new = np.r_[True, index[order][1:] != index[order][:-1]]
+        total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))
+        df = np.empty(len(index), dtype=np.uint32)
+        df[order] = total[np.cumsum(new) - 1]
+        sizes = group["index"].map(len).to_numpy() // 8
+        return pd.DataFrame({"chunk": group["chunk"], "part": group["part"], "dfs": [x.tobytes() for x in np.split(df, np.cumsum(sizes)[:-1])]})
+
+    sent = docs.select("chunk", "text").groupBy("chunk").applyInPandas(send, "chunk long, part int, index binary, counts binary")
+    return sent.groupBy("part").applyInPandas(add, "chunk long, part int, dfs binary")
+
+
+def signatures(docs: DataFrame, found: DataFrame, layout: Layout) -> DataFrame:
+    """docs: chunk, row, doc_id, text, none null; found: of ``frequencies``. row, doc_id, digest (of the shingles with
+    their counts), keys, codes, dfs (the document frequencies, u4, of the text's shingles, sorted).
+
+    A text without words has null keys, codes and dfs, and a digest of its own.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                index, tf = vector(text)
-                if len(index):
-                    codes = samples(index, sent.value.of(index, tf))
-                    digest = hashlib.blake2b(index.tobytes() + tf.astype(np.int64).tobytes(), digest_size=16).digest()
-                    out.append((doc_id, digest, band_keys(codes), codes.tobytes()))
-                else:
-                    out.append((doc_id, f"no words {doc_id}".encode(), None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "digest", "keys", "codes"])
+    def sign(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        vectors = [vector(t) for t in group["text"]]
+        index, _ = united([v[0] for v in vectors])
+        answers = answers.sort_values("part")
+        df = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in answers["dfs"]]) if len(answers) else np.empty(0, np.uint32)
+        out = []
+        for row, doc_id, (own, tf) in zip(group["row"], group["doc_id"], vectors):
+            if len(own):
+                mine = df[np.searchsorted(index, own)]
+                codes = samples(own, weights(tf, mine, layout.docs))
+                digest = hashlib.blake2b(own.tobytes() + tf.astype(np.int64).tobytes(), digest_size=16).digest()
+                out.append((row, doc_id, digest, band_keys(codes), codes.tobytes(), mine.tobytes()))
+            else:
+                out.append((row, doc_id, f"no words {doc_id}".encode(), None, None, None))
+        return pd.DataFrame(out, columns=["row", "doc_id", "digest", "keys", "codes", "dfs"])
 
-    return docs.mapInPandas(run, "doc_id long, digest binary, keys array<long>, codes binary")
+    both = docs.select("chunk", "row", "doc_id", "text").groupBy("chunk").cogroup(found.groupBy("chunk"))
+    return both.applyInPandas(sign, "row long, doc_id long, digest binary, keys array<long>, codes binary, dfs binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
-    """The pairs (a, b) whose texts are SIMILARITY alike. texts: node, text."""
-    sent = pairs.sparkSession.sparkContext.broadcast(weights)
+def weighed(text: str, dfs: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, and weights of a text."""
+    index, tf = vector(text)
+    return index, weights(tf, np.frombuffer(dfs, dtype=np.uint32), n)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """The pairs (a, b) whose texts are SIMILARITY alike. texts: node, text, dfs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = sent.value
-        for batch in batches:
-            seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-            def weighed(node: int, text: str, seen=seen) -> tuple[np.ndarray, np.ndarray]:
-                if node not in seen:
-                    if len(seen) > 256:
-                        seen.clear()
-                    index, tf = vector(text)
-                    seen[node] = index, own.of(index, tf)
-                return seen[node]
+        def known(node: int, text: str, dfs: bytes) -> tuple[np.ndarray, np.ndarray]:
+            if node not in seen:
+                if len(seen) > 256:
+                    seen.clear()
+                seen[node] = weighed(text, dfs, n)
+            return seen[node]
 
-            alike = [weighted_jaccard(weighed(a, x), weighed(b, y)) >= SIMILARITY for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"])]
+        for batch in batches:
+            alike = [weighted_jaccard(known(a, x, f), known(b, y, g)) >= SIMILARITY for a, b, x, f, y, g in zip(*(batch[c] for c in ("a", "b", "text_a", "dfs_a", "text_b", "dfs_b")))]
             yield batch.loc[alike, ["a", "b"]]
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+    met = pairs.select("a", "b")
+    for side in ("a", "b"):
+        met = met.hint("merge").join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"), F.col("dfs").alias(f"dfs_{side}")), side)
+    return met.select("a", "b", "text_a", "dfs_a", "text_b", "dfs_b").mapInPandas(run, "a long, b long")
 
 
 def star_pairs(members: DataFrame, seed: int) -> DataFrame:
@@ -238,14 +247,13 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(known.hint("merge").join(found, ["band", "key", "salt"]), "minhash-open")
 
 
-def missed_links(open_: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
+def missed_links(open_: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Links between unlike components of a bucket. Members outside the bucket's main component meet all members.
 
     The work is a grid: blocks of others against blocks of main members and against blocks of others, up to
     2 x BLOCK members to a task. A pair is looked at only in the first band that it shares, and only if its samples
     agree; pairs that a task has already connected are passed over.
     """
-    sent = open_.sparkSession.sparkContext.broadcast(weights)
     chunk = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK).cast("int"), F.lit(1))
     rows = open_.withColumn("is_main", F.col("label") == F.col("main")).withColumn("us", chunk("others")).withColumn("ms", chunk("mains"))
     at = lambda n: F.pmod(F.xxhash64("node", F.lit(9)), F.col(n)).cast("int")
@@ -255,13 +263,13 @@ def missed_links(open_: DataFrame, texts: DataFrame, weights: Weights) -> DataFr
     cells = F.when(F.col("is_main"), F.transform(upto("us"), lambda c: cell(c, 0, F.col("block")))).otherwise(
         F.concat(F.transform(upto("ms"), lambda t: cell(F.col("block"), 0, t)), F.transform(upto("us"), lambda t: cell(F.least("block", t), 1, F.greatest("block", t))))
     )
-    rows = rows.withColumn("block", mine).hint("merge").join(texts, "node").select("band", "key", "node", "label", "codes", "text", "is_main", "block", F.explode(cells).alias("cell"))
-    rows = rows.select("band", "key", "cell.*", "node", "label", "codes", "text", "is_main", "block").repartition("band", "key", "c", "kind", "t").sortWithinPartitions("band", "key", "c", "kind", "t", "node")
+    rows = rows.withColumn("block", mine).hint("merge").join(texts, "node").select("band", "key", "node", "label", "codes", "text", "dfs", "is_main", "block", F.explode(cells).alias("cell"))
+    rows = rows.select("band", "key", "cell.*", "node", "label", "codes", "text", "dfs", "is_main", "block").repartition("band", "key", "c", "kind", "t").sortWithinPartitions("band", "key", "c", "kind", "t", "node")
     least = math.ceil(AGREE * BANDS * ROWS)
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
         codes = np.stack([np.frombuffer(c, dtype=np.uint32) for c in group["codes"]])
-        node, label, text, main, block = (group[c].to_numpy() for c in ("node", "label", "text", "is_main", "block"))
+        node, label, text, dfs, main, block = (group[c].to_numpy() for c in ("node", "label", "text", "dfs", "is_main", "block"))
         band, kind, c, t = (group[x].iat[0] for x in ("band", "kind", "c", "t"))
         over = {x: x for x in set(label.tolist())}
 
@@ -272,10 +280,9 @@ def missed_links(open_: DataFrame, texts: DataFrame, weights: Weights) -> DataFr
 
         vectors: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def weighed(x: int) -> tuple[np.ndarray, np.ndarray]:
+        def known(x: int) -> tuple[np.ndarray, np.ndarray]:
             if x not in vectors:
-                index, tf = vector(text[x])
-                vectors[x] = index, sent.value.of(index, tf)
+                vectors[x] = weighed(text[x], dfs[x], n)
             return vectors[x]
 
         found = []
@@ -292,7 +299,7 @@ def missed_links(open_: DataFrame, texts: DataFrame, weights: Weights) -> DataFr
                 able &= block == t if block[x] == c else False
             for y in np.flatnonzero(able).tolist():
                 a, b = top(label[x]), top(label[y])
-                if a != b and weighted_jaccard(weighed(x), weighed(y)) >= SIMILARITY:
+                if a != b and weighted_jaccard(known(x), known(y)) >= SIMILARITY:
                     over[max(a, b)] = min(a, b)
                     found.append((min(node[x], node[y]), max(node[x], node[y])))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
@@ -312,11 +319,27 @@ def missed_links(open_: DataFrame, texts: DataFrame, weights: Weights) -> DataFr
     return rows.mapInPandas(run, "a long, b long").distinct()
 
 
+def _row_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
+
+
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that ``near_classes`` keeps, with all their columns."""
-    classes = materialise(near_classes(docs, text, doc_id), "minhash-classes")
-    gone = classes.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("gone_id"), "left_anti")
+    """The rows of ``docs`` that ``near_classes`` keeps, with all their columns, whatever their names and types.
+
+    Of rows that share both doc_id and text one stays (the least as JSON), if any. Rows with a null doc_id, and texts
+    that are null or without a word, all stay. An empty table gives an empty result.
+    """
+    classes = materialise(_classes(docs, text, doc_id), "minhash-classes")
+    gone = classes.filter("not kept").select("row", "doc_id").distinct()
+    repeated = classes.filter("doc_id is not null and has_words").groupBy("row", "doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    key = F.struct(_row_key(docs[doc_id], docs[text]).alias("row"), docs[doc_id].cast("long").alias("doc_id"))
+    wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("all"), key.alias("key"))
+    stays = wide.join(gone, (F.col("key.row") == gone["row"]) & (F.col("key.doc_id") == gone["doc_id"]), "left_anti")
+    repeated = materialise(repeated.select(F.struct("row", "doc_id").alias("key")), "minhash-repeated")
+    if not repeated.isEmpty():
+        several = stays.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("all", F.to_json("all")).alias("all")).select("all", "key")
+        stays = stays.join(repeated, "key", "left_anti").select("all", "key").unionByName(several)
+    return stays.select("all.*")
 
 
 def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -325,12 +348,24 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     Classes are the connected components of texts that are SIMILARITY alike, texts with the same shingles among
     them. Texts that are null or without a word, and rows with a null doc_id, are alike to none (class_id doc_id,
     kept). doc_id is meant to be unique: of rows that share one, each gets the class of its own text, and links are
-    verified by the smallest of their texts. Other columns are ignored; an empty table gives an empty result.
+    verified by the smallest of their texts. Very long texts are read whole. Other columns are ignored; an empty table
+    gives an empty result.
     """
-    every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return _classes(docs, text, doc_id).select("doc_id", "class_id", "kept")
+
+
+def _classes(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``near_classes`` with row (the key of doc_id and text) and has_words."""
+    spark = docs.sparkSession
+    every = docs.select(_row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = every.filter("doc_id is not null")
-    weights = common_shingles(rows.select("text"))
-    signed = materialise(signatures(rows, weights).withColumn("salt", salt("doc_id")), "minhash-signatures")
+    layout = Layout.of(rows)
+    n = layout.docs
+    chunked = rows.withColumn("chunk", F.pmod("row", F.lit(layout.chunks)).cast("long"))
+    found = materialise(frequencies(chunked, layout), "minhash-frequencies")
+    release(spark)
+    signed = materialise(signatures(chunked, found, layout).withColumn("salt", salt("doc_id")), "minhash-signatures")
+    release(spark)
     # One node for each digest; its copies are remembered by their salts only.
     nodes = materialise(signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.collect_set("salt").alias("salts"), F.first("keys").alias("keys"), F.first("codes").alias("codes")), "minhash-nodes")
     members = nodes.filter("keys is not null").select("node", "codes", F.posexplode("keys").alias("band", "key")).withColumn("salt", salt("node"))
@@ -338,9 +373,12 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     full = buckets.select("band", "key", F.explode("salts").alias("salt"))
     members = materialise(members.hint("merge").join(full, ["band", "key", "salt"]).distinct(), "minhash-members")
     involved = members.select("node").distinct()
-    texts = materialise(rows.withColumnRenamed("doc_id", "node").hint("merge").join(involved, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "minhash-texts")
+    wanted = signed.select("row", F.col("doc_id").alias("node"), "dfs").hint("merge").join(involved, "node", "left_semi").groupBy("row", "node").agg(F.first("dfs").alias("dfs"))
+    met = rows.select("row", F.col("doc_id").alias("node"), "text").hint("merge").join(wanted, ["row", "node"])
+    texts = materialise(met.groupBy("node").agg(F.min(F.struct("text", "dfs")).alias("t")).select("node", "t.text", "t.dfs"), "minhash-texts")
+    release(spark)
     tried = materialise(star_pairs(members, 0), "minhash-pairs")
-    links = materialise(verified(tried, texts, weights), "minhash-links")
+    links = materialise(verified(tried, texts, n), "minhash-links")
     labels = components(links)
     for seed in range(1, STARS + 1):
         open_ = open_members(members, labels)
@@ -348,11 +386,12 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             break
         # Other leaders connect many of those that the first ones happened not to.
         more = materialise(star_pairs(open_, seed).join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        tried, links = tried.unionByName(more), links.unionByName(materialise(verified(more, texts, weights), "minhash-links"))
+        tried, links = tried.unionByName(more), links.unionByName(materialise(verified(more, texts, n), "minhash-links"))
         labels = components(links)
     if not open_.isEmpty():
-        labels = components(links.unionByName(materialise(missed_links(open_, texts, weights), "minhash-links")))
+        labels = components(links.unionByName(materialise(missed_links(open_, texts, n), "minhash-links")))
     found = nodes.select("digest", "node", F.explode("salts").alias("salt")).hint("merge").join(labels, "node", "left").withColumn("class_id", F.coalesce("label", "node")).select("digest", "salt", "class_id")
-    placed = signed.select("doc_id", "digest", "salt").hint("merge").join(found, ["digest", "salt"])
-    placed = placed.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    return placed.unionByName(every.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept")))
+    placed = signed.select("row", "doc_id", "digest", "salt", F.col("keys").isNotNull().alias("has_words")).hint("merge").join(found, ["digest", "salt"])
+    placed = placed.select("row", "doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "has_words")
+    none = every.filter("doc_id is null").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), F.lit(False).alias("has_words"))
+    return placed.unionByName(none)

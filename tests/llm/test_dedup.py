@@ -1,8 +1,9 @@
 """Operators 1, 5 and 8 against brute force, and their edge cases."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -48,6 +49,24 @@ def test_exact_dedup_keeps_rows_whole(spark):
     assert [(r["doc_id"], r["text"]) for r in kept] == [(2, "a b"), (3, "c")] and len(kept[0]) == 9
 
 
+def test_exact_copies_of_rows_with_maps_and_clashing_names(spark):
+    rows = [(1, "a", {"k": 2}), (1, "a", {"k": 1}), (2, " a", None), (None, None, None), (4, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest map<string,int>")
+    got = drop_exact_copies(docs.withColumn("key", docs["text"]).withColumn("row", docs["text"])).collect()
+    # " a" has more code points than "a"
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("2", " a"), ("4", "")]
+
+
+def test_a_batch_may_be_added_again(spark):
+    index = DigestIndex(spark, buckets=4)
+    rows = frame(spark, [(1, "a"), (2, "b"), (3, "a")])
+    once, again = (sorted(map(tuple, exact_dedup(rows, index, batch="one").collect())) for _ in range(2))
+    assert once == again and index.table().count() == 2
+    assert not any(r["kept"] for r in exact_dedup(rows, index, batch="two").collect())
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup(rows).count() == 3 and {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_digest_index_grows(spark):
     index = DigestIndex(spark, buckets=4)
     first = exact_dedup(frame(spark, [(1, "a"), (2, "b")]), index).collect()
@@ -80,15 +99,25 @@ def corpus(seed=3):
     return [*texts, "", None, "!?", "one two", "one two", "One, two!"]
 
 
+def brute_weights(rows):
+    """Of each text with a word: shingle -> tf x idf, from the formula, sharing nothing with the operator."""
+    counts = {}
+    for i, t in rows:
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        if w:
+            counts[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    df = Counter(k for c in counts.values() for k in c)
+    n = len(rows)
+    return {i: {k: tf * (1 + math.log(n / df[k]) / math.log(n)) for k, tf in c.items()} for i, c in counts.items()}
+
+
+def brute_alike(a, b):
+    both = sum(min(a[k], b[k]) for k in a.keys() & b.keys())
+    return both >= 0.8 * (sum(a.values()) + sum(b.values()) - both)
+
+
 def brute_classes(rows):
-    vectors = {i: minhash.vector(t or "") for i, t in rows}
-    df = defaultdict(int)
-    for index, _ in vectors.values():
-        for k in index.tolist():
-            df[k] += 1
-    common = np.array(sorted(k for k, n in df.items() if n >= minhash.FLOOR * len(rows)), dtype=np.uint64)
-    weights = minhash.Weights(common, np.array([df[int(k)] for k in common]), len(rows))
-    weighed = {i: (v[0], weights.of(*v)) for i, v in vectors.items() if len(v[0])}
+    weighed = brute_weights(rows)
     over = {i: i for i, _ in rows}
 
     def top(x):
@@ -96,11 +125,14 @@ def brute_classes(rows):
             x = over[x]
         return x
 
-    ids = sorted(weighed)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            if minhash.weighted_jaccard(weighed[a], weighed[b]) >= minhash.SIMILARITY and top(a) != top(b):
-                over[max(top(a), top(b))] = min(top(a), top(b))
+    having = defaultdict(set)
+    for i in sorted(weighed):
+        near = set().union(*(having[k] for k in weighed[i])) if weighed[i] else set()
+        for b in sorted(near):
+            if top(i) != top(b) and brute_alike(weighed[i], weighed[b]):
+                over[max(top(i), top(b))] = min(top(i), top(b))
+        for k in weighed[i]:
+            having[k].add(i)
     return {i: top(i) for i, _ in rows}
 
 
@@ -129,6 +161,40 @@ def test_near_classes_of_a_large_loose_group(spark, monkeypatch):
     assert missed <= 2  # a pair at the very threshold shares a band with probability 0.998
 
 
+def test_near_recall_on_the_tables(spark):
+    """All pairs of the smallest documents table that are alike by brute force are found, up to one in ten."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
+    got = {r["doc_id"]: r["class_id"] for r in near_classes(docs).collect()}
+    linked = [i for i in want if want[i] != i]
+    assert linked and sum(got[i] == want[i] for i in linked) >= 0.9 * len(linked)
+    assert all(got[i] == i for i in want if list(want.values()).count(want[i]) == 1)
+
+
+def test_frequencies_are_exact(spark, monkeypatch):
+    """However the documents are dealt to chunks, and shingles to parts."""
+    rows = list(enumerate(corpus()))
+    df = Counter(k for _, t in rows for k in set(minhash.shingles(t or "").tolist()))
+    monkeypatch.setattr(minhash, "LEAST_CHUNKS", 3)
+    for part in (minhash.PART, 200):
+        monkeypatch.setattr(minhash, "PART", part)
+        docs = frame(spark, rows).na.fill("").selectExpr("doc_id % 3 as chunk", "doc_id as row", "doc_id", "text")
+        layout = minhash.Layout.of(docs)
+        assert (layout.bits > 0) == (part == 200)
+        for r in minhash.signatures(docs, minhash.frequencies(docs, layout), layout).collect():
+            index, _ = minhash.vector(dict(rows)[r["doc_id"]] or "")
+            assert np.frombuffer(r["dfs"] or b"", dtype=np.uint32).tolist() == [df[k] for k in index.tolist()]
+
+
+def test_near_copies_of_rows_with_clashing_names(spark):
+    text = "a b c d e f g h i j k l"
+    rows = [(1, text, "x", {"k": 1}), (1, text, "y", {"k": 2}), (2, text, "z", None), (3, None, "n", None), (3, "other words that are not alike at all here", "o", None), (2, "the second text of an id that is a copy with its first", "p", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id string, kept map<string,int>").withColumnsRenamed({"gone_id": "row"})
+    got = drop_near_copies(docs.withColumn("class_id", docs["row"]).withColumn("all", docs["row"]))
+    assert got.columns == ["doc_id", "text", "row", "kept", "class_id", "all"]
+    assert sorted(r["row"] for r in got.collect()) == ["n", "o", "p", "x"]
+
+
 def test_near_edges(spark):
     rows = [(5, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (4, "A b, c d e f g"), (6, "")]
     got = near_classes(frame(spark, rows)).collect()
