@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,7 +34,7 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea iframe object svg canvas audio video dialog menu title".split())
+DROPPED = frozenset("head script style noscript template nav header footer aside form button select textarea iframe object svg canvas audio video dialog menu title".split())
 #: Words in class, id or role that mark a box beside the article.
 BESIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notices?|sidebar|aside|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|respond|"
@@ -68,7 +69,15 @@ def boxed(tag: str, raw: str) -> tuple[bool, bool]:
 def parse(page: str) -> Element:
     """A tree of elements and decoded text. End tags close what is open in them; unknown end tags are skipped."""
     root = Element("", False, False)
-    stack, at = [root], 0
+    # Open elements, the places of the blocks among them, and how many are open of each name: no tag scans the stack.
+    stack, blocks, opened, at = [root], [0], Counter(), 0
+
+    def close(depth: int) -> None:
+        opened.subtract(e.tag for e in stack[depth:])
+        del stack[depth:]
+        while blocks[-1] >= depth:
+            blocks.pop()
+
     while (m := TOKEN.search(page, at)) is not None:
         if m.start() > at:
             stack[-1].parts.append(html.unescape(page[at : m.start()]))
@@ -77,26 +86,26 @@ def parse(page: str) -> Element:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(e.tag == tag for e in stack):
-                while stack.pop().tag != tag:
-                    pass
+            if opened[tag] > 0:
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                close(depth)
             if tag not in INLINE:
                 stack[-1].parts.append(" ")
         else:
             if tag == "p" or tag == "li":  # these end the open one before them
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == tag:
-                        del stack[depth:]
-                        break
-                    if stack[depth].tag not in INLINE:
-                        break
+                if stack[blocks[-1]].tag == tag:
+                    close(blocks[-1])
             e = Element(tag, *boxed(tag, m[3]))
             stack[-1].parts.append(e)
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
                 at = end.start() if end else len(page)
-                stack.append(e)
-            elif tag not in VOID:
+            if tag not in VOID:
+                opened[tag] += 1
+                if tag not in INLINE:
+                    blocks.append(len(stack))
                 stack.append(e)
     if at < len(page):
         stack[-1].parts.append(html.unescape(page[at:]))
@@ -166,7 +175,7 @@ def candidates(root: Element, held: set[int]) -> Iterator[tuple[Element, Element
     todo: list[tuple[Element, Element | None, bool]] = [(root, None, False)]
     while todo:
         e, article, gone = todo.pop()
-        gone = gone or e.beside or e.tag == "header" and article is None and not e.article
+        gone = gone or e.beside
         if e.parts and e.tag not in INLINE and e.tag not in ("", "html", "body") and id(e) not in held:
             minor = e.tag not in PROSE and 2 * size[id(e)] <= size[id(article or root)]
             if article is None or minor and size[id(e)] and id(e) not in matter:
@@ -220,7 +229,7 @@ def shown(root: Element, held: set[int], deleted: frozenset[int] | set[int] = fr
                 out.append(e)
             continue
         inside = inside or e.article
-        if e.beside or (e.tag == "header" and not inside) or id(e) in deleted:
+        if e.beside or id(e) in deleted:
             out.append(" " if e.tag not in INLINE else "")
             continue
         edge = "" if e.tag in INLINE else " "
@@ -246,7 +255,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", text:
 
     A null html counts as empty and gives the empty text. A null url is on the empty host, like one without ``://``.
     Repeated rows, and pages with the same text, count once and are repeated in the result; other columns are ignored;
-    an empty table gives an empty result.
+    an empty table gives an empty result. Very long pages are read whole, in time in proportion to their length.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(text), F.lit("")).alias("html"))
     # Copies of a page are dealt over salts, so that no task gets all of them.

@@ -129,7 +129,7 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     place = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)).alias("place")
     share = F.lit(1.25 * s.rows_per_language + 40) / F.col("n")
-    rows = known.join(F.broadcast(counts), "lang").select("lang", "text", place, "doc_id", share.alias("share")).filter("place < share").drop("share")
+    rows = known.join(counts, "lang").select("lang", "text", place, "doc_id", share.alias("share")).filter("place < share").drop("share")
     sample: dict[str, list[str]] = {}
     chars: dict[str, int] = {}
     for r in rows.orderBy("place", "doc_id", "text").toLocalIterator():
@@ -144,7 +144,8 @@ def language_id(docs: DataFrame, model: Model, text: str = "text", doc_id: str =
     """doc_id, held_out (crc32(doc_id as text) mod 4 is 2), lang_pred, score; one row per input row.
 
     A text that is null or has no letter is ``und`` with score 0; so is every text if nothing could be learnt. An
-    empty table gives an empty result; repeated rows are repeated, other columns are ignored.
+    empty table gives an empty result; repeated rows are repeated, other columns are ignored. Very long texts are read
+    whole.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -20,8 +20,8 @@ from lakeleaf.llm.common import materialise
 
 #: Queries in a block (at most 4096 x 64 x 8 bytes to broadcast, for 64 components), and bins of a histogram.
 QUERY_BLOCK, BINS = 4096, 512
-#: Rows scored at a time in a task.
-ROWS = 256
+#: Rows scored at a time in a task, and the largest score.
+ROWS, LONGEST = 256, (1 << 63) - 1
 
 
 def quantised(vector: Column) -> Column:
@@ -39,7 +39,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     """Each query's k candidates with the highest integer inner products: query_id, rank, vec_id, score.
 
     ``is_query`` is a condition on the input's columns. Candidates are all rows with another id than the query's;
-    ties go to the smaller id; with fewer candidates all are given. Vectors that are null or hold a null or
+    ties go to the smaller id; with fewer candidates all are given. A score beyond the range of a long is given, and
+    compared, as the nearest long (+-(2^63 - 1)). Vectors that are null or hold a null or
     non-finite component, and rows with a null id, take no part. Vectors of unlike lengths score 0 in the missing
     places. Rows that repeat an id are candidates each; queries that repeat one are asked once, by the row with the
     smallest vector. Other columns are ignored; an empty table gives an empty result.
@@ -52,7 +53,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     schema = "query_id long, rank int, vec_id long, score long"
     if not facts["asked"]:
         return spark.createDataFrame([], schema)
-    width, bound = int(facts["width"]), int(facts["norm"]) + 1  # |score| <= bound, by Cauchy and Schwarz
+    width, bound = int(facts["width"]), min(int(facts["norm"]) + 1, LONGEST)  # |score| <= bound, by Cauchy and Schwarz
     kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else object
     pad = lambda c: F.concat(c, F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size(c)))
     good = good.withColumn("v", pad(F.col("v")))
@@ -74,7 +75,8 @@ def _scored(batches: Iterator[pd.DataFrame], queries: np.ndarray, width: int, ki
     for batch in batches:
         for at in range(0, len(batch), ROWS):
             part = batch.iloc[at : at + ROWS]
-            yield part["vec_id"].to_numpy(), (queries @ _matrix(part["v"], width, kind).T).astype(np.int64)
+            scores = queries @ _matrix(part["v"], width, kind).T
+            yield part["vec_id"].to_numpy(), np.clip(scores, -LONGEST, LONGEST) if kind is object else scores.astype(np.int64)
 
 
 def _block(good: DataFrame, block: list[tuple[int, list[int]]], k: int, bound: int, width: int, kind: type) -> DataFrame:
@@ -84,7 +86,8 @@ def _block(good: DataFrame, block: list[tuple[int, list[int]]], k: int, bound: i
     rows = good.select("vec_id", "v")
     # Of each query: the interval low <= score < low + span in which its k-th best score lies, cut into bins of step,
     # and how many of the k best are still to be found in it (those above the interval are counted off).
-    low = np.full(len(ids), -bound, dtype=np.int64)
+    # Integers beyond 2**53 are Python's own throughout, so that no sum overflows.
+    low = np.full(len(ids), -bound, dtype=object if kind is object else np.int64)
     need = np.full(len(ids), k, dtype=np.int64)
     span = 2 * bound + 1
     step = -(-span // BINS)
@@ -97,8 +100,8 @@ def _block(good: DataFrame, block: list[tuple[int, list[int]]], k: int, bound: i
             base = np.arange(len(own))[:, None] * BINS
             for found, scores in _scored(batches, queries, width, kind):
                 place = scores - lows[:, None]
-                inside = (place >= 0) & (place < whole) & (found[None, :] != own[:, None])
-                counts += np.bincount((base + place // width_of)[inside], minlength=counts.size).reshape(counts.shape)
+                inside = ((place >= 0) & (place < whole)).astype(bool) & (found[None, :] != own[:, None])
+                counts += np.bincount((base + place // width_of)[inside].astype(np.int64), minlength=counts.size).reshape(counts.shape)
             # A bin under this task's own k best can't hold the k-th best of all.
             above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
             q, b = np.nonzero((counts > 0) & (above < k))
@@ -126,9 +129,9 @@ def _block(good: DataFrame, block: list[tuple[int, list[int]]], k: int, bound: i
         tied: dict[int, list[int]] = {}
         for found, scores in _scored(batches, queries, width, kind):
             other = found[None, :] != own[:, None]
-            q, c = np.nonzero((scores > values[:, None]) & other)
-            yield pd.DataFrame({"query_id": own[q], "vec_id": found[c], "score": scores[q, c]})
-            q, c = np.nonzero((scores == values[:, None]) & other)
+            q, c = np.nonzero((scores > values[:, None]).astype(bool) & other)
+            yield pd.DataFrame({"query_id": own[q], "vec_id": found[c], "score": scores[q, c].astype(np.int64)})
+            q, c = np.nonzero((scores == values[:, None]).astype(bool) & other)
             for i, j in zip(q.tolist(), c.tolist()):
                 tied.setdefault(i, []).append(int(found[j]))
             for i in set(q.tolist()):  # only so many of the tied ones can be wanted

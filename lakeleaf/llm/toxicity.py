@@ -20,9 +20,9 @@ from lakeleaf.llm.ngrams import codes, hashed
 class Settings:
     lengths: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
-    #: Bounds of the training sample: rows of each class, and characters of all rows.
+    #: Bounds of the training sample: rows of each class, and characters of each class's rows.
     rows_per_class: int = 3000
-    chars: int = 20_000_000
+    chars_per_class: int = 10_000_000
     #: An n-gram counts if so many sampled texts have it and its ratio is so far from 0.
     least_texts: int = 3
     least_ratio: float = 1.5
@@ -94,38 +94,51 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     """Learn from the labelled rows (labels.toxic 0 or 1) of ``docs`` for which ``learn`` (of doc_id) holds.
 
     Of each class the ``rows_per_class`` rows with the smallest hash of doc_id are taken, and of these, in the order
-    of the hash, as many as ``chars`` allows. Rows with a null id, text or label take no part.
+    of the hash, each that the class's ``chars_per_class`` leaves room for (its first one anyhow). Rows with a null id,
+    text or label take no part.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(learn)
     taken = known.filter("toxic = 1").orderBy(*order).limit(settings.rows_per_class).unionByName(known.filter("toxic = 0").orderBy(*order).limit(settings.rows_per_class))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     rows = texts.join(F.broadcast(taken), "doc_id").select("text", "toxic", order[0].alias("place"), "doc_id").orderBy("place", "doc_id", "text")
-    sample, chars = [], 0
+    sample, chars = [], {}
     for r in rows.toLocalIterator():
-        chars += len(r["text"])
-        if chars > settings.chars and sample:
-            break
-        sample.append((r["text"], r["toxic"]))
+        used = chars.get(r["toxic"])
+        if used is None or used + len(r["text"]) <= settings.chars_per_class:
+            chars[r["toxic"]] = (used or 0) + len(r["text"])
+            sample.append((r["text"], r["toxic"]))
     return fit([t for t, _ in sample], [x for _, x in sample], settings)
 
 
-def toxicity(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with score (0 to 1) and predicted (1 if score >= 0.5); one row per input row.
-
-    A null text counts as empty and gets the score of a text without known n-grams. Order, repeats and other
-    columns don't matter; an empty table gives an empty result.
-    """
+def score_of(docs: DataFrame, model: Model, text: str) -> Column:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sent.value.score(t or "")).astype("float64")
 
-    scored = docs.select(*keep, score(F.col(text)).alias("score"))
+    return score(docs[text])
+
+
+def toxicity(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` (none of them named as these two) with score (0 to 1) and predicted (1 if score >= 0.5);
+    one row per input row.
+
+    A null text counts as empty and gets the score of a text without known n-grams. Very long texts are scored whole.
+    Order, repeats and other columns don't matter; an empty table gives an empty result.
+    """
+    scored = docs.select(*keep, score_of(docs, model, text).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows with a score under 0.5, with all their columns, whatever their names; null and empty texts are scored
+    as empty ones."""
+    wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), score_of(docs, model, text).alias("score"))
+    return wide.filter("score < 0.5").select("row.*")
+
+
 def toxicity_folds(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Score every row; learn only where crc32(doc_id as text) mod 5 is not 0: doc_id, held_out, score, predicted."""
     model = train(docs, labels, id_fold("doc_id", 5) != 0, settings)

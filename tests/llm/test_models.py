@@ -129,5 +129,12 @@ def test_toxicity_edges(spark, insults):
     assert toxicity.toxicity(frame(spark, []), model).count() == 0
     kept = toxicity.toxicity(frame(spark, [(1, "a"), (1, "a")]), model, keep=("doc_id", "label")).collect()
     assert len(kept) == 2 and set(kept[0].asDict()) == {"doc_id", "label", "score", "predicted"}
-    few = toxicity.train(docs, labels, F.lit(True), toxicity.Settings(rows_per_class=5, chars=2000))
+    # One giant text doesn't use up the sample: the other rows of its class and the other class are learnt all the same.
+    giant = docs.filter("text is not null").limit(0).unionByName(frame(spark, [(700_001, "idiot moron scum " * 2000)])).unionByName(docs)
+    both = toxicity.train(giant, labels.unionByName(spark.createDataFrame([(700_001, 1)], "doc_id long, toxic int")), F.lit(True), toxicity.Settings(chars_per_class=60_000))
+    assert both.score("you idiot") > 0.5 > both.score("")
+    clash = frame(spark, [(1, "idiot moron scum"), (2, "")]).withColumns({"score": F.lit("a"), "predicted": F.lit(True), "row": F.lit(None).cast("string")})
+    left = toxicity.drop_toxic(clash, both)
+    assert left.columns == clash.columns and [(r["doc_id"], r["score"], r["predicted"]) for r in left.collect()] == [(2, "a", True)]
+    few = toxicity.train(docs, labels, F.lit(True), toxicity.Settings(rows_per_class=5, chars_per_class=2000))
     assert 0 <= few.score("idiot") <= 1

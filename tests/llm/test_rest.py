@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import time
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -43,6 +45,18 @@ def test_top_k(spark, monkeypatch, block):
     assert got == brute_top(rows, 5)
 
 
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e7, 1.0]), (1, [1e7, 2.0]), (2, [-1e7, 0.0]), (3, [1e16, 1e16]), (4, [3e16, 0.0]), (50, [1e17, -1e17])]
+    clip = lambda x: max(-(2**63 - 1), min(2**63 - 1, x))
+    v = {i: [math.floor(256 * x) for x in w] for i, w in rows}
+    want = []
+    for q in (0, 50):
+        best = sorted((-clip(sum(a * b for a, b in zip(v[q], w))), i) for i, w in v.items() if i != q)[:3]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(df, F.col("vec_id") % 50 == 0, 3).collect())) == want
+
+
 def test_top_k_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert top_k(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).count() == 0
@@ -140,6 +154,54 @@ def test_main_text():
     assert main_text("<main>a<aside>b</aside></main>c") == "a" and main_text("x<!-- y -->z") == "xz" and main_text("") == ""
     assert main_text("<p>1 < 2 &am &ampx") == "1 < 2 &am &x" and main_text("<p a='>'>t</p><scr") == "t" and main_text("<div hidden>h</div>v") == "v"
     assert main_text("<div>" * 50_000 + "deep") == "deep"
+    assert main_text("<article><header><p>By X</p></header><p>t</p></article>") == "t"
+
+
+@pytest.mark.parametrize("page", ["<b>" * 180_000 + "</i>" * 120_000 + "end", "<p><div>" + "<b>" * 180_000 + "<p>x" * 120_000 + "end", "<a <b " * 170_000 + "end", "<div class='" * 90_000 + "end"], ids=["stray", "blocks", "broken", "quotes"])
+def test_hostile_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 20  # a scan of the open elements for each tag would take half an hour
+
+
+class Plain(HTMLParser):
+    """Text in article elements outside what pages set aside, by the standard library's parser."""
+
+    ASIDE = {"nav", "aside", "footer", "header", "form", "script", "style", "button", "noscript"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "p" and self.open and self.open[-1][0] == "p":
+            self.open.pop()
+        if tag not in html_text.VOID:
+            named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
+            self.open.append((tag, tag in self.ASIDE or tag not in ("html", "body") and bool(html_text.BESIDE.search(named))))
+        if tag not in html_text.INLINE:
+            self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+        if tag not in html_text.INLINE:
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.open) and not any(aside for _, aside in self.open):
+            self.out.append(data)
+
+
+def test_pages_match_another_parser(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in extract(pages).collect()}
+    for r in pages.collect():
+        other = Plain()
+        other.feed(r["html"] or "")
+        other.close()
+        assert got[r["page_id"]] == " ".join("".join(other.out).split())
 
 
 def test_templates_are_found_by_count(spark):
@@ -183,6 +245,32 @@ def test_subtree_hashes_are_stable():
     assert a < b and html_text.subtrees("<article><p>x</p></article>") == set()
 
 
+NAMES = "row key score predicted gone_id class_id kept digest salt copies copy domain language n_tokens all".split()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, name, tmp_path_factory):
+    """Nulls, empty and very long texts, repeated rows, clashing names, a map; and an empty table."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    odd = [(1, "plain words of a text that is all right", "en", "src1", 40), (1, "plain words of a text that is all right", "en", "src1", 40), (2, None, None, None, None), (None, "no id", "fr", "src2", 5)]
+    odd += [(3, "", "de", "src7", 0), (4, "long words " * 200_000, "en", "src1", 2_200_000), (5, "a", None, "src99", 1)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.lit("x") for n in NAMES} | {"more": F.create_map(F.lit("k"), F.col("doc_id"))})
+    where = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame([(3, 1, 0), (4, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    got = stage(spark, docs, where)
+    assert got.count() <= len(odd) and stage(spark, docs.limit(0), where).count() == 0
+    if name == "bpe":
+        assert got.count() == len(odd) and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got.columns)
+    else:
+        assert got.schema.names == docs.columns
+    ids = sorted(str(r["doc_id"]) for r in got.collect())
+    if name == "exact dedup":
+        assert ids == ["1", "2", "4", "5", "None"]
+    if name == "near dedup":
+        assert ids == ["1", "2", "3", "4", "5", "None"]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = [docs]
