@@ -51,7 +51,7 @@ FIRST = np.dtype([("digest", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("line",
 PAIR = np.dtype([("earlier", "<u8"), ("later", "<u8"), ("apart", "<i4"), ("more", "?"), ("home", "<i8"), ("doc", "<i8"), ("line", "<i4")])
 MOST = 65_535
 #: Characters whose words are found at once, and lines whose records are packed at once.
-CHARS, LINES = 150_000, 200_000
+CHARS, LINES = 150_000, 50_000
 
 
 def counter(words: np.ndarray) -> np.ndarray:
@@ -389,23 +389,24 @@ def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Filters of a fixed size say which documents and digests are wanted; false hits only cost a row.
     """
-    homes = bitmap(wanted.select(place_of("home")))
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.pmod("digest", F.lit(FILTER_BITS)).alias("place"))))
+    filters = bitmap(wanted.select(place_of("home"))), bitmap(wanted.select(F.pmod("digest", F.lit(FILTER_BITS)).alias("place")))
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        homes, cell = sent.value
         for batch in batches:
             out: dict[int, bytes] = {}
-            for chunk in chunks(repeat(0), batch["text"]):
+            for chunk in chunks(repeat(0), batch["text"][has(homes, batch["place"].to_numpy())]):
                 own = Lines(chunk.text, None)
-                hit = np.flatnonzero(has(sent.value, (own.digest % np.uint64(FILTER_BITS)).astype(np.int64))) if len(own.number) else ()
+                hit = np.flatnonzero(has(cell, (own.digest % np.uint64(FILTER_BITS)).astype(np.int64))) if len(own.number) else ()
                 for i in hit:
                     if (d := int(own.digest[i].astype(np.int64))) not in out:
                         a, z = np.searchsorted(own.line, [own.number[i], own.number[i] + 1])
                         out[d] = distinct(own.words[a:z]).tobytes()
             yield pd.DataFrame({"digest": list(out), "words": list(out.values())}).astype({"digest": "int64", "words": "object"})
 
-    near = docs.filter(maybe_in(homes, docs, "doc_id")).select("text")
-    found = near.mapInPandas(run, "digest long, words binary").groupBy("digest").agg(F.min("words").alias("words"))
+    # Tested here and not by ``maybe_in``, so that a task has one Python worker.
+    found = docs.select(place_of("doc_id"), "text").mapInPandas(run, "digest long, words binary").groupBy("digest").agg(F.min("words").alias("words"))
     return found.join(wanted.select("digest"), "digest", "left_semi")
 
 
