@@ -142,6 +142,18 @@ def united(indexes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return every[starts], np.diff(np.r_[starts, len(every)])
 
 
+def packed(index: np.ndarray) -> bytes:
+    """Sorted shingles as bytes: differences, the first bytes of all of them first, so that the zeros among the last
+    bytes stand together and compress."""
+    steps = np.diff(index, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def frequencies(docs: DataFrame, layout: Layout) -> DataFrame:
     """docs: chunk, text. chunk, part, dfs: the document frequencies (u4) of a chunk's shingles in that part, in order."""
 
@@ -151,10 +163,10 @@ def frequencies(docs: DataFrame, layout: Layout) -> DataFrame:
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
         ends = np.r_[cuts[1:], len(part)]
         count = count.astype(np.uint32)
-        return pd.DataFrame({"chunk": group["chunk"].iat[0], "part": part[cuts], "index": [index[a:z].tobytes() for a, z in zip(cuts, ends)], "counts": [count[a:z].tobytes() for a, z in zip(cuts, ends)]})
+        return pd.DataFrame({"chunk": group["chunk"].iat[0], "part": part[cuts], "index": [packed(index[a:z]) for a, z in zip(cuts, ends)], "counts": [count[a:z].tobytes() for a, z in zip(cuts, ends)]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        index = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in group["index"]])
+        index = np.concatenate([unpacked(x) for x in group["index"]])
         counts = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group["counts"]])
         order = np.argsort(index)
         new = np.r_[True, index[order][1:] != index[order][:-1]]
