@@ -108,37 +108,47 @@ def _at_leaf(docs: DataFrame, leaves: DataFrame, few: bool) -> DataFrame:
 
 
 def plan(rows: DataFrame, mixture: Mixture) -> DataFrame:
-    """rows: of ``keys``. One row per leaf: budget, whole (epochs), last (the place at which the prefix of the next
-    epoch ends, null if it is empty) and docs_id of that place's document.
+    """rows: of ``keys``. One row per leaf: budget, whole (epochs), and where the prefix of the next epoch ends: it takes
+    the buckets before ``upto``, and of that bucket the documents up to ``last`` (place and id; null: none).
 
-    The prefix is found in two steps, so that a leaf with a third of all documents is never sorted by one task:
-    running totals over the 16**DIGITS buckets of the order, then within each bucket.
+    The prefix is found in two steps, so that a leaf with a third of all documents is never sorted by one task: running
+    totals over the 16**DIGITS buckets of the order give the one bucket in which the budget ends, and only that
+    bucket's documents, about one in 16**DIGITS, are shuffled and sorted.
     """
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     leaves = budgets(leaves, mixture).withColumn("whole", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)).cast("int"))
     leaves = materialise(leaves.withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")), "mixing-leaves")
     few = leaves.count() <= BROADCAST_LEAVES
-    asked = _at_leaf(rows, leaves.filter("rest > 0").select(*LEVELS, "whole", "rest"), few)
-    asked = asked.withColumn("place", place(F.col("whole") + 1, mixture.seed, F.col("doc_id"))).withColumn("bucket", F.substring("place", 1, DIGITS))
-    asked = asked.select(*LEVELS, "bucket", "place", "doc_id", "n_tokens", "rest")
-    sums = asked.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
-    by_leaf = W.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = materialise(sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(by_leaf), F.lit(0))).drop("in_bucket"), "mixing-buckets")
-    near = asked.hint("merge").join(sums, [*LEVELS, "bucket"]).filter("before <= rest")
-    inside = W.partitionBy(*LEVELS, "bucket").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    def placed(with_: DataFrame) -> DataFrame:
+        met = _at_leaf(rows, with_, few).withColumn("place", place(F.col("whole") + 1, mixture.seed, F.col("doc_id")))
+        return met.withColumn("bucket", F.substring("place", 1, DIGITS))
+
+    asked = leaves.filter("rest > 0").select(*LEVELS, "whole", "rest")
+    sums = placed(asked).groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("in_bucket"), F.first("rest").alias("rest"))
+    by_leaf = W.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = sums.withColumn("after", F.sum("in_bucket").over(by_leaf)).filter("after >= rest" if mixture.crossing else "after > rest")
+    ends = sums.groupBy(*LEVELS).agg(F.min_by(F.struct("bucket", (F.col("after") - F.col("in_bucket")).alias("before")), "bucket").alias("end"))
+    ends = materialise(asked.join(ends, list(LEVELS)).select(*LEVELS, "whole", "rest", F.col("end.bucket").alias("upto"), F.col("end.before").alias("before")), "mixing-ends")
+    near = placed(ends).filter("bucket = upto").select(*LEVELS, "place", "doc_id", "n_tokens", "rest", "before")
+    inside = W.partitionBy(*LEVELS).orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     prefix = near.withColumn("total", F.col("before") + F.sum("n_tokens").over(inside)).filter("total - n_tokens < rest" if mixture.crossing else "total <= rest")
     last = prefix.groupBy(*LEVELS).agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("last"))
-    return materialise(leaves.join(last, list(LEVELS), "left").select(*LEVELS, "tokens", "docs", "budget", "whole", "last"), "mixing-plan")
+    found = leaves.join(ends.select(*LEVELS, "upto"), list(LEVELS), "left").join(last, list(LEVELS), "left")
+    # Buckets are hexadecimal digits: all are after "" and before "g".
+    upto = F.when(F.col("rest") <= 0, "").otherwise(F.coalesce("upto", F.lit("g")))
+    return materialise(found.select(*LEVELS, "tokens", "docs", "budget", "whole", upto.alias("upto"), "last"), "mixing-plan")
 
 
 def copies(rows: DataFrame, leaves: DataFrame, mixture: Mixture) -> DataFrame:
     """``rows`` with copies: how often each row is taken. Rows that repeat (leaf, doc_id) go in or stay out together
     with the last of them."""
     few = leaves.count() <= BROADCAST_LEAVES
-    met = _at_leaf(rows, leaves.select(*LEVELS, "budget", "whole", "last"), few)
-    mine = F.struct(place(F.col("whole") + 1, mixture.seed, F.col("doc_id")).alias("place"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
-    extra = F.when(F.col("last").isNotNull() & (mine <= F.col("last")), F.lit(1)).otherwise(F.lit(0))
-    return met.withColumn("copies", F.col("whole") + extra)
+    met = _at_leaf(rows, leaves.select(*LEVELS, "budget", "whole", "upto", "last"), few)
+    met = met.withColumn("place", place(F.col("whole") + 1, mixture.seed, F.col("doc_id")))
+    bucket, mine = F.substring("place", 1, DIGITS), F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
+    extra = (bucket < F.col("upto")) | ((bucket == F.col("upto")) & F.col("last").isNotNull() & (mine <= F.col("last")))
+    return met.withColumn("copies", F.col("whole") + F.when(extra, F.lit(1)).otherwise(F.lit(0)))
 
 
 def mix(docs: DataFrame, mixture: Mixture, domain: Column, tokens: Column, doc_id: str = "doc_id", language: str = "lang", source: str = "source") -> DataFrame:
@@ -147,7 +157,8 @@ def mix(docs: DataFrame, mixture: Mixture, domain: Column, tokens: Column, doc_i
     copies is how often the mixture takes the document (0: not). A leaf's prefix ends before the document that would
     exceed its budget, or with ``crossing`` after it. Documents without tokens cost nothing: they are taken if their place is within the prefix.
     Null names are the empty name, a null text has no tokens, a null doc_id counts as the empty text in the order.
-    Other columns are ignored; an empty table gives an empty result.
+    Rows that repeat are documents each, taken or left together. Very long texts are counted whole. Other columns are
+    ignored; an empty table gives an empty result.
     """
     rows = materialise(keys(docs, domain, tokens, doc_id, language, source), "mixing-keys")
     out = copies(rows, plan(rows, mixture), mixture)
