@@ -1,14 +1,16 @@
-"""Operators 2, 3 and 10: round trips and held-out accuracy."""
+"""Operators 2, 3 and 10: round trips, held-out accuracy, and scores by brute force."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakeleaf.llm import bpe, langid, toxicity
+from lakeleaf.llm import bpe, langid, ngrams, toxicity
 from lakeleaf.llm.queries import vocabulary
 from tests.llm.test_dedup import frame
 
@@ -138,3 +140,63 @@ def test_toxicity_edges(spark, insults):
     assert left.columns == clash.columns and [(r["doc_id"], r["score"], r["predicted"]) for r in left.collect()] == [(2, "a", True)]
     few = toxicity.train(docs, labels, F.lit(True), toxicity.Settings(rows_per_class=5, chars_per_class=2000))
     assert 0 <= few.score("idiot") <= 1
+
+
+def brute_ngrams(text, lengths, bits):
+    """Buckets of n-grams one by one: letters lower-cased, all else one space, a space at both ends."""
+    signs = ""
+    for ch in f" {text.lower()} ":
+        signs += ch if ch.isalpha() else "" if signs.endswith(" ") else " "
+    out = []
+    for n in lengths:
+        for i in range(len(signs) - n + 1):
+            h = sum(ord(c) * int(m) for c, m in zip(signs[i : i + n], ngrams.PLACES)) % 2**32
+            out.append((h ^ (h >> 15)) * int(ngrams.LENGTHS[n]) % 2**32 >> (32 - bits))
+    return out
+
+
+STRANGE = ["", "idiot", "You IDIOT, moron!", "a1b2 c3", "\u0130stanbul stra\u00dfe", "x" * 5000, "\u4e2d\u6587 na\u00efve -- caf\u00e9"]
+
+
+def test_toxicity_scores_match_brute_force():
+    texts = ["you idiot moron", "what a moron", "idiot scum here", "a fine day", "we met a friend", "fine friend today"] * 3
+    s = toxicity.Settings(least_ratio=0.2, steps=50)
+    labels = [1, 1, 1, 0, 0, 0] * 3
+    model = toxicity.fit(texts, labels, s)
+    # Ratios: shares of the texts of each label that have the n-gram, with the smoothing.
+    having = [Counter(b for t, y in zip(texts, labels) if y == k for b in set(brute_ngrams(t, s.lengths, s.bits))) for k in (0, 1)]
+    for b in set(having[0]) | set(having[1]):
+        ratio = math.log((having[1][b] + 1) / 10) - math.log((having[0][b] + 1) / 10)
+        known = having[0][b] + having[1][b] >= s.least_texts and abs(ratio) >= s.least_ratio
+        assert known or model.weights[b] == 0
+    for text in [*texts, *STRANGE]:
+        z = model.bias + sum(float(model.weights[b]) for b in set(brute_ngrams(text, s.lengths, s.bits)))
+        assert abs(model.score(text) - 1 / (1 + math.exp(-z))) < 1e-6
+
+
+def test_language_predictions_match_brute_force():
+    s = langid.Settings(epochs=4)
+    rng = np.random.default_rng(2)
+    names = list(SOUNDS)
+    model = langid.fit({name: [invented(name, rng, 40) for _ in range(12)] for name in names}, s)
+    assert len(model.machines) >= len(names) - 1
+    for text in [*[invented(name, rng, 12) for name in names for _ in range(4)], *STRANGE]:
+        grams = Counter(brute_ngrams(text, s.lengths, s.bits))
+        n = sum(grams.values())
+        if not any(ch.isalpha() for ch in text):
+            assert model.predict(text) == ("und", 0.0)
+            continue
+        chance = {}
+        for k, (a, b) in enumerate(model.machines):
+            z = 2 * (sum(c * float(model.table[g, k]) for g, c in grams.items()) * langid.SCALE / n + float(model.table[-1, k]))
+            chance[a, b], chance[b, a] = 1 / (1 + math.exp(-z)), 1 / (1 + math.exp(z))
+
+        def winner(among):
+            duels = {x: [chance[x, y] for y in among if y != x] for x in among}
+            best = max(sorted(among), key=lambda x: (sum(p >= 0.5 for p in duels[x]), sum(duels[x])))
+            return best, min([1.0, *duels[best]])
+
+        family, sure = winner({langid.family_of(x) for x in names})
+        lang, surer = winner({x for x in names if langid.family_of(x) == family})
+        got = model.predict(text)
+        assert got[0] == lang and abs(got[1] - sure * surer) < 1e-5
