@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 #: Trimmed from both ends of query words and profile tokens (fixed values).
 EDGES = "\"'.,;:!?()[]{}<>"
-EDGE_CLASS = r"[\"'.,;:!?()\[\]{}<>]"
 HTTP_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 #: What makes a profile term important (fixed values).
 IMPORTANT = "error|错误|响应|权限|auth|token|401|403|500|api|接口|code|/"
@@ -20,8 +19,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @lru_cache(maxsize=1)
 def accents() -> tuple[str, str]:
-    """Precomposed Latin letters and the letters under their accents."""
-    pairs = [(chr(c), base) for c in range(0xC0, 0x250) if (base := unicodedata.normalize("NFD", chr(c))[0]) != chr(c)]
+    """Precomposed Latin letters and the letters under their accents; of Latin Extended Additional those with one
+    accent, as common full-text indexes fold them."""
+    parts = {c: unicodedata.normalize("NFD", chr(c)) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
+    pairs = [(chr(c), p[0]) for c, p in parts.items() if p[0] != chr(c) and (c < 0x250 or len(p) == 2)]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -69,13 +70,10 @@ def like_ascii_fold(c: Column, part: str) -> Column:
     return ascii_lower(c).like(f"%{pattern}%")
 
 
-def trim_edges(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{EDGE_CLASS}+|{EDGE_CLASS}+$", "")
-
-
 def profile_tokens(text: Column) -> Column:
     """Runs of letters, digits and ``/_.-``; edges trimmed; two bytes or more, or with a slash."""
-    raw = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{Nd}/_.\-]+)"), 1), trim_edges)
+    # Of EDGES only the full stop can stand in a run.
+    raw = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{Nd}/_.\-]+)"), 1), lambda t: F.btrim(t, F.lit(".")))
     return F.filter(raw, lambda t: (F.octet_length(t) >= 2) | F.contains(t, F.lit("/")))
 
 
@@ -107,7 +105,7 @@ def api_refs(tokens: Column) -> Column:
     def at(t: Column, i: Column) -> Column:
         after = F.get(tokens, i + 1)
         pair = F.upper(t).isin(*methods) & after.isNotNull() & F.startswith(after, F.lit("/"))
-        alone = F.startswith(t, F.lit("/")) | t.rlike(r"^[1-5]\p{Nd}\p{Nd}$") | F.contains(t, F.lit("error_code"))
+        alone = F.startswith(t, F.lit("/")) | (F.length(t) == 3) & t.rlike(r"^[1-5]\p{Nd}\p{Nd}$") | F.contains(t, F.lit("error_code"))
         return F.when(pair, F.concat(F.upper(t), F.lit(" "), after)).when(alone, t)
 
     return F.array_distinct(F.filter(F.transform(tokens, at), lambda r: r.isNotNull()))

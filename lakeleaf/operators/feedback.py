@@ -30,9 +30,9 @@ def without_stale(documents: DataFrame, feedback: DataFrame, key: str = "id") ->
     return documents.join(gone, F.col(key) == F.col("stale_id"), "left_anti")
 
 
-def without_wrong(edges: DataFrame, feedback: DataFrame) -> DataFrame:
+def without_wrong(edges: DataFrame, feedback: DataFrame, key: str = "id") -> DataFrame:
     wrong = targets(feedback, "relationship_wrong").select(F.col("id").alias("wrong_id"))
-    return edges.join(wrong, F.col("id") == F.col("wrong_id"), "left_anti")
+    return edges.join(wrong, F.col(key) == F.col("wrong_id"), "left_anti")
 
 
 def check_event(event: dict[str, Any]) -> dict[str, Any]:
@@ -84,9 +84,14 @@ def manual_edges(feedback: DataFrame) -> DataFrame:
     )
 
 
+def matching(rows: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """The rows with the wanted values; an empty value is no filter."""
+    for column, value in wanted.items():
+        if value.strip():
+            rows = rows.filter(F.col(column) == value.strip())
+    return rows
+
+
 def list_events(feedback: DataFrame, target_kind: str = "", target_id: str = "", feedback_kind: str = "", limit: int = 20) -> DataFrame:
     """The newest events first (by seq); an empty filter is none; a limit outside 1 to 100 is 20."""
-    for column, value in (("target_kind", target_kind), ("target_id", target_id), ("feedback_kind", feedback_kind)):
-        if value.strip():
-            feedback = feedback.filter(F.col(column) == value.strip())
-    return feedback.orderBy(F.desc("seq")).limit(limit if 0 < limit <= 100 else 20)
+    return matching(feedback, {"target_kind": target_kind, "target_id": target_id, "feedback_kind": feedback_kind}).orderBy(F.desc("seq")).limit(limit if 0 < limit <= 100 else 20)

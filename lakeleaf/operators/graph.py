@@ -19,7 +19,9 @@ from lakeleaf.operators.feedback import without_wrong
 NODE = ("id", "kind", "name", "canonical_name", "metadata", "confidence")
 EDGE = ("id", "src_id", "dst_id", "kind", "confidence", "provenance", "evidence_section_id", "metadata_json")
 #: A method and a path in text, case-sensitive.
-API_REFERENCE = r"\b(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD|TRACE)\s+(/[A-Za-z0-9_./{}:\-]+)"
+#: The methods and the characters of a path are fixed values.
+API_REFERENCE = r"\b(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD|TRACE)\s+(/[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%{}-]+)"
+DIRECTIONS = ("both", "out", "in")
 
 
 def document_node_id(doc_id: str | Column = "id") -> Column:
@@ -191,60 +193,91 @@ def get_row(table: DataFrame, row_id: str) -> DataFrame:
     return table.filter(F.col("id") == row_id)
 
 
-def _steps(nodes: DataFrame, edges: DataFrame, direction: str, kinds: list[str] | None = None) -> DataFrame:
-    """from_id, branch (0 out, 1 in), edge_id, kind, node_id, node_kind, node_canonical, node_name."""
+def adjacency(nodes: DataFrame, edges: DataFrame, direction: str = "both", kinds: list[str] | None = None) -> DataFrame:
+    """from_id, branch (0 out, 1 in), src_id, edge_id, edge_kind, node_id, node_kind, node_canonical, node_name: a row for
+    each edge and end that a step may start from. Written sorted by from_id, it answers ``related`` and ``impact`` from
+    the row groups of the asked nodes."""
     if kinds:
         edges = edges.filter(F.col("kind").isin(*kinds))
     frames = []
     for branch, (here, there) in enumerate((("src_id", "dst_id"), ("dst_id", "src_id"))):
         if direction in ("both", ("out", "in")[branch]):
-            frames.append(edges.select(F.col(here).alias("from_id"), F.lit(branch).alias("branch"), F.col("id").alias("edge_id"), F.col("kind").alias("edge_kind"), F.col(there).alias("node_id")))
+            frames.append(edges.select(F.col(here).alias("from_id"), F.lit(branch).alias("branch"), "src_id", F.col("id").alias("edge_id"), F.col("kind").alias("edge_kind"), F.col(there).alias("node_id")))
     to = nodes.select(F.col("id").alias("node_id"), F.col("kind").alias("node_kind"), F.col("canonical_name").alias("node_canonical"), F.col("name").alias("node_name"))
     return _all(frames).join(to, "node_id")
 
 
+def write_adjacency(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    """As many files as the shuffle has partitions; a hub's rows may take several."""
+    adjacency(nodes, edges).repartitionByRange("from_id", "branch", "edge_id").sortWithinPartitions("from_id", "branch", "edge_kind", "edge_id").write.mode("overwrite").parquet(path)
+    return nodes.sparkSession.read.parquet(path)
+
+
 STEP_ORDER = ("branch", "edge_kind", "node_kind", "node_canonical", "edge_id")
 
 
-def related(nodes: DataFrame, edges: DataFrame, feedback: DataFrame, node_id: str, direction: str = "both", kind: str = "", limit: int = 50) -> DataFrame:
+def asked(node_id: str, direction: str, default: str, what: str) -> tuple[str, str]:
+    """The trimmed id and the direction's name; errors for a blank id and an unknown direction."""
+    node_id, name = node_id.strip(), direction.strip().lower() or default
+    if not node_id:
+        raise ValueError("a node id is required")
+    if name not in DIRECTIONS:
+        raise ValueError(f"unsupported {what} direction {direction!r}")
+    return node_id, name
+
+
+def _steps_from(ids: list[str], nodes: DataFrame, edges: DataFrame, feedback: DataFrame, direction: str, kinds: list[str] | None, written: DataFrame | None) -> DataFrame:
+    """Steps that start at some nodes (few); their filter reaches the scan of the edges or of the written adjacency."""
+    if written is None:
+        ends = {"out": [F.col("src_id")], "in": [F.col("dst_id")], "both": [F.col("src_id"), F.col("dst_id")]}[direction]
+        near = edges.filter(reduce(Column.__or__, [c.isin(*ids) for c in ends]))
+        rows = adjacency(nodes, near, direction, kinds)
+    else:
+        rows = written.filter(F.col("branch").isin({"out": [0], "in": [1], "both": [0, 1]}[direction]))
+        rows = rows.filter(F.col("edge_kind").isin(*kinds)) if kinds else rows
+    return without_wrong(rows.filter(F.col("from_id").isin(*ids)), feedback, "edge_id")
+
+
+def related(nodes: DataFrame, edges: DataFrame, feedback: DataFrame, node_id: str, direction: str = "both", kind: str = "", limit: int = 50, written: DataFrame | None = None) -> DataFrame:
     """Neighbours of a node: outgoing first, incoming fill what is left of the limit. direction: out if the edge starts
-    at the node, so a loop is out in both branches."""
-    direction = direction if direction in ("out", "in") else "both"
+    at the node, so a loop is out in both branches. written: of ``write_adjacency``, if there is one."""
+    node_id, direction = asked(node_id, direction, "both", "related")
     limit = limit if 0 < limit <= 100 else 50
-    end = {"out": F.col("src_id") == node_id, "in": F.col("dst_id") == node_id, "both": (F.col("src_id") == node_id) | (F.col("dst_id") == node_id)}[direction]
-    own = without_wrong(edges.filter(end), feedback)
-    rows = _steps(nodes, own, direction, [kind] if kind else None).filter(F.col("from_id") == node_id)
-    src = own.select(F.col("id").alias("edge_id"), F.col("src_id"))
-    rows = rows.join(src, "edge_id").withColumn("direction", F.when(F.col("src_id") == node_id, "out").otherwise("in")).drop("src_id")
+    rows = _steps_from([node_id], nodes, edges, feedback, direction, [kind] if kind else None, written)
+    rows = rows.withColumn("direction", F.when(F.col("src_id") == node_id, "out").otherwise("in")).drop("src_id")
     return rows.orderBy(*STEP_ORDER).limit(limit)
 
 
-def impact(nodes: DataFrame, edges: DataFrame, feedback: DataFrame, node_id: str, direction: str = "out", depth: int = 2, kinds: list[str] | None = None, limit: int = 50) -> DataFrame:
+PATHS = "hops int, path_nodes array<string>, path_edges array<string>, order array<int>, from_id string"
+
+
+def impact(nodes: DataFrame, edges: DataFrame, feedback: DataFrame, node_id: str, direction: str = "out", depth: int = 2, kinds: list[str] | None = None, limit: int = 50, written: DataFrame | None = None) -> DataFrame:
     """Simple paths from a node, breadth first: hops, path_nodes, path_edges, place.
 
     Every prefix of a path is a result too. Each expansion takes the first ``cap`` neighbours of ``related``, whose
-    limit is this one's, and 50 where that is over 100. The loop ends at ``depth`` (5 at most) or when a completed depth has
-    filled the limit, so the plan stays short and no frontier is larger than limit rows.
+    limit is this one's, and 50 where that is over 100. Hops are run one after the other, each from the at most
+    ``limit`` (200) paths of the one before, whose ends filter the edges; nothing is worked out twice. The loop ends at
+    ``depth`` (5 at most), or when the limit is filled or no path goes on.
     """
+    node_id, direction = asked(node_id, direction, "out", "impact")
     depth, limit = (depth if 1 <= depth <= 5 else 2), (limit if 1 <= limit <= 200 else 50)
     cap = limit if limit <= 100 else 50
-    steps = _steps(nodes, without_wrong(edges, feedback), direction if direction in ("out", "in", "both") else "out", kinds)
     spark = nodes.sparkSession
-    start = nodes.filter(F.col("id") == node_id).select(F.lit(0).alias("hops"), F.array("id").alias("path_nodes"), F.array().cast("array<string>").alias("path_edges"), F.array().cast("array<int>").alias("order"), F.col("id").alias("from_id"))
-    frontier, found = start, []
+    known = not nodes.filter(F.col("id") == node_id).isEmpty()
+    frontier, found = [(0, [node_id], [], [], node_id)] if known else [], []
     for hop in range(1, depth + 1):
-        near = frontier.join(steps, "from_id")
-        rank = F.row_number().over(W.partitionBy("order").orderBy(*STEP_ORDER))
-        near = near.withColumn("rank", rank).filter((F.col("rank") <= cap) & ~F.array_contains("path_nodes", F.col("node_id")))
-        frontier = near.select(
+        if not frontier or len(found) >= limit:
+            break
+        steps = _steps_from(sorted({p[4] for p in frontier}), nodes, edges, feedback, direction, kinds, written)
+        ranked = steps.withColumn("rank", F.row_number().over(W.partitionBy("from_id").orderBy(*STEP_ORDER))).filter(F.col("rank") <= cap)
+        near = F.broadcast(spark.createDataFrame(frontier, PATHS)).join(ranked, "from_id").filter(~F.array_contains("path_nodes", F.col("node_id")))
+        near = near.select(
             F.lit(hop).alias("hops"), F.array_append("path_nodes", F.col("node_id")).alias("path_nodes"), F.array_append("path_edges", F.col("edge_id")).alias("path_edges"), F.array_append("order", F.col("rank")).alias("order"), F.col("node_id").alias("from_id")
         )
-        frontier = frontier.orderBy("order").limit(limit)
-        found.append(frontier)
-    if not found:
-        return spark.createDataFrame([], "hops int, path_nodes array<string>, path_edges array<string>, place int")
-    rows = _all(found).orderBy("hops", "order").limit(limit)
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("hops", "order"))).select("hops", "path_nodes", "path_edges", "place")
+        frontier = [tuple(r) for r in near.orderBy("order").limit(limit - len(found)).collect()]  # at most 200 rows
+        found += frontier
+    rows = [(hops, path_nodes, path_edges, place + 1) for place, (hops, path_nodes, path_edges, _, _) in enumerate(found)]
+    return spark.createDataFrame(rows, "hops int, path_nodes array<string>, path_edges array<string>, place int")
 
 
 def status(tables: dict[str, DataFrame]) -> DataFrame:

@@ -122,9 +122,12 @@ class Index:
         lengths = tokens.groupBy("section_id").agg(F.sum(F.size("tokens")).alias("dl"))
         return cls(postings.select("term", "section_id", "part", "places"), lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
-    def write(self, path: str, files: int = 64) -> Index:
-        """Written sorted by term, so that a query's row groups are found by their statistics."""
-        self.postings.repartitionByRange(files, "term", "section_id").sortWithinPartitions("term", "section_id").write.mode("overwrite").parquet(f"{path}/postings")
+    def write(self, path: str, files: int | None = None) -> Index:
+        """Written sorted by term, so that a query's row groups are found by their statistics. The shuffle's partitions,
+        which follow the size of the postings, are the files, unless their number is given."""
+        by = ("term", "section_id")
+        dealt = self.postings.repartitionByRange(files, *by) if files else self.postings.repartitionByRange(*by)
+        dealt.sortWithinPartitions("term", "section_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         read = Index.read(self.lengths.sparkSession, path, totals=False)
         read.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
@@ -178,30 +181,54 @@ def numbered(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return rows.orderBy(*order).limit(limit).withColumn("pos", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
 
 
-def match_attempt(index: Index, sections: DataFrame, documents: DataFrame, phrases: list[list[str]], limit: int) -> DataFrame:
-    """Canonical documents first, then by rank. documents: of ``live``."""
+def _held(rows: DataFrame) -> DataFrame:
+    """The rows of a limited result as a local table: worked out once. They are ids and places, 400 at most."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
+def match_places(index: Index, sections: DataFrame, documents: DataFrame, phrases: list[list[str]], limit: int) -> DataFrame:
+    """section_id, document_id, rank, pos, term (null): canonical documents first, then by rank. documents: of ``live``."""
     of = sections.select(F.col("id").alias("section_id"), "document_id")
-    rows = index.match(phrases).join(of, "section_id").join(documents.select("document_id", "canonical"), "document_id").drop("document_id")
-    first = numbered(rows, [F.desc("canonical"), F.asc("rank"), F.asc("section_id")], limit).drop("canonical")
-    # Texts and profiles are joined to the few rows that are left.
-    return F.broadcast(first).join(section_rows(sections), "section_id").join(documents, "document_id").withColumn("term", F.lit(None).cast("string"))
+    rows = index.match(phrases).join(of, "section_id").join(documents.select("document_id", "canonical"), "document_id")
+    first = numbered(rows, [F.desc("canonical"), F.asc("rank"), F.asc("section_id")], limit)
+    return _held(first.select("section_id", "document_id", "rank", "pos", F.lit(None).cast("string").alias("term")))
 
 
-def substring_attempt(sections: DataFrame, documents: DataFrame, terms: list[str], limit: int, in_profile: bool = False) -> DataFrame:
-    """Sections that contain a term; each term gives at most ``limit``, in the order of the terms, each section once.
+def substring_places(sections: DataFrame, documents: DataFrame, terms: list[str], limit: int, in_profile: bool = False) -> DataFrame:
+    """The same of sections that contain a term; each term gives at most ``limit``, in the order of the terms, each
+    section once.
 
     One pass: each row is tested for all terms (a few dozen literals), and terms meet by number, not by a cross join.
+    Only ids and the columns of the order are sorted.
     """
     fields = ("desc", "profile_json") if in_profile else ("document_title", "title", "heading_path", "content")
     rows = section_rows(sections).join(documents, "document_id")
     tests = [F.when(reduce(Column.__or__, [X.contains_ascii_fold(F.col(c), t) for c in fields]), F.struct(F.lit(i).alias("no"), F.lit(t).alias("term"))) for i, t in enumerate(terms)]
-    rows = rows.withColumn("hit", F.explode(F.filter(F.array(*tests), lambda h: h.isNotNull()))).select("*", "hit.no", "hit.term").drop("hit")
+    rows = rows.select("section_id", "document_id", "canonical", "document_title", "ordinal", F.filter(F.array(*tests), lambda h: h.isNotNull()).alias("hits"))
+    rows = rows.filter(F.size("hits") > 0).withColumn("hit", F.explode("hits")).select("*", "hit.no", "hit.term").drop("hit", "hits")
     order = [F.desc("canonical"), F.asc("document_title"), F.asc("ordinal"), F.asc("section_id")]
     # A rank with a small bound: Spark cuts each task's rows to the bound before the shuffle by term.
     rows = rows.withColumn("r", F.row_number().over(W.partitionBy("no").orderBy(*order))).filter(F.col("r") <= limit).drop("r")
     once = rows.withColumn("r", F.row_number().over(W.partitionBy("section_id").orderBy("no"))).filter("r = 1").drop("r")
     once = once.withColumn("rank", F.lit(1000.0) + F.col("ordinal"))
-    return numbered(once, [F.asc("no"), *order], limit).drop("no")
+    return _held(numbered(once, [F.asc("no"), *order], limit).select("section_id", "document_id", "rank", "pos", "term"))
+
+
+def with_texts(places: DataFrame, sections: DataFrame, documents: DataFrame) -> DataFrame:
+    """Places (held) with their sections' texts and their documents, looked up by id."""
+    rows = places.collect()
+    ids = {c: sorted({r[c] for r in rows}) for c in ("section_id", "document_id")}
+    texts = section_rows(sections).filter(F.col("section_id").isin(ids["section_id"]))
+    docs = documents.filter(F.col("document_id").isin(ids["document_id"]))
+    return F.broadcast(places.drop("document_id")).join(texts, "section_id").join(F.broadcast(docs), "document_id")
+
+
+def match_attempt(index: Index, sections: DataFrame, documents: DataFrame, phrases: list[list[str]], limit: int) -> DataFrame:
+    return with_texts(match_places(index, sections, documents, phrases, limit), sections, documents)
+
+
+def substring_attempt(sections: DataFrame, documents: DataFrame, terms: list[str], limit: int, in_profile: bool = False) -> DataFrame:
+    return with_texts(substring_places(sections, documents, terms, limit, in_profile), sections, documents)
 
 
 def plan_attempts(o: Options) -> list[tuple[str, str, list[str]]]:
@@ -312,16 +339,14 @@ def search(options: Options, index: Index, sections: DataFrame, documents: DataF
     for no, (kind, query, terms) in enumerate(plan_attempts(o)):
         if kind in ("phrase", "token"):
             phrases = [X.index_tokens_of(p) for p in ([o.query] if kind == "phrase" else query_words(o.query))]
-            rows = match_attempt(index, sections, docs, phrases, 2 * o.limit)
-            marks = F.from_json(F.lit(json.dumps(phrases)), "array<array<string>>")
-            rows = rows.withColumn("snippet", _window_snippet("content", marks))
+            places = match_places(index, sections, docs, phrases, 2 * o.limit)
+            snippet = _window_snippet("content", F.from_json(F.lit(json.dumps(phrases)), "array<array<string>>"))
         else:
-            rows = substring_attempt(sections, docs, terms, 2 * o.limit, kind == "profile")
-            rows = rows.withColumn("snippet", _term_snippet("content", "term"))
+            places = substring_places(sections, docs, terms, 2 * o.limit, kind == "profile")
+            snippet = _term_snippet("content", "term")
+        rows = with_texts(places, sections, docs).withColumn("snippet", snippet)
         rows = enriched(rows, search_terms(o.query), kind, o).withColumn("attempt_no", F.lit(no)).drop("term")
-        if count_hits:
-            rows = rows.cache()  # at most 2 x limit rows
-        said.append({"kind": kind, "query": query, "terms": terms} | ({"hits": rows.count()} if count_hits else {}))
+        said.append({"kind": kind, "query": query, "terms": terms} | ({"hits": places.count()} if count_hits else {}))
         frames.append(rows)
     return Result(o.query, said, collect(frames, o))
 

@@ -27,6 +27,15 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("ordinal"), name.alias("title"), name.alias("heading_path"), F.col("text").alias("content"))
 
 
+def documents_with_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``document_sections`` with a sentence of API references at the end of each text."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang", "source")
+    said = F.concat(F.lit(" see GET /docs/"), "id", F.lit("?lang="), text("lang"), F.lit("&n=1, POST /v1/~"), text("source"), F.lit("/%7Bid%7D/new(2);k='x'. HEAD /a[0]@b!$*+#top;: get /none"))
+    rows = document_sections(spark, sf_dir).join(d.select("id", said.alias("said")), "id")
+    return rows.withColumn("content", F.concat(text("content"), "said")).drop("said")
+
+
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents; five sources."""
     d = read(spark, sf_dir, "conversations").select("conv_id").distinct()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeleaf.functions import text as X
@@ -17,7 +17,9 @@ from lakeleaf.plans import adapters as A
 from lakeleaf.plans import sync
 from lakeleaf.plans.session import shared_dir
 from lakeleaf.sources import folders, htmlpage, web
+from lakeleaf.streaming import incremental
 
+T = TypeVar("T")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -101,10 +103,7 @@ def section_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, source, n_chars from documents where lang = 'fr' and source = 'src3'")
 def documents_lang_source_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = {"lang": "fr", "source": "src3", "text": ""}  # an empty value is no filter
-    rows = A.read(spark, sf_dir, "documents")
-    for column, value in wanted.items():
-        rows = rows.filter(F.col(column) == value) if value else rows
-    return rows.select("doc_id", "source", "n_chars")
+    return feedback.matching(A.read(spark, sf_dir, "documents"), wanted).select("doc_id", "source", "n_chars")
 
 
 @query(f"select d.doc_id::varchar as id, {CANONICAL} as canonical from documents d")
@@ -121,7 +120,7 @@ def exclude_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stale_document_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source that a listing (here: the labelled ones) no longer has."""
     keep = A.read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
-    return A.documents(spark, sf_dir).filter("source_id = 'src1'").select("id").join(keep, "id", "left_anti")
+    return sync.vanished(A.documents(spark, sf_dir).filter("source_id = 'src1'"), keep)
 
 
 @query("select event_id, user_id, event_type from events where event_type = 'click' order by event_id desc limit 100")
@@ -132,11 +131,16 @@ def feedback_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.list_events(rows, feedback_kind="click", limit=100).select(F.col("seq").alias("event_id"), F.col("target_id").alias("user_id"), F.col("feedback_kind").alias("event_type"))
 
 
-@query("select user_id::varchar as id, event_type as kind, event_id from (select *, row_number() over (partition by user_id order by event_id desc) as r from events) where r = 1")
+@query("""
+    with old as (select user_id, 'view' as kind, min(event_id) as event_id from events group by user_id),
+    new as (select user_id, event_type as kind, event_id from events where event_type = 'click' qualify row_number() over (partition by user_id order by event_id desc) = 1)
+    select user_id::varchar as id, coalesce(new.kind, 'view') as kind, coalesce(new.event_id, old.event_id) as event_id from old left join new using (user_id)
+""")
 def node_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of each user is replaced by the user's last click, where there is one."""
     e = A.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("kind"), "event_id", F.col("event_id").alias("seq"))
-    old = e.limit(0).drop("seq")
-    return graph.upsert(old, e)
+    old = e.groupBy("id").agg(F.lit("view").alias("kind"), F.min("event_id").alias("event_id"))
+    return graph.upsert(old, e.filter("kind = 'click'"))
 
 
 @query(f"select doc_id, {stable_sql('doc', 'source', 'doc_id::varchar')} as id, {stable_sql('node', chr(39) + 'document' + chr(39), stable_sql('doc', 'source', 'doc_id::varchar'))} as node_id from documents")
@@ -168,16 +172,39 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.groupBy("term").agg(F.count("*").alias("df"))
 
 
-_indexes: dict[tuple[str, str], search.Index] = {}
+_built: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, tables: str, build: Callable[[str], T]) -> T:
+    """What ``build`` writes to a folder, once for each application and state of the tables' files."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    stamp = []
+    for name in tables.split():
+        path = fs_path(f"{sf_dir}/{name}.parquet")
+        stamp += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    key = spark.sparkContext.applicationId, build.__qualname__, tuple(stamp)
+    if key not in _built:
+        _built[key] = build(f"{shared_dir(spark)}/built-{uuid.uuid4().hex}")
+    return _built[key]
 
 
 def _index(spark: SparkSession, sf_dir: str) -> search.Index:
-    """The written index of the documents, built once for each application and folder."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _indexes:
-        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-        _indexes[key] = search.Index.build(A.document_sections(spark, sf_dir)).write(path, 8)
-    return _indexes[key]
+    def index(path: str) -> search.Index:
+        return search.Index.build(A.document_sections(spark, sf_dir)).write(path)
+
+    return _once(spark, sf_dir, "documents", index)
+
+
+def _star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and adjacency of the star schema, as written tables."""
+
+    def star(path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        A.star_nodes(spark, sf_dir).write.parquet(f"{path}/nodes")
+        A.star_edges(spark, sf_dir).write.parquet(f"{path}/edges")
+        nodes, edges = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+        return nodes, edges, graph.write_adjacency(nodes, edges, f"{path}/adjacency")
+
+    return _once(spark, sf_dir, "region nation customer supplier part lineitem", star)
 
 
 def _match(spark: SparkSession, sf_dir: str, phrases: list[str], limit: int) -> DataFrame:
@@ -251,11 +278,13 @@ def search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.hits.select("place", "section_id", F.round("rank", 9).alias("rank"), F.size("match.search_attempts").alias("attempts"))
 
 
-@query("select conv_id || '-' || turn as section_id, conv_id::varchar as document_id from (select *, row_number() over (partition by conv_id order by turn) as r from conversations) where r <= 2 order by conv_id::varchar, turn limit 100")
+@query("with f as (select conv_id, turn from conversations order by conv_id::varchar, turn limit 200) select conv_id || '-' || turn as section_id, conv_id::varchar as document_id from (select *, row_number() over (partition by conv_id order by turn) as r from f) where r <= 2 order by conv_id::varchar, turn limit 100")
 def per_document_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = A.talk_sections(spark, sf_dir)
-    s = s.withColumn("r", F.row_number().over(W.partitionBy("document_id").orderBy("ordinal"))).filter("r <= 2")
-    return s.orderBy("document_id", "ordinal").limit(100).select(F.col("id").alias("section_id"), "document_id")
+    o = search.Options("x", limit=100, max_sections_per_document=2)
+    docs = search.live(A.talks(spark, sf_dir), A.no_profiles(spark), A.no_feedback(spark))
+    rows = search.numbered(search.section_rows(A.talk_sections(spark, sf_dir)).join(docs, "document_id"), [F.asc("document_id"), F.asc("ordinal")], 200)
+    rows = search.enriched(rows.withColumn("term", F.lit(None).cast("string")), ["x"], "token", o).withColumn("attempt_no", F.lit(0)).drop("term")
+    return search.collect([rows], o).select("section_id", "document_id")
 
 
 EVIDENCE = "the ingly absentword"
@@ -414,8 +443,8 @@ START = "(select id from n where kind = 'nation' and key = '5')"
 
 @query(f"with n as ({NODES_SQL}), e as (select * from ({EDGES_SQL}) where {RIGHT}), {STEPS_SQL} select node_id, edge_id, edge_kind, case branch when 0 then 'out' else 'in' end as direction from steps where from_id = {START} order by branch, edge_kind, node_kind, c, edge_id limit 100")
 def related_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = A.star_nodes(spark, sf_dir), A.star_edges(spark, sf_dir)
-    return graph.related(nodes, edges, _star_feedback(spark, edges), _star_id("nation", "5"), limit=100).select("node_id", "edge_id", "edge_kind", "direction")
+    nodes, edges, adjacency = _star(spark, sf_dir)
+    return graph.related(nodes, edges, _star_feedback(spark, edges), _star_id("nation", "5"), limit=100, written=adjacency).select("node_id", "edge_id", "edge_kind", "direction")
 
 
 def _star_id(kind: str, key: str) -> str:
@@ -433,8 +462,8 @@ def _star_id(kind: str, key: str) -> str:
     """
 )
 def impact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = A.star_nodes(spark, sf_dir), A.star_edges(spark, sf_dir)
-    rows = graph.impact(nodes, edges, _star_feedback(spark, edges), _star_id("region", "1"), "out", 3, None, 200)
+    nodes, edges, adjacency = _star(spark, sf_dir)
+    rows = graph.impact(nodes, edges, _star_feedback(spark, edges), _star_id("region", "1"), "out", 3, None, 200, adjacency)
     return rows.select("hops", F.array_join("path_nodes", ">").alias("path_nodes"), F.array_join("path_edges", ">").alias("path_edges"), "place")
 
 
@@ -476,18 +505,20 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("path", "s.ordinal", "s.title", F.array_join("s.heading_path", " > ").alias("heading_path"), "s.content", "s.hash")
 
 
-@query("select doc_id, method, path from (select doc_id, unnest(regexp_extract_all('see GET /docs/' || doc_id || ' and POST /docs/' || source || '/new.', '\\b(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD|TRACE)\\s+(/[A-Za-z0-9_./{}:-]+)', 1)) as method, unnest(list_transform(regexp_extract_all('see GET /docs/' || doc_id || ' and POST /docs/' || source || '/new.', '\\b(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD|TRACE)\\s+(/[A-Za-z0-9_./{}:-]+)', 2), lambda p: rtrim(p, '.,;:'))) as path from documents)")
+#: In the statement's words: the characters of a path, quotes doubled.
+SAID_SQL = "coalesce(text, '') || ' see GET /docs/' || doc_id || '?lang=' || coalesce(lang, '') || '&n=1, POST /v1/~' || coalesce(source, '') || '/%7Bid%7D/new(2);k=''x''. HEAD /a[0]@b!$*+#top;: get /none'"
+REFS_SQL = r"'\b(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD|TRACE)\s+(/[A-Za-z0-9._~:/?#\[\]@!$&''()*+,;=%{}-]+)'"
+
+
+@query(f"select distinct doc_id, method, regexp_replace(path, '[.,;:]+$', '') as path from (select doc_id, unnest(regexp_extract_all(said, {REFS_SQL}, 1)) as method, unnest(regexp_extract_all(said, {REFS_SQL}, 2)) as path from (select doc_id, {SAID_SQL} as said from documents))")
 def api_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References in a sentence made from each row, since the texts hold none."""
-    d = A.read(spark, sf_dir, "documents")
-    said = F.concat(F.lit("see GET /docs/"), F.col("doc_id").cast("string"), F.lit(" and POST /docs/"), F.col("source"), F.lit("/new."))
-    rows = d.select(F.col("doc_id").alias("document_id"), F.col("doc_id").cast("string").alias("id"), said.alias("content"), F.lit("").alias("title"))
-    return graph.api_mentions(rows).select(F.col("document_id").alias("doc_id"), "method", "path")
+    """References in the texts, each with a sentence added that has some, since the texts hold none."""
+    rows = A.documents_with_references(spark, sf_dir)
+    return graph.api_mentions(rows).select(F.col("document_id").cast("long").alias("doc_id"), "method", "path")
 
 
-@query("select event_type as kind, count(*) as n from events where event_id > 100 group by 1")
+@query("select time_bucket(interval '10 minutes', ts) as begins, event_type as kind, count(*) as n from events group by all")
 def incremental_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that a listing of known ones (here: ids up to 100) lacks, as incremental sync finds them."""
-    e = A.read(spark, sf_dir, "events").select("event_id", "event_type")
-    known = e.filter("event_id <= 100").select("event_id")
-    return e.join(known, "event_id", "left_anti").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    """The counts that the stream of events keeps, over all events at once."""
+    e = A.read(spark, sf_dir, "events").select(F.col("ts").alias("created_at"), F.col("event_type").alias("feedback_kind"))
+    return incremental.counts_by_kind(e).select(F.col("window.start").alias("begins"), F.col("feedback_kind").alias("kind"), "n")

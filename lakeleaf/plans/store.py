@@ -1,16 +1,21 @@
-"""The engine's state: one Parquet table for each kind of row, in versions, and a pointer file that names the current ones.
+"""The engine's state: one Parquet table for each kind of row, and numbered version files that name their folders.
 
-A change writes new versions of the tables it touches and then replaces the pointer, so readers see all of a change
-or nothing. Files are reached through Hadoop's file systems: the root may be in any store that Spark writes.
+A table is a folder of rows and up to DELTAS small folders of changed rows, of which the last for each id counts: a job
+or an event is one row written, whatever the table holds. A change ends with a version file of the next number, which
+only one writer can make, so readers see all of a change or nothing and no change is lost: a writer who comes second
+starts from the new version, or is told of the conflict where both changed the same table. Files are reached through
+Hadoop's file systems: the root may be in any store that Spark writes and that renames atomically.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from datetime import datetime, timezone
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,12 +39,21 @@ SCHEMAS = {
     "jobs": "id string, seq long, kind string, status string, source_id string, payload_json string, attempts int, last_error string, created_at timestamp, updated_at timestamp",
     "feedback": "id string, seq long, target_kind string, target_id string, feedback_kind string, payload_json string, actor string, created_at timestamp",
 }
+#: Tables whose rows have another key than id.
+KEYS = {"profiles": "document_id"}
+#: Folders of changed rows after which a table's rows are written anew.
+DELTAS = 32
+INTERRUPTED = "the process ended while this job was running"
 
 
 class NotFound(ValueError):
     """No such row."""
 
 
+class Conflict(RuntimeError):
+    """Another writer changed the same table meanwhile."""
+
+
 class SyncInProgress(ValueError):
     """A source has a running job already."""
 
@@ -58,40 +72,108 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def current(self) -> dict[str, str]:
-        path, fs = self._fs(f"{self.root}/_CURRENT")
-        if not fs.exists(path):
-            return {}
+    def _numbers(self) -> list[int]:
+        folder, fs = self._fs(f"{self.root}/_versions")
+        return sorted(int(f.getPath().getName()[:-5]) for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json")) if fs.exists(folder) else []
+
+    def _version(self, number: int) -> dict[str, list[str]]:
+        path, fs = self._fs(f"{self.root}/_versions/{number:012d}.json")
         stream = fs.open(path)
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """New versions of some tables, all at once."""
-        versions = self.current()
-        for name, rows in tables.items():
-            wanted = T.StructType.fromDDL(SCHEMAS[name])
-            path = f"{name}/{uuid.uuid4().hex}"
-            rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted]).write.parquet(f"{self.root}/{path}")
-            versions[name] = path
-        temp, fs = self._fs(f"{self.root}/_CURRENT.{uuid.uuid4().hex}")
+    def snapshot(self) -> tuple[int, dict[str, list[str]]]:
+        """The last version's number, and the folders of each table: the rows, then the changes."""
+        numbers = self._numbers()
+        return (numbers[-1], self._version(numbers[-1])) if numbers else (0, {})
+
+    def current(self) -> dict[str, list[str]]:
+        return self.snapshot()[1]
+
+    def _publish(self, number: int, tables: dict[str, list[str]]) -> bool:
+        """Make the version file of that number; False if another writer has made it."""
+        temp, fs = self._fs(f"{self.root}/_versions/.{uuid.uuid4().hex}")
         out = fs.create(temp, True)
         try:
-            out.write(bytearray(json.dumps(versions).encode()))
+            out.write(bytearray(json.dumps(tables).encode()))
         finally:
             out.close()
-        # A rename that replaces, so that the pointer is never missing.
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
         rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(fs.makeQualified(temp), fs.makeQualified(self._fs(f"{self.root}/_CURRENT")[0]), options)
-
-    def table(self, name: str) -> DataFrame:
-        at = self.current().get(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{at}") if at else self.spark.createDataFrame([], SCHEMAS[name])
+        options[0] = rename.NONE  # fails if the file is there
+        try:
+            context.rename(fs.makeQualified(temp), fs.makeQualified(self._fs(f"{self.root}/_versions/{number:012d}.json")[0]), options)
+            return True
+        except Py4JJavaError as e:
+            fs.delete(temp, False)
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+
+    def _commit(self, seen: tuple[int, dict[str, list[str]]], new: dict[str, list[str]], read: set[str]) -> None:
+        """Publish new folders of some tables, made from the version ``seen`` by reading the tables ``read``."""
+        number, base = seen
+        while not self._publish(number + 1, base | new):
+            number, now_ = self.snapshot()
+            changed = {t for t in read | set(new) if now_.get(t) != seen[1].get(t)}
+            if changed:
+                raise Conflict(f"changed by another writer: {', '.join(sorted(changed))}")
+            base = now_
+
+    def _write(self, name: str, rows: DataFrame, schema: str) -> str:
+        path = f"{name}/{uuid.uuid4().hex}"
+        wanted = T.StructType.fromDDL(schema)
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted]).write.parquet(f"{self.root}/{path}")
+        return path
+
+    def commit(self, tables: dict[str, DataFrame], seen: tuple[int, dict[str, list[str]]] | None = None) -> None:
+        """New rows of some tables, all at once. ``seen``: the snapshot that they were made from."""
+        seen = seen or self.snapshot()
+        self._commit(seen, {name: [self._write(name, rows, SCHEMAS[name])] for name, rows in tables.items()}, set(tables))
+
+    def change(self, changes: dict[str, list[dict[str, Any]]], gone: bool = False, seen: tuple[int, dict[str, list[str]]] | None = None, read: set[str] = frozenset()) -> None:
+        """Put (or with ``gone`` delete) single rows of some tables. A table's rows are written anew after DELTAS changes."""
+        seen, new = seen or self.snapshot(), {}
+        for name, rows in changes.items():
+            own = seen[1].get(name) or [self._write(name, self._frame(name, []), SCHEMAS[name])]
+            if len(own) > DELTAS:
+                own = [self._write(name, self._read(name, own), SCHEMAS[name])]
+            frame = self._frame(name, rows).coalesce(1).withColumns({"change_no": F.lit(len(own)), "change_gone": F.lit(gone)})
+            new[name] = [*own, self._write(name, frame, f"{SCHEMAS[name]}, change_no int, change_gone boolean")]
+        self._commit(seen, new, set(read))
+
+    def _read(self, name: str, folders: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{folders[0]}")
+        if len(folders) == 1:
+            return rows
+        key = KEYS.get(name, "id")
+        changed = self.spark.read.schema(f"{SCHEMAS[name]}, change_no int, change_gone boolean").parquet(*[f"{self.root}/{f}" for f in folders[1:]])
+        last = changed.groupBy(key).agg(F.max_by(F.struct(*changed.columns), "change_no").alias("last")).select("last.*")
+        # A few rows of each of at most DELTAS changes.
+        return rows.join(F.broadcast(last.select(key)), key, "left_anti").select(*rows.columns).unionByName(last.filter("not change_gone").select(*rows.columns))
+
+    def table(self, name: str, seen: tuple[int, dict[str, list[str]]] | None = None) -> DataFrame:
+        folders = (seen[1] if seen else self.current()).get(name)
+        return self._read(name, folders) if folders else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def vacuum(self, keep: int = 10) -> int:
+        """Delete all but the last ``keep`` versions and the folders that only they name; returns how many folders. Not
+        to be run beside a writer, whose folders no version names yet."""
+        numbers = self._numbers()
+        kept = {f for n in numbers[-keep:] for folders in self._version(n).values() for f in folders}
+        deleted = 0
+        for name in SCHEMAS:
+            folder, fs = self._fs(f"{self.root}/{name}")
+            for f in fs.listStatus(folder) if fs.exists(folder) else []:
+                if f"{name}/{f.getPath().getName()}" not in kept:
+                    deleted += bool(fs.delete(f.getPath(), True))
+        for n in numbers[:-keep]:
+            path, fs = self._fs(f"{self.root}/_versions/{n:012d}.json")
+            fs.delete(path, False)
+        return deleted
 
     def _row(self, name: str, row_id: str) -> dict[str, Any]:
         found = self.table(name).filter(F.col("id") == row_id).first()
@@ -104,7 +186,7 @@ class Store:
         return self.spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], SCHEMAS[name])
 
     def _put(self, name: str, row: dict[str, Any]) -> dict[str, Any]:
-        self.commit({name: graph.upsert(self.table(name), self._frame(name, [row]))})
+        self.change({name: [row]})
         return self._row(name, row["id"])
 
     def _next(self, name: str) -> int:
@@ -161,11 +243,20 @@ class Store:
     # Jobs -------------------------------------------------------------------------------------------------------
 
     def start_job(self, source_id: str) -> dict[str, Any]:
-        """At most one running job of a source."""
-        if not self.table("jobs").filter((F.col("source_id") == source_id) & (F.col("status") == "running")).isEmpty():
+        """At most one running job of a source: the check and the new row are one change."""
+        seen = self.snapshot()
+        if not self.table("jobs", seen).filter((F.col("source_id") == source_id) & (F.col("status") == "running")).isEmpty():
             raise SyncInProgress(f"a sync of {source_id!r} is in progress")
         row = {"id": random_id("job"), "seq": self._next("jobs"), "kind": "sync_source", "status": "running", "source_id": source_id, "payload_json": json.dumps({"source_id": source_id}), "attempts": 1, "last_error": "", "created_at": now(), "updated_at": now()}
-        return self._put("jobs", row)
+        self.change({"jobs": [row]}, seen=seen, read={"jobs"})
+        return self._row("jobs", row["id"])
+
+    def fail_interrupted(self) -> int:
+        """At the start of a service: jobs that still run have lost their process, and would block their sources."""
+        rows = [r.asDict() | {"status": "failed", "last_error": INTERRUPTED, "updated_at": now()} for r in self.table("jobs").filter("status = 'running'").collect()]  # one for each source at most
+        if rows:
+            self.change({"jobs": rows})
+        return len(rows)
 
     def end_job(self, job_id: str, payload: dict[str, Any] | None = None, error: str = "") -> dict[str, Any]:
         row = self._row("jobs", job_id)
@@ -178,7 +269,7 @@ class Store:
     def delete_job(self, source_id: str, job_id: str) -> None:
         if self._row("jobs", job_id)["source_id"] != source_id:
             raise NotFound(f"job {job_id!r} not found")
-        self.commit({"jobs": self.table("jobs").filter(F.col("id") != job_id)})
+        self.change({"jobs": [{"id": job_id}]}, gone=True)
 
     def broken_links(self, source_id: str) -> DataFrame:
         """All links that the source's last sync could not resolve, sorted."""
@@ -191,6 +282,11 @@ class Store:
             raise ValueError("the store has no tables yet")
         return {r["name"]: r["n"] for r in graph.status({t: self.table(t) for t in ("sources", "documents", "sections", "nodes", "edges", "jobs")}).collect()}
 
+    def impact_answer(self, node_id: str, direction: str = "out", depth: int = 2, kinds: list[str] | None = None, limit: int = 50) -> dict[str, Any]:
+        """The start node and the paths."""
+        paths = self.impact(node_id, direction, depth, kinds, limit)
+        return {"start_node": self.node(node_id.strip()), "paths": paths}
+
     def artifacts(self, source_id: str, limit: int = 50, offset: int = 0) -> dict[str, Any]:
         """Numbers, and a page of each kind of what a source has given."""
         self._row("sources", source_id)
@@ -227,8 +323,7 @@ class Store:
             except ValueError as e:
                 raise ValueError("retrieval_profile_json is not JSON") from e
             row["retrieval_profile_json"] = profile_json
-        old = self.table("profiles").filter(F.col("document_id") != document_id)
-        self.commit({"profiles": old.unionByName(self._frame("profiles", [row]))})
+        self.change({"profiles": [row]})
         return self.profile(document_id)
 
     def put_nodes(self, rows: DataFrame) -> None:
@@ -252,17 +347,19 @@ class Store:
         return graph.related(self.table("nodes"), self.table("edges"), self.table("feedback"), node_id, direction, kind, limit)
 
     def impact(self, node_id: str, direction: str = "out", depth: int = 2, kinds: list[str] | None = None, limit: int = 50) -> DataFrame:
+        """NotFound if there is no such node."""
+        self._row("nodes", graph.asked(node_id, direction, "out", "impact")[0])
         return graph.impact(self.table("nodes"), self.table("edges"), self.table("feedback"), node_id, direction, depth, kinds, limit)
 
     # Search -----------------------------------------------------------------------------------------------------
 
     def index(self) -> search.Index:
         """The written index of the current sections, built anew if they have changed."""
-        at = self.current().get("sections", "none").replace("/", "-")
+        at = hashlib.sha256(json.dumps(self.current().get("sections")).encode()).hexdigest()[:32]
         path, fs = self._fs(f"{self.root}/index/{at}/totals/_SUCCESS")
         if fs.exists(path):
             return search.Index.read(self.spark, f"{self.root}/index/{at}")
-        return search.Index.build(self.table("sections")).write(f"{self.root}/index/{at}", 8)
+        return search.Index.build(self.table("sections")).write(f"{self.root}/index/{at}")
 
     def search(self, options: search.Options) -> search.Result:
         return search.search(options, self.index(), self.table("sections"), self.table("documents"), self.table("profiles"), self.table("feedback"))
@@ -278,10 +375,10 @@ class Store:
         """Append an event; an added relationship or a merge also puts its edge."""
         row = FB.check_event(event) | {"id": random_id("fb"), "seq": self._next("feedback"), "created_at": now()}
         new = self._frame("feedback", [row])
-        tables = {"feedback": self.table("feedback").unionByName(new)}
+        changes = {"feedback": [row]}
         if row["feedback_kind"] in ("relationship_add", "node_merge"):
-            tables["edges"] = graph.upsert(self.table("edges"), FB.manual_edges(new).select(*graph.EDGE))
-        self.commit(tables)
+            changes["edges"] = [r.asDict() for r in FB.manual_edges(new).select(*graph.EDGE).collect()]  # one event's edge
+        self.change(changes)
         return self._row("feedback", row["id"])
 
     def feedback(self, target_kind: str = "", target_id: str = "", feedback_kind: str = "", limit: int = 20) -> DataFrame:
@@ -290,7 +387,7 @@ class Store:
     def delete_feedback(self, event_id: str) -> None:
         """What the event hid is seen again; an edge that it put stays."""
         self._row("feedback", event_id)
-        self.commit({"feedback": self.table("feedback").filter(F.col("id") != event_id)})
+        self.change({"feedback": [{"id": event_id}]}, gone=True)
 
 
 def attached(edges: DataFrame, nodes: DataFrame, sections: DataFrame) -> DataFrame:

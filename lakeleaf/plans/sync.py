@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lakeleaf.functions.ids import stable_id
 from lakeleaf.operators import graph, profiles
+from lakeleaf.plans.session import visible
 from lakeleaf.plans.store import LINKED_KINDS, Store, attached
 from lakeleaf.sources import folders, paths, web
 
@@ -30,10 +31,10 @@ def load(store: Store, source: dict[str, Any], transport: web.Transport = web.ht
         return rows, paths.url_prefix(config, root)
     if kind == "git":
         found = folders.checkout(dsn, config)
-        return folders.scan_markdown(spark, found.root), paths.url_prefix(config, found.url)
+        return folders.scan_markdown(spark, visible(spark, found.root)), paths.url_prefix(config, found.url)
     if kind == "sftp":
         found = folders.Mirror(dsn, source["id"], config, connect).sync()
-        return folders.scan_static(spark, found.root, config, mirrored=True), found.url
+        return folders.scan_static(spark, visible(spark, found.root), config, mirrored=True), found.url
     if kind == "openapi":
         root = paths.local_path(dsn)
         return folders.scan_openapi(spark, root), paths.url_prefix(config, root.rsplit("/", 1)[0])
@@ -72,6 +73,11 @@ def page_links(documents: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.select("document_id", "section_id", F.col("l.href").alias("href"), F.col("l.text").alias("text"), _candidates("path", F.col("l.href")).alias("candidates"))
 
 
+def vanished(old: DataFrame, listed: DataFrame) -> DataFrame:
+    """The ids of ``old`` that a new listing (ids too) lacks."""
+    return old.select("id").join(listed.select("id"), "id", "left_anti")
+
+
 def sync_source(store: Store, source_id: str, transport: web.Transport = web.http_get, connect: Callable = folders.connect_sftp) -> dict[str, Any]:
     """Sync one source as a job; returns the ended job. A failure leaves the tables as they were."""
     source = store.source(source_id)
@@ -82,30 +88,37 @@ def sync_source(store: Store, source_id: str, transport: web.Transport = web.htt
         return store.end_job(job["id"], error=str(e) or type(e).__name__)
 
 
+def replaced(store: Store, sources: DataFrame, docs: DataFrame, secs: DataFrame, gone: DataFrame, links: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables with ``docs`` and their sections in place of what they had of these, and without the documents ``gone``
+    (document_id). sources: of the documents; links: further edges."""
+    left = store.without_documents(gone)
+    mine = docs.select(F.col("id").alias("document_id"))
+    all_docs = graph.upsert(left["documents"], docs)
+    all_secs = left["sections"].join(mine, "document_id", "left_anti").select(*secs.columns).unionByName(secs)
+    nodes, edges = graph.build_graph(sources, docs, secs)
+    if links is not None:
+        edges = graph.one_per_id(edges.unionByName(links.select(*edges.columns)))
+    all_nodes = graph.upsert(left["nodes"], nodes.select(*graph.NODE))
+    all_edges = attached(graph.upsert(left["edges"], edges.select(*graph.EDGE)), all_nodes, all_secs)
+    others = left["profiles"].join(mine, "document_id", "left_anti")
+    fresh = profiles.refresh_profiles(left["profiles"].join(mine, "document_id", "left_semi"), docs, secs)
+    return {"documents": all_docs, "sections": all_secs, "nodes": all_nodes, "edges": all_edges, "profiles": others.unionByName(fresh.select(*others.columns))}
+
+
 def _sync(store: Store, source: dict[str, Any], transport: web.Transport, connect: Callable) -> dict[str, Any]:
     parsed, prefix = load(store, source, transport, connect)
     docs, secs = engine_rows(parsed, source["id"], prefix)
     docs, secs = docs.cache(), secs.cache()
+    seen = store.snapshot()
     try:
         old = store.table("documents").filter(F.col("source_id") == source["id"])
-        gone = old.join(docs.select("id"), "id", "left_anti").select(F.col("id").alias("document_id"))
-        left = store.without_documents(gone)
-        mine = docs.select(F.col("id").alias("document_id"))
-        all_docs = graph.upsert(left["documents"], docs)
-        all_secs = left["sections"].join(mine, "document_id", "left_anti").select(*secs.columns).unionByName(secs)
-        sources = store.table("sources").filter(F.col("id") == source["id"])
-        nodes, edges = graph.build_graph(sources, docs, secs)
-        broken = store.table("broken_links").filter(F.col("source_id") != source["id"])
+        gone = vanished(old, docs).withColumnRenamed("id", "document_id")
+        broken, found = store.table("broken_links").filter(F.col("source_id") != source["id"]), None
         if source["kind"] in LINKED_KINDS:
             found, missing = graph.resolve_links(page_links(docs, secs), graph.link_targets(docs, secs))
-            edges = graph.one_per_id(edges.unionByName(found.select(*edges.columns)))
             broken = broken.unionByName(missing.select(F.lit(source["id"]).alias("source_id"), "*"))
-        all_nodes = graph.upsert(left["nodes"], nodes.select(*graph.NODE))
-        all_edges = attached(graph.upsert(left["edges"], edges.select(*graph.EDGE)), all_nodes, all_secs)
-        others = left["profiles"].join(mine, "document_id", "left_anti")
-        own = left["profiles"].join(mine, "document_id", "left_semi")
-        fresh = profiles.refresh_profiles(own, docs, secs)
-        store.commit({"documents": all_docs, "sections": all_secs, "nodes": all_nodes, "edges": all_edges, "profiles": others.unionByName(fresh.select(*others.columns)), "broken_links": broken})
+        tables = replaced(store, store.table("sources").filter(F.col("id") == source["id"]), docs, secs, gone, found)
+        store.commit(tables | {"broken_links": broken}, seen)
         links = store.broken_links(source["id"])
         return {"documents": docs.count(), "broken_link_count": links.count(), "broken_links": [r.asDict() for r in links.limit(LINKS_PAGE).collect()]}
     finally:

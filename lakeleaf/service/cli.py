@@ -96,7 +96,7 @@ def run(store: Store, a: argparse.Namespace) -> Any:
     if a.command == "node":
         return plain(store.node(a.id)) if a.action == "get" else {"related": plain(store.related(a.id, a.direction, a.kind, a.limit))}
     if a.command == "impact":
-        return {"paths": plain(store.impact(a.id, a.direction or "out", a.depth, [a.kind] if a.kind else None, a.limit))}
+        return plain(store.impact_answer(a.id, a.direction, a.depth, [a.kind] if a.kind else None, a.limit))
     if a.action == "list":
         return {"events": plain(store.feedback(a.target_kind, a.target_id, a.feedback_kind, a.limit))}
     event = {"target_id": a.target_id, "feedback_kind": a.feedback_kind, "payload_json": a.payload_json, "actor": a.actor} | ({"target_kind": a.target_kind} if a.target_kind else {})
@@ -120,6 +120,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
             return 0
         settings = C.load(a.config)
         store = Store(spark or SparkSession.builder.appName("lakeleaf").getOrCreate(), settings.storage["dsn"])
+        if a.command in ("mcp", "serve"):
+            store.fail_interrupted()
         if a.command == "mcp":
             Tools(store).serve(sys.stdin, out)
         elif a.command == "serve":

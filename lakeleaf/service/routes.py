@@ -115,7 +115,7 @@ class Api:
         if not node:
             raise ValueError("id is required")
         kinds = [k] if (k := str(b.get("kind") or "").strip()) else None
-        return {"paths": plain(self.store.impact(node, b.get("direction") or "out", int(b.get("max_depth") or 0), kinds, int(b.get("limit") or 0)))}
+        return plain(self.store.impact_answer(node, str(b.get("direction") or ""), int(b.get("max_depth") or 0), kinds, int(b.get("limit") or 0)))
 
     def create_source(self, q: dict, b: dict) -> dict:
         row = {k: str(b.get(k) or "").strip() for k in SOURCE_FIELDS} | {"config_json": merged_config(b.get("config_json") or "", b, False)}

@@ -75,7 +75,7 @@ class Tools:
         if name == "doc_related":
             return {"related": plain(self.store.related(word("id"), word("direction"), word("kind"), int(a.get("limit") or 0)))}
         if name == "doc_impact":
-            return {"paths": plain(self.store.impact(word("id"), word("direction") or "out", int(a.get("max_depth") or 0), [word("kind")] if word("kind") else None, int(a.get("limit") or 0)))}
+            return plain(self.store.impact_answer(word("id"), word("direction"), int(a.get("max_depth") or 0), [word("kind")] if word("kind") else None, int(a.get("limit") or 0)))
         if name == "doc_get_section":
             return plain(self.store.section(word("id")))
         raise ValueError(f"unknown tool {name!r}")

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from lakeleaf.operators import feedback as FB
 from lakeleaf.operators import graph
+from lakeleaf.plans import sync
 from lakeleaf.plans.store import SCHEMAS, Store
 
 
@@ -26,14 +27,26 @@ def _started(stream: DataFrame, checkpoint: str, put: Callable[[DataFrame, int],
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: The source of documents that only the stream has told of.
+STREAM = ("stream", "static", "stream")
+
+
 def follow_sections(store: Store, folder: str, checkpoint: str) -> StreamingQuery:
-    """New sections replace the old ones of their documents."""
+    """New sections replace the old ones of their documents, whose profiles and graph are made anew, so that they are
+    found at once. A document that the store doesn't know gets a row, titled by its first section."""
 
     def put(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        old = store.table("sections").join(batch.select("document_id").distinct(), "document_id", "left_anti")
-        store.commit({"sections": old.select(*batch.columns).unionByName(graph.one_per_id(batch, [F.desc("ordinal")]))})
-        batch.unpersist()
+        secs = graph.one_per_id(batch, [F.desc("ordinal")]).persist()
+        seen = store.snapshot()
+        known = store.table("documents")
+        own = secs.groupBy(F.col("document_id").alias("id")).agg(F.min_by("title", "ordinal").alias("first"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("content", 256))), ""), 256).alias("hash"))
+        docs = own.join(known, "id", "left").select(
+            "id", F.coalesce("source_id", F.lit(STREAM[0])).alias("source_id"), F.coalesce("external_id", "id").alias("external_id"), F.coalesce("title", "first").alias("title"), F.col("hash").alias("content_hash"),
+            *[F.coalesce(c, F.lit(v)).alias(c) for c, v in (("url", ""), ("version", ""), ("metadata_json", "{}"), ("acl_json", "{}"))], F.coalesce("page_anchors", F.array().cast("array<string>")).alias("page_anchors"), F.current_timestamp().alias("indexed_at"),
+        )
+        sources = store.table("sources").select("id", "kind", "product_hint", "module_hint").unionByName(store.spark.createDataFrame([(*STREAM[:2], "", "")], "id string, kind string, product_hint string, module_hint string"))
+        store.commit(sync.replaced(store, sources, docs.select(*known.columns), secs, docs.limit(0).select(F.col("id").alias("document_id"))), seen)
+        secs.unpersist()
 
     return _started(rows_stream(store.spark, folder, "sections"), checkpoint, put)
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lakeleaf.operators import context, graph, profiles, search
 from lakeleaf.operators.feedback import check_event
-from lakeleaf.plans.store import SCHEMAS, NotFound, Store, SyncInProgress
+from lakeleaf.plans import store as store_module
+from lakeleaf.plans.store import SCHEMAS, Conflict, NotFound, Store, SyncInProgress
 from lakeleaf.plans.sync import payload, sync_source
 from lakeleaf.service import cli, config
 from lakeleaf.service.routes import Api
@@ -116,6 +117,24 @@ def test_impact(spark):
     paths = graph.impact(*t, "product", depth=5).collect()
     assert all(len(set(p["path_nodes"])) == len(p["path_nodes"]) == p["hops"] + 1 for p in paths)
     assert max(p["hops"] for p in paths) == 2 and graph.impact(*t, "none").count() == 0
+    for run in (graph.related, graph.impact):
+        for bad in (("product", "sideways"), (" ", "out")):
+            with pytest.raises(ValueError):
+                run(*t, *bad)
+
+
+def test_written_adjacency_changes_nothing(spark, tmp_path):
+    nodes, edges, none = graph_tables(spark, [("loop", "api", "api", "contains")])
+    wrong = spark.createDataFrame([("f", 1, "edge", "e3", "relationship_wrong", "{}", "", None)], SCHEMAS["feedback"])
+    written = graph.write_adjacency(nodes, edges, str(tmp_path))
+    for events in (none, wrong):
+        for way in ("both", "out", "in"):
+            a, b = (graph.related(nodes, edges, events, " api ", way, "", 3, w).collect() for w in (None, written))
+            assert a == b and a
+            a, b = (graph.impact(nodes, edges, events, "product", way, 3, None, 5, w).collect() for w in (None, written))
+            assert a == b and len(a) <= 5
+            a, b = (graph.impact(nodes, edges, events, "product", way, 2, ["contains", "depends_on"], 50, w).collect() for w in (None, written))
+            assert a == b
 
 
 def test_related_and_wrong_edges(spark):
@@ -205,6 +224,13 @@ def test_source_life(spark, tmp_path, site):
     with pytest.raises(SyncInProgress):
         store.start_job(src)
         store.start_job(src)
+    assert store.fail_interrupted() == 1 and store.fail_interrupted() == 0
+    assert store.jobs(src).first()["status"] == "failed" and "ended" in store.jobs(src).first()["last_error"]
+    assert api.handle("POST", "/api/impact", json.dumps({"id": node, "direction": "odd"}).encode(), key)[0] == 400
+    assert api.handle("POST", "/api/impact", b'{"id": "none"}', key)[0] == 404
+    answer = api.handle("POST", "/api/impact", json.dumps({"id": node}).encode(), key)[1]
+    assert answer["start_node"]["id"] == node and answer["paths"]
+    assert api.handle("GET", f"/api/nodes/{node}/related?direction=odd", b"", key)[0] == 400
     store.delete_source(src)
     assert store.status()["documents"] == store.status()["nodes"] == store.status()["edges"] == 0 and store.status()["jobs"] == 4
     with pytest.raises(NotFound):
@@ -228,6 +254,27 @@ def test_all_broken_links_are_kept(spark, tmp_path):
     assert store.table("broken_links").count() == 0
 
 
+def test_writers_don_t_lose_changes(spark, tmp_path, monkeypatch):
+    one, two = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    ids = [one.put_source({"kind": "local", "name": n, "dsn": "/d"})["id"] for n in "ab"]
+    seen = one.snapshot()
+    two.start_job(ids[0])
+    # Another table was changed meanwhile: both changes hold.
+    one.change({"sources": [one.source(ids[0]) | {"name": "c"}]}, seen=seen)
+    assert one.source(ids[0])["name"] == "c" and two.jobs(ids[0]).count() == 1
+    # The same one was: the second writer is told.
+    with pytest.raises(Conflict):
+        one.commit({"sources": one.table("sources", seen)}, seen)
+    with pytest.raises(Conflict):
+        one.change({"feedback": []}, seen=seen, read={"jobs"})
+    # Many changes are folded into the table's rows, and old versions go.
+    monkeypatch.setattr(store_module, "DELTAS", 3)
+    for n in range(8):
+        one.put_source({"id": ids[1], "kind": "local", "name": f"n{n}", "dsn": "/d"})
+    assert len(one.current()["sources"]) <= 4 and {r["name"] for r in two.sources().collect()} == {"c", "n7"}
+    assert one.vacuum(keep=1) > 0 and {r["name"] for r in two.sources().collect()} == {"c", "n7"} and two.jobs(ids[0]).count() == 1
+
+
 def test_failed_sync_leaves_tables(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     src = store.put_source({"kind": "local", "name": "x", "dsn": "https://x/"})["id"]
@@ -271,3 +318,5 @@ def test_streamed_sections(spark, tmp_path):
         spark.createDataFrame([("s1", "d1", 0, "t", "t", text, "", [], [])], SCHEMAS["sections"]).write.mode("append").parquet(folder)
         follow_sections(store, folder, str(tmp_path / "cp")).awaitTermination()
         assert [r["content"] for r in store.table("sections").collect()] == [text], n
+        assert [h["section_id"] for h in store.search(search.Options(text, max_searches=1)).hits.collect()] == ["s1"]
+        assert store.status()["documents"] == 1 and store.status()["nodes"] == 2 and store.table("profiles").count() == 1
