@@ -9,8 +9,8 @@ alike lines every one that has an earlier one (in the order of doc_id, then line
    a few binary rows; a task sends each digest once, however many copies it has seen.
 3. In a part, records of one word are paired under the length filter, the positional filter and a bitmap filter (the
    parity bitmaps of alike lines differ in few bits). Records of one digest show its first line.
-4. For each later line the nearest earlier candidates are verified on the words themselves, which another pass gives
-   for just those digests. A group of n near copies of a line thus gives some pairs for each, not all n x n / 2.
+4. For each later line the nearest earlier candidates are verified on the words (48 bits of each), which another pass
+   gives for just those digests. A group of n near copies of a line thus gives some pairs for each, not all n x n / 2.
 5. Lines that none of their nearest candidates removed, but that had more, get all their candidates in the end, from
    the records of the words that some line had more candidates by, which step 3 has set aside. So the result is that
    of comparing all lines.
@@ -42,7 +42,7 @@ FILTER_BITS = 1 << 26
 WORDS_IN_PART, LEAST_PARTS, MOST_PARTS = 1 << 17, 64, 1 << 20
 #: Candidate pairs looked at together in a part, and kept of each word and later line (the nearest) at first.
 #: (DOUBTFUL times as many where even the nearest is not clearly alike, or where there are no more than that).
-SLICE, KEEP, DOUBTFUL = 1 << 20, 8, 8
+SLICE, KEEP, DOUBTFUL = 1 << 18, 8, 8
 
 RECORD = np.dtype([("word", "<u4"), ("digest", "<u8"), ("bits", "<u8"), ("bits2", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u2"), ("at", "<u2")])
 #: Copies agree in 128 bits, ``digest`` and ``check``.
@@ -351,16 +351,17 @@ def _found(packed: DataFrame, parts: int, keep: int) -> DataFrame:
     return packed.groupBy("kind", "part").applyInPandas(group, "what int, part int, doc_id long, line int, rows binary")
 
 
-def _rest(found: DataFrame, parts: int, some: np.ndarray, laters: np.ndarray) -> DataFrame:
-    """All candidate pairs of the digests in ``laters`` by the words in ``some``: what, part, rows as in ``_found``."""
-    sent = found.sparkSession.sparkContext.broadcast((some, laters))
+def _rest(found: DataFrame, parts: int, laters: np.ndarray) -> DataFrame:
+    """All candidate pairs of the digests in ``laters`` by the words set aside: what, part, rows as in ``_found``. By
+    their other words they had all of them before."""
+    sent = found.sparkSession.sparkContext.broadcast(laters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows in batch["rows"]:  # a word has all its records in one row
                 record = np.frombuffer(rows, dtype=RECORD)
-                record = record[has(sent.value[0], record["word"].astype(np.int64) % FILTER_BITS)]
-                pairs, _ = candidates(record, None, sent.value[1])
+                mine = has(sent.value, (record["digest"] % np.uint64(FILTER_BITS)).astype(np.int64))
+                pairs, _ = candidates(record[np.isin(record["word"], record["word"][mine])], None, sent.value)
                 yield by_part(pairs, mixed(pairs["later"]), parts).assign(what=0)[["what", "part", "rows"]]
 
     return found.filter("what = 2").select("rows").mapInPandas(run, "what int, part int, rows binary")
@@ -384,30 +385,44 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.filter("what = 0").select("part", "rows").groupBy("part").applyInPandas(group, "earlier long, later long, home long, doc_id long, line int, place int, more boolean")
 
 
+def short_words(words: np.ndarray) -> bytes:
+    """Sorted word hashes as six bytes each."""
+    return np.ascontiguousarray(distinct(words >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def long_words(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """digest, words (sorted hashes) of the wanted digests (digest, home), from the documents of their first lines.
+    """digest, words (``short_words``) of the wanted digests (digest, home), from the documents of their first lines.
 
-    Filters of a fixed size say which documents and digests are wanted; false hits only cost a row.
+    Filters of a fixed size say which documents, and which digests in them, are wanted; false hits only cost a row, and
+    a digest whose document comes in several rows has as many.
     """
-    filters = bitmap(wanted.select(place_of("home"))), bitmap(wanted.select(F.pmod("digest", F.lit(FILTER_BITS)).alias("place")))
+    filters = bitmap(wanted.select(place_of("home"))), bitmap(wanted.select(F.pmod(F.col("digest").bitwiseXOR(F.col("home")), F.lit(FILTER_BITS)).alias("place")))
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         homes, cell = sent.value
         for batch in batches:
+            batch = batch[has(homes, batch["place"].to_numpy())]
             out: dict[int, bytes] = {}
-            for chunk in chunks(repeat(0), batch["text"][has(homes, batch["place"].to_numpy())]):
+            for chunk in chunks(batch["doc_id"], batch["text"]):
                 own = Lines(chunk.text, None)
-                hit = np.flatnonzero(has(cell, (own.digest % np.uint64(FILTER_BITS)).astype(np.int64))) if len(own.number) else ()
-                for i in hit:
+                if not len(own.number):
+                    continue
+                doc, _ = chunk.own(own.number)
+                for i in np.flatnonzero(has(cell, (own.digest ^ doc.view(np.uint64)) % np.uint64(FILTER_BITS))):
                     if (d := int(own.digest[i].astype(np.int64))) not in out:
                         a, z = np.searchsorted(own.line, [own.number[i], own.number[i] + 1])
-                        out[d] = distinct(own.words[a:z]).tobytes()
+                        out[d] = short_words(own.words[a:z])
             yield pd.DataFrame({"digest": list(out), "words": list(out.values())}).astype({"digest": "int64", "words": "object"})
 
     # Tested here and not by ``maybe_in``, so that a task has one Python worker.
-    found = docs.select(place_of("doc_id"), "text").mapInPandas(run, "digest long, words binary").groupBy("digest").agg(F.min("words").alias("words"))
-    return found.join(wanted.select("digest"), "digest", "left_semi")
+    return docs.select(place_of("doc_id"), "doc_id", "text").mapInPandas(run, "digest long, words binary")
 
 
 def _alike(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -417,7 +432,7 @@ def _alike(pairs: DataFrame, words: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch["words_earlier"], batch["words_later"]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                x, y = long_words(x), long_words(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * 5 >= (len(x) + len(y) - both) * 4)
             yield batch.loc[keep, ["later", "doc_id", "line"]]
@@ -428,21 +443,6 @@ def _alike(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return met.select("later", "doc_id", "line", "words_earlier", "words_later").mapInPandas(run, "later long, doc_id long, line int").distinct()
 
 
-def _prefix_words(words: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """place (in a filter) of each prefix word of some lines. words: digest, words."""
-    sent = words.sparkSession.sparkContext.broadcast(ranks)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for x in batch["words"]:
-                w = np.frombuffer(x, dtype=np.uint64)
-                keys = distinct((sent.value[counter(w)].astype(np.uint64) << np.uint64(32)) | (w & np.uint64(0xFFFFFFFF)))
-                prefix = keys[: len(keys) - int(least_overlap(np.array(len(keys)))) + 1]
-                yield pd.DataFrame({"place": (prefix & np.uint64(0xFFFFFFFF)).astype(np.int64) % FILTER_BITS})
-
-    return words.select("words").mapInPandas(run, "place long")
-
-
 def removed_lines(docs: DataFrame) -> DataFrame:
     """docs: doc_id and text, neither null. The lines to remove: doc_id, line."""
     spark = docs.sparkSession
@@ -467,9 +467,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # Where all kept ones fail and there were others, all candidates of these lines are looked for.
     open_ = materialise(pairs.filter("place = 0 and more").select("later").join(later, "later", "left_anti"), "lines-open")
     if not open_.isEmpty():
-        some = bitmap(_prefix_words(words.join(open_.withColumnRenamed("later", "digest"), "digest", "left_semi"), ranks))
         laters = bitmap(open_.select(F.pmod("later", F.lit(FILTER_BITS)).alias("place")))
-        rest = materialise(_pairs(_rest(found, parts, some, laters)).join(open_, "later", "left_semi"), "lines-pairs")
+        rest = materialise(_pairs(_rest(found, parts, laters)).join(open_, "later", "left_semi"), "lines-pairs")
         later = later.unionByName(materialise(_alike(rest, words_of(rest)), "lines-alike"))
     release(spark)
     return copies.unionByName(later.select("doc_id", "line")).distinct()
