@@ -33,7 +33,8 @@ def buckets_for(n_digests: int, per_bucket: int = 1_000_000) -> int:
 
 
 class DigestIndex:
-    """The digests of every text kept so far: (digest, keep_id, batch), one row per digest.
+    """The digests of every text kept so far: (digest, keep_id, points, batch), one row per digest, and another for each
+    time that a better row took its place.
 
     The table is bucketed and sorted by ``digest``, lives under ``path`` and only grows. ``DigestIndex(spark, path,
     buckets)`` on an existing path registers it again, so the index outlives the session.
@@ -44,7 +45,7 @@ class DigestIndex:
         self.path = path or fresh_path(spark, "digest-index")
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"create table {self.name} (digest binary, keep_id bigint, batch string) using parquet "
+            f"create table {self.name} (digest binary, keep_id bigint, points bigint, batch string) using parquet "
             f"clustered by (digest) sorted by (digest) into {buckets} buckets location '{self.path}'"
         )
 
@@ -57,22 +58,35 @@ class DigestIndex:
 
     def append(self, new: DataFrame) -> None:
         (
-            new.select("digest", "keep_id", "batch")
+            new.select("digest", "keep_id", "points", "batch")
             .repartition(self.buckets, "digest")  # one file per bucket and append
             .write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").format("parquet")
             .option("path", self.path).saveAsTable(self.name)
         )
 
-    def add(self, groups: DataFrame, batch: str | None = None) -> DataFrame:
-        """Append the groups whose digest the index lacks; return digest, keep_id and new for each group.
+    def best(self) -> DataFrame:
+        """digest, keep_id, points, batch: of each digest the row with the most code points, then the smallest id (null
+        last). No shuffle: a bucket holds all rows of its digests."""
+        order = F.struct((-F.col("points")).alias("less"), F.col("keep_id").isNull().alias("none"), "keep_id", "batch")
+        found = self.table().groupBy("digest").agg(F.min(order).alias("b"))
+        return found.select("digest", "b.keep_id", (-F.col("b.less")).alias("points"), "b.batch")
 
-        ``groups`` (one row per digest: digest, first_id) must be a written table, since it is read twice. A batch that
-        is added again under its name, after a failure or by mistake, gives the same answer and changes nothing.
+    def add(self, groups: DataFrame, batch: str | None = None, better: bool = False) -> DataFrame:
+        """Append the groups whose digest the index lacks, and with ``better`` also those whose row is better than the
+        index's; return digest, keep_id and new for each group.
+
+        ``groups`` (one row per digest: digest, first_id, points) must be a written table, since it is read twice. A
+        batch that is added again under its name, after a failure or by mistake, gives the same answer and changes nothing.
         """
         batch = batch or uuid.uuid4().hex
-        fresh = groups.hint("merge").join(self.table(), "digest", "left_anti")
-        self.append(fresh.select("digest", F.col("first_id").alias("keep_id"), F.lit(batch).alias("batch")))
-        return groups.hint("merge").join(self.table(), "digest").withColumn("new", F.col("batch") == batch)
+        have = self.best().select(F.col("digest").alias("had"), F.col("keep_id").alias("had_id"), F.col("points").alias("had_points"))
+        known = F.col("digest") == F.col("had")
+        if better:
+            sooner = F.col("first_id").isNull() | (F.col("had_id") <= F.col("first_id"))
+            known &= (F.col("had_points") > F.col("points")) | (F.col("had_points") == F.col("points")) & F.coalesce(sooner, F.lit(False))
+        fresh = groups.hint("merge").join(have, known, "left_anti")
+        self.append(fresh.select("digest", F.col("first_id").alias("keep_id"), "points", F.lit(batch).alias("batch")))
+        return groups.hint("merge").join(self.best().select("digest", "keep_id", "batch"), "digest").withColumn("new", F.col("batch") == batch)
 
 
 def digest_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -111,6 +125,25 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "
     return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def exact_dedup_in_batches(docs: DataFrame, batches: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``exact_dedup`` of a table that comes to a new index in ``batches`` parts, dealt by doc_id. A later batch meets the
+    index of those before it: its digests that are there already are dropped by the anti-join, unless their row is
+    better. So of equal texts the same row stays as if all came at once, and group_size counts all rows.
+    """
+    spark, index, keys = docs.sparkSession, None, None
+    for k in range(batches):
+        own, groups = digest_groups(docs.filter(F.pmod(F.xxhash64(docs[doc_id].cast("long")), F.lit(batches)) == k), text, doc_id)
+        index = index or DigestIndex(spark, buckets=buckets_for(batches * groups.count()))
+        index.add(groups, better=True)
+        keys = own if keys is None else keys.unionByName(own)
+    sizes = keys.groupBy("digest").agg(F.sum("copies").alias("group_size"), F.collect_set("salt").alias("salts"))
+    found = sizes.hint("merge").join(index.best().select("digest", "keep_id", F.col("points").alias("most")), "digest").withColumn("salt", F.explode("salts")).drop("salts")
+    index.close()
+    each = keys.hint("merge").join(found, ["digest", "salt"]).select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("most")) & (F.col("copy") == 1)
+    return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id", batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, whatever their names and types.
 

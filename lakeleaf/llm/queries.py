@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeleaf.llm.bpe import bpe_digests
 from lakeleaf.llm.common import table
-from lakeleaf.llm.exact_dedup import exact_dedup
+from lakeleaf.llm.exact_dedup import exact_dedup_in_batches
 from lakeleaf.llm import langid, toxicity
 from lakeleaf.llm.html_text import extract
 from lakeleaf.llm.line_dedup import line_digests
@@ -74,7 +74,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup_in_batches(table(spark, sf_dir, "documents"), 2)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

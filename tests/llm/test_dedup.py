@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeleaf.llm import minhash
 from lakeleaf.llm.components import components
-from lakeleaf.llm.exact_dedup import DigestIndex, buckets_for, drop_exact_copies, exact_dedup
+from lakeleaf.llm.exact_dedup import DigestIndex, buckets_for, digest_groups, drop_exact_copies, exact_dedup, exact_dedup_in_batches
 from lakeleaf.llm.line_dedup import line_dedup, line_digests
 from lakeleaf.llm.minhash import drop_near_copies, near_classes
 from lakeleaf.llm.shingles import shingles, words
@@ -67,6 +67,25 @@ def test_a_batch_may_be_added_again(spark):
     assert exact_dedup(rows).count() == 3 and {t.name for t in spark.catalog.listTables()} == before
 
 
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_keep_the_same_rows(spark, batches):
+    rows = [(i, "x " * (i % 3) + f"text {i % 7}" + " " * (i % 4)) for i in range(60)] + [(None, "text 1"), (None, None), (70, ""), (71, None), (5, "x x text 5 ")]
+    docs = frame(spark, rows)
+    got, want = (sorted(map(str, df.collect())) for df in (exact_dedup_in_batches(docs, batches), exact_dedup(docs)))
+    assert got == want and exact_dedup_in_batches(docs.limit(0), batches).count() == 0
+
+
+def test_a_later_batch_meets_the_index(spark):
+    index = DigestIndex(spark, buckets=4)
+    first = digest_groups(frame(spark, [(5, "a"), (6, "b b"), (7, "c")]))[1]
+    second = digest_groups(frame(spark, [(1, "a"), (2, "bb"), (3, " c"), (4, "d")]))[1]
+    index.add(first, "one", better=True)
+    again = [index.add(second, "two", better=True).count() for _ in range(2)]
+    # a: the smaller id is better; b: fewer code points; c: more; d: new
+    assert again == [4, 4] and index.table().count() == 6
+    assert sorted(r["keep_id"] for r in index.best().collect()) == [1, 3, 4, 6]
+
+
 def test_digest_index_grows(spark):
     index = DigestIndex(spark, buckets=4)
     first = exact_dedup(frame(spark, [(1, "a"), (2, "b")]), index).collect()
