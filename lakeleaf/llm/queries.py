@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeleaf.llm.bpe import bpe_digests
 from lakeleaf.llm.common import table
 from lakeleaf.llm.exact_dedup import exact_dedup_in_batches
+from lakeleaf.llm.fim import fill_in_middle_digests
 from lakeleaf.llm import langid, toxicity
 from lakeleaf.llm.html_text import extract
 from lakeleaf.llm.line_dedup import line_digests
@@ -81,7 +82,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_language_id, op4_top_k, op5_exact_dedup, op6_mixing, op7_url_filter, op8_line_dedup, op9_html_text, op10_toxicity)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_minhash, op2_bpe, op3_language_id, op4_top_k, op5_exact_dedup, op6_mixing, op7_url_filter, op8_line_dedup, op9_html_text, op10_toxicity, op11_fill_in_middle)
+}
 
 def _level(parent: str, name: str, weight: str) -> str:
     """SQL of one level of the budget tree (tables above and leaves): parent columns, name, budget."""
@@ -139,4 +147,14 @@ SQL = {
               from u join rules on (u.host = rule_host or ends_with(u.host, '.' || rule_host)) and starts_with(u.path, rule_path) group by u.row_id)
         select page_id, coalesce(host, '') as host, coalesce(path, '') as path, best.rule as rule, coalesce(best.verdict, 'allow') as verdict from u left join m using (row_id)
     """,
+    "op11_fill_in_middle": """
+        with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') as units, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+        n as (select *, len(units)::bigint as n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::bigint) as h4 from d),
+        c as (select *, least(h4[1] % (n + 1), h4[2] % (n + 1)) as a, greatest(h4[1] % (n + 1), h4[2] % (n + 1)) as b,
+                     case when text = '' or regexp_matches(text, '<[PSM]>') or h4[3] % 100 >= 100 then 'plain' when h4[4] % 100 < 50 then 'spm' else 'psm' end as form from n),
+        p as (select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:n], '') as suffix from c)
+        select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+               sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+               sha256(text) as restored_sha256 from p
+    """,
 }
