@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeleaf.llm.bpe import bpe_digests
 from lakeleaf.llm.common import table
+from lakeleaf.llm.divergence import divergence
 from lakeleaf.llm.exact_dedup import exact_dedup_in_batches
 from lakeleaf.llm.fim import fill_in_middle_digests
 from lakeleaf.llm import langid, toxicity
@@ -86,9 +87,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_bpe, op3_language_id, op4_top_k, op5_exact_dedup, op6_mixing, op7_url_filter, op8_line_dedup, op9_html_text, op10_toxicity, op11_fill_in_middle)
+    for f in (op1_minhash, op2_bpe, op3_language_id, op4_top_k, op5_exact_dedup, op6_mixing, op7_url_filter, op8_line_dedup, op9_html_text, op10_toxicity, op11_fill_in_middle, op13_divergence)
 }
 
 def _level(parent: str, name: str, weight: str) -> str:
@@ -157,4 +162,21 @@ SQL = {
                sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
                sha256(text) as restored_sha256 from p
     """,
+    "op13_divergence": """
+        with d as (select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+        t as (select row_id, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+        k as (select lang, term, count(*)::hugeint as lang_n from t group by all having count(distinct row_id) >= 3),
+        v as (select lang, count(*)::hugeint as v, sum(lang_n)::hugeint as total from k group by all),
+        g as (select distinct lang, source from d),
+        c as (select lang, source, term, count(*)::hugeint as n from t group by all),
+        s as (select g.lang, g.source, k.term, coalesce(c.n, 0)::hugeint as n, k.lang_n, v.v, v.total, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source)::hugeint as whole
+              from g join k using (lang) join v using (lang) left join c using (lang, source, term)),
+        p as (select lang, source, term, n, (1 + (1000000000 * (n + 1)) // (whole + v)) as p, (1 + (1000000000 * (lang_n + 1)) // (total + v)) as q from s),
+        f as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from p a join p b using (lang, term) where a.source <> b.source group by all),
+        r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+                     left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+              union all select lang, source, 'term', term, (((p - q) * (p - q)) // q)::bigint from p where n > 0 and p > q),
+        o as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from r)
+        select * from o where part = 'pair' or rank <= 200
+    """,
 }
