@@ -10,7 +10,7 @@ from lakeleaf.llm.common import table
 from lakeleaf.llm.divergence import divergence
 from lakeleaf.llm.exact_dedup import exact_dedup_in_batches
 from lakeleaf.llm.fim import fill_in_middle_digests
-from lakeleaf.llm import langid, toxicity
+from lakeleaf.llm import langid, secrets, toxicity
 from lakeleaf.llm.html_text import extract
 from lakeleaf.llm.line_dedup import line_digests
 from lakeleaf.llm.minhash import near_classes
@@ -87,13 +87,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables name no owner: a source stands for one, and its documents of one language for a repository."""
+    return secrets.secret_digests(table(spark, sf_dir, "documents"), F.col("source"), F.to_json(F.struct("source", "lang")))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_bpe, op3_language_id, op4_top_k, op5_exact_dedup, op6_mixing, op7_url_filter, op8_line_dedup, op9_html_text, op10_toxicity, op11_fill_in_middle, op13_divergence)
+    for f in (op1_minhash, op2_bpe, op3_language_id, op4_top_k, op5_exact_dedup, op6_mixing, op7_url_filter, op8_line_dedup, op9_html_text, op10_toxicity, op11_fill_in_middle, op12_secrets, op13_divergence)
 }
 
 def _level(parent: str, name: str, weight: str) -> str:
@@ -128,6 +133,33 @@ def mixing_sql(documents: str = "documents") -> str:
     """
 
 
+def secrets_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    found = " union all ".join(
+        f"select row_id, owner, {k} as kind, regexp_extract_all(text, {quoted(kind.pattern)}) as hits, regexp_extract_all(text, {quoted(kind.pattern)}, {kind.group}) as vals, "
+        f"string_split_regex(text, {quoted(kind.pattern)}) as pieces, {kind.least} as least from d"
+        for k, kind in enumerate(secrets.KINDS)
+    )
+    name = "case kind " + " ".join(f"when {k} then '{kind.name}'" for k, kind in enumerate(secrets.KINDS)) + " end"
+    signs = "len(list_distinct(string_split(value, '')))"
+    own = secrets.Settings()
+    return f"""
+        with d as (select row_number() over () as row_id, doc_id, coalesce(source, '') as owner, coalesce(text, '') as text from documents),
+        h as (select * from ({found}) where len(hits) > 0),
+        e as (select *, unnest(generate_series(1, len(hits))) as i from h),
+        s as (select row_id, owner, kind, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::bigint as a, length(hits[i]) as long, vals[i] as value
+              from e where length(vals[i]) >= least),
+        k as (select *, a + long as z from s where kind < 3 or regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Z]') and regexp_matches(value, '[a-z]') and {signs} >= {secrets.LEAST_SIGNS}),
+        f as (select * from k where kind < 3 or not exists (select 1 from k b where b.row_id = k.row_id and b.kind < 3 and b.a < k.z and b.z > k.a)),
+        o as (select value, count(distinct owner) as owners, bool_or(regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]') and {signs} >= {own.random}) as random from f group by value),
+        v as (select f.*, case when owners >= {own.copied} then 'example' when owners = 1 and random then 'live' else 'unsure' end as verdict, {name} || ':' || a || ':' || z as span from f join o using (value)),
+        g as (select row_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, string_agg(span, ',' order by a, kind, z) filter (kind < 3) as base,
+                     string_agg(span, ',' order by a, kind, z) as spans, count(*) filter (verdict = 'live') as n_live, count(*) filter (verdict = 'example') as n_example from v where kind < 3 or verdict = 'live' group by row_id)
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live,
+               coalesce(n_example, 0) as n_example from d left join g using (row_id)
+    """
+
+
 SQL = {
     "op6_mixing": mixing_sql(),
     "op4_top_k": """
@@ -162,6 +194,7 @@ SQL = {
                sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
                sha256(text) as restored_sha256 from p
     """,
+    "op12_secrets": secrets_sql(),
     "op13_divergence": """
         with d as (select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
         t as (select row_id, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
