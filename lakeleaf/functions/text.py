@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -17,37 +18,54 @@ IMPORTANT = "error|错误|响应|权限|auth|token|401|403|500|api|接口|code|/
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Combining marks that belong to the word before them and are dropped.
+MARKS = (0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x309, 0x30A, 0x30B, 0x30C, 0x30F, 0x311, 0x31B, 0x323, 0x324, 0x325, 0x326, 0x327, 0x328, 0x32D, 0x32E, 0x330, 0x331)
+#: Letters with another case that are newer than the index's table of cases, which leaves them as they are.
+CASELESS = (
+    (0x37F, 0x37F), (0x528, 0x52E), (0x13F8, 0x13FD), (0x1C80, 0x1C88), (0x1C90, 0x1CBF), (0x2C2F, 0x2C2F), (0xA698, 0xA69A), (0xA796, 0xA79E), (0xA7AB, 0xA7AE), (0xA7B0, 0xA7F5), (0xAB70, 0xABBF),
+    (0x104B0, 0x104D3), (0x10570, 0x10595), (0x10C80, 0x10CB2), (0x118A0, 0x118BF), (0x16E40, 0x16E5F), (0x1E900, 0x1E921),
+)
+
+
 @lru_cache(maxsize=1)
-def accents() -> tuple[str, str]:
-    """Precomposed Latin letters and the letters under their accents; of Latin Extended Additional those with one
-    accent, as common full-text indexes fold them."""
-    parts = {c: unicodedata.normalize("NFD", chr(c)) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
-    pairs = [(chr(c), p[0]) for c, p in parts.items() if p[0] != chr(c) and (c < 0x250 or len(p) == 2)]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def folding() -> dict[int, str]:
+    """For each character that the index writes otherwise what it writes: the single character that case folding gives,
+    the plain letter in place of an ASCII letter with one mark, nothing for MARKS."""
+    newer = {c for a, b in CASELESS for c in range(a, b + 1)}
+    out = dict.fromkeys(MARKS, "")
+    for c in range(0x110000):
+        ch = chr(c)
+        if c in newer or not ch.isalnum():
+            continue
+        one = next((f for f in (ch.casefold(), ch.lower()) if len(f) == 1), ch)
+        parts = unicodedata.normalize("NFD", one)
+        if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha():
+            one = parts[0].lower()
+        if one != ch:
+            out[c] = one
+    return out
 
 
 def fold(c: Column) -> Column:
-    return F.translate(F.lower(c), *accents())
+    pairs = sorted(folding().items(), key=lambda p: not p[1])  # what is dropped comes last and has no partner
+    return F.translate(c, "".join(chr(a) for a, _ in pairs), "".join(b for _, b in pairs))
 
 
 def fold_of(text: str) -> str:
-    return text.lower().translate(str.maketrans(*accents()))
+    return text.translate(folding())
 
 
 def index_tokens(c: Column) -> Column:
-    """Tokens of the full-text index: runs of letters, numbers and private-use signs, folded."""
+    """Tokens of the full-text index: runs of letters, numbers, private-use signs and the marks on them, folded."""
     return F.regexp_extract_all(fold(c), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), 1)
 
 
+_WORD = r"(?:[^\W_]|[\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd])"
+TOKEN = re.compile(f"{_WORD}(?:{_WORD}|[{''.join(map(chr, MARKS))}])*")
+
+
 def index_tokens_of(text: str) -> list[str]:
-    out, run = [], ""
-    for ch in fold_of(text):
-        if unicodedata.category(ch)[0] in "LN" or unicodedata.category(ch) == "Co":
-            run += ch
-        elif run:
-            out.append(run)
-            run = ""
-    return [*out, run] if run else out
+    return [fold_of(t) for t in TOKEN.findall(text)]
 
 
 def trim_space(c: Column) -> Column:
@@ -171,31 +189,71 @@ def term_snippet(content: str, term: str) -> str:
     return ("..." if start else "") + text(raw[start:at]) + "<mark>" + text(raw[at : at + size]) + "</mark>" + text(raw[at + size : end]) + ("..." if end < len(raw) else "")
 
 
+def _instances(tokens: list[str], phrases: list[list[str]]) -> list[tuple[int, int]]:
+    """(place, phrase) wherever a phrase stands, in order."""
+    first: dict[str, list[int]] = {}
+    for k, p in enumerate(phrases):
+        if p:
+            first.setdefault(p[0], []).append(k)
+    return [(i, k) for i, t in enumerate(tokens) for k in first.get(t, ()) if tokens[i : i + len(phrases[k])] == phrases[k]]
+
+
+def _best_window(content: str, spans: list[tuple[int, int]], found: list[tuple[int, int]], sizes: list[int], size: int) -> int:
+    """The first token of the window that is shown. Windows are tried in the order of the hits: one around the hits that
+    lie within ``size`` tokens from each hit, and one from the start of the sentence that the hit is in. A phrase counts
+    1000 the first time and 1 again; a sentence's start 100, the text's 120. The first of the best is taken."""
+    sentences = [0]
+    for i in range(1, len(spans) if found else 0):
+        gap = content[spans[i - 1][1] : spans[i][0]]
+        if gap[-1:] in (" ", "\t", "\n", "\r") and gap.rstrip(" \t\n\r").endswith((".", ":")):
+            sentences.append(i)
+
+    places = [i for i, _ in found]
+
+    def within(first: int) -> list[tuple[int, int]]:
+        return found[bisect_left(places, first) : bisect_left(places, first + size)]
+
+    def score(hits: list[tuple[int, int]]) -> int:
+        kinds = len({k for _, k in hits})
+        return 1000 * kinds + len(hits) - kinds
+
+    best, begin = 0, 0
+    for place, _ in found:
+        inside = within(place)
+        last = inside[-1][0] + sizes[inside[-1][1]]
+        at = place - int((size - (last - place)) / 2)  # towards zero
+        tries = [(score(inside), max(0, min(at, len(spans) - size)))]
+        if len(spans) > size:
+            start = sentences[max(0, bisect_right(sentences, place) - 1)]
+            if start < place:
+                tries.append((score(within(start)) + (100 if start else 120), start))
+        for points, at in tries:
+            if points > best:
+                best, begin = points, at
+    return begin
+
+
 def window_snippet(content: str, phrases: list[list[str]], size: int = 16) -> str:
-    """The window of ``size`` index tokens with most phrase hits, hits marked; the beginning if there are none."""
-    spans, run = [], None
-    folded = [fold_of(c)[:1] or c for c in content]
-    for i, ch in enumerate([*content, " "]):
-        word = unicodedata.category(ch)[0] in "LN" or unicodedata.category(ch) == "Co"
-        if word and run is None:
-            run = i
-        elif not word and run is not None:
-            spans.append((run, i))
-            run = None
-    tokens = ["".join(folded[a:b]) for a, b in spans]
-    hits = [(i, i + len(p)) for p in phrases if p for i in range(len(tokens) - len(p) + 1) if tokens[i : i + len(p)] == p]
-    if not spans:
-        return content
-    best = 0
-    if hits:
-        starts = {max(0, min(a - (size - (b - a)) // 2, len(tokens) - size)) for a, b in hits}
-        best = max(sorted(starts), key=lambda s: sum(s <= a and b <= s + size for a, b in hits))
-    last = min(len(tokens), best + size)
-    begin = 0 if best == 0 else spans[best][0]
-    end = len(content) if last == len(tokens) else spans[last - 1][1]
-    out, at = [], begin
-    for a, b in sorted(set(hits)):
-        if best <= a and b <= last and spans[a][0] >= at:
-            out += [content[at : spans[a][0]], "<mark>", content[spans[a][0] : spans[b - 1][1]], "</mark>"]
-            at = spans[b - 1][1]
-    return ("..." if best else "") + "".join(out) + content[at:end] + ("..." if last < len(tokens) else "")
+    """The ``size`` tokens of a text that show its hits best, as full-text indexes choose and mark them; the beginning if
+    there are no hits."""
+    words = [(m.span(), fold_of(m[0])) for m in TOKEN.finditer(content)]
+    spans = [s for s, _ in words]
+    sizes = [len(p) for p in phrases]
+    found = _instances([t for _, t in words], phrases)
+    begin = _best_window(content, spans, found, sizes, size)
+    end = begin + size  # the token after the window
+    marked: list[list[int]] = []  # hits that overlap are marked together, first and last token
+    for place, k in found:
+        if marked and place <= marked[-1][1]:
+            marked[-1][1] = max(marked[-1][1], place + sizes[k] - 1)
+        else:
+            marked.append([place, place + sizes[k] - 1])
+    out, at = ["..." if begin else ""], spans[begin][0] if begin else 0
+    for first, last in marked:
+        if begin <= first < end:
+            stop = spans[min(last, end - 1)][1]
+            out += [content[at : spans[first][0]], "<mark>", content[spans[first][0] : stop], "</mark>"]
+            at = stop
+    if end >= len(spans):
+        return "".join(out) + content[at:]
+    return "".join(out) + content[at : max(at, spans[end - 1][1])] + "..."

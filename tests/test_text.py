@@ -1,3 +1,7 @@
+import random
+import sqlite3
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,3 +65,50 @@ def test_snippets():
 @pytest.mark.parametrize(("a", "b"), [("", []), ("一二三", ["一", "二", "三", "一二", "二三", "一二三"])])
 def test_han(a, b):
     assert X.han_ngrams_of(a, 1, 4) == b
+
+
+ODD_WORDS = "cafe\u0301s nai\u0308ve İstanbul i\u0307x ΟΔΟΣ οδος straße ẞ ǅ a\u0345b \u0301a ſ K Ⅷ ①② x\u200dy ế ǖ ȱ 한국 \ue000q ab_c क्षि ｆＵ Ქ Ԩ".split()
+
+
+def fts(*columns):
+    con = sqlite3.connect(":memory:")
+    con.execute(f"create virtual table t using fts5({', '.join(columns)})")
+    return con
+
+
+def test_tokens_are_those_of_fts5(spark):
+    con = fts("a")
+    con.execute("create virtual table v using fts5vocab(t, instance)")
+    rng = random.Random(4)
+    texts = [" ".join(ODD_WORDS), *("".join(rng.choice([*ODD_WORDS, " ", "-", ". ", "\u0301", "Á"]) for _ in range(rng.randrange(12))) for _ in range(300))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.index_tokens(F.col("t")).alias("k")).collect()
+    for r in rows:
+        con.execute("delete from t")
+        con.execute("insert into t values (?)", (r["t"],))
+        want = [x for (x,) in con.execute("select term from v order by offset")]
+        assert (X.index_tokens_of(r["t"]), r["k"]) == (want, want), r["t"]
+
+
+def test_snippets_are_those_of_fts5():
+    con, rng, seen = fts("title", "content"), random.Random(9), 0
+    known = "alpha beta gamma delta eps café cafe\u0301s οδος ΟΔΟΣ zeta the of x y".split()
+    while seen < 600:
+        text = "".join(rng.choice(known) + rng.choice([" ", " ", ". ", ": ", ".\n", ", ", "-", ".", " :\t"]) for _ in range(rng.choice([3, 10, 18, 40, 90])))
+        phrases = [[rng.choice(known) for _ in range(rng.choice([1, 1, 2, 3]))] for _ in range(rng.choice([1, 1, 2, 3]))]
+        if rng.random() < 0.4:  # phrases that occur, longer than the window too
+            tokens, at = X.index_tokens_of(text), rng.randrange(3)
+            phrases[0] = tokens[at : at + rng.choice([2, 3, 5, 18])] or phrases[0]
+        con.execute("delete from t")
+        con.execute("insert into t values (?, ?)", ("alpha", text))
+        match = " OR ".join('"' + " ".join(p) + '"' for p in phrases)
+        row = con.execute("select snippet(t, 1, '<mark>', '</mark>', '...', 16) from t where t match ?", (match,)).fetchone()
+        if row:
+            seen += 1
+            assert X.window_snippet(text, [X.index_tokens_of(" ".join(p)) for p in phrases]) == row[0], (match, text)
+
+
+def test_snippets_of_long_texts_take_no_square():
+    began = time.time()
+    X.window_snippet("a b. c " * 60000, [["b"], ["c", "a"]])
+    X.window_snippet("a b. c " * 60000 + "zz", [["zz"]])
+    assert time.time() - began < 5
