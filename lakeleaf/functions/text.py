@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -33,7 +34,7 @@ def folding() -> dict[int, str]:
     the plain letter in place of an ASCII letter with one mark, nothing for MARKS."""
     newer = {c for a, b in CASELESS for c in range(a, b + 1)}
     out = dict.fromkeys(MARKS, "")
-    for c in range(0x110000):
+    for c in range(0x20000):  # no script beyond has cases
         ch = chr(c)
         if c in newer or not ch.isalnum():
             continue
@@ -129,6 +130,12 @@ def api_refs(tokens: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(tokens, at), lambda r: r.isNotNull()))
 
 
+def one_of(name: str, values: Iterable[str]) -> Column:
+    """Whether a column has one of many values: ``isin``, as one expression that is parsed at once."""
+    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in sorted(set(values))]
+    return F.expr(f"`{name}` in ({', '.join(quoted)})") if quoted else F.lit(False)
+
+
 def non_empty(*values: Column) -> Column:
     """The values in order, trimmed, without empty ones and repeats."""
     return F.array_distinct(F.filter(F.array(*[trim_space(F.coalesce(v, F.lit(""))) for v in values]), lambda v: v != ""))

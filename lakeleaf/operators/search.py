@@ -1,5 +1,5 @@
-"""Full-text search: an inverted index of sections, BM25 phrase and token matches, substring matches, and the cascade
-of attempts that merges them.
+"""Full-text search over the index of ``segments``: BM25 phrase and token matches, substring matches, and the cascade of
+attempts that merges them.
 
 Engine tables: documents (id, source_id, external_id, title, url, ...), sections (id, document_id, ordinal, title,
 heading_path, content), profiles (document_id, desc, retrieval_profile_json), feedback.
@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeleaf.functions import text as X
-from lakeleaf.operators.feedback import with_canonical, without_stale
+from lakeleaf.operators.feedback import targets, with_canonical, without_stale
+from lakeleaf.operators.segments import Segments
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-COLUMNS = ("title", "heading_path", "content")
 DETAILS = ("none", "compact", "full")
 
 
@@ -96,69 +95,6 @@ def search_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in (low, *query_words(low), *X.han_ngrams_of(low, 2, 4)) if t))
 
 
-def _moved(places: Column, by: int) -> Column:
-    return F.transform(places, lambda p: p - by)
-
-
-# The index ---------------------------------------------------------------------------------------------------------
-
-
-@dataclass
-class Index:
-    """postings: term, section_id, part (0 title, 1 heading path, 2 content), places (array of int).
-    lengths: section_id, dl. totals: one row, n and avgdl."""
-
-    postings: DataFrame
-    lengths: DataFrame
-    totals: DataFrame
-
-    @classmethod
-    def build(cls, sections: DataFrame) -> Index:
-        parts = F.posexplode(F.array(*[X.index_tokens(F.coalesce(F.col(c), F.lit(""))) for c in COLUMNS])).alias("part", "tokens")
-        tokens = sections.select(F.col("id").alias("section_id"), parts)
-        places = tokens.select("section_id", "part", F.posexplode("tokens").alias("place", "term"))
-        # All tokens of a section come from one row, so the lists are built without a hot key: terms meet only by section.
-        postings = places.groupBy("section_id", "part", "term").agg(F.sort_array(F.collect_list("place")).alias("places"))
-        lengths = tokens.groupBy("section_id").agg(F.sum(F.size("tokens")).alias("dl"))
-        return cls(postings.select("term", "section_id", "part", "places"), lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
-
-    def write(self, path: str, files: int | None = None) -> Index:
-        """Written sorted by term, so that a query's row groups are found by their statistics. The shuffle's partitions,
-        which follow the size of the postings, are the files, unless their number is given."""
-        by = ("term", "section_id")
-        dealt = self.postings.repartitionByRange(files, *by) if files else self.postings.repartitionByRange(*by)
-        dealt.sortWithinPartitions("term", "section_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        read = Index.read(self.lengths.sparkSession, path, totals=False)
-        read.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
-        return Index.read(self.lengths.sparkSession, path)
-
-    @classmethod
-    def read(cls, spark: SparkSession, path: str, totals: bool = True) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/totals") if totals else None)
-
-    def phrase(self, words: list[str]) -> DataFrame:
-        """section_id, f: how often the words stand in a row within one column of a section."""
-        own = self.postings.filter(F.col("term").isin(*set(words)))  # reaches the scan
-        if len(words) == 1:
-            return own.groupBy("section_id").agg(F.sum(F.size("places")).alias("f"))
-        by_term = own.groupBy("section_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("of"))
-        starts = reduce(F.array_intersect, [_moved(F.element_at("of", F.lit(w)), i) for i, w in enumerate(words)])
-        return by_term.filter(F.size("of") == len(set(words))).select("section_id", F.size(starts).alias("f")).groupBy("section_id").agg(F.sum("f").alias("f")).filter("f > 0")
-
-    def match(self, phrases: list[list[str]]) -> DataFrame:
-        """section_id, rank: minus the BM25 sum over the phrases, smaller is better. Phrases without words are none."""
-        found = [self.phrase(p).withColumn("phrase", F.lit(i)) for i, p in enumerate(p for p in phrases if p)]
-        if not found:
-            return self.lengths.select("section_id", F.lit(0.0).alias("rank")).limit(0)
-        hits = reduce(DataFrame.unionByName, found)
-        counts = hits.groupBy("phrase").agg(F.count("*").alias("df"))  # a row for each phrase of the query
-        idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-        scored = hits.join(self.lengths, "section_id").join(F.broadcast(counts), "phrase").crossJoin(F.broadcast(self.totals))
-        one = idf * (F.col("f") * (K1 + 1.0)) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        return scored.groupBy("section_id").agg((-F.sum(one)).alias("rank"))
-
-
 # Attempts ----------------------------------------------------------------------------------------------------------
 
 
@@ -181,54 +117,56 @@ def numbered(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return rows.orderBy(*order).limit(limit).withColumn("pos", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
 
 
-def _held(rows: DataFrame) -> DataFrame:
-    """The rows of a limited result as a local table: worked out once. They are ids and places, 400 at most."""
-    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+#: section_id, document_id, rank, pos, term of a hit. There are 400 of them at most.
+Place = tuple[str, str, float, int, "str | None"]
+PLACES = "section_id string, document_id string, rank double, pos int, term string"
 
 
-def match_places(index: Index, sections: DataFrame, documents: DataFrame, phrases: list[list[str]], limit: int) -> DataFrame:
-    """section_id, document_id, rank, pos, term (null): canonical documents first, then by rank. documents: of ``live``."""
-    of = sections.select(F.col("id").alias("section_id"), "document_id")
-    rows = index.match(phrases).join(of, "section_id").join(documents.select("document_id", "canonical"), "document_id")
-    first = numbered(rows, [F.desc("canonical"), F.asc("rank"), F.asc("section_id")], limit)
-    return _held(first.select("section_id", "document_id", "rank", "pos", F.lit(None).cast("string").alias("term")))
+def match_places(index: Segments, feedback: DataFrame, phrases: list[list[str]], limit: int) -> list[Place]:
+    """The best sections: those of canonical documents first, then the others by rank; none of stale ones.
 
+    Only ids that feedback names are met, so documents and sections aren't read.
+    """
+    named = lambda kind: targets(feedback, kind).select(F.col("id").alias("document_id"))
+    found = index.match(phrases, limit, named("document_canonical"), named("document_stale"))
+    return [(s, d, rank, i + 1, None) for i, (_, rank, s, d) in enumerate(found)]
 
-def substring_places(sections: DataFrame, documents: DataFrame, terms: list[str], limit: int, in_profile: bool = False) -> DataFrame:
-    """The same of sections that contain a term; each term gives at most ``limit``, in the order of the terms, each
-    section once.
 
-    One pass: each row is tested for all terms (a few dozen literals), and terms meet by number, not by a cross join.
-    Only ids and the columns of the order are sorted.
-    """
-    fields = ("desc", "profile_json") if in_profile else ("document_title", "title", "heading_path", "content")
-    rows = section_rows(sections).join(documents, "document_id")
-    tests = [F.when(reduce(Column.__or__, [X.contains_ascii_fold(F.col(c), t) for c in fields]), F.struct(F.lit(i).alias("no"), F.lit(t).alias("term"))) for i, t in enumerate(terms)]
-    rows = rows.select("section_id", "document_id", "canonical", "document_title", "ordinal", F.filter(F.array(*tests), lambda h: h.isNotNull()).alias("hits"))
-    rows = rows.filter(F.size("hits") > 0).withColumn("hit", F.explode("hits")).select("*", "hit.no", "hit.term").drop("hit", "hits")
-    order = [F.desc("canonical"), F.asc("document_title"), F.asc("ordinal"), F.asc("section_id")]
-    # A rank with a small bound: Spark cuts each task's rows to the bound before the shuffle by term.
-    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("no").orderBy(*order))).filter(F.col("r") <= limit).drop("r")
-    once = rows.withColumn("r", F.row_number().over(W.partitionBy("section_id").orderBy("no"))).filter("r = 1").drop("r")
-    once = once.withColumn("rank", F.lit(1000.0) + F.col("ordinal"))
-    return _held(numbered(once, [F.asc("no"), *order], limit).select("section_id", "document_id", "rank", "pos", "term"))
+def _tests(terms: list[str], fields: tuple[str, ...]) -> Column:
+    """The numbers of the terms that some field holds."""
+    each = [F.when(reduce(Column.__or__, [X.contains_ascii_fold(F.col(c), t) for c in fields]), F.lit(i)) for i, t in enumerate(terms)]
+    return F.filter(F.array(*each), lambda i: i.isNotNull())
 
 
-def with_texts(places: DataFrame, sections: DataFrame, documents: DataFrame) -> DataFrame:
-    """Places (held) with their sections' texts and their documents, looked up by id."""
-    rows = places.collect()
-    ids = {c: sorted({r[c] for r in rows}) for c in ("section_id", "document_id")}
-    texts = section_rows(sections).filter(F.col("section_id").isin(ids["section_id"]))
-    docs = documents.filter(F.col("document_id").isin(ids["document_id"]))
-    return F.broadcast(places.drop("document_id")).join(texts, "section_id").join(F.broadcast(docs), "document_id")
+def substring_places(index: Segments, sections: DataFrame, documents: DataFrame, feedback: DataFrame, profiles: DataFrame, terms: list[str], limit: int, in_profile: bool = False) -> list[Place]:
+    """The same of sections that contain a term: each term gives at most ``limit``, in the order of the terms, each
+    section once. Candidates come from the index's grams; only their texts, or their documents' profiles, are read."""
+    titles = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))
+    flagged = with_canonical(without_stale(titles, feedback, "document_id"), feedback, "document_id")
 
+    def verified(ids: list[str], of: list[str]) -> set[tuple[str, int]]:
+        own = section_rows(sections).filter(X.one_of("section_id", ids))
+        if in_profile:
+            texts = profiles.select("document_id", "desc", F.col("retrieval_profile_json").alias("profile_json"))
+            own = own.join(texts.filter(X.one_of("document_id", of)), "document_id")
+        else:
+            own = own.join(titles.filter(X.one_of("document_id", of)), "document_id")
+        hits = _tests(terms, ("desc", "profile_json") if in_profile else ("document_title", "title", "heading_path", "content"))
+        return {(r["section_id"], i) for r in own.select("section_id", hits.alias("hits")).collect() for i in r["hits"]}
 
-def match_attempt(index: Index, sections: DataFrame, documents: DataFrame, phrases: list[list[str]], limit: int) -> DataFrame:
-    return with_texts(match_places(index, sections, documents, phrases, limit), sections, documents)
+    found = index.substrings(terms, limit, flagged, verified, in_profile)
+    once: dict[str, Place] = {}
+    for no, _, section_id, document_id, ordinal in sorted(found):
+        once.setdefault(section_id, (section_id, document_id, 1000.0 + ordinal, len(once) + 1, terms[no]))
+    return list(once.values())[:limit]
 
 
-def substring_attempt(sections: DataFrame, documents: DataFrame, terms: list[str], limit: int, in_profile: bool = False) -> DataFrame:
-    return with_texts(substring_places(sections, documents, terms, limit, in_profile), sections, documents)
+def with_texts(places: list[Place], sections: DataFrame, documents: DataFrame) -> DataFrame:
+    """Places with their sections' texts and their documents, looked up by id. documents: of ``live``."""
+    texts = section_rows(sections).filter(X.one_of("section_id", (p[0] for p in places)))
+    docs = documents.filter(X.one_of("document_id", (p[1] for p in places)))
+    own = sections.sparkSession.createDataFrame([(s, *rest) for s, _, *rest in places], PLACES.replace("document_id string, ", ""))
+    return F.broadcast(own).join(texts, "section_id").join(F.broadcast(docs), "document_id")
 
 
 def plan_attempts(o: Options) -> list[tuple[str, str, list[str]]]:
@@ -329,7 +267,7 @@ def collect(attempts: list[DataFrame], o: Options) -> DataFrame:
     return rows.withColumn("desc", F.lit("")) if o.profile_detail == "none" else rows
 
 
-def search(options: Options, index: Index, sections: DataFrame, documents: DataFrame, profiles: DataFrame, feedback: DataFrame, count_hits: bool = True) -> Result:
+def search(options: Options, index: Segments, sections: DataFrame, documents: DataFrame, profiles: DataFrame, feedback: DataFrame) -> Result:
     """The attempts in order, merged. A blank query has no attempts and hits None."""
     o = options.clamped()
     if not o.query:
@@ -339,14 +277,14 @@ def search(options: Options, index: Index, sections: DataFrame, documents: DataF
     for no, (kind, query, terms) in enumerate(plan_attempts(o)):
         if kind in ("phrase", "token"):
             phrases = [X.index_tokens_of(p) for p in ([o.query] if kind == "phrase" else query_words(o.query))]
-            places = match_places(index, sections, docs, phrases, 2 * o.limit)
+            places = match_places(index, feedback, phrases, 2 * o.limit)
             snippet = _window_snippet("content", F.from_json(F.lit(json.dumps(phrases)), "array<array<string>>"))
         else:
-            places = substring_places(sections, docs, terms, 2 * o.limit, kind == "profile")
+            places = substring_places(index, sections, documents, feedback, profiles, terms, 2 * o.limit, kind == "profile")
             snippet = _term_snippet("content", "term")
         rows = with_texts(places, sections, docs).withColumn("snippet", snippet)
         rows = enriched(rows, search_terms(o.query), kind, o).withColumn("attempt_no", F.lit(no)).drop("term")
-        said.append({"kind": kind, "query": query, "terms": terms} | ({"hits": places.count()} if count_hits else {}))
+        said.append({"kind": kind, "query": query, "terms": terms} | {"hits": len(places)})
         frames.append(rows)
     return Result(o.query, said, collect(frames, o))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lakeleaf.functions import text as X
 from lakeleaf.functions.ids import canonical, stable_id, stable_id_of
 from lakeleaf.operators import context, feedback, graph, profiles, search
+from lakeleaf.operators.segments import Segments
 from lakeleaf.plans import adapters as A
 from lakeleaf.plans import sync
 from lakeleaf.plans.session import shared_dir
@@ -188,9 +189,13 @@ def _once(spark: SparkSession, sf_dir: str, tables: str, build: Callable[[str],
     return _built[key]
 
 
-def _index(spark: SparkSession, sf_dir: str) -> search.Index:
-    def index(path: str) -> search.Index:
-        return search.Index.build(A.document_sections(spark, sf_dir)).write(path)
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.live(A.documents(spark, sf_dir), A.no_profiles(spark), A.feedback(spark, sf_dir))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> Segments:
+    def index(path: str) -> Segments:
+        return Segments.create(A.document_sections(spark, sf_dir), search.live(A.documents(spark, sf_dir), A.no_profiles(spark), A.no_feedback(spark)), path)
 
     return _once(spark, sf_dir, "documents", index)
 
@@ -208,8 +213,8 @@ def _star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def _match(spark: SparkSession, sf_dir: str, phrases: list[str], limit: int) -> DataFrame:
-    docs = search.live(A.documents(spark, sf_dir), A.no_profiles(spark), A.feedback(spark, sf_dir))
-    return search.match_attempt(_index(spark, sf_dir), A.document_sections(spark, sf_dir), docs, [X.index_tokens_of(p) for p in phrases], limit)
+    places = search.match_places(_index(spark, sf_dir), A.feedback(spark, sf_dir), [X.index_tokens_of(p) for p in phrases], limit)
+    return search.with_texts(places, A.document_sections(spark, sf_dir), _live(spark, sf_dir))
 
 
 def _match_sql(phrases: list[list[str]], limit: int) -> str:
@@ -245,16 +250,35 @@ SUBSTRINGS = ("ingly", "tion the", "DOC1")
     """
 )
 def search_substring_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = search.live(A.documents(spark, sf_dir), A.no_profiles(spark), A.feedback(spark, sf_dir))
-    rows = search.substring_attempt(A.document_sections(spark, sf_dir), docs, list(SUBSTRINGS), 30)
+    secs = A.document_sections(spark, sf_dir)
+    places = search.substring_places(_index(spark, sf_dir), secs, A.documents(spark, sf_dir), A.feedback(spark, sf_dir), A.no_profiles(spark), list(SUBSTRINGS), 30)
+    rows = search.with_texts(places, secs, _live(spark, sf_dir))
     return rows.select(F.col("pos").alias("place"), "section_id", "canonical", "rank")
 
 
-@query()
+@query(
+    f"""
+    with terms(no, term) as (values {", ".join(f"({i}, '{t}')" for i, t in enumerate(search.profile_terms("ingly src12")))}),
+    d0 as (select d.doc_id::varchar as section_id, 'doc' || d.doc_id as title, {CANONICAL} as canonical, 'from ' || coalesce(source, '') || ' in ' || coalesce(lang, '') as said, '{{"aliases":["' || substr(coalesce(text, ''), 1, 40) || '"]}}' as profile
+           from documents d where not {STALE}),
+    h as (select no, term, section_id, title, canonical, row_number() over (partition by no order by canonical desc, title, section_id) as r
+          from d0 join terms on contains(translate(said, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), term) or contains(translate(profile, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), term)),
+    o as (select section_id, canonical, title, min(no) as no from h where r <= 20 group by all),
+    p as (select section_id, canonical, term, row_number() over (order by no, canonical desc, title, section_id) as place from o join terms using (no))
+    select place::int as place, section_id, canonical, 1000.0::double as rank, term from p where place <= 20
+    """
+)
 def search_profile_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents found by their profiles, which here say where a document comes from and how it begins."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    d = A.read(spark, sf_dir, "documents")
+    said = F.concat(F.lit("from "), text("source"), F.lit(" in "), text("lang"))
+    profile = F.concat(F.lit('{"aliases":["'), F.substring(text("text"), 1, 40), F.lit('"]}'))
+    own = d.select(F.col("doc_id").cast("string").alias("document_id"), said.alias("desc"), profile.alias("retrieval_profile_json"))
     docs, secs = A.documents(spark, sf_dir), A.document_sections(spark, sf_dir)
-    live = search.live(docs, profiles.profile_rows(docs, secs), A.feedback(spark, sf_dir))
-    rows = search.substring_attempt(secs, live, search.profile_terms("ingly doc12"), 20, in_profile=True)
+    index = _once(spark, sf_dir, "documents", lambda path: Segments.create(secs, search.live(docs, own, A.no_feedback(spark)), path))
+    places = search.substring_places(index, secs, docs, A.feedback(spark, sf_dir), own, search.profile_terms("ingly src12"), 20, in_profile=True)
+    rows = search.with_texts(places, secs, search.live(docs, own, A.feedback(spark, sf_dir)))
     return rows.select(F.col("pos").alias("place"), "section_id", "canonical", "rank", "term")
 
 
@@ -274,7 +298,7 @@ CASCADE_LIMIT = 25
 def search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase and token attempts, merged."""
     o = search.Options(WORDS, limit=CASCADE_LIMIT, max_searches=2, max_sections_per_document=2)
-    out = search.search(o, _index(spark, sf_dir), A.document_sections(spark, sf_dir), A.documents(spark, sf_dir), A.no_profiles(spark), A.feedback(spark, sf_dir), count_hits=False)
+    out = search.search(o, _index(spark, sf_dir), A.document_sections(spark, sf_dir), A.documents(spark, sf_dir), A.no_profiles(spark), A.feedback(spark, sf_dir))
     return out.hits.select("place", "section_id", F.round("rank", 9).alias("rank"), F.size("match.search_attempts").alias("attempts"))
 
 
@@ -395,7 +419,7 @@ def retrieval_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = search.Options(PHRASE, limit=8, max_searches=1, max_sections_per_document=5)
-    out = search.search(o, _index(spark, sf_dir), A.document_sections(spark, sf_dir), A.documents(spark, sf_dir), A.no_profiles(spark), A.feedback(spark, sf_dir), count_hits=False)
+    out = search.search(o, _index(spark, sf_dir), A.document_sections(spark, sf_dir), A.documents(spark, sf_dir), A.no_profiles(spark), A.feedback(spark, sf_dir))
     return context.pack(out.hits, context.Request(task=PHRASE, max_chars=3000)).select("place", "section_id", "budget", "evidence")
 
 

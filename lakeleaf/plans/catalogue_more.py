@@ -315,7 +315,7 @@ def search_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_pack_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of a pack, each cut to its budget of bytes within a character's bounds."""
     o = search.Options(PHRASE, limit=8, max_searches=1, max_sections_per_document=5)
-    out = search.search(o, _index(spark, sf_dir), A.document_sections(spark, sf_dir), A.documents(spark, sf_dir), A.no_profiles(spark), A.feedback(spark, sf_dir), count_hits=False)
+    out = search.search(o, _index(spark, sf_dir), A.document_sections(spark, sf_dir), A.documents(spark, sf_dir), A.no_profiles(spark), A.feedback(spark, sf_dir))
     return context.pack(out.hits, context.Request(task=PHRASE, max_chars=3000)).select("place", "section_id", "content")
 
 

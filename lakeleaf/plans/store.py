@@ -24,6 +24,7 @@ from lakeleaf.functions.ids import random_id
 from lakeleaf.operators import feedback as FB
 from lakeleaf.operators import graph, search
 from lakeleaf.operators.context import Request, pack
+from lakeleaf.operators.segments import Segments
 
 KINDS = ("local", "git", "html", "static", "sftp", "confluence", "openapi", "webdocs")
 LINKED_KINDS = ("html", "static", "sftp", "webdocs")
@@ -43,6 +44,10 @@ SCHEMAS = {
 KEYS = {"profiles": "document_id"}
 #: Folders of changed rows after which a table's rows are written anew.
 DELTAS = 32
+#: Entries of a version beside the tables: the index's segments (folder:sections), and what it was made from.
+INDEX, STAMP = "index", "index_stamp"
+#: Times that a change is tried again after another writer's.
+RETRIES = 5
 INTERRUPTED = "the process ended while this job was running"
 
 
@@ -163,9 +168,9 @@ class Store:
         """Delete all but the last ``keep`` versions and the folders that only they name; returns how many folders. Not
         to be run beside a writer, whose folders no version names yet."""
         numbers = self._numbers()
-        kept = {f for n in numbers[-keep:] for folders in self._version(n).values() for f in folders}
+        kept = {f.rsplit(":", 1)[0] for n in numbers[-keep:] for folders in self._version(n).values() for f in folders}
         deleted = 0
-        for name in SCHEMAS:
+        for name in (*SCHEMAS, INDEX):
             folder, fs = self._fs(f"{self.root}/{name}")
             for f in fs.listStatus(folder) if fs.exists(folder) else []:
                 if f"{name}/{f.getPath().getName()}" not in kept:
@@ -353,13 +358,24 @@ class Store:
 
     # Search -----------------------------------------------------------------------------------------------------
 
-    def index(self) -> search.Index:
-        """The written index of the current sections, built anew if they have changed."""
-        at = hashlib.sha256(json.dumps(self.current().get("sections")).encode()).hexdigest()[:32]
-        path, fs = self._fs(f"{self.root}/index/{at}/totals/_SUCCESS")
-        if fs.exists(path):
-            return search.Index.read(self.spark, f"{self.root}/index/{at}")
-        return search.Index.build(self.table("sections")).write(f"{self.root}/index/{at}")
+    def index(self) -> Segments:
+        """The index of the current sections, titles and profiles. What has changed since it was last asked for is added
+        as a segment; of two processes that add one at once the second starts again."""
+        for _ in range(RETRIES):
+            seen = self.snapshot()
+            stamp = hashlib.sha256(json.dumps([seen[1].get(t) for t in ("documents", "sections", "profiles")]).encode()).hexdigest()
+            listed = [x.rsplit(":", 1) for x in seen[1].get(INDEX, [])]
+            own = Segments(self.spark, self.root, [name for name, _ in listed], [int(n) for _, n in listed])
+            if seen[1].get(STAMP) == [stamp]:
+                return own
+            read = {t: self.table(t, seen) for t in ("documents", "sections", "profiles")}
+            new = own.updated(read["sections"], search.live(read["documents"], read["profiles"], self._frame("feedback", [])))
+            try:
+                self._commit(seen, {INDEX: [f"{name}:{n}" for name, n in zip(new.names, new.sizes, strict=True)], STAMP: [stamp]}, {INDEX})
+                return new
+            except Conflict:
+                continue
+        raise Conflict("the index is being changed by other writers")
 
     def search(self, options: search.Options) -> search.Result:
         return search.search(options, self.index(), self.table("sections"), self.table("documents"), self.table("profiles"), self.table("feedback"))

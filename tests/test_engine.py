@@ -1,11 +1,13 @@
 import io
 import json
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakeleaf.operators import context, graph, profiles, search
 from lakeleaf.operators.feedback import check_event
+from lakeleaf.operators.segments import Segments
 from lakeleaf.plans import store as store_module
 from lakeleaf.plans.store import SCHEMAS, Conflict, NotFound, Store, SyncInProgress
 from lakeleaf.plans.sync import payload, sync_source
@@ -28,9 +30,14 @@ def tables(spark):
     return docs, secs, profiles.profile_rows(docs, secs), spark.createDataFrame([], SCHEMAS["feedback"])
 
 
+def built(docs, secs, prof, root=None):
+    none = docs.sparkSession.createDataFrame([], SCHEMAS["feedback"])
+    return Segments.create(secs, search.live(docs, prof, none), root or tempfile.mkdtemp(prefix="lakeleaf-index-"))
+
+
 def find(tables, **options):
     docs, secs, prof, feedback = tables
-    return search.search(search.Options(**options), search.Index.build(secs), secs, docs, prof, feedback)
+    return search.search(search.Options(**options), built(docs, secs, prof), secs, docs, prof, feedback)
 
 
 def test_phrase_search_marks_its_hit(tables):
@@ -61,16 +68,18 @@ def test_canonical_first_and_stale_hidden(spark, tables):
     docs, secs, prof, _ = tables
     twin = secs.unionByName(spark.createDataFrame([("sec-9", "doc-2", 1, "T", "T", "payment routing configuration")], secs.schema))
     events = spark.createDataFrame([("f1", 1, "document", "doc-2", "document_canonical", "{}", "", None), ("f2", 2, "document", "doc-1", "document_stale", "{}", "", None)], SCHEMAS["feedback"])
-    index = search.Index.build(twin)
+    index = built(docs, twin, prof)
     out = search.search(search.Options("payment routing", max_searches=1), index, twin, docs, prof, events.filter("id = 'f1'")).hits.orderBy("place").collect()
     assert [h["section_id"] for h in out] == ["sec-9", "sec-2"] and out[0]["canonical"]
     assert [h["section_id"] for h in search.search(search.Options("payment routing", max_searches=1), index, twin, docs, prof, events).hits.collect()] == ["sec-9"]
 
 
 def test_index_round_trip(spark, tables, tmp_path):
-    index = search.Index.build(tables[1]).write(str(tmp_path), 2)
-    assert {r["section_id"] for r in index.match([["configuration"]]).collect()} == {"sec-1", "sec-2"}
-    assert index.match([["payment", "routing"]]).first()["section_id"] == "sec-2" and index.match([[]]).collect() == []
+    docs, secs, prof, _ = tables
+    index = built(docs, secs, prof, str(tmp_path))
+    index = Segments(spark, str(tmp_path), index.names, index.sizes)
+    assert {s for _, _, s, _ in index.match([["configuration"]], 9)} == {"sec-1", "sec-2"}
+    assert index.match([["payment", "routing"]], 9)[0][2:] == ("sec-2", "doc-1") and index.match([[]], 9) == [] and index.match([["none"], ["no", "ne"]], 9) == []
 
 
 def test_profile_terms(tables):
