@@ -240,12 +240,23 @@ def _steps_from(ids: list[str], nodes: DataFrame, edges: DataFrame, feedback: Da
 
 def related(nodes: DataFrame, edges: DataFrame, feedback: DataFrame, node_id: str, direction: str = "both", kind: str = "", limit: int = 50, written: DataFrame | None = None) -> DataFrame:
     """Neighbours of a node: outgoing first, incoming fill what is left of the limit. direction: out if the edge starts
-    at the node, so a loop is out in both branches. written: of ``write_adjacency``, if there is one."""
+    at the node, so a loop is out in both branches. written: of ``write_adjacency`` or
+    ``Adjacency``, if there is one; of the latter the node's first blocks are enough where nothing is filtered out."""
     node_id, direction = asked(node_id, direction, "both", "related")
     limit = limit if 0 < limit <= 100 else 50
-    rows = _steps_from([node_id], nodes, edges, feedback, direction, [kind] if kind else None, written)
-    rows = rows.withColumn("direction", F.when(F.col("src_id") == node_id, "out").otherwise("in")).drop("src_id")
-    return rows.orderBy(*STEP_ORDER).limit(limit)
+
+    def first(known: DataFrame | None) -> DataFrame:
+        rows = _steps_from([node_id], nodes, edges, feedback, direction, [kind] if kind else None, known)
+        rows = rows.withColumn("direction", F.when(F.col("src_id") == node_id, "out").otherwise("in")).drop("src_id", "block")
+        return rows.orderBy(*STEP_ORDER).limit(limit)
+
+    if written is None or "block" not in written.columns:
+        return first(written)
+    block = first(written.filter("block = 0"))
+    held = block.collect()  # 100 rows at most
+    if len(held) < limit and not written.filter((F.col("from_id") == node_id) & (F.col("block") == 1)).isEmpty():
+        return first(written)
+    return nodes.sparkSession.createDataFrame(held, block.schema)
 
 
 PATHS = "hops int, path_nodes array<string>, path_edges array<string>, order array<int>, from_id string"

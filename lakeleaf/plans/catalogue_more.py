@@ -332,7 +332,7 @@ def _store(spark: SparkSession, sf_dir: str) -> Store:
     nodes = graph.node_rows(docs, graph.document_node_id("id"), "Document", F.col("title"), {"document_id": F.col("id"), "source_id": F.col("source_id")})
     times = {c: F.current_timestamp() for c in ("created_at", "updated_at")}
     profile = docs.select(F.col("id").alias("document_id"), F.lit("").alias("desc"), F.lit("{}").alias("retrieval_profile_json"), F.lit("").alias("generated_from_hash"))
-    store.commit({"sources": src.withColumns(times), "documents": docs.withColumns(blank), "sections": secs.withColumns(none), "nodes": nodes, "profiles": profile})
+    store.commit({"sources": src.withColumns(times), "documents": docs.withColumns(blank), "sections": secs.withColumns(none), "nodes": nodes, "profiles": profile}, store.snapshot())
     return store
 
 

@@ -12,8 +12,9 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
-from typing import Any
+from typing import Any, TypeVar
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from lakeleaf.functions.ids import random_id
 from lakeleaf.operators import feedback as FB
 from lakeleaf.operators import graph, search
+from lakeleaf.operators.adjacency import Adjacency
 from lakeleaf.operators.context import Request, pack
 from lakeleaf.operators.segments import Segments
 
@@ -44,8 +46,10 @@ SCHEMAS = {
 KEYS = {"profiles": "document_id"}
 #: Folders of changed rows after which a table's rows are written anew.
 DELTAS = 32
-#: Entries of a version beside the tables: the index's segments (folder:sections), and what it was made from.
+#: Entries of a version beside the tables: the index's segments (folder:sections), and what they were made from.
 INDEX, STAMP = "index", "index_stamp"
+#: The same of the adjacency; its stamp has the folders of nodes and edges.
+ADJACENCY, ADJACENCY_STAMP = "adjacency", "adjacency_stamp"
 #: Times that a change is tried again after another writer's.
 RETRIES = 5
 INTERRUPTED = "the process ended while this job was running"
@@ -67,6 +71,10 @@ def now() -> datetime:
     return datetime.now(timezone.utc).replace(microsecond=0, tzinfo=None)
 
 
+Seen = tuple[int, dict[str, list[str]]]
+T_ = TypeVar("T_")
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -89,7 +97,7 @@ class Store:
         finally:
             stream.close()
 
-    def snapshot(self) -> tuple[int, dict[str, list[str]]]:
+    def snapshot(self) -> Seen:
         """The last version's number, and the folders of each table: the rows, then the changes."""
         numbers = self._numbers()
         return (numbers[-1], self._version(numbers[-1])) if numbers else (0, {})
@@ -118,7 +126,7 @@ class Store:
                 return False
             raise
 
-    def _commit(self, seen: tuple[int, dict[str, list[str]]], new: dict[str, list[str]], read: set[str]) -> None:
+    def _commit(self, seen: Seen, new: dict[str, list[str]], read: set[str]) -> None:
         """Publish new folders of some tables, made from the version ``seen`` by reading the tables ``read``."""
         number, base = seen
         while not self._publish(number + 1, base | new):
@@ -134,12 +142,22 @@ class Store:
         rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted]).write.parquet(f"{self.root}/{path}")
         return path
 
-    def commit(self, tables: dict[str, DataFrame], seen: tuple[int, dict[str, list[str]]] | None = None) -> None:
-        """New rows of some tables, all at once. ``seen``: the snapshot that they were made from."""
-        seen = seen or self.snapshot()
-        self._commit(seen, {name: [self._write(name, rows, SCHEMAS[name])] for name, rows in tables.items()}, set(tables))
+    def commit(self, tables: dict[str, DataFrame], seen: Seen, read: set[str] = frozenset()) -> None:
+        """New rows of some tables, all at once. ``seen``: the snapshot that they were made from, taken before anything was
+        read; read: further tables that they depend on."""
+        self._commit(seen, {name: [self._write(name, rows, SCHEMAS[name])] for name, rows in tables.items()}, set(tables) | read)
+
+    def again(self, change: Callable[[Seen], T_]) -> T_:
+        """Run a change from a snapshot; where another writer was first, once more from the new one."""
+        for left in reversed(range(RETRIES)):
+            try:
+                return change(self.snapshot())
+            except Conflict:
+                if not left:
+                    raise
+        raise AssertionError
 
-    def change(self, changes: dict[str, list[dict[str, Any]]], gone: bool = False, seen: tuple[int, dict[str, list[str]]] | None = None, read: set[str] = frozenset()) -> None:
+    def change(self, changes: dict[str, list[dict[str, Any]]], gone: bool = False, seen: Seen | None = None, read: set[str] = frozenset()) -> None:
         """Put (or with ``gone`` delete) single rows of some tables. A table's rows are written anew after DELTAS changes."""
         seen, new = seen or self.snapshot(), {}
         for name, rows in changes.items():
@@ -160,7 +178,7 @@ class Store:
         # A few rows of each of at most DELTAS changes.
         return rows.join(F.broadcast(last.select(key)), key, "left_anti").select(*rows.columns).unionByName(last.filter("not change_gone").select(*rows.columns))
 
-    def table(self, name: str, seen: tuple[int, dict[str, list[str]]] | None = None) -> DataFrame:
+    def table(self, name: str, seen: Seen | None = None) -> DataFrame:
         folders = (seen[1] if seen else self.current()).get(name)
         return self._read(name, folders) if folders else self.spark.createDataFrame([], SCHEMAS[name])
 
@@ -170,7 +188,7 @@ class Store:
         numbers = self._numbers()
         kept = {f.rsplit(":", 1)[0] for n in numbers[-keep:] for folders in self._version(n).values() for f in folders}
         deleted = 0
-        for name in (*SCHEMAS, INDEX):
+        for name in (*SCHEMAS, INDEX, ADJACENCY):
             folder, fs = self._fs(f"{self.root}/{name}")
             for f in fs.listStatus(folder) if fs.exists(folder) else []:
                 if f"{name}/{f.getPath().getName()}" not in kept:
@@ -180,8 +198,8 @@ class Store:
             fs.delete(path, False)
         return deleted
 
-    def _row(self, name: str, row_id: str) -> dict[str, Any]:
-        found = self.table(name).filter(F.col("id") == row_id).first()
+    def _row(self, name: str, row_id: str, seen: Seen | None = None) -> dict[str, Any]:
+        found = self.table(name, seen).filter(F.col("id") == row_id).first()
         if found is None:
             raise NotFound(f"{name} {row_id!r} not found")
         return found.asDict(recursive=True)
@@ -190,30 +208,30 @@ class Store:
         columns = T.StructType.fromDDL(SCHEMAS[name]).fieldNames()
         return self.spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], SCHEMAS[name])
 
-    def _put(self, name: str, row: dict[str, Any]) -> dict[str, Any]:
-        self.change({name: [row]})
-        return self._row(name, row["id"])
-
-    def _next(self, name: str) -> int:
-        return (self.table(name).agg(F.max("seq")).first()[0] or 0) + 1
+    def _next(self, name: str, seen: Seen) -> int:
+        return (self.table(name, seen).agg(F.max("seq")).first()[0] or 0) + 1
 
     # Sources ----------------------------------------------------------------------------------------------------
 
     def put_source(self, row: dict[str, Any], new: bool = True) -> dict[str, Any]:
-        old = {} if new else self._row("sources", row["id"])
-        row = old | row
-        for need in ("kind", "name", "dsn"):
-            if not str(row.get(need) or "").strip():
-                raise ValueError(f"source {need} is required")
-        if row["kind"] not in KINDS:
-            raise ValueError(f"unsupported source kind {row['kind']!r}")
-        try:
-            json.loads(row.get("config_json") or "{}")
-        except ValueError as e:
-            raise ValueError("config_json is not JSON") from e
-        blank = {c: "" for c in ("product_hint", "module_hint", "sync_schedule")} | {"config_json": "{}"}
-        full = blank | {"created_at": now()} | row | {"id": row.get("id") or random_id("src"), "updated_at": now()}
-        return self._put("sources", full)
+        given = row | {"id": row.get("id") or random_id("src")} if new else row
+
+        def put(seen: Seen) -> None:
+            row = ({} if new else self._row("sources", given["id"], seen)) | given
+            for need in ("kind", "name", "dsn"):
+                if not str(row.get(need) or "").strip():
+                    raise ValueError(f"source {need} is required")
+            if row["kind"] not in KINDS:
+                raise ValueError(f"unsupported source kind {row['kind']!r}")
+            try:
+                json.loads(row.get("config_json") or "{}")
+            except ValueError as e:
+                raise ValueError("config_json is not JSON") from e
+            blank = {c: "" for c in ("product_hint", "module_hint", "sync_schedule")} | {"config_json": "{}"}
+            self.change({"sources": [blank | {"created_at": now()} | row | {"updated_at": now()}]}, seen=seen)
+
+        self.again(put)
+        return self._row("sources", given["id"])
 
     def update_source(self, row: dict[str, Any]) -> dict[str, Any]:
         return self.put_source(row, new=False)
@@ -226,47 +244,64 @@ class Store:
 
     def delete_source(self, source_id: str) -> None:
         """With its documents, sections, profiles, and nodes and edges that are its own."""
-        self._row("sources", source_id)
-        gone = self.table("documents").filter(F.col("source_id") == source_id).select(F.col("id").alias("document_id"))
-        links = self.table("broken_links").filter(F.col("source_id") != source_id)
-        self.commit({"sources": self.table("sources").filter(F.col("id") != source_id), "broken_links": links} | self.without_documents(gone, source_id))
 
-    def without_documents(self, gone: DataFrame, source_id: str = "") -> dict[str, DataFrame]:
+        def delete(seen: Seen) -> None:
+            self._row("sources", source_id, seen)
+            gone = self.table("documents", seen).filter(F.col("source_id") == source_id).select(F.col("id").alias("document_id"))
+            left = {"sources": self.table("sources", seen).filter(F.col("id") != source_id), "broken_links": self.table("broken_links", seen).filter(F.col("source_id") != source_id)}
+            self.commit(left | self.without_documents(gone, seen, source_id), seen)
+
+        self.again(delete)
+
+    def without_documents(self, gone: DataFrame, seen: Seen, source_id: str = "") -> dict[str, DataFrame]:
         """The tables without some documents (document_id) and all that hangs on them; with ``source_id`` also without
         that source's products, modules and APIs."""
-        documents, sections = self.table("documents"), self.table("sections")
-        nodes = self.table("nodes").withColumn("document_id", F.coalesce(F.col("metadata")["document_id"], F.lit("")))
+        documents, sections = self.table("documents", seen), self.table("sections", seen)
+        nodes = self.table("nodes", seen).withColumn("document_id", F.coalesce(F.col("metadata")["document_id"], F.lit("")))
         nodes = nodes.join(gone, "document_id", "left_anti").drop("document_id")
         if source_id:
             nodes = nodes.filter(F.coalesce(F.col("metadata")["source_id"], F.lit("")) != source_id)
         kept = sections.join(gone, "document_id", "left_anti")
         return {
             "documents": documents.join(gone.withColumnRenamed("document_id", "id"), "id", "left_anti"), "sections": kept,
-            "profiles": self.table("profiles").join(gone, "document_id", "left_anti"), "nodes": nodes, "edges": attached(self.table("edges"), nodes, kept),
+            "profiles": self.table("profiles", seen).join(gone, "document_id", "left_anti"), "nodes": nodes, "edges": attached(self.table("edges", seen), nodes, kept),
         }
 
     # Jobs -------------------------------------------------------------------------------------------------------
 
     def start_job(self, source_id: str) -> dict[str, Any]:
         """At most one running job of a source: the check and the new row are one change."""
-        seen = self.snapshot()
-        if not self.table("jobs", seen).filter((F.col("source_id") == source_id) & (F.col("status") == "running")).isEmpty():
-            raise SyncInProgress(f"a sync of {source_id!r} is in progress")
-        row = {"id": random_id("job"), "seq": self._next("jobs"), "kind": "sync_source", "status": "running", "source_id": source_id, "payload_json": json.dumps({"source_id": source_id}), "attempts": 1, "last_error": "", "created_at": now(), "updated_at": now()}
-        self.change({"jobs": [row]}, seen=seen, read={"jobs"})
-        return self._row("jobs", row["id"])
+        job_id = random_id("job")
+
+        def start(seen: Seen) -> None:
+            if not self.table("jobs", seen).filter((F.col("source_id") == source_id) & (F.col("status") == "running")).isEmpty():
+                raise SyncInProgress(f"a sync of {source_id!r} is in progress")
+            row = {"id": job_id, "seq": self._next("jobs", seen), "kind": "sync_source", "status": "running", "source_id": source_id, "payload_json": json.dumps({"source_id": source_id}), "attempts": 1, "last_error": "", "created_at": now(), "updated_at": now()}
+            self.change({"jobs": [row]}, seen=seen)
+
+        self.again(start)
+        return self._row("jobs", job_id)
 
     def fail_interrupted(self) -> int:
         """At the start of a service: jobs that still run have lost their process, and would block their sources."""
-        rows = [r.asDict() | {"status": "failed", "last_error": INTERRUPTED, "updated_at": now()} for r in self.table("jobs").filter("status = 'running'").collect()]  # one for each source at most
-        if rows:
-            self.change({"jobs": rows})
-        return len(rows)
+
+        def fail(seen: Seen) -> int:
+            running = self.table("jobs", seen).filter("status = 'running'").collect()  # one for each source at most
+            rows = [r.asDict() | {"status": "failed", "last_error": INTERRUPTED, "updated_at": now()} for r in running]
+            if rows:
+                self.change({"jobs": rows}, seen=seen)
+            return len(rows)
+
+        return self.again(fail)
 
     def end_job(self, job_id: str, payload: dict[str, Any] | None = None, error: str = "") -> dict[str, Any]:
-        row = self._row("jobs", job_id)
-        body = json.loads(row["payload_json"]) | (payload or {})
-        return self._put("jobs", row | {"status": "failed" if error else "completed", "payload_json": json.dumps(body, ensure_ascii=False), "last_error": error, "updated_at": now()})
+        def end(seen: Seen) -> None:
+            row = self._row("jobs", job_id, seen)
+            body = json.dumps(json.loads(row["payload_json"]) | (payload or {}), ensure_ascii=False)
+            self.change({"jobs": [row | {"status": "failed" if error else "completed", "payload_json": body, "last_error": error, "updated_at": now()}]}, seen=seen)
+
+        self.again(end)
+        return self._row("jobs", job_id)
 
     def jobs(self, source_id: str, limit: int = 20) -> DataFrame:
         return self.table("jobs").filter(F.col("source_id") == source_id).orderBy(F.desc("seq")).limit(limit if 0 < limit <= 100 else 20)
@@ -274,7 +309,7 @@ class Store:
     def delete_job(self, source_id: str, job_id: str) -> None:
         if self._row("jobs", job_id)["source_id"] != source_id:
             raise NotFound(f"job {job_id!r} not found")
-        self.change({"jobs": [{"id": job_id}]}, gone=True)
+        self.again(lambda seen: self.change({"jobs": [{"id": job_id}]}, gone=True, seen=seen))
 
     def broken_links(self, source_id: str) -> DataFrame:
         """All links that the source's last sync could not resolve, sorted."""
@@ -315,27 +350,31 @@ class Store:
             "nodes": page(nodes, "kind", "name", "id"), "edges": page(edges, "kind", "id"),
         }
 
-    def profile(self, document_id: str) -> dict[str, Any]:
-        self._row("documents", document_id)
-        found = self.table("profiles").filter(F.col("document_id") == document_id).first()
+    def profile(self, document_id: str, seen: Seen | None = None) -> dict[str, Any]:
+        self._row("documents", document_id, seen)
+        found = self.table("profiles", seen).filter(F.col("document_id") == document_id).first()
         return found.asDict() if found else {"document_id": document_id, "desc": "", "retrieval_profile_json": "{}", "generated_from_hash": ""}
 
     def put_profile(self, document_id: str, desc: str, profile_json: str | None = None) -> dict[str, Any]:
-        row = self.profile(document_id) | {"desc": desc}
+        given = {"desc": desc}
         if profile_json is not None:
             try:
                 json.loads(profile_json)
             except ValueError as e:
                 raise ValueError("retrieval_profile_json is not JSON") from e
-            row["retrieval_profile_json"] = profile_json
-        self.change({"profiles": [row]})
+            given["retrieval_profile_json"] = profile_json
+        self.again(lambda seen: self.change({"profiles": [self.profile(document_id, seen) | given]}, seen=seen))
         return self.profile(document_id)
 
     def put_nodes(self, rows: DataFrame) -> None:
-        self.commit({"nodes": graph.upsert(self.table("nodes"), graph.checked_nodes(rows))})
+        self.again(lambda seen: self.commit({"nodes": graph.upsert(self.table("nodes", seen), graph.checked_nodes(rows))}, seen))
 
     def put_edges(self, rows: DataFrame) -> None:
-        self.commit({"edges": graph.upsert(self.table("edges"), graph.checked_edges(rows, self.table("nodes")))})
+        def put(seen: Seen) -> None:
+            own = graph.checked_edges(rows, self.table("nodes", seen))
+            self.commit({"edges": graph.upsert(self.table("edges", seen), own)}, seen, {"nodes"})
+
+        self.again(put)
 
     def node(self, node_id: str) -> dict[str, Any]:
         return self._row("nodes", node_id)
@@ -348,21 +387,46 @@ class Store:
     def search_nodes(self, query: str, limit: int = 20) -> DataFrame:
         return graph.search_nodes(self.table("nodes"), query, limit)
 
+    def adjacency(self) -> Adjacency:
+        """The written adjacency of the current nodes and edges. Where single rows were changed since it was last asked
+        for, only these are read; where a table was written anew, its rows are compared with the adjacency's."""
+
+        def build(seen: Seen) -> Adjacency:
+            folders = {t: seen[1].get(t, []) for t in ("nodes", "edges")}
+            (stamp,) = seen[1].get(ADJACENCY_STAMP, ["{}"])
+            own, had = Adjacency(self.spark, self.root, seen[1].get(ADJACENCY, [])), json.loads(stamp)
+            if had == folders:
+                return own
+            longer = all(had.get(t) and folders[t][: len(had[t])] == had[t] for t in folders)
+            changed = [self._changes(t, folders[t][len(had[t]) :]) for t in folders] if longer else []
+            new = own.updated(self.table("nodes", seen), self.table("edges", seen), *changed)
+            self._commit(seen, {ADJACENCY: new.names, ADJACENCY_STAMP: [json.dumps(folders)]}, {ADJACENCY})
+            return new
+
+        return self.again(build)
+
+    def _changes(self, name: str, folders: list[str]) -> DataFrame:
+        """The ids of the rows in folders of changes."""
+        if not folders:
+            return self._frame(name, []).select("id")
+        return self.spark.read.schema("id string").parquet(*[f"{self.root}/{f}" for f in folders])
+
     def related(self, node_id: str, direction: str = "both", kind: str = "", limit: int = 50) -> DataFrame:
-        return graph.related(self.table("nodes"), self.table("edges"), self.table("feedback"), node_id, direction, kind, limit)
+        graph.asked(node_id, direction, "both", "related")
+        return graph.related(self.table("nodes"), self.table("edges"), self.table("feedback"), node_id, direction, kind, limit, self.adjacency().rows())
 
     def impact(self, node_id: str, direction: str = "out", depth: int = 2, kinds: list[str] | None = None, limit: int = 50) -> DataFrame:
         """NotFound if there is no such node."""
         self._row("nodes", graph.asked(node_id, direction, "out", "impact")[0])
-        return graph.impact(self.table("nodes"), self.table("edges"), self.table("feedback"), node_id, direction, depth, kinds, limit)
+        return graph.impact(self.table("nodes"), self.table("edges"), self.table("feedback"), node_id, direction, depth, kinds, limit, self.adjacency().rows())
 
     # Search -----------------------------------------------------------------------------------------------------
 
     def index(self) -> Segments:
         """The index of the current sections, titles and profiles. What has changed since it was last asked for is added
         as a segment; of two processes that add one at once the second starts again."""
-        for _ in range(RETRIES):
-            seen = self.snapshot()
+
+        def build(seen: Seen) -> Segments:
             stamp = hashlib.sha256(json.dumps([seen[1].get(t) for t in ("documents", "sections", "profiles")]).encode()).hexdigest()
             listed = [x.rsplit(":", 1) for x in seen[1].get(INDEX, [])]
             own = Segments(self.spark, self.root, [name for name, _ in listed], [int(n) for _, n in listed])
@@ -370,12 +434,10 @@ class Store:
                 return own
             read = {t: self.table(t, seen) for t in ("documents", "sections", "profiles")}
             new = own.updated(read["sections"], search.live(read["documents"], read["profiles"], self._frame("feedback", [])))
-            try:
-                self._commit(seen, {INDEX: [f"{name}:{n}" for name, n in zip(new.names, new.sizes, strict=True)], STAMP: [stamp]}, {INDEX})
-                return new
-            except Conflict:
-                continue
-        raise Conflict("the index is being changed by other writers")
+            self._commit(seen, {INDEX: [f"{name}:{n}" for name, n in zip(new.names, new.sizes, strict=True)], STAMP: [stamp]}, {INDEX})
+            return new
+
+        return self.again(build)
 
     def search(self, options: search.Options) -> search.Result:
         return search.search(options, self.index(), self.table("sections"), self.table("documents"), self.table("profiles"), self.table("feedback"))
@@ -389,13 +451,17 @@ class Store:
 
     def add_feedback(self, event: dict[str, Any]) -> dict[str, Any]:
         """Append an event; an added relationship or a merge also puts its edge."""
-        row = FB.check_event(event) | {"id": random_id("fb"), "seq": self._next("feedback"), "created_at": now()}
-        new = self._frame("feedback", [row])
-        changes = {"feedback": [row]}
-        if row["feedback_kind"] in ("relationship_add", "node_merge"):
-            changes["edges"] = [r.asDict() for r in FB.manual_edges(new).select(*graph.EDGE).collect()]  # one event's edge
-        self.change(changes)
-        return self._row("feedback", row["id"])
+        own = FB.check_event(event) | {"id": random_id("fb"), "created_at": now()}
+
+        def add(seen: Seen) -> None:
+            row = own | {"seq": self._next("feedback", seen)}
+            changes = {"feedback": [row]}
+            if row["feedback_kind"] in ("relationship_add", "node_merge"):
+                changes["edges"] = [r.asDict() for r in FB.manual_edges(self._frame("feedback", [row])).select(*graph.EDGE).collect()]  # one event's edge
+            self.change(changes, seen=seen)
+
+        self.again(add)
+        return self._row("feedback", own["id"])
 
     def feedback(self, target_kind: str = "", target_id: str = "", feedback_kind: str = "", limit: int = 20) -> DataFrame:
         return FB.list_events(self.table("feedback"), target_kind, target_id, feedback_kind, limit)
@@ -403,7 +469,7 @@ class Store:
     def delete_feedback(self, event_id: str) -> None:
         """What the event hid is seen again; an edge that it put stays."""
         self._row("feedback", event_id)
-        self.change({"feedback": [{"id": event_id}]}, gone=True)
+        self.again(lambda seen: self.change({"feedback": [{"id": event_id}]}, gone=True, seen=seen))
 
 
 def attached(edges: DataFrame, nodes: DataFrame, sections: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from lakeleaf.functions.ids import stable_id
 from lakeleaf.operators import graph, profiles
-from lakeleaf.plans.session import visible
-from lakeleaf.plans.store import LINKED_KINDS, Store, attached
+from lakeleaf.plans.session import visible, written
+from lakeleaf.plans.store import LINKED_KINDS, Seen, Store, attached
 from lakeleaf.sources import folders, paths, web
 
 
@@ -88,10 +88,10 @@ def sync_source(store: Store, source_id: str, transport: web.Transport = web.htt
         return store.end_job(job["id"], error=str(e) or type(e).__name__)
 
 
-def replaced(store: Store, sources: DataFrame, docs: DataFrame, secs: DataFrame, gone: DataFrame, links: DataFrame | None = None) -> dict[str, DataFrame]:
+def replaced(store: Store, seen: Seen, sources: DataFrame, docs: DataFrame, secs: DataFrame, gone: DataFrame, links: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables with ``docs`` and their sections in place of what they had of these, and without the documents ``gone``
-    (document_id). sources: of the documents; links: further edges."""
-    left = store.without_documents(gone)
+    (document_id). seen: the snapshot that is read; sources: of the documents; links: further edges."""
+    left = store.without_documents(gone, seen)
     mine = docs.select(F.col("id").alias("document_id"))
     all_docs = graph.upsert(left["documents"], docs)
     all_secs = left["sections"].join(mine, "document_id", "left_anti").select(*secs.columns).unionByName(secs)
@@ -108,22 +108,24 @@ def replaced(store: Store, sources: DataFrame, docs: DataFrame, secs: DataFrame,
 def _sync(store: Store, source: dict[str, Any], transport: web.Transport, connect: Callable) -> dict[str, Any]:
     parsed, prefix = load(store, source, transport, connect)
     docs, secs = engine_rows(parsed, source["id"], prefix)
-    docs, secs = docs.cache(), secs.cache()
-    seen = store.snapshot()
-    try:
-        old = store.table("documents").filter(F.col("source_id") == source["id"])
+    # Written once: the folder that they come from may change while the tables are made.
+    docs, secs = written(docs, "sync-documents"), written(secs, "sync-sections")
+    found = missing = None
+    if source["kind"] in LINKED_KINDS:
+        found, missing = graph.resolve_links(page_links(docs, secs), graph.link_targets(docs, secs))
+
+    def put(seen: Seen) -> None:
+        old = store.table("documents", seen).filter(F.col("source_id") == source["id"])
         gone = vanished(old, docs).withColumnRenamed("id", "document_id")
-        broken, found = store.table("broken_links").filter(F.col("source_id") != source["id"]), None
-        if source["kind"] in LINKED_KINDS:
-            found, missing = graph.resolve_links(page_links(docs, secs), graph.link_targets(docs, secs))
+        broken = store.table("broken_links", seen).filter(F.col("source_id") != source["id"])
+        if missing is not None:
             broken = broken.unionByName(missing.select(F.lit(source["id"]).alias("source_id"), "*"))
-        tables = replaced(store, store.table("sources").filter(F.col("id") == source["id"]), docs, secs, gone, found)
-        store.commit(tables | {"broken_links": broken}, seen)
-        links = store.broken_links(source["id"])
-        return {"documents": docs.count(), "broken_link_count": links.count(), "broken_links": [r.asDict() for r in links.limit(LINKS_PAGE).collect()]}
-    finally:
-        docs.unpersist()
-        secs.unpersist()
+        tables = replaced(store, seen, store.table("sources", seen).filter(F.col("id") == source["id"]), docs, secs, gone, found)
+        store.commit(tables | {"broken_links": broken}, seen, {"sources"})
+
+    store.again(put)
+    links = store.broken_links(source["id"])
+    return {"documents": docs.count(), "broken_link_count": links.count(), "broken_links": [r.asDict() for r in links.limit(LINKS_PAGE).collect()]}
 
 
 def payload(job: dict[str, Any]) -> dict[str, Any]:

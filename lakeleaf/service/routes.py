@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Row
 
 from lakeleaf.operators.context import Request
 from lakeleaf.operators.search import Options, Result
-from lakeleaf.plans.store import NotFound, Store, SyncInProgress
+from lakeleaf.plans.store import Conflict, NotFound, Store, SyncInProgress
 from lakeleaf.plans.sync import sync_source
 from lakeleaf.sources import web
 
@@ -154,7 +154,7 @@ class Api:
             return failure(404, "no such route")
         except NotFound as e:
             return failure(404, str(e))
-        except SyncInProgress as e:
+        except (SyncInProgress, Conflict) as e:
             return failure(409, str(e))
         except ValueError as e:
             return failure(400, str(e))

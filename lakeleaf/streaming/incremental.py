@@ -15,7 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from lakeleaf.operators import feedback as FB
 from lakeleaf.operators import graph
 from lakeleaf.plans import sync
-from lakeleaf.plans.store import SCHEMAS, Store
+from lakeleaf.plans.store import SCHEMAS, Seen, Store
 
 
 def rows_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 100) -> DataFrame:
@@ -37,15 +37,18 @@ def follow_sections(store: Store, folder: str, checkpoint: str) -> StreamingQuer
 
     def put(batch: DataFrame, _: int) -> None:
         secs = graph.one_per_id(batch, [F.desc("ordinal")]).persist()
-        seen = store.snapshot()
-        known = store.table("documents")
-        own = secs.groupBy(F.col("document_id").alias("id")).agg(F.min_by("title", "ordinal").alias("first"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("content", 256))), ""), 256).alias("hash"))
-        docs = own.join(known, "id", "left").select(
-            "id", F.coalesce("source_id", F.lit(STREAM[0])).alias("source_id"), F.coalesce("external_id", "id").alias("external_id"), F.coalesce("title", "first").alias("title"), F.col("hash").alias("content_hash"),
-            *[F.coalesce(c, F.lit(v)).alias(c) for c, v in (("url", ""), ("version", ""), ("metadata_json", "{}"), ("acl_json", "{}"))], F.coalesce("page_anchors", F.array().cast("array<string>")).alias("page_anchors"), F.current_timestamp().alias("indexed_at"),
-        )
-        sources = store.table("sources").select("id", "kind", "product_hint", "module_hint").unionByName(store.spark.createDataFrame([(*STREAM[:2], "", "")], "id string, kind string, product_hint string, module_hint string"))
-        store.commit(sync.replaced(store, sources, docs.select(*known.columns), secs, docs.limit(0).select(F.col("id").alias("document_id"))), seen)
+
+        def change(seen: Seen) -> None:
+            known = store.table("documents", seen)
+            own = secs.groupBy(F.col("document_id").alias("id")).agg(F.min_by("title", "ordinal").alias("first"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("content", 256))), ""), 256).alias("hash"))
+            docs = own.join(known, "id", "left").select(
+                "id", F.coalesce("source_id", F.lit(STREAM[0])).alias("source_id"), F.coalesce("external_id", "id").alias("external_id"), F.coalesce("title", "first").alias("title"), F.col("hash").alias("content_hash"),
+                *[F.coalesce(c, F.lit(v)).alias(c) for c, v in (("url", ""), ("version", ""), ("metadata_json", "{}"), ("acl_json", "{}"))], F.coalesce("page_anchors", F.array().cast("array<string>")).alias("page_anchors"), F.current_timestamp().alias("indexed_at"),
+            )
+            sources = store.table("sources", seen).select("id", "kind", "product_hint", "module_hint").unionByName(store.spark.createDataFrame([(*STREAM[:2], "", "")], "id string, kind string, product_hint string, module_hint string"))
+            store.commit(sync.replaced(store, seen, sources, docs.select(*known.columns), secs, docs.limit(0).select(F.col("id").alias("document_id"))), seen, {"sources"})
+
+        store.again(change)
         secs.unpersist()
 
     return _started(rows_stream(store.spark, folder, "sections"), checkpoint, put)
@@ -56,8 +59,8 @@ def follow_feedback(store: Store, folder: str, checkpoint: str) -> StreamingQuer
 
     def put(batch: DataFrame, _: int) -> None:
         batch = graph.one_per_id(batch, [F.desc("seq")]).persist()
-        log = graph.upsert(store.table("feedback"), batch)
-        store.commit({"feedback": log, "edges": graph.upsert(store.table("edges"), FB.manual_edges(batch).select(*graph.EDGE))})
+        edges = FB.manual_edges(batch).select(*graph.EDGE)
+        store.again(lambda seen: store.commit({"feedback": graph.upsert(store.table("feedback", seen), batch), "edges": graph.upsert(store.table("edges", seen), edges)}, seen))
         batch.unpersist()
 
     return _started(rows_stream(store.spark, folder, "feedback"), checkpoint, put)

@@ -284,6 +284,80 @@ def test_writers_don_t_lose_changes(spark, tmp_path, monkeypatch):
     assert one.vacuum(keep=1) > 0 and {r["name"] for r in two.sources().collect()} == {"c", "n7"} and two.jobs(ids[0]).count() == 1
 
 
+def test_writers_between_reading_and_commit(spark, tmp_path, monkeypatch):
+    """A change that another writer makes after a table was read, and before the result is published, isn't lost."""
+    one, two = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    node = lambda i: spark.createDataFrame([(i, "API", i, i, {}, 1.0)], SCHEMAS["nodes"])
+    edge = lambda i: spark.createDataFrame([(i, "n0", "n0", "contains", 1.0, "rule", None, "{}")], SCHEMAS["edges"])
+    event = {"feedback_kind": "document_stale", "target_id": "d"}
+    one.put_nodes(node("n0"))
+    source = one.put_source({"kind": "local", "name": "a", "dsn": "/d"})["id"]
+    kept = Store._publish
+
+    def meanwhile(change):
+        def publish(self, number, tables):
+            if self is one and change is not None:
+                monkeypatch.setattr(Store, "_publish", kept)
+                change()
+            return kept(self, number, tables)
+
+        monkeypatch.setattr(Store, "_publish", publish)
+
+    for own, other in (
+        (lambda: one.put_nodes(node("n1")), lambda: two.put_nodes(node("n2"))), (lambda: one.put_edges(edge("e1")), lambda: two.put_edges(edge("e2"))), (lambda: one.add_feedback(event), lambda: two.add_feedback(event)),
+        (lambda: one.update_source({"id": source, "name": "b"}), lambda: two.update_source({"id": source, "dsn": "/e"})), (lambda: one.delete_source(source), lambda: two.put_nodes(node("n3"))),
+    ):
+        meanwhile(other)
+        own()
+        if one.sources().count():
+            assert (one.source(source)["name"], one.source(source)["dsn"]) in (("a", "/d"), ("b", "/e"))
+    assert {r["id"] for r in one.table("nodes").collect()} == {"n0", "n1", "n2", "n3"} and {r["id"] for r in one.table("edges").collect()} == {"e1", "e2"}
+    assert sorted(r["seq"] for r in one.table("feedback").collect()) == [1, 2] and one.sources().count() == 0
+    monkeypatch.setattr(store_module, "RETRIES", 1)
+    meanwhile(lambda: two.put_nodes(node("n4")))
+    with pytest.raises(Conflict):
+        one.put_nodes(node("n5"))
+    meanwhile(lambda: two.add_feedback(event))
+    status, answer = Api(one).handle("POST", "/api/feedback", json.dumps(event).encode())
+    assert status == 409 and "another writer" in answer["error"]["message"]
+
+
+def test_kept_adjacency(spark, tmp_path, monkeypatch):
+    """Related nodes and paths of the store equal those of its tables, whatever was changed since the adjacency was written."""
+    monkeypatch.setattr("lakeleaf.operators.adjacency.BLOCK", 2)
+    store = Store(spark, str(tmp_path / "store"))
+    nodes, edges, none = graph_tables(spark, [("loop", "api", "api", "contains"), *((f"h{i}", "product", "api", f"k{i % 3}") for i in range(7))])
+    store.commit({"nodes": nodes, "edges": edges}, store.snapshot())
+
+    def agrees(turn):
+        t = (store.table("nodes"), store.table("edges"), store.table("feedback"))
+        for args in (("product", "both", "", 50), ("api", "in", "", 3), ("product", "both", "k1", 50)):
+            a, b = ([r.asDict() for r in f.collect()] for f in (store.related(*args), graph.related(*t, *args)))
+            assert a == b, (turn, args)
+        assert store.impact("product", "both", 3, None, 30).collect() == graph.impact(*t, "product", "both", 3, None, 30).collect(), turn
+
+    agrees(0)
+    first = store.current()["adjacency"]
+    assert len(first) == 1
+    plan = store.related("product")._jdf.queryExecution().toString() + store.adjacency().rows().filter("from_id = 'x' and block = 0")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(from_id), IsNotNull(block), EqualTo(from_id,x), EqualTo(block,0)]" in plan
+    store.add_feedback({"feedback_kind": "relationship_add", "target_id": "api", "payload_json": json.dumps({"src_id": "api", "dst_id": "section", "kind": "added"})})
+    agrees(1)
+    assert store.current()["adjacency"][0] == first[0] and len(store.current()["adjacency"]) == 2
+    added = spark.read.parquet(*[f"{store.root}/{n}/rows" for n in store.current()["adjacency"][1:]])
+    assert added.count() == 2  # one edge, both ends
+    store.add_feedback({"feedback_kind": "relationship_wrong", "target_id": "h1"})
+    store.put_nodes(spark.createDataFrame([("api", "API", "Renamed", "renamed", {}, 1.0), ("new", "API", "N", "n", {}, 1.0)], SCHEMAS["nodes"]))
+    store.put_edges(spark.createDataFrame([("e9", "new", "product", "contains", 1.0, "rule", None, "{}"), ("h2", "module", "api", "k2", 1.0, "rule", None, "{}")], SCHEMAS["edges"]))
+    agrees(2)
+    assert store.current()["adjacency"][0] == first[0]
+    store.change({"nodes": [{"id": "section", "kind": "DocSection", "name": "Other", "canonical_name": "other", "metadata": {}, "confidence": 1.0}]})
+    monkeypatch.setattr("lakeleaf.operators.adjacency.CHANGES", 1)
+    store.change({"edges": [{"id": "e1", "src_id": "section", "dst_id": "new", "kind": "x", "confidence": 1.0, "provenance": "rule", "metadata_json": "{}"}]})
+    agrees(4)
+    assert len(store.current()["adjacency"]) == 1
+
+
 def test_failed_sync_leaves_tables(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     src = store.put_source({"kind": "local", "name": "x", "dsn": "https://x/"})["id"]
