@@ -35,12 +35,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("head script style noscript template nav header footer aside form button select textarea iframe object svg canvas audio video dialog menu title".split())
-#: Words in class, id or role that mark a box beside the article.
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notices?|sidebar|aside|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|respond|"
-    r"share|sharing|social|related|newsletter|subscribe|popup|modal|footer|masthead|widget|contentinfo|complementary|search)(?=$|[\s_-])",
-    re.I,
+#: Words that name a box beside the article, alone or with words of PLAIN only. "site-footer" and
+#: "related-posts" are such names; "no-sidebar", "related-work" and "search-engines" are not.
+BESIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices sidebar aside menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond "
+    "share sharing social related newsletter subscribe popup modal footer masthead widget contentinfo complementary search".split()
 )
+PLAIN = frozenset(
+    "area article articles bar block body bottom box button buttons col column container content entry form global head header icons inner item items left link links list main media new page panel post posts primary reader readers "
+    "right row secondary section site slot tag text thread top unit user users wrap wrapper".split()
+)
+COMMENTS = frozenset("comment comments disqus respond".split())
 ARTICLE = frozenset(("article", "main"))
 #: Elements that carry an article's own matter; others are boxes, unless in an article they hold one of MATTER.
 MATTER = frozenset("blockquote code figure math pre table".split())
@@ -48,22 +53,41 @@ PROSE = MATTER | frozenset("address caption col colgroup dd dt figcaption h1 h2
 
 
 class Element:
-    __slots__ = ("tag", "beside", "article", "parts")
+    __slots__ = ("tag", "beside", "article", "named", "parts")
 
-    def __init__(self, tag: str, beside: bool, article: bool):
+    def __init__(self, tag: str, beside: bool, article: bool, named: str = ""):
         self.tag, self.beside, self.article = tag, beside, article
+        self.named = named  # "box" or "comments" if only its name (or being a form) puts it beside the article
         self.parts: list[Element | str] = []  # children and text, in order
 
 
-def boxed(tag: str, raw: str) -> tuple[bool, bool]:
-    """Whether an element's name and attributes put it beside the article; whether it is an article."""
-    beside, article = tag in DROPPED, tag in ARTICLE
-    if raw.strip():
-        found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)}
-        named = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-        article = article or found.get("role", "").lower() == "main"
-        beside = beside or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or tag not in ("body", "html") and bool(BESIDE.search(named))
-    return beside, article
+def name_of_box(names: str) -> str:
+    """What the names in class, id and role say: "comments", "box", or nothing."""
+    found = ""
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        if any(w in BESIDE for w in words) and all(w in BESIDE or w in PLAIN or w.isdigit() for w in words):
+            if not COMMENTS.isdisjoint(words):
+                return "comments"
+            found = "box"
+    return found
+
+
+def boxed(tag: str, raw: str) -> tuple[bool, bool, str]:
+    """Whether an element is put beside the article, by its tag, its names or its being hidden; whether it is an article;
+    and, if its name alone decides, how it is named. Articles, inline elements, headings, paragraphs and the like are
+    never boxes by their names."""
+    beside, article, named = tag in DROPPED, tag in ARTICLE, ""
+    found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)} if raw.strip() else {}
+    article = article or found.get("role", "").lower() == "main"
+    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    if tag == "form":
+        named = "box"
+    elif found and not (beside or article or tag in INLINE or tag in PROSE or tag in ("body", "html")):
+        named = name_of_box(" ".join(found.get(k, "") for k in ("class", "id", "role")))
+    if hidden:
+        return True, article, ""
+    return (beside or named != "") and not article, article, "" if article else named
 
 
 def parse(page: str) -> Element:
@@ -109,9 +133,45 @@ def parse(page: str) -> Element:
                 stack.append(e)
     if at < len(page):
         stack[-1].parts.append(html.unescape(page[at:]))
+    settle(root)
     return root
 
 
+def settle(root: Element) -> None:
+    """Take back what names alone have decided, where it would lose the article: a form or box round the only articles,
+    and one that holds most of its article's text (of the page's, if there is no article). Comments may be longer than
+    what they are about, and stay aside."""
+    order = [e for e, _ in walk(root)]
+    size: dict[int, int] = {}
+    for e in reversed(order):
+        hard = e.beside and not e.named
+        size[id(e)] = 0 if hard else sum(len("".join(c.split())) if isinstance(c, str) else size[id(c)] for c in e.parts)
+    if not has_article(root):
+        best: tuple[int, list[Element]] = (-1, [])
+        todo: list[tuple[Element, list[Element]]] = [(root, [])]
+        while todo:
+            e, above = todo.pop()
+            if e.beside and not e.named or e.named == "comments":
+                continue
+            above = [*above, e] if e.beside else above
+            if e.article:
+                best = max(best, (size[id(e)], above), key=lambda x: x[0])
+            else:
+                todo.extend((c, above) for c in e.parts if not isinstance(c, str))
+        for e in best[1]:
+            e.beside = False
+    wanted = has_article(root)
+    walked: list[tuple[Element, int]] = [(root, 0 if wanted else size[id(root)])]
+    while walked:
+        e, whole = walked.pop()
+        if e.article:
+            whole = whole or size[id(e)]
+        if e.beside and e.named == "box" and whole and 2 * size[id(e)] > whole:
+            e.beside = False
+        if not e.beside:
+            walked.extend((c, whole) for c in e.parts if not isinstance(c, str))
+
+
 def walk(root: Element) -> Iterator[tuple[Element, bool]]:
     """Every element once, with whether it lies in an article; without recursion, as pages may nest deeply."""
     todo = [(root, False)]

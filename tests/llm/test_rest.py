@@ -178,7 +178,7 @@ class Plain(HTMLParser):
             self.open.pop()
         if tag not in html_text.VOID:
             named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-            self.open.append((tag, tag in self.ASIDE or tag not in ("html", "body") and bool(html_text.BESIDE.search(named))))
+            self.open.append((tag, tag in self.ASIDE or tag in ("div", "section", "ul") and html_text.name_of_box(named) != ""))
         if tag not in html_text.INLINE:
             self.out.append(" ")
 
