@@ -8,6 +8,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 from functools import lru_cache
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,6 +165,26 @@ def han_ngrams_of(text: str, low: int, high: int) -> list[str]:
     return [run[i : i + n] for run in han_runs_of(text) for n in range(low, high + 1) for i in range(len(run) - n + 1)]
 
 
+_RUN = regex.compile(r"[\p{L}\p{Nd}/_.\-]+")
+_STATUS = regex.compile(r"[1-5]\p{Nd}\p{Nd}")
+
+
+def profile_tokens_of(low: str) -> list[str]:
+    """``profile_tokens`` of a text that is in small letters."""
+    return [t for t in (r.strip(".") for r in _RUN.findall(low)) if len(t) >= 2 or t == "/" or t > "\x7f"]
+
+
+def api_refs_of(tokens: list[str]) -> list[str]:
+    """``api_refs`` of a list of tokens."""
+    out: dict[str, None] = {}
+    for i, t in enumerate(tokens):
+        if i + 1 < len(tokens) and tokens[i + 1].startswith("/") and t.upper() in HTTP_METHODS:
+            out[f"{t.upper()} {tokens[i + 1]}"] = None
+        elif t.startswith("/") or len(t) == 3 and _STATUS.fullmatch(t) or "error_code" in t:
+            out[t] = None
+    return list(out)
+
+
 def cut_bytes(text: str, most: int) -> str:
     """At most so many bytes of UTF-8, never within a character."""
     return text.encode()[: max(0, most)].decode(errors="ignore")

@@ -2,52 +2,75 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeleaf.functions import text as X
+from lakeleaf.plans.session import written
 
 TERMS, TAGS, PHRASES, REFS, SPREAD = 40, 12, 20, 40, 8
 
 
-def section_text(sep: str = "\n") -> Column:
-    """Title, heading path and content; sep stands between them."""
-    part = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return F.concat(part("title"), F.lit(sep), part("heading_path"), F.lit(sep), part("content"))
-
-
-def heading() -> Column:
-    return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("heading_path", F.lit("")))
-
-
-def tokenised(sections: DataFrame) -> DataFrame:
-    """Adds tokens and han, the profile terms of the section's text."""
-    return sections.withColumn("tokens", X.profile_tokens(section_text())).withColumn("han", X.han_ngrams(F.lower(section_text()), 1, 4))
+_TERM = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int32()), ("m", pa.int32())]))
+VECTOR = pa.schema([
+    ("document_id", pa.string()), ("section_id", pa.string()), ("ordinal", pa.int32()), ("title", pa.string()), ("terms", _TERM), ("heads", _TERM), ("refs", pa.list_(pa.string())),
+    ("token_count", pa.int32()), ("term_count", pa.int32()),
+])
+_COUNTS = "array<struct<term:string,n:int,m:int>>"
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            out = []
+            for r in batch.slice(at, 256).to_pylist():
+                low = f"{r['title'] or ''}\n{r['heading_path'] or ''}\n{r['content'] or ''}".lower()
+                tokens, han = X.profile_tokens_of(low), X.han_ngrams_of(low, 1, 4)
+                refs = X.api_refs_of(tokens)
+                longer = Counter(tokens)
+                longer.update(t for t in han if len(t) > 1)
+                every = Counter(tokens)
+                every.update(han)
+                every.update(t.lower() for t in refs)
+                head = f"{r['title'] or ''} {r['heading_path'] or ''}".lower()
+                heads = Counter(X.profile_tokens_of(head) + X.han_ngrams_of(head, 1, 4))
+                terms = [{"term": t, "n": n, "m": longer[t]} for t, n in every.items()]
+                out.append((r["document_id"], r["id"], r["ordinal"], r["title"], terms, [{"term": t, "n": n, "m": 0} for t, n in heads.items()], refs, len(tokens) + len(han), longer.total()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), VECTOR, strict=True)], schema=VECTOR)
+
+
+def vectors(sections: DataFrame) -> DataFrame:
+    """document_id, section_id, ordinal, title; terms: the distinct terms of a section's text (words, runs of Han signs,
+    references) with n, how often they occur, and m, the same without references and single Han signs; heads: those of
+    its headings; refs: its API references; token_count: words and runs; term_count: the sum of m.
+
+    One pass over the texts; all statistics of documents are sums of these rows.
+    """
+    rows = sections.select("document_id", "id", "ordinal", "title", "heading_path", "content")
+    return rows.mapInArrow(_vectors, f"document_id string, section_id string, ordinal int, title string, terms {_COUNTS}, heads {_COUNTS}, refs array<string>, token_count int, term_count int")
 
 
-def term_stats(documents: DataFrame, sections: DataFrame) -> DataFrame:
+def term_stats(documents: DataFrame, vectors: DataFrame) -> DataFrame:
     """document_id, term, tf, sections, heading_hits, title_hits, score (not rounded).
 
-    Four kinds of rows (section terms, heading terms, references, title terms) are summed in one aggregation, which
-    combines before the shuffle by (document, term).
+    A row for each distinct term of a section, of its headings and of the document's title; one aggregation, which
+    combines before the shuffle by (document, term). vectors: of ``vectors``.
     """
-    zero = F.lit(0)
+    sums = ("tf", "sections", "heading_hits", "title_hits")
 
-    def rows(frame: DataFrame, terms: Column, tf: Column, section: Column, head: Column, title: Column) -> DataFrame:
-        return frame.select("document_id", F.explode(terms).alias("term"), tf.alias("tf"), section.alias("section_id"), head.alias("heading_hits"), title.alias("title_hits"))
+    def rows(frame: DataFrame, terms: str | Column, **counts: Column) -> DataFrame:
+        each = frame.select("document_id", F.explode(terms).alias("t"))
+        return each.select("document_id", F.col("t.term").alias("term"), *[counts.get(c, F.lit(0)).alias(c) for c in sums])
 
-    own, none = F.col("id"), F.lit(None).cast("string")
-    body = rows(tokenised(sections), F.concat("tokens", "han", F.transform(X.api_refs(F.col("tokens")), F.lower)), F.lit(1), own, zero, zero)
-    heads = rows(sections, X.profile_terms(heading()), zero, none, F.lit(1), zero)
-    titles = documents.select(F.col("id").alias("document_id"), "title")
     title_terms = F.filter(F.array_distinct(X.profile_terms(F.coalesce("title", F.lit("")))), lambda t: ~X.skipped(t))
-    titled = rows(titles, title_terms, zero, none, zero, F.lit(1))
-    # One row per (document, term, section) first: the count of sections then needs no distinct aggregation.
-    by_section = body.unionByName(heads).unionByName(titled).groupBy("document_id", "term", "section_id").agg(F.sum("tf").alias("tf"), F.sum("heading_hits").alias("heading_hits"), F.sum("title_hits").alias("title_hits"))
-    stats = by_section.groupBy("document_id", "term").agg(
-        F.sum("tf").alias("tf"), F.count("section_id").alias("sections"), F.sum("heading_hits").alias("heading_hits"), F.sum("title_hits").alias("title_hits")
-    )
+    titles = documents.select(F.col("id").alias("document_id"), F.transform(title_terms, lambda t: F.struct(t.alias("term"))).alias("terms"))
+    each = [rows(vectors, "terms", tf=F.col("t.n"), sections=F.lit(1)), rows(vectors, "heads", heading_hits=F.col("t.n")), rows(titles, "terms", title_hits=F.lit(1))]
+    stats = each[0].unionByName(each[1]).unionByName(each[2]).groupBy("document_id", "term").agg(*[F.sum(c).alias(c) for c in sums])
     score = F.col("tf") + F.col("sections") * 0.8 + F.col("heading_hits") * 2.2 + F.col("title_hits") * 3.5
     return stats.withColumn("score", F.when(F.col("term").rlike(X.IMPORTANT), score + 1.5).otherwise(score))
 
@@ -76,27 +99,26 @@ def keyphrases(terms: Column) -> Column:
     return F.slice(F.filter(terms, lambda t: F.length(t) >= 2), 1, PHRASES)
 
 
-def api_reference_lists(sections: DataFrame) -> DataFrame:
+def api_reference_lists(vectors: DataFrame) -> DataFrame:
     """document_id, api_refs: distinct, sorted, the first REFS."""
-    refs = tokenised(sections).select("document_id", F.explode(X.api_refs(F.col("tokens"))).alias("ref"))
+    refs = vectors.select("document_id", F.explode("refs").alias("ref"))
     return refs.groupBy("document_id").agg(F.slice(F.array_sort(F.collect_set("ref")), 1, REFS).alias("api_refs"))
 
 
-def section_distribution(sections: DataFrame, stats: DataFrame) -> DataFrame:
+def section_distribution(vectors: DataFrame, stats: DataFrame) -> DataFrame:
     """document_id, section_id, ordinal, title, terms (the best SPREAD), term_count: by the count in the section plus a
-    tenth of the document's score."""
-    rows = sections.select("document_id", F.col("id").alias("section_id"), "ordinal", "title", X.profile_terms(section_text(" "), 2).alias("terms"))
-    counts = rows.select("document_id", "section_id", F.explode("terms").alias("term")).filter(~X.skipped(F.col("term"))).groupBy("document_id", "section_id", "term").agg(F.count("*").alias("n"))
+    tenth of the document's score. Single Han signs aside."""
+    counts = vectors.select("document_id", "section_id", F.explode("terms").alias("t")).select("document_id", "section_id", "t.term", F.col("t.m").alias("n")).filter((F.col("n") > 0) & ~X.skipped(F.col("term")))
     scored = counts.join(stats.select("document_id", "term", "score"), ["document_id", "term"], "left").withColumn("score", F.col("n") + F.coalesce(F.col("score") / 10, F.lit(0.0)))
     scored = scored.withColumn("place", F.row_number().over(W.partitionBy("document_id", "section_id").orderBy(F.desc("score"), F.asc("term")))).filter(F.col("place") <= SPREAD)
     best = scored.groupBy("section_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda e: e["term"]).alias("best"))
     none = F.array().cast("array<string>")
-    return rows.join(best, "section_id", "left").select("document_id", "section_id", "ordinal", "title", F.coalesce("best", none).alias("terms"), F.size("terms").alias("term_count"))
+    return vectors.join(best, "section_id", "left").select("document_id", "section_id", "ordinal", "title", F.coalesce("best", none).alias("terms"), "term_count")
 
 
-def profile_stats(documents: DataFrame, sections: DataFrame, stats: DataFrame) -> DataFrame:
+def profile_stats(documents: DataFrame, vectors: DataFrame, stats: DataFrame) -> DataFrame:
     """document_id, token_count, section_count, unique_term_count (skipped terms count)."""
-    counted = sections.groupBy("document_id").agg(F.sum(F.size(X.profile_terms(section_text()))).alias("token_count"), F.count("*").alias("section_count"))
+    counted = vectors.groupBy("document_id").agg(F.sum("token_count").alias("token_count"), F.count("*").alias("section_count"))
     unique = stats.groupBy("document_id").agg(F.count("*").alias("unique_term_count"))
     rows = documents.select(F.col("id").alias("document_id")).join(counted, "document_id", "left").join(unique, "document_id", "left")
     return rows.na.fill(0, ["token_count", "section_count", "unique_term_count"])
@@ -104,14 +126,15 @@ def profile_stats(documents: DataFrame, sections: DataFrame, stats: DataFrame) -
 
 def build_profiles(documents: DataFrame, sections: DataFrame) -> DataFrame:
     """document_id and the nested profile columns in the order of their JSON text."""
-    stats = term_stats(documents, sections)
+    found = written(vectors(sections), "section-vectors")  # read four times
+    stats = term_stats(documents, found)
     fields = ("term", "tf", "sections", "heading_hits", "title_hits", "score")
     best = top_terms(stats).groupBy("document_id").agg(_ordered(*fields).alias("top_terms"))
-    spread = section_distribution(sections, stats)
+    spread = section_distribution(found, stats)
     entry = F.struct("ordinal", "section_id", F.struct("section_id", F.coalesce("title", F.lit("")).alias("title"), "terms", "term_count").alias("v"))
     spread = spread.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"]).alias("section_distribution"))
     rows = documents.select(F.col("id").alias("document_id"), "title", "external_id", "url")
-    for part in (best, api_reference_lists(sections), spread, profile_stats(documents, sections, stats)):
+    for part in (best, api_reference_lists(found), spread, profile_stats(documents, found, stats)):
         rows = rows.join(part, "document_id", "left")
     none = F.array().cast("array<string>")
     terms = F.transform("top_terms", lambda t: t["term"])

@@ -16,7 +16,7 @@ from lakeleaf.operators import context, feedback, graph, profiles, search
 from lakeleaf.operators.segments import Segments
 from lakeleaf.plans import adapters as A
 from lakeleaf.plans import sync
-from lakeleaf.plans.session import shared_dir
+from lakeleaf.plans.session import shared_dir, written
 from lakeleaf.plans.store import Store
 from lakeleaf.sources import folders, htmlpage, web
 from lakeleaf.streaming import incremental
@@ -348,7 +348,7 @@ STATS_SQL = f"""
 
 @query(f"with {STATS_SQL} select document_id, term, tf::bigint as tf, sections::bigint as sections, heading_hits::bigint as heading_hits, title_hits::bigint as title_hits, score::double as score, place::int as place from top")
 def profile_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = profiles.top_terms(profiles.term_stats(A.documents(spark, sf_dir), A.document_sections(spark, sf_dir)))
+    rows = profiles.top_terms(profiles.term_stats(A.documents(spark, sf_dir), profiles.vectors(A.document_sections(spark, sf_dir))))
     return rows.select("document_id", "term", "tf", "sections", "heading_hits", "title_hits", "score", "place")
 
 
@@ -357,7 +357,7 @@ def profile_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     select document_id, array_to_string(list_filter(t, lambda x: length(x) <= 12 and not contains(x, '/'))[1:12], ' ') as tags, array_to_string(list_filter(t, lambda x: length(x) >= 2)[1:20], ' ') as keyphrases from l"""
 )
 def profile_tags_keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = profiles.top_terms(profiles.term_stats(A.documents(spark, sf_dir), A.document_sections(spark, sf_dir)))
+    top = profiles.top_terms(profiles.term_stats(A.documents(spark, sf_dir), profiles.vectors(A.document_sections(spark, sf_dir))))
     rows = top.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda e: e["term"]).alias("t"))
     return rows.select("document_id", F.array_join(profiles.tags(F.col("t")), " ").alias("tags"), F.array_join(profiles.keyphrases(F.col("t")), " ").alias("keyphrases"))
 
@@ -365,7 +365,8 @@ def profile_tags_keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {STATS_SQL} select document_id, any_value(len(k)) as token_count, 1::bigint as section_count, count(*) as unique_term_count from d0 join stats using (document_id) group by document_id")
 def profile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, secs = A.documents(spark, sf_dir), A.document_sections(spark, sf_dir)
-    return profiles.profile_stats(docs, secs, profiles.term_stats(docs, secs))
+    found = written(profiles.vectors(secs), "section-vectors")
+    return profiles.profile_stats(docs, found, profiles.term_stats(docs, found))
 
 
 @query(
@@ -376,7 +377,7 @@ def profile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def section_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     secs = A.talk_sections(spark, sf_dir)
-    return secs.select(F.col("id").alias("section_id"), F.size(X.profile_terms(profiles.section_text(" "), 2)).alias("term_count"))
+    return profiles.vectors(secs).select("section_id", "term_count")
 
 
 SPREAD_SQL = f"""
@@ -397,7 +398,8 @@ SPREAD_SQL = f"""
 @query(SPREAD_SQL)
 def section_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, secs = A.talks(spark, sf_dir), A.talk_sections(spark, sf_dir)
-    rows = profiles.section_distribution(secs, profiles.term_stats(docs, secs))
+    found = written(profiles.vectors(secs), "section-vectors")
+    rows = profiles.section_distribution(found, profiles.term_stats(docs, found))
     return rows.filter(F.size("terms") > 0).select("section_id", F.array_join("terms", " ").alias("terms"))
 
 
