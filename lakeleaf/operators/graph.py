@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeleaf.functions import text as X
+from lakeleaf.plans.session import written
 from lakeleaf.functions.ids import canonical, stable_id
 from lakeleaf.operators.feedback import without_wrong
 
@@ -161,14 +162,35 @@ def link_targets(documents: DataFrame, sections: DataFrame) -> DataFrame:
     return own.unionByName(whole).groupBy(F.concat("path", F.lit("#"), "anchor").alias("key")).agg(F.max_by("section_id", F.struct("rank", "ordinal", "section_id")).alias("section_id"))
 
 
+#: Keys that a sketch of the links follows, and how many it tells of. A key is heavy with one in HEAVY of all links.
+SKETCHED, TOLD, HEAVY = 4096, 256, 400
+
+
+def heavy_keys(rows: DataFrame, key: str = "key") -> list[str]:
+    """The keys with at least one in HEAVY of the rows (and maybe a few more), by a sketch of frequent items, which is
+    summed up in each task first. There are at most TOLD of them; no other key has more than that share."""
+    found = rows.agg(F.expr(f"approx_top_k({key}, {TOLD}, {SKETCHED})").alias("top"), F.count(key).alias("n")).first()
+    return sorted(t["item"] for t in found["top"] if t["item"] is not None and t["count"] * HEAVY >= found["n"])
+
+
+def join_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """``rows`` (with key, which may be null) with target_id where a target has the key. Every page of a site links to its
+    start page: rows of heavy keys stay where they are and meet these keys' few targets by broadcast, as do those
+    without a key; the others are shuffled by key, of which none has many rows."""
+    named, heavy = targets.withColumnRenamed("section_id", "target_id"), heavy_keys(rows)
+    stays = F.col("key").isNull() | (X.one_of("key", heavy) if heavy else F.lit(False))
+    hot = rows.filter(stays).join(F.broadcast(named.filter(X.one_of("key", heavy))), "key", "left")  # TOLD rows at most
+    return hot.unionByName(rows.filter(~stays).join(named, "key", "left"))
+
+
 def resolve_links(links: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """links: document_id, section_id, href, text, candidates (keys in order of preference).
+    """links: document_id, section_id, href, text, candidates (keys in order of preference). targets: one for each key.
 
     Edges links_to (own section aside), and broken links (document_id, section_id, href, target), each once, sorted.
     """
-    rows = links.withColumn("link", F.monotonically_increasing_id()).select("*", F.posexplode_outer("candidates").alias("pos", "key"))
-    met = rows.join(targets.withColumnRenamed("section_id", "target_id"), "key", "left")
-    best = met.groupBy("document_id", "section_id", "href", F.element_at("candidates", 1).alias("target")).agg(F.min_by("target_id", F.when(F.col("target_id").isNotNull(), F.col("pos"))).alias("target_id"))
+    rows = written(links.select("document_id", "section_id", "href", "candidates"), "links")  # read by the sketch and twice by the join
+    met = join_targets(rows.select("*", F.posexplode_outer("candidates").alias("pos", "key")), targets)
+    best = met.groupBy("document_id", "section_id", "href", F.get("candidates", F.lit(0)).alias("target")).agg(F.min_by("target_id", F.when(F.col("target_id").isNotNull(), F.col("pos"))).alias("target_id"))
     found = best.filter(F.col("target_id").isNotNull() & (F.col("target_id") != F.col("section_id")))
     edges = one_per_id(edge_rows(found, section_node_id("section_id"), section_node_id("target_id"), "links_to", "html_link", F.col("section_id")))
     broken = best.filter(F.col("target_id").isNull()).select("document_id", "section_id", "href", "target").distinct().orderBy("document_id", "section_id", "href", "target")

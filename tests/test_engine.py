@@ -132,6 +132,24 @@ def test_impact(spark):
                 run(*t, *bad)
 
 
+def test_hot_link_targets_are_split(spark):
+    """Half of all links go to one section, a tenth to none that could be named; no task of the join gets many of them."""
+    keys = ["index#" if i % 2 else None if i % 10 == 0 else f"p{i % 4001}#" for i in range(20000)]
+    links = spark.createDataFrame([(f"d{i}", f"s{i}", f"h{i}", "t", [k] if k else []) for i, k in enumerate(keys)], "document_id string, section_id string, href string, text string, candidates array<string>").repartition(8)
+    targets = spark.createDataFrame([("index#", "start"), *((f"p{i}#", f"t{i}") for i in range(0, 4001, 2))], "key string, section_id string")
+    rows = links.select("section_id", F.explode_outer("candidates").alias("key"))
+    assert graph.heavy_keys(rows) == ["index#"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = [n for (n,) in graph.join_targets(rows, targets).groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 20000 and max(tasks) <= 2 * sorted(tasks)[len(tasks) // 2]
+    edges, broken = graph.resolve_links(links, targets)
+    known = {k: t for k, t in targets.collect()}
+    assert edges.count() == sum(k in known for k in keys) and broken.count() == sum(k not in known for k in keys)
+
+
 def test_written_adjacency_changes_nothing(spark, tmp_path):
     nodes, edges, none = graph_tables(spark, [("loop", "api", "api", "contains")])
     wrong = spark.createDataFrame([("f", 1, "edge", "e3", "relationship_wrong", "{}", "", None)], SCHEMAS["feedback"])
