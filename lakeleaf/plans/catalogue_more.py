@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +14,10 @@ from lakeleaf.functions import text as X
 from lakeleaf.operators import context, graph, profiles, search
 from lakeleaf.plans import adapters as A
 from lakeleaf.plans import sync
-from lakeleaf.plans.catalogue import PHRASE, REFS_SQL, SAID_SQL, TOKENS, _index, bm25_sql, query, stable_sql
+from lakeleaf.plans.catalogue import PHRASE, REFS_SQL, SAID_SQL, TOKENS, _index, bm25_sql, query, stable_sql, tokens_sql
 from lakeleaf.plans.session import shared_dir
 from lakeleaf.plans.store import Store
+from lakeleaf.streaming.flags import EVENTS, follow_flags, live_flags
 from lakeleaf.sources import folders, globs, markdown, openapi, paths, web
 
 
@@ -287,19 +289,63 @@ def profile_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("document_id"), F.array_join(X.non_empty(padded, F.col("external_id"), F.col("url"), F.col("title")), "|").alias("names"))
 
 
-PLANS_SQL = """
-    select query, no::int as no, kind, match_query, array_to_string(terms, '|') as terms from (values
-        ('membership', 0, 'phrase', '"membership"', []::varchar[]), ('membership', 1, 'profile', '', ['membership']),
-        ('two words.', 0, 'phrase', '"two words."', []), ('two words.', 1, 'token', '"two" OR "words"', []), ('two words.', 2, 'profile', '', ['two words.', 'two', 'words']),
-        ('错误 a"b', 0, 'phrase', '"错误 a""b"', []), ('错误 a"b', 1, 'token', '"错误" OR "a""b"', []), ('错误 a"b', 2, 'ngram', '', ['错误 a"b', '错误'])) t(query, no, kind, match_query, terms)
+PLANS_SQL = f"""
+    with f as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\x0b\\f]+')[1:3] as f from documents),
+    q as (select doc_id, f, array_to_string(f, ' ') as q, list_filter(list_transform(f, lambda x: trim(x, '{X.EDGES.replace("'", "''")}')), lambda x: x <> '') as w from f where len(f) > 0),
+    l as (select *, [lower(q)] || list_transform(w, lambda x: lower(x)) as low from q),
+    t as (select *, list_filter(low, lambda x, i: list_position(low, x) = i and (length(x) >= 2 or regexp_matches(x, '[/_-]'))) as terms from l),
+    p as (select doc_id, q, 0 as nth, 'phrase' as kind, '"' || replace(q, '"', '""') || '"' as match_query, '' as terms from t
+          union all select doc_id, q, 1, 'token', array_to_string(list_transform(w, lambda x: '"' || replace(x, '"', '""') || '"'), ' OR '), '' from t where len(f) >= 2 and len(w) > 0
+          union all select doc_id, q, 2, 'profile', '', array_to_string(terms, '|') from t where len(terms) > 0)
+    select doc_id, (row_number() over (partition by doc_id order by nth) - 1)::int as no, kind, match_query, terms from p
 """
 
 
 @query(PLANS_SQL)
 def search_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The attempts that a search makes for some queries, three at most."""
-    rows = [(q, no, kind, match, "|".join(terms)) for q in ("membership", "two words.", '错误 a"b') for no, (kind, match, terms) in enumerate(search.plan_attempts(search.Options(q).clamped()))]
-    return spark.createDataFrame(rows, "query string, no int, kind string, match_query string, terms string")
+    """The attempts that a search makes for the first words of each document, three at most."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(i, no, kind, match, "|".join(terms)) for i, q in zip(batch["doc_id"], batch["query"]) for no, (kind, match, terms) in enumerate(search.plan_attempts(search.Options(q).clamped()))]
+            yield pd.DataFrame(rows, columns=["doc_id", "no", "kind", "match_query", "terms"]).astype({"doc_id": "int64", "no": "int32"})
+
+    words = F.slice(F.regexp_extract_all(_text("text"), F.lit(r"[^ \t\n\r\x0b\f]+"), F.lit(0)), 1, 3)
+    queries = A.read(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("query")).filter("query <> ''")
+    return queries.mapInPandas(run, "doc_id long, no int, kind string, match_query string, terms string")
+
+
+#: What case folding and dropping marks must undo: a mark on a letter, a capital with a dot, a long s, a Kelvin sign.
+MARKED = (("a", "a\u0301"), ("e", "E\u0323\u0306"), ("i", "\u0130"), ("s", "\u017f"), ("k", "\u212a"), ("o", "\u00d3"))
+
+
+@query(f"select doc_id, len(k)::bigint as tokens, md5(array_to_string(k, ' ')) as digest from (select doc_id, {tokens_sql('text')} as k from documents)")
+def marked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written with combining marks and other forms of letters have the tokens of the plain ones."""
+    text = F.lower(_text("text"))
+    for plain, odd in MARKED:
+        text = F.replace(text, F.lit(plain), F.lit(odd))
+    k = A.read(spark, sf_dir, "documents").select("doc_id", X.index_tokens(text).alias("k"))
+    return k.select("doc_id", F.size("k").cast("long").alias("tokens"), F.md5(F.array_join("k", " ").cast("binary")).alias("digest"))
+
+
+@query(
+    """
+    with l as (select doc_id, bool_or(coalesce(quality = 1, false)) as q, bool_or(coalesce(toxic = 1, false)) as t from labels where doc_id is not null group by doc_id)
+    select doc_id::varchar as target_id, q and doc_id % 3 <> 0 as canonical, t and doc_id % 3 <> 0 as stale from l where q or t
+    """
+)
+def feedback_flags_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as events of a stream; those of every third document are deleted again, and their flags go."""
+    folder = f"{shared_dir(spark)}/flags-{uuid.uuid4().hex}"
+    said = A.read(spark, sf_dir, "labels").filter("doc_id is not null")
+    kinds = F.filter(F.array(F.when(F.col("quality") == 1, "document_canonical"), F.when(F.col("toxic") == 1, "document_stale")), lambda k: k.isNotNull())
+    said = said.select("doc_id", F.explode(kinds).alias("feedback_kind"))
+    events = said.select(F.concat_ws("-", "doc_id", "feedback_kind").alias("id"), F.lit("document").alias("target_kind"), F.col("doc_id").cast("string").alias("target_id"), "feedback_kind", F.lit(1).alias("seq"), F.lit(False).alias("deleted"))
+    events.write.parquet(f"{folder}/in")
+    events.filter(F.col("target_id").cast("long") % 3 == 0).withColumns({"seq": F.lit(2), "deleted": F.lit(True)}).write.mode("append").parquet(f"{folder}/in")
+    follow_flags(spark.readStream.schema(EVENTS).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return live_flags(spark.read.parquet(f"{folder}/out")).select("target_id", "canonical", "stale")
 
 
 @query(
@@ -346,16 +392,22 @@ def store_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.sources().select("id", "name").join(counts, "id")
 
 
-@query("select * from (values ('failed', 'the process ended while this job was running', 1), ('completed', '', 2), ('failed', 'no such folder', 3)) t(status, last_error, seq)")
+@query(
+    """
+    with n as (select count(distinct conv_id) as n from conversations where conv_id % 5 = 1)
+    select status, last_error, seq, case when status = 'completed' then n end as documents from n, (values ('failed', 'the process ended while this job was running', 1), ('completed', '', 2), ('failed', 'no such folder', 3)) t(status, last_error, seq)
+    """
+)
 def store_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An interrupted job, a completed one, a failed one; a fourth is deleted."""
+    """An interrupted job, a completed one that tells of its source's documents, a failed one; a fourth is deleted."""
     store = _store(spark, sf_dir)
     store.start_job("talks1")
     store.fail_interrupted()
-    store.end_job(store.start_job("talks1")["id"], {"documents": 3})
+    store.end_job(store.start_job("talks1")["id"], {"documents": store.table("documents").filter("source_id = 'talks1'").count()})
     store.end_job(store.start_job("talks1")["id"], error="no such folder")
     store.delete_job("talks1", store.start_job("talks1")["id"])
-    return store.jobs("talks1").select("status", "last_error", F.col("seq").cast("int").alias("seq"))
+    told = F.get_json_object("payload_json", "$.documents").cast("long")
+    return store.jobs("talks1").select("status", "last_error", F.col("seq").cast("int").alias("seq"), told.alias("documents"))
 
 
 @query("select conv_id::varchar as document_id, case when conv_id % 7 = 0 then 'about ' || conv_id else '' end as \"desc\" from (select distinct conv_id from conversations) where conv_id % 5 = 2 and conv_id < 60")
