@@ -332,8 +332,19 @@ def artifact_counts(documents: DataFrame, sections: DataFrame, nodes: DataFrame
     return out
 
 
-def documents_page(documents: DataFrame, sections: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Documents with their numbers of sections, by title then id, one page."""
-    counts = sections.groupBy("document_id").agg(F.count("id").alias("sections"))
-    rows = documents.join(counts, documents["id"] == counts["document_id"], "left").select(documents["id"], "title", F.coalesce("sections", F.lit(0)).alias("sections"))
-    return rows.orderBy("title", "id").offset(max(offset, 0)).limit(limit if 0 < limit <= 200 else 50)
+def beyond(rows: DataFrame, by: tuple[str, ...], after: tuple | None) -> DataFrame:
+    """The rows after a place in the order of some columns; all without one."""
+    if after is None:
+        return rows
+    return rows.filter(F.struct(*[F.col(c) for c in by]) > F.struct(*[F.lit(v).alias(c) for c, v in zip(by, after, strict=True)])).filter(F.col(by[0]) >= after[0])
+
+
+def documents_page(documents: DataFrame, sections: DataFrame, limit: int = 50, offset: int = 0, after: tuple[str, str] | None = None) -> DataFrame:
+    """Documents with their numbers of sections, by title then id, one page: from an offset, or after the (title, id) of the
+    last one, which costs the same however far it is. Sections are counted for the page's documents only."""
+    rows = beyond(documents.select("id", "title"), ("title", "id"), after).orderBy("title", "id")
+    page = rows.offset(max(offset, 0)).limit(limit if 0 < limit <= 200 else 50)
+    own = F.broadcast(page.select(F.col("id").alias("document_id")))  # 200 rows at most
+    counts = sections.join(own, "document_id", "left_semi").groupBy("document_id").agg(F.count("id").alias("sections"))
+    out = page.join(counts, page["id"] == counts["document_id"], "left").select(page["id"], "title", F.coalesce("sections", F.lit(0)).alias("sections"))
+    return out.orderBy("title", "id")

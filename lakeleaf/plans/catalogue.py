@@ -95,6 +95,12 @@ def source_documents_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.documents_page(A.talks(spark, sf_dir), A.talk_sections(spark, sf_dir), 50, 20)
 
 
+@query("select conv_id::varchar as id, 'talk' || conv_id as title, count(*) as sections from conversations group by conv_id having ('talk' || conv_id, conv_id::varchar) > ('talk25', '25') order by title, id limit 60")
+def source_documents_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after a document that was the last one shown."""
+    return graph.documents_page(A.talks(spark, sf_dir), A.talk_sections(spark, sf_dir), 60, after=("talk25", "25"))
+
+
 @query("select conv_id || '-' || turn as section_id, 'talk' || conv_id as document_title, substr(replace(replace(text, chr(10), ' '), chr(13), ' '), 1, 220) as snippet from conversations")
 def section_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = A.talks(spark, sf_dir).select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))

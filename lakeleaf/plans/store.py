@@ -44,6 +44,8 @@ SCHEMAS = {
 }
 #: Tables whose rows have another key than id.
 KEYS = {"profiles": "document_id"}
+#: The order within each file of a table, by which look-ups and pages skip what they don't need.
+ORDERS = {"documents": ("source_id", "title", "id"), "sections": ("id",), "nodes": ("id",), "edges": ("id",), "profiles": ("document_id",)}
 #: Folders of changed rows after which a table's rows are written anew.
 DELTAS = 32
 #: Entries of a version beside the tables: the index's segments (folder:sections), and what they were made from.
@@ -139,7 +141,8 @@ class Store:
     def _write(self, name: str, rows: DataFrame, schema: str) -> str:
         path = f"{name}/{uuid.uuid4().hex}"
         wanted = T.StructType.fromDDL(schema)
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted]).write.parquet(f"{self.root}/{path}")
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+        (rows.sortWithinPartitions(*ORDERS[name]) if name in ORDERS else rows).write.parquet(f"{self.root}/{path}")
         return path
 
     def commit(self, tables: dict[str, DataFrame], seen: Seen, read: set[str] = frozenset()) -> None:
@@ -327,8 +330,9 @@ class Store:
         paths = self.impact(node_id, direction, depth, kinds, limit)
         return {"start_node": self.node(node_id.strip()), "paths": paths}
 
-    def artifacts(self, source_id: str, limit: int = 50, offset: int = 0) -> dict[str, Any]:
-        """Numbers, and a page of each kind of what a source has given."""
+    def artifacts(self, source_id: str, limit: int = 50, offset: int = 0, after: tuple[str, str] | None = None) -> dict[str, Any]:
+        """Numbers, and a page of each kind of what a source has given. after: the title and id of the last document shown,
+        in place of an offset for documents."""
         self._row("sources", source_id)
         limit, offset = (limit if 0 < limit <= 200 else 50), max(offset, 0)
         docs = self.table("documents").filter(F.col("source_id") == source_id)
@@ -343,7 +347,7 @@ class Store:
         counts = graph.status({"documents": docs, "sections": secs, "nodes": nodes, "edges": edges}).collect()
         from lakeleaf.functions.text import snippet_line
 
-        listed = graph.documents_page(docs, secs, limit, offset)
+        listed = graph.documents_page(docs, secs, limit, 0 if after else offset, after)
         return {
             "counts": {r["name"]: r["n"] for r in counts}, "documents": [r.asDict() for r in listed.collect()],
             "sections": page(secs.select("id", "document_id", "document_title", "title", "heading_path", "ordinal", snippet_line(F.col("content")).alias("snippet")), "document_title", "ordinal", "id"),

@@ -90,7 +90,7 @@ class Api:
             ("POST", f"/api/sources/{i}/sync", self.sync),
             ("GET", f"/api/sources/{i}/jobs", lambda q, b, x: {"jobs": plain(s.jobs(x, whole(q, "limit", 20)))}),
             ("DELETE", f"/api/sources/{i}/jobs/{i}", lambda q, b, x, y: s.delete_job(x, y) or {"deleted": y}),
-            ("GET", f"/api/sources/{i}/artifacts", lambda q, b, x: plain(s.artifacts(x, whole(q, "limit", 50), whole(q, "offset", 0, True)))),
+            ("GET", f"/api/sources/{i}/artifacts", lambda q, b, x: plain(s.artifacts(x, whole(q, "limit", 50), whole(q, "offset", 0, True), (q.get("after_title", ""), q["after_id"]) if q.get("after_id") else None))),
             ("GET", f"/api/documents/{i}/profile", lambda q, b, x: plain(s.profile(x))),
             ("PUT", f"/api/documents/{i}/profile", lambda q, b, x: plain(s.put_profile(x, str(b.get("desc") or ""), b.get("retrieval_profile_json")))),
             ("GET", "/api/nodes", lambda q, b: {"nodes": plain(s.search_nodes(q.get("q", q.get("query", "")), whole(q, "limit", 20)))}),

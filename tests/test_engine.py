@@ -281,6 +281,21 @@ def test_all_broken_links_are_kept(spark, tmp_path):
     assert store.table("broken_links").count() == 0
 
 
+def test_pages_by_key(spark):
+    docs = spark.createDataFrame([(f"d{i:02d}", f"T{i % 4}") for i in range(23)], "id string, title string")
+    secs = spark.createDataFrame([(f"s{i}", f"d{i % 7:02d}") for i in range(30)], "id string, document_id string")
+    whole = [tuple(r) for r in graph.documents_page(docs, secs, 200).collect()]
+    assert len(whole) == 23 and sum(n for *_, n in whole) == 30
+    seen, after = [], None
+    while page := [tuple(r) for r in graph.documents_page(docs, secs, 5, after=after).collect()]:
+        assert page == [tuple(r) for r in graph.documents_page(docs, secs, 5, len(seen)).collect()]
+        seen += page
+        after = page[-1][1], page[-1][0]
+    assert seen == whole
+    plan = graph.beyond(docs, ("title", "id"), ("T1", "d01"))._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= T1" in plan
+
+
 def test_writers_don_t_lose_changes(spark, tmp_path, monkeypatch):
     one, two = (Store(spark, str(tmp_path / "store")) for _ in range(2))
     ids = [one.put_source({"kind": "local", "name": n, "dsn": "/d"})["id"] for n in "ab"]
