@@ -212,7 +212,8 @@ def bpe_digests(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: st
 
     ``vocabulary`` is the path of the tokenizer's JSON file on the driver; its text (a fixed size) goes to the
     workers by broadcast. A null text counts as empty and has no tokens. An empty table gives an empty result, other
-    columns are ignored, repeated rows are repeated.
+    columns are ignored, repeated rows are repeated. A very long text is encoded whole; each of its distinct words is
+    worked out once.
     """
     spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
 

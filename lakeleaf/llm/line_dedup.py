@@ -484,7 +484,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
     Lines end at a line feed. A line without words is never removed; a null text counts as empty. doc_id is meant to
     be unique: rows with a null doc_id keep all their lines, and of rows that share one each loses the lines that are
-    removed from any of them. Other columns are ignored; an empty table gives an empty result.
+    removed from any of them. Other columns are ignored; an empty table gives an empty result. Very long texts and lines
+    are read whole; a text's lines are dealt like those of others.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     gone = materialise(removed_lines(rows.filter("doc_id is not null")), "lines-removed").groupBy("doc_id").agg(F.collect_list("line").alias("gone"))

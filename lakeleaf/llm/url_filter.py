@@ -56,7 +56,8 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
     A rule fits its host and all subdomains, if the path starts with the rule's. The longest rule (host and path
     together) wins; of equally long ones the longer host, then ``block``. Without a rule, rule is null and verdict
     ``default``. A null url, or one without ``://``, has an empty host and path. Repeated rows are repeated in the
-    result; rows are otherwise matched by (page_id, url), so nulls are fine. Other columns are ignored.
+    result; rows are otherwise matched by (page_id, url), so nulls are fine. Other columns are ignored, and an empty table
+    gives an empty result. A very long url has no more expressions than a short one, as the rules set their number.
     """
     spark = pages.sparkSession
     rules = list(dict.fromkeys(rules))
