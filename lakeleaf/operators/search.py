@@ -1,5 +1,5 @@
-"""Full-text search over the index of ``segments``: BM25 phrase and token matches, substring matches, and the cascade of
-attempts that merges them.
+"""Full-text search over the index of ``segments``, or by ``scans`` where none is kept: BM25 phrase and token matches,
+substring matches, and the cascade of attempts that merges them.
 
 Engine tables: documents (id, source_id, external_id, title, url, ...), sections (id, document_id, ordinal, title,
 heading_path, content), profiles (document_id, desc, retrieval_profile_json), feedback.
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from lakeleaf.functions import text as X
 from lakeleaf.operators.feedback import targets, with_canonical, without_stale
+from lakeleaf.operators.scans import Scan
 from lakeleaf.operators.segments import Segments
 
 DETAILS = ("none", "compact", "full")
@@ -122,7 +123,7 @@ Place = tuple[str, str, float, int, "str | None"]
 PLACES = "section_id string, document_id string, rank double, pos int, term string"
 
 
-def match_places(index: Segments, feedback: DataFrame, phrases: list[list[str]], limit: int) -> list[Place]:
+def match_places(index: Segments | Scan, feedback: DataFrame, phrases: list[list[str]], limit: int) -> list[Place]:
     """The best sections: those of canonical documents first, then the others by rank; none of stale ones.
 
     Only ids that feedback names are met, so documents and sections aren't read.
@@ -138,7 +139,7 @@ def _tests(terms: list[str], fields: tuple[str, ...]) -> Column:
     return F.filter(F.array(*each), lambda i: i.isNotNull())
 
 
-def substring_places(index: Segments, sections: DataFrame, documents: DataFrame, feedback: DataFrame, profiles: DataFrame, terms: list[str], limit: int, in_profile: bool = False) -> list[Place]:
+def substring_places(index: Segments | Scan, sections: DataFrame, documents: DataFrame, feedback: DataFrame, profiles: DataFrame, terms: list[str], limit: int, in_profile: bool = False) -> list[Place]:
     """The same of sections that contain a term: each term gives at most ``limit``, in the order of the terms, each
     section once. Candidates come from the index's grams; only their texts, or their documents' profiles, are read."""
     titles = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))
@@ -267,7 +268,7 @@ def collect(attempts: list[DataFrame], o: Options) -> DataFrame:
     return rows.withColumn("desc", F.lit("")) if o.profile_detail == "none" else rows
 
 
-def search(options: Options, index: Segments, sections: DataFrame, documents: DataFrame, profiles: DataFrame, feedback: DataFrame) -> Result:
+def search(options: Options, index: Segments | Scan, sections: DataFrame, documents: DataFrame, profiles: DataFrame, feedback: DataFrame) -> Result:
     """The attempts in order, merged. A blank query has no attempts and hits None."""
     o = options.clamped()
     if not o.query:
