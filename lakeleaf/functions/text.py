@@ -17,6 +17,7 @@ EDGES = "\"'.,;:!?()[]{}<>"
 HTTP_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 #: What makes a profile term important (fixed values).
 IMPORTANT = "error|错误|响应|权限|auth|token|401|403|500|api|接口|code|/"
+IMPORTANT_TERM = re.compile(IMPORTANT)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -166,16 +167,21 @@ def han_ngrams_of(text: str, low: int, high: int) -> list[str]:
 
 
 _RUN = regex.compile(r"[\p{L}\p{Nd}/_.\-]+")
+_ASCII_RUN = re.compile(r"[A-Za-z0-9/_.\-]+")
 _STATUS = regex.compile(r"[1-5]\p{Nd}\p{Nd}")
+_STATUSES = re.compile(r"\n([1-5]\d\d)(?=\n)")
 
 
 def profile_tokens_of(low: str) -> list[str]:
     """``profile_tokens`` of a text that is in small letters."""
-    return [t for t in (r.strip(".") for r in _RUN.findall(low)) if len(t) >= 2 or t == "/" or t > "\x7f"]
+    return [t for r in (_ASCII_RUN if low.isascii() else _RUN).findall(low) if len(t := r.strip(".") if "." in r else r) >= 2 or t == "/" or t > "\x7f"]
 
 
 def api_refs_of(tokens: list[str]) -> list[str]:
     """``api_refs`` of a list of tokens."""
+    lines = "\n".join(["", *tokens, ""])
+    if "\n/" not in lines and "error_code" not in lines:  # status codes only
+        return list(dict.fromkeys(_STATUSES.findall(lines)))
     out: dict[str, None] = {}
     for i, t in enumerate(tokens):
         if i + 1 < len(tokens) and tokens[i + 1].startswith("/") and t.upper() in HTTP_METHODS:

@@ -277,7 +277,7 @@ def profile_api_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("see get /docs/"), doc_id, F.lit(" for "), (F.col("doc_id") % 500 + 100).cast("string"))
     name = F.concat(F.lit("doc"), doc_id)
     rows = A.read(spark, sf_dir, "documents").select(doc_id.alias("document_id"), doc_id.alias("id"), name.alias("title"), name.alias("heading_path"), said.alias("content"))
-    refs = profiles.api_reference_lists(profiles.vectors(rows.withColumn("ordinal", F.lit(0))))
+    refs = profiles.statistics(rows.select("id", "title"), rows.withColumn("ordinal", F.lit(0)))
     return refs.select("document_id", F.concat(F.filter("api_refs", lambda r: F.startswith(r, F.lit("GET "))), F.filter("api_refs", lambda r: ~F.startswith(r, F.lit("GET ")))).alias("api_refs"))
 
 
