@@ -6,9 +6,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lakeleaf.llm import line_dedup as packing
 from lakeleaf.llm import minhash
 from lakeleaf.llm.components import components
 from lakeleaf.llm.exact_dedup import DigestIndex, buckets_for, digest_groups, drop_exact_copies, exact_dedup, exact_dedup_in_batches
@@ -330,3 +332,15 @@ def test_lines_beyond_the_nearest_candidates(spark, monkeypatch, keep):
     gone = brute_lines(rows)
     got = {r["doc_id"]: r["n_removed"] for r in line_digests(frame(spark, rows)).collect()}
     assert got == {i: len(gone[i]) for i, _ in rows}
+
+
+@pytest.mark.parametrize("kind", [packing.RECORD, packing.FIRST, packing.PAIR])
+def test_records_are_packed_so_that_they_compress(kind):
+    """Packing loses nothing, and the numbers' empty bytes don't reach the disk of a shuffle."""
+    rng = np.random.default_rng(1)
+    rows = np.zeros(200, dtype=kind)
+    for c in kind.names:
+        rows[c] = rng.integers(0, 1 << 63, 200) if kind[c] == np.uint64 else np.sort(rng.integers(0, 2 if c == "more" else 200, 200))
+    part = packing.by_part(rows, np.zeros(200, np.uint64), 4)["rows"].iat[0]
+    assert (packing.records_of(part, kind) == rows).all() and len(packing.records_of(b"", kind)) == 0
+    assert len(pa.compress(part, "lz4", asbytes=True)) < 0.9 * len(pa.compress(rows.tobytes(), "lz4", asbytes=True))
