@@ -40,35 +40,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _words(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash and the start of each word among the code points ``cp``, in order."""
-    signs = folded()[cp]
-    inside = np.zeros(len(cp) + 2, dtype=bool)
+def _words(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the start of each word among ``signs``, in order."""
+    inside = np.zeros(len(signs) + 2, dtype=bool)
     np.not_equal(signs, 0, out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    up, down = powers(len(cp) + 1)
-    total = np.zeros(len(cp) + 1, dtype=np.uint64)
-    np.cumsum(np.multiply(signs, up[: len(cp)], dtype=np.uint64), out=total[1:])
+    up, down = powers(len(signs) + 1)
+    total = np.zeros(len(signs) + 1, dtype=np.uint64)
+    np.cumsum(np.multiply(signs, up[: len(signs)], dtype=np.uint64), out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts]), starts
 
 
-def _codes(text: str) -> np.ndarray:
+@lru_cache(maxsize=1)
+def _folded_bytes() -> bytes:
+    """``folded`` of the code points under 256, whose lower case is under 256, too."""
+    return folded()[:256].astype(np.uint8).tobytes()
+
+
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the lower-cased text, and those ``folded``. In bytes where that is enough."""
+    try:
+        data = text.encode("latin-1")
+        return np.frombuffer(data, dtype=np.uint8), np.frombuffer(data.translate(_folded_bytes()), dtype=np.uint8)
+    except UnicodeEncodeError:
+        pass
     if "\u0130" in text or "\u03a3" in text:  # their lower case is two signs, or depends on the place
         text = text.lower()
-    return np.frombuffer(text.encode("utf-32-le", errors="replace"), dtype=np.uint32)
+    cp = np.frombuffer(text.encode("utf-32-le", errors="replace"), dtype=np.uint32)
+    return cp, folded()[cp]
 
 
 def words(text: str) -> np.ndarray:
     """The hash of each word of the lower-cased text, in order."""
-    return _words(_codes(text))[0]
+    return _words(_codes(text)[1])[0]
 
 
 def word_starts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, and the number of the line (from 0, ended by line feeds) that it stands in."""
-    cp = _codes(text)
-    found, starts = _words(cp)
-    return found, np.searchsorted(np.flatnonzero(cp == 10), starts)
+    cp, signs = _codes(text)
+    found, starts = _words(signs)
+    cuts = np.searchsorted(starts, np.flatnonzero(cp == 10))
+    return found, np.repeat(np.arange(len(cuts) + 1), np.diff(np.r_[0, cuts, len(starts)]))
 
 
 def shingles(text: str, size: int = WORDS) -> np.ndarray:

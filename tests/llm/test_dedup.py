@@ -16,7 +16,7 @@ from lakeleaf.llm.components import components
 from lakeleaf.llm.exact_dedup import DigestIndex, buckets_for, digest_groups, drop_exact_copies, exact_dedup, exact_dedup_in_batches
 from lakeleaf.llm.line_dedup import line_dedup, line_digests
 from lakeleaf.llm.minhash import drop_near_copies, near_classes
-from lakeleaf.llm.shingles import shingles, words
+from lakeleaf.llm.shingles import shingles, word_starts, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, salt string, label string, copy string"
 
@@ -344,3 +344,61 @@ def test_records_are_packed_so_that_they_compress(kind):
     part = packing.by_part(rows, np.zeros(200, np.uint64), 4)["rows"].iat[0]
     assert (packing.records_of(part, kind) == rows).all() and len(packing.records_of(b"", kind)) == 0
     assert len(pa.compress(part, "lz4", asbytes=True)) < 0.9 * len(pa.compress(rows.tobytes(), "lz4", asbytes=True))
+
+
+def candidate_pairs(docs, keep=packing.KEEP):
+    ranks, parts = packing.frequencies(docs)
+    return packing._pairs(packing._found(packing._records(docs, ranks, parts), parts, keep))
+
+
+def unlike_long_lines(rng, n, size, common):
+    """Lines of ``size`` words of 6000; the first ``common`` ones, rare in the table, are in all of them."""
+    return [" ".join([f"rare{k}" for k in range(common)] + [f"w{x}" for x in rng.choice(6000, size - common, replace=False)]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("size", [150, 300])
+def test_long_unlike_lines_are_no_candidates(spark, size):
+    """Bitmaps of long lines tell them apart: else every two lines with a rare word in common are verified."""
+    lines = unlike_long_lines(np.random.default_rng(5), 60, size, 3)
+    near = lines[0].split(" ")[:-5]
+    docs = frame(spark, list(enumerate([*lines, " ".join(near)]))).select("doc_id", "text")
+    pairs = [(r["home"], r["doc_id"]) for r in candidate_pairs(docs).select("home", "doc_id").collect()]
+    assert (0, 60) in pairs and len(pairs) < 20
+
+
+def test_alike_lines_on_both_sides_of_a_bitmap_width(spark):
+    rng, rows = np.random.default_rng(8), []
+    for base in (62, 76, 81, 150, 161, 300, 330):
+        words_ = [f"b{base}x{k}" for k in range(base)]
+        for drop in sorted({0, 1, base // 10, base // 5, base // 5 + 1, base // 4}):
+            rows.append((len(rows), " ".join(rng.permutation(words_)[drop:])))
+            rows.append((len(rows), " ".join([*rng.permutation(words_), *[f"n{len(rows)}y{k}" for k in range(drop)]])))
+    rows = [(i, f"{t}\nother {i}") for i, t in rows]
+    gone = brute_lines(rows)
+    got = {r["doc_id"]: r["n_removed"] for r in line_digests(frame(spark, rows)).collect()}
+    assert got == {i: len(gone[i]) for i, _ in rows} and 20 < sum(got.values()) < len(rows)
+
+
+def test_prefix_records_are_small(spark):
+    """Shuffled bytes for each prefix record: a record has no digest of its line and no bitmap wider than it needs."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "\n".join(" ".join(f"w{x}" for x in rng.choice(4000, 50, replace=False)) for _ in range(10))) for i in range(800)]
+    docs = frame(spark, rows).select("doc_id", "text").coalesce(1)
+    ranks, _ = packing.frequencies(docs)
+    sent = packing._records(docs, ranks, 64).filter("kind = 0").collect()
+    assert sum(len(pa.compress(bytes(r["rows"]), "lz4", asbytes=True)) for r in sent) < 24 * 800 * 10 * (50 - 40 + 1)
+
+
+def test_giant_lines_and_shared_ids(spark):
+    giant = [f"g{k}" for k in range(70_000)]
+    rows = [(1, " ".join(giant)), (2, " ".join(giant[7_000:])), (3, " ".join(giant[30_000:])), (4, "a b c d e f g h i k"), (4, "a b c d e f g h i l\nx y"), (5, "a b c d e f g h i k\nx y")]
+    got = sorted((r["doc_id"], r["n_removed"]) for r in line_digests(frame(spark, rows)).collect())
+    assert got == [(1, 0), (2, 1), (3, 0), (4, 1), (4, 1), (5, 2)]
+
+
+def test_words_of_bytes_are_those_of_code_points():
+    """Texts of code points under 256 take a path of their own."""
+    text = "".join(map(chr, range(256))) + " ÀÉ ab1µß\n\nÿ x"
+    a, b = word_starts(text), word_starts(text + " 中")
+    assert a[0].tolist() == b[0][:-1].tolist() and a[1].tolist() == b[1][:-1].tolist()
+    assert words(text).tolist() == a[0].tolist() and a[1].max() == text.count("\n")
