@@ -51,7 +51,7 @@ def words(text: str) -> list[str]:
         return (EXACT if ODD.search(text) else PLAIN).findall(text)
 
 
-#: Distinct words that a worker remembers before it keeps only the last block's, which bounds its memory.
+#: Distinct words that a task remembers before it keeps only the last block's, which bounds its memory.
 CACHE = 300_000
 #: Pairs of tokens that it remembers.
 PAIRS = 400_000
@@ -155,6 +155,10 @@ class Codec:
             if (back := self.decode_bytes(ids)) != word.encode("utf-8"):
                 self.other[word] = back
 
+    def forget(self) -> None:
+        """Drop the words: the worker lives on, and what it holds is missing to the next step's tasks."""
+        self.known, self.other = dict(self.marks), {}
+
     def decode_bytes(self, ids: list[int]) -> bytes:
         """Unknown ids give nothing."""
         return b"".join([self.bytes.get(i, b"") for i in ids])
@@ -222,6 +226,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: st
         for batch in batches:
             found = list(own.digests(batch["text"].tolist()))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [x[0] for x in found], "ids_sha256": [x[1] for x in found], "decoded_sha256": [x[2] for x in found]})
+        own.forget()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -38,8 +38,9 @@ STARS = 2
 BLOCK = 128
 #: Share of equal samples below which a pair can't be SIMILARITY alike: four standard deviations under it.
 AGREE = SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS))
-#: Characters of a chunk, of which a task holds one, and shingles of a part (about one to 7 characters).
-CHUNK, PART = 8_000_000, 4_000_000
+#: Characters of a chunk, of which a task holds one, and shingles of a part (about one to 7 characters). A part takes its
+#: worker about 70 bytes a shingle at once, and Spark's batches beside it 16 or more, outside the heap.
+CHUNK, PART = 8_000_000, 1_000_000
 LEAST_CHUNKS, MOST_PARTS = 64, 1 << 22
 SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 SCRAMBLE = np.uint64(0xFF51AFD7ED558CCD)
@@ -154,6 +155,20 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+def added(group: pd.DataFrame) -> pd.DataFrame:
+    """group: chunk, part, index, counts of the chunks that have shingles in a part. chunk, part, dfs of each."""
+    index = np.concatenate([unpacked(x) for x in group["index"]])
+    counts = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group["counts"]])
+    order = np.argsort(index)
+    index = index[order]
+    new = np.r_[True, index[1:] != index[:-1]]
+    total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))
+    df = np.empty(len(index), dtype=np.uint32)
+    df[order] = total[np.cumsum(new) - 1]
+    sizes = group["index"].map(len).to_numpy() // 8
+    return pd.DataFrame({"chunk": group["chunk"], "part": group["part"], "dfs": [x.tobytes() for x in np.split(df, np.cumsum(sizes)[:-1])]})
+
+
 def frequencies(docs: DataFrame, layout: Layout) -> DataFrame:
     """docs: chunk, text. chunk, part, dfs: the document frequencies (u4) of a chunk's shingles in that part, in order."""
 
@@ -165,19 +180,8 @@ def frequencies(docs: DataFrame, layout: Layout) -> DataFrame:
         count = count.astype(np.uint32)
         return pd.DataFrame({"chunk": group["chunk"].iat[0], "part": part[cuts], "index": [packed(index[a:z]) for a, z in zip(cuts, ends)], "counts": [count[a:z].tobytes() for a, z in zip(cuts, ends)]})
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        index = np.concatenate([unpacked(x) for x in group["index"]])
-        counts = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group["counts"]])
-        order = np.argsort(index)
-        new = np.r_[True, index[order][1:] != index[order][:-1]]
-        total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))
-        df = np.empty(len(index), dtype=np.uint32)
-        df[order] = total[np.cumsum(new) - 1]
-        sizes = group["index"].map(len).to_numpy() // 8
-        return pd.DataFrame({"chunk": group["chunk"], "part": group["part"], "dfs": [x.tobytes() for x in np.split(df, np.cumsum(sizes)[:-1])]})
-
     sent = docs.select("chunk", "text").groupBy("chunk").applyInPandas(send, "chunk long, part int, index binary, counts binary")
-    return sent.groupBy("part").applyInPandas(add, "chunk long, part int, dfs binary")
+    return sent.groupBy("part").applyInPandas(added, "chunk long, part int, dfs binary")
 
 
 def signatures(docs: DataFrame, found: DataFrame, layout: Layout) -> DataFrame:

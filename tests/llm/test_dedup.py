@@ -3,9 +3,11 @@
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -207,6 +209,19 @@ def test_frequencies_are_exact(spark, monkeypatch):
             assert np.frombuffer(r["dfs"] or b"", dtype=np.uint32).tolist() == [df[k] for k in index.tolist()]
 
 
+def test_a_part_of_a_large_corpus_is_small(spark):
+    """What one task adds up at once, were all shingles of half a GB of text distinct."""
+    layout = minhash.Layout.of(spark.range(512).select(F.expr("repeat('x', 1000000)").alias("text")))
+    own = 512_000_000 // 7 // layout.chunks >> layout.bits
+    index = np.sort(np.random.default_rng(5).integers(0, 1 << 63, (layout.chunks, own), dtype=np.uint64))
+    group = pd.DataFrame({"chunk": range(layout.chunks), "part": 0, "index": [minhash.packed(x) for x in index], "counts": [np.ones(own, dtype=np.uint32).tobytes()] * layout.chunks})
+    tracemalloc.start()
+    got = minhash.added(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) for x in got["dfs"]] == [4 * own] * layout.chunks and peak < 80e6
+
+
 def test_near_copies_of_rows_with_clashing_names(spark):
     text = "a b c d e f g h i j k l"
     rows = [(1, text, "x", {"k": 1}), (1, text, "y", {"k": 2}), (2, text, "z", None), (3, None, "n", None), (3, "other words that are not alike at all here", "o", None), (2, "the second text of an id that is a copy with its first", "p", None)]

@@ -63,6 +63,17 @@ def test_bpe_rows(spark, reference):
     assert [r["n_tokens"] for r in bpe.bpe_tokens(frame(spark, [(1, "a b"), (2, None)]), vocabulary()).orderBy("doc_id").collect()] == [2, 0]
 
 
+def test_workers_forget_the_words_of_a_task(spark):
+    def held(batches):
+        for batch in batches:
+            yield batch.assign(id=sum(len(c.known) - len(c.marks) + len(c.other) for c in bpe._codecs.values()))
+
+    docs = frame(spark, [(i, f"word{i} \ud7ff w{i}") for i in range(40)])
+    for _ in range(2):
+        assert bpe.bpe_digests(docs, vocabulary()).filter("n_tokens > 0").count() == 40
+    assert spark.range(40).repartition(4).mapInPandas(held, "id long").agg({"id": "max"}).first()[0] == 0
+
+
 SOUNDS = {"en": "the and ing tion of that with er", "de": "der und ung keit sch ein lich ü", "fr": "le eau tion que é ment ai oux", "es": "el ción que ó mente ado ñ los"}
 
 
